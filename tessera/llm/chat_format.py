@@ -1,8 +1,8 @@
 """Chat formatting with a grammar that reads back what was written.
 
 A turn is written ``### Role: text</turn>`` and a line feed.  Its text is
-written as it is unless the parser would read something else; then it is
-escaped and checked again.  Escaping puts one more backslash where a control
+written as it is unless it holds a control string or the parser would read
+something else; then it is escaped, and the whole is read back and compared.  Escaping puts one more backslash where a control
 string, or a control string that already holds backslashes, would stand:
 
 ``</turn\\...>``  gets a backslash before ``>``;
@@ -69,6 +69,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     plain = _written(F.col("role"), F.col("text"))
     same = parse(plain) == F.array(F.struct(F.col("role").alias("role"), F.col("text").alias("text")))
+    for c, mark in (("text", "</turn>"), ("text", HEAD), ("role", "</turn>"), ("role", HEAD), ("role", MID)):
+        same &= ~F.contains(F.col(c), F.lit(mark))
     safe = _written(_escape_role(F.col("role")), escape(F.col("text")))
     rows = rows.select("conv_id", "turn", "role", "text", F.when(same, plain).otherwise(safe).alias("written"))
     found = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "written"))).alias("rows"))

@@ -1,9 +1,11 @@
-"""Token ids of whole texts, with a cache of space-separated chunks.
-
-Byte-level vocabularies never join what comes before a space that follows ink
-with what comes after, so a text's ids are those of its chunks in turn.  Chunks
-repeat far more often than texts do.  A text that holds the string of a special
-token goes to the tokenizer whole.
+"""Token ids of whole texts, as the ``tokenizers`` library gives them, faster.
+
+The file's vocabulary is byte-level, so its merges are ranks and a second
+library can apply them.  The splitting pattern's look-ahead only matters where
+white space follows white space; other texts take the same pattern without it,
+which is twice as fast.  Texts with a special token's string, or with characters
+beyond Latin letters, that the two libraries' tables might class differently, go
+to ``tokenizers`` itself.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from array import array
 
 import numpy as np
 
-#: White space before a space, whatever either library takes for white space.
-_BEFORE_SPACE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
-_PLAIN = [x for x in _BEFORE_SPACE if x.isascii()]
-_AFTER_INK = re.compile(r"(?<=\S) ")
+_DOUBLED = re.compile(r"\s\s")
+_BEYOND = re.compile("[^\0-ɏ‐-•…]")
+#: The splitting pattern of the vocabulary, without and with its look-ahead.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|"
+_PLAIN, _FULL = _PARTS + r"\s", _PARTS + r"\s+(?!\S)|\s+"
 _encoders: dict = {}
 
 
@@ -28,27 +31,6 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Chunks(dict):
-    """Chunk to its ids (little-endian uint32 bytes), filled on demand.
-
-    Two generations of at most ``most`` chunks: what is not asked for while the
-    younger fills is forgotten.
-    """
-
-    def __init__(self, encode, lead: str, most: int = 300_000):
-        self.encode, self.lead, self.most, self.old = encode, lead, most, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.old.get(chunk)
-        if out is None:
-            out = self.encode(self.lead + chunk)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = out
-        return out
-
-
 class Encoder:
     """Ids as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives them."""
 
@@ -59,40 +41,29 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             read = json.load(f)
-        self.special = [t["content"] for t in read.get("added_tokens", [])]
+        added = {t["content"]: t["id"] for t in read.get("added_tokens", [])}
+        self.special = list(added)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(letters[c] for c in t): i for t, i in read["model"]["vocab"].items() if t not in self.special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.fast = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.byte_lengths = np.zeros(max(read["model"]["vocab"].values()) + 1 + len(self.special), np.int64)
-        for token, i in ranks.items():
+        rest = [b for b in range(256) if b not in plain]
+        letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+        ranks = {bytes(letters[c] for c in t): i for t, i in read["model"]["vocab"].items() if t not in added}
+        self.plain, self.full = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (_PLAIN, _FULL))
+        #: Bytes of each id's token.
+        self.byte_lengths = np.zeros(max([*ranks.values(), *added.values()]) + 1, np.int64)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
             self.byte_lengths[i] = len(token)
-        for t in read.get("added_tokens", []):
-            self.byte_lengths[t["id"]] = len(t["content"].encode())
-        self.first, self.later = _Chunks(self._chunk, ""), _Chunks(self._chunk, " ")
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
-        if chunk.isascii() or max(chunk) < "ɐ":  # both libraries class these characters alike
-            ids = array("I", self.fast.encode_ordinary(chunk))
-            if sys.byteorder != "little":
-                ids.byteswap()
-            return ids.tobytes()
-        return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian uint32 ids of a whole text; none for null."""
         if not text:
             return b""
-        if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        doubled = any(x in text for x in (_PLAIN if text.isascii() else _BEFORE_SPACE))
-        chunks = _AFTER_INK.split(text) if doubled else text.split(" ")
-        if len(chunks[0]) > 64 or len(text) > 64 * len(chunks):  # few spaces: chunks hardly repeat
-            return b"".join([self._chunk(chunks[0]), *[self._chunk(" " + c) for c in chunks[1:]]])
-        return self.first[chunks[0]] + b"".join(map(self.later.__getitem__, chunks[1:]))
+        if any(s in text for s in self.special) or not text.isascii() and _BEYOND.search(text):
+            ids = array("I", self.whole.encode(text, add_special_tokens=False).ids)
+        else:
+            ids = array("I", (self.full if _DOUBLED.search(text) else self.plain).encode_ordinary(text))
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def encoder(path: str) -> Encoder:

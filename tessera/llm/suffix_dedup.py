@@ -291,7 +291,7 @@ def _index(key, table, nb: int, length: int, block: int):
     return pa.Table.from_batches(out, schema=_FOUND)
 
 
-def _cut(batches):
+def _cut(batches, keep: bool):
     for b in batches:
         cols = [[] for _ in _OUT]
         for doc, text, blob in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
@@ -302,12 +302,12 @@ def _cut(batches):
                 kept.append(raw[at:lo])
                 at = hi
             kept = b"".join([*kept, raw[at:]])
-            for c, x in zip(cols, (doc, len(raw), len(raw) - len(kept), len(marks), hashlib.sha256(kept).hexdigest(), kept)):
+            for c, x in zip(cols, (doc, len(raw), len(raw) - len(kept), len(marks), hashlib.sha256(kept).hexdigest(), kept if keep else None)):
                 c.append(x)
         yield batch(_OUT, cols)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, block: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, block: int = 1_000_000, keep: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row.
 
     Texts are UTF-8 bytes; a null text is empty.  A byte goes if some string of
@@ -315,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block: int = 1_000_000) -
     in the same row or not.  Strings never cross rows and are judged on the
     input, so every copy goes, the first included; equal rows count as copies.
     n_spans counts the maximal removed runs; ``kept`` holds the bytes that are
-    left, which need not be whole characters.  A null doc_id stays null; other
+    left, which need not be whole characters (null unless ``keep``).  A null doc_id stays null; other
     columns are not read; an empty table gives an empty result.
     """
     if not GRAM < length <= 255:
@@ -332,6 +332,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, block: int = 1_000_000) -
     marks = found.where("marks is not null").unionByName(more).select("bucket", "marks")
     marks = marks.groupBy("bucket").applyInArrow(grouped(_by_key, column="marks", dtype=_MARK), "key long, rows binary")
     kept = rows.join(stage(marks, "marks"), "key", "left").select("doc_id", "text", "rows")
-    kept = kept.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    kept = kept.mapInArrow(lambda it: _cut(it, keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return kept.select(unkeyed(), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
