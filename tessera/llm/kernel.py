@@ -61,12 +61,20 @@ def slices(column: pa.Array, most: int = 1 << 20):
         lo = hi
 
 
-def words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, byte after the last, row) of every word, in order."""
+#: Letters, digits and every byte of a character beyond ASCII.
+LETTER = np.zeros(256, dtype=bool)
+LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+
+
+def words(raw: np.ndarray, starts: np.ndarray, inks: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, byte after the last, row) of every word, in order.
+
+    ``inks`` tells which bytes are within words.
+    """
     if len(raw) == 0:
         e = np.zeros(0, np.int64)
         return e, e, e
-    ink = ~SPACE[raw]
+    ink = inks[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[starts] = True  # a word does not go on into the next row
     before = np.concatenate([[False], ink[:-1]])
