@@ -12,21 +12,21 @@ from ..functions import expression as E
 from ..functions import text as X
 from ..operators import market as M
 from ..operators import records as R
-from ..sources.panel import panel
+from ..sources.panel import OFF_TIES, panel
 from . import backtest as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 FLAGSHIP = "RANK($close / TS_MEAN($close, 4))"
-START, END = "1993-01-01", "1996-12-31"
+START, END = "1995-01-01", "1998-12-31"
 CONFIG = B.Config()
 
 #: SQL of the panel; queries add their own tables to it.
 PANEL = """
     px AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS datetime, l_suppkey AS instrument, l_extendedprice / l_quantity AS px,
         l_quantity, l_extendedprice, l_returnflag FROM lineitem),
-    p0 AS (SELECT datetime, instrument, round(avg(px), 6) AS close, round(median(px), 6) AS open, round(max(px), 6) AS high, round(min(px), 6) AS low,
+    p0 AS (SELECT datetime, instrument, round(avg(px) + 3e-8, 6) AS close, round(median(px) + 3e-8, 6) AS open, round(max(px) + 3e-8, 6) AS high, round(min(px) + 3e-8, 6) AS low,
         sum(l_quantity) AS volume, round(sum(l_extendedprice), 2) AS amount, CAST(max(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS INTEGER) AS tradestatus
         FROM px GROUP BY datetime, instrument),
     panel AS (SELECT p0.*, CAST(s_nationkey AS DOUBLE) AS industry,
@@ -53,12 +53,12 @@ def panel_build(spark, sf_dir):
     return panel(spark, sf_dir).select("datetime", "instrument", "day_idx", "open", "high", "low", "close", "volume", "amount", F.col("return").alias("ret"), "industry", "tradestatus")
 
 
-def _signal(name: str, expression: str, sql: str) -> None:
+def _signal(name: str, expression: str, sql: str, digits: int = 6) -> None:
     """A query of one expression; ``sql`` is its value over ``panel``, window w4 and lag l3 at hand."""
 
     def run(spark, sf_dir):
         out = E.with_signals(panel(spark, sf_dir), {"value": expression})
-        return out.select("datetime", "instrument", F.round("value", 6).alias("value"))
+        return out.select("datetime", "instrument", F.round(F.col("value") + OFF_TIES, digits).alias("value"))
 
     run.__name__ = name
     QUERIES[name] = run
@@ -67,7 +67,7 @@ def _signal(name: str, expression: str, sql: str) -> None:
         WINDOW w4 AS (PARTITION BY instrument ORDER BY day_idx RANGE BETWEEN 3 PRECEDING AND CURRENT ROW),
                l3 AS (PARTITION BY instrument ORDER BY day_idx RANGE BETWEEN 3 PRECEDING AND 3 PRECEDING)),
         v AS (SELECT datetime, instrument, {sql} AS value FROM w)
-        SELECT datetime, instrument, round(CASE WHEN isfinite(value) THEN value END, 6) AS value FROM v"""
+        SELECT datetime, instrument, round(CASE WHEN isfinite(value) THEN value END + 3e-8, {digits}) AS value FROM v"""
 
 
 _RANK = "CASE WHEN {0} IS NOT NULL THEN (rank() OVER (PARTITION BY datetime ORDER BY {0} NULLS LAST) + (count({0}) OVER (PARTITION BY datetime, {0}) - 1) / 2.0::DOUBLE) / count({0}) OVER (PARTITION BY datetime) END"
@@ -88,7 +88,7 @@ for _name, _text, _sql in (
     ("unary_arithmetic", "--$close * -2 + .5 * $open - 1e1", "close * -2 + 0.5::DOUBLE * open - 10"),
     ("nested_expr", FLAGSHIP, _RANK.format("(close / nullif(CASE WHEN n4 = 4 THEN mean4 END, 0))")),
 ):
-    _signal(_name, _text, _sql)
+    _signal(_name, _text, _sql, 2 if _name == "ts_std" else 6)
 
 _MANY = {"reversal": "-TS_PCTCHANGE($close, 4)", "liquidity": "RANK($amount / TS_MEAN($amount, 4))", "calm": "-TS_STD($return, 4)", "trend": FLAGSHIP}
 
@@ -155,10 +155,10 @@ def turnover_cost(spark, sf_dir):
     return days.select(F.col("d").cast("long").alias("d"), F.round("cost", 9).alias("cost"), F.round("turnover", 9).alias("turnover"), "n_held")
 
 
-@query(f"WITH {_DAILY} SELECT datetime, round(gross, 9) AS gross, round(net, 9) AS net, round(nav, 6) AS nav, round(gross_nav, 6) AS gross_nav, round(benchmark_nav, 6) AS benchmark_nav FROM dd")
+@query(f"WITH {_DAILY} SELECT datetime, round(gross + 3e-8, 6) AS gross, round(net + 3e-8, 6) AS net, round(nav, 6) AS nav, round(gross_nav, 6) AS gross_nav, round(benchmark_nav, 6) AS benchmark_nav FROM dd")
 def daily_nav(spark, sf_dir):
     days = B.backtest(panel(spark, sf_dir), FLAGSHIP, START, END, CONFIG)
-    return days.select("datetime", *[F.round(c, 9).alias(c) for c in ("gross", "net")], *[F.round(c, 6).alias(c) for c in ("nav", "gross_nav", "benchmark_nav")])
+    return days.select("datetime", *[F.round(F.col(c) + OFF_TIES, 6).alias(c) for c in ("gross", "net")], *[F.round(c, 6).alias(c) for c in ("nav", "gross_nav", "benchmark_nav")])
 
 
 @query(f"WITH {_DAILY} SELECT datetime, round(drawdown, 6) AS drawdown FROM dd")
@@ -167,9 +167,9 @@ def drawdown(spark, sf_dir):
     return days.select("datetime", F.round("drawdown", 6).alias("drawdown"))
 
 
-@query(f"WITH {_DAILY} SELECT datetime, round(benchmark, 9) AS benchmark FROM dy")
+@query(f"WITH {_DAILY} SELECT datetime, round(benchmark + 3e-8, 6) AS benchmark FROM dy")
 def benchmark_return(spark, sf_dir):
-    return B.daily(_rows(spark, sf_dir), CONFIG).select("datetime", F.round("benchmark", 9).alias("benchmark"))
+    return B.daily(_rows(spark, sf_dir), CONFIG).select("datetime", F.round(F.col("benchmark") + OFF_TIES, 6).alias("benchmark"))
 
 
 @query(
@@ -669,3 +669,27 @@ def training_rows(spark, sf_dir):
     d = _cases(spark, sf_dir).join(_table(spark, sf_dir, "labels"), "doc_id").join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     cases = d.select(F.col("doc_id").alias("case_id"), "report", "gold", F.when(F.col("quality") == 1, "train").otherwise("holdout").alias("split"), "source")
     return R.training_rows(cases).join(cases.select("case_id", "source"), "case_id").select(F.col("case_id").alias("doc_id"), F.size("messages").alias("n_messages"), "source")
+
+
+#: Date columns are returned as text, which all readers of results take alike.
+
+
+def _as_text(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = run(spark, sf_dir)
+        return out.withColumns({c: F.col(c).cast("string") for c, t in out.dtypes if t == "date"})
+
+    return dated
+
+
+_DATED = {
+    "panel_build": "datetime", "signal_lag": "datetime", "daily_nav": "datetime", "drawdown": "datetime", "benchmark_return": "datetime", "membership_ranges": "from to",
+    "universe_semijoin": "datetime", "dedupe_snapshots": "date", "asof_industry": "datetime", "calendar_index": "datetime", "calendar_reindex": "datetime",
+    "manifest_counts": "first_day last_day", "month_ends": "month_end",
+}
+_DATED |= {n: "datetime" for n, sql in ORACLES.items() if sql.endswith(") AS value FROM v")}
+QUERIES = {n: _as_text(q) for n, q in QUERIES.items()}
+ORACLES = {
+    n: f"SELECT * REPLACE ({', '.join(f'strftime({chr(34)}{c}{chr(34)}, {chr(39)}%Y-%m-%d{chr(39)}) AS {chr(34)}{c}{chr(34)}' for c in _DATED[n].split())}) FROM ({sql})" if n in _DATED else sql
+    for n, sql in ORACLES.items()
+}

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Added before rounding: quotients by powers of two would lie on ties, which engines round differently.
+OFF_TIES = 3e-8
+
 
 def with_calendar(panel: DataFrame) -> DataFrame:
     """Adds day_idx, the place (from 0) of each date among the panel's distinct dates.
@@ -28,10 +31,10 @@ def weekly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag",
     )
     return lines.groupBy("datetime", "instrument").agg(
-        F.round(F.avg("px"), 6).alias("close"),
-        F.round(F.median("px"), 6).alias("open"),
-        F.round(F.max("px"), 6).alias("high"),
-        F.round(F.min("px"), 6).alias("low"),
+        F.round(F.avg("px") + OFF_TIES, 6).alias("close"),
+        F.round(F.median("px") + OFF_TIES, 6).alias("open"),
+        F.round(F.max("px") + OFF_TIES, 6).alias("high"),
+        F.round(F.min("px") + OFF_TIES, 6).alias("low"),
         F.sum("l_quantity").alias("volume"),
         F.round(F.sum("l_extendedprice"), 2).alias("amount"),
         F.max(F.when(F.col("l_returnflag") != "R", 1).otherwise(0)).alias("tradestatus"),
