@@ -155,10 +155,10 @@ def turnover_cost(spark, sf_dir):
     return days.select(F.col("d").cast("long").alias("d"), F.round("cost", 9).alias("cost"), F.round("turnover", 9).alias("turnover"), "n_held")
 
 
-@query(f"WITH {_DAILY} SELECT datetime, round(gross + 3e-8, 6) AS gross, round(net + 3e-8, 6) AS net, round(nav, 6) AS nav, round(gross_nav, 6) AS gross_nav, round(benchmark_nav, 6) AS benchmark_nav FROM dd")
+@query(f"WITH {_DAILY} SELECT datetime, round(gross + 1.234567e-10, 6) AS gross, round(net + 1.234567e-10, 6) AS net, round(nav, 6) AS nav, round(gross_nav, 6) AS gross_nav, round(benchmark_nav, 6) AS benchmark_nav FROM dd")
 def daily_nav(spark, sf_dir):
     days = B.backtest(panel(spark, sf_dir), FLAGSHIP, START, END, CONFIG)
-    return days.select("datetime", *[F.round(F.col(c) + OFF_TIES, 6).alias(c) for c in ("gross", "net")], *[F.round(c, 6).alias(c) for c in ("nav", "gross_nav", "benchmark_nav")])
+    return days.select("datetime", *[F.round(F.col(c) + 1.234567e-10, 6).alias(c) for c in ("gross", "net")], *[F.round(c, 6).alias(c) for c in ("nav", "gross_nav", "benchmark_nav")])
 
 
 @query(f"WITH {_DAILY} SELECT datetime, round(drawdown, 6) AS drawdown FROM dd")
@@ -167,9 +167,9 @@ def drawdown(spark, sf_dir):
     return days.select("datetime", F.round("drawdown", 6).alias("drawdown"))
 
 
-@query(f"WITH {_DAILY} SELECT datetime, round(benchmark + 3e-8, 6) AS benchmark FROM dy")
+@query(f"WITH {_DAILY} SELECT datetime, round(benchmark + 1.234567e-10, 6) AS benchmark FROM dy")
 def benchmark_return(spark, sf_dir):
-    return B.daily(_rows(spark, sf_dir), CONFIG).select("datetime", F.round(F.col("benchmark") + OFF_TIES, 6).alias("benchmark"))
+    return B.daily(_rows(spark, sf_dir), CONFIG).select("datetime", F.round(F.col("benchmark") + 1.234567e-10, 6).alias("benchmark"))
 
 
 @query(
