@@ -299,11 +299,10 @@ def evolution_scores(turns: DataFrame) -> DataFrame:
 
 
 def robustness(metric: Column, lagged: Column, dealt: Column) -> Column:
-    """How little a lag moves the metric and how little a random signal scores; 0.5 if unknown."""
+    """How little a lag moves the metric and how little a random signal scores; a contrast that failed counts 0, no metric 0.5."""
     scale = F.greatest(F.abs(metric), F.lit(0.1))
-    parts = F.array_compact(F.array(F.greatest(F.lit(0.0), 1 - F.abs(metric - lagged) / scale), F.greatest(F.lit(0.0), 1 - F.abs(dealt) / scale)))
-    mean = F.try_divide(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.size(parts))
-    return F.coalesce(mean, F.lit(0.5))
+    part = lambda c: F.coalesce(F.when(c.isNotNull(), F.greatest(F.lit(0.0), 1 - c)), F.lit(0.0))
+    return F.when(metric.isNull(), 0.5).otherwise((part(F.abs(metric - lagged) / scale) + part(F.abs(dealt) / scale)) / 2)
 
 
 def spec_drift(seed: Column, now: Column, fields: tuple = ("universe", "frequency", "neutralization")) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import expression as E
 from ..functions import text as X
 from ..operators import market as M
+from ..operators import probes as P
 from ..operators import records as R
 from ..sources.panel import OFF_TIES, panel
 from . import backtest as B
@@ -653,7 +654,7 @@ def chinese_numerals(spark, sf_dir):
     return rows.select("raw", X.with_numerals("raw").alias("normal"))
 
 
-@query("SELECT doc_id, doc_id % 3 <> 2 AS parsed, CASE WHEN doc_id % 3 <> 2 THEN CAST(doc_id % 60 + 1 AS INTEGER) END AS first_window FROM documents")
+@query("SELECT doc_id, doc_id % 3 <> 2 AS parsed, CASE WHEN doc_id % 3 <> 2 THEN CAST(doc_id % 60 + 1 AS VARCHAR) END AS first_window FROM documents")
 def parse_answers(spark, sf_dir):
     """Records out of fenced, bare and broken answers."""
     rows = _cases(spark, sf_dir)
@@ -661,7 +662,7 @@ def parse_answers(spark, sf_dir):
     n = F.col("doc_id") % 3
     answer = F.when(n == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone."))).when(n == 1, F.concat(F.lit("It is "), body, F.lit(" ."))).otherwise(F.substring(body, 1, 20))
     spec = X.parse_spec(answer)
-    return rows.select("doc_id", spec.isNotNull().alias("parsed"), F.try_element_at(spec["windows"], F.lit(1)).alias("first_window"))
+    return rows.select("doc_id", spec.isNotNull().alias("parsed"), F.try_element_at(spec["windows"], F.lit(1)).cast("string").alias("first_window"))
 
 
 @query("SELECT doc_id, 3 AS n_messages, source FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
@@ -671,6 +672,112 @@ def training_rows(spark, sf_dir):
     return R.training_rows(cases).join(cases.select("case_id", "source"), "case_id").select(F.col("case_id").alias("doc_id"), F.size("messages").alias("n_messages"), "source")
 
 
+@query(
+    f"""WITH {_CHUNK}, k2 AS (SELECT doc_id, chunk_no, substring(chunk, 1, 12) AS q FROM ch)
+    SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'p9-c0000' ELSE 'p0-c' || lpad(CAST(chunk_no AS VARCHAR), 4, '0') END AS chunk_id,
+        CASE WHEN doc_id % 3 = 0 THEN 'not in it: ' || q ELSE q END AS quote FROM k2 WHERE doc_id % 4 = 0 OR doc_id % 3 = 0"""
+)
+def citation_errors(spark, sf_dir):
+    """Evidence that names an unknown chunk or quotes what its chunk does not hold."""
+    rows = X.chunks(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("chunk_id", X.chunk_id(F.lit(None).cast("int"), F.col("chunk_no")))
+    n, quote = F.col("doc_id"), F.substring("chunk", 1, 12)
+    span = F.struct(
+        F.when(n % 4 == 0, "p9-c0000").otherwise(F.col("chunk_id")).alias("chunk_id"), F.when(n % 3 == 0, F.concat(F.lit("not in it: "), quote)).otherwise(quote).alias("quote")
+    )
+    specs = rows.select("doc_id", F.struct(F.array(span).alias("evidence")).alias("spec"))
+    return P.citation_errors(specs, rows.select("doc_id", "chunk_id", F.col("chunk").alias("text")))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN '' ELSE 'no evidence span; parameters without a citation: [' || (doc_id % 60 + 1) || ']' END AS problems FROM documents"""
+)
+def missing_requirements(spark, sf_dir):
+    return _cases(spark, sf_dir).select("doc_id", F.array_join(P.missing_requirements(F.col("gold")), "; ").alias("problems"))
+
+
+_INTACT = "c AS (SELECT doc_id, doc_id % 5 < 3 AS cited, doc_id % 7 = 0 AS lost FROM documents)"
+
+
+def _checked(spark, sf_dir):
+    """Cases of which every seventh has lost its report, and with it what it cites."""
+    rows = _cases(spark, sf_dir).withColumn("report", F.when(F.col("doc_id") % 7 == 0, "gone").otherwise(F.col("report")))
+    return P.integrity(rows)
+
+
+@query(
+    f"""WITH {_INTACT} SELECT doc_id, NOT (lost AND cited) AS intact, CASE WHEN lost AND cited THEN 'gold_replay_failed,gold_citation_not_in_report' ELSE '' END AS errors,
+    CASE WHEN cited AND lost THEN 0.2::DOUBLE WHEN cited THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS gold_reward FROM c"""
+)
+def case_integrity(spark, sf_dir):
+    return _checked(spark, sf_dir).select("doc_id", "intact", F.array_join("errors", ",").alias("errors"), F.round("gold_reward", 6).alias("gold_reward"))
+
+
+@query(
+    f"""WITH {_INTACT}, r AS (SELECT *, doc_id % 3 = 0 AS low FROM c)
+    SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'heldout_eval' WHEN lost AND cited THEN 'quarantine' WHEN low THEN 'sft_curriculum' ELSE 'rl_main' END AS route,
+        CASE WHEN NOT (lost AND cited) THEN 4 ELSE 0 END AS k FROM r"""
+)
+def probe_routes(spark, sf_dir):
+    """Four rollouts of each intact case, their metrics and the case's route."""
+    checked = _checked(spark, sf_dir).withColumns({"case_id": F.col("doc_id"), "split": F.when(F.col("doc_id") % 11 == 0, "holdout").otherwise("train")})
+    n, i = F.col("case_id"), F.col("rollout")
+    empty = F.array().cast("array<string>")
+    rollouts = P.planned_rollouts(checked, 4).select(
+        "case_id", F.when(n % 3 == 0, 0.2).otherwise(i * 0.3).alias("reward"), empty.alias("active_caps"), F.lit(1).alias("tool_calls"), F.lit(0).alias("illegal_tool_calls"),
+        *[F.lit(0).alias(c) for c in ("tool_error_model", "tool_error_environment")],
+        *[F.lit(False).alias(c) for c in ("parse_error", "grounding_error", "spec_drift", "backtest_failed", "max_step_hit")],
+    )
+    return P.probed(checked, rollouts).select("doc_id", "route", F.coalesce("k", F.lit(0)).cast("int").alias("k"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id AS n, round(least(1.0::DOUBLE, abs(value) / 100), 6) AS reward FROM events)
+    SELECT count(*) AS rollout_count, count(DISTINCT user_id) AS case_count, round(avg(reward), 6) AS mean_reward, round(stddev_pop(reward), 6) AS reward_std, min(reward) AS min_reward,
+        max(reward) AS max_reward, CAST(sum(n % 3 + 1) AS BIGINT) AS tool_calls, CAST(sum(n % 2) AS BIGINT) AS illegal_tool_calls, round(sum(n % 2) / sum(n % 3 + 1)::DOUBLE, 6) AS illegal_tool_call_rate,
+        'invalid_citation_cap=' || count(*) FILTER (n % 9 = 0) || ',invalid_json_cap=' || count(*) FILTER (n % 4 = 0) AS caps, 'unknown_tool=' || CAST(sum(n % 2) AS BIGINT) AS kinds FROM e"""
+)
+def run_summary(spark, sf_dir):
+    rows = _records(spark, sf_dir)
+    rows = rows.withColumn("illegal_by_kind", F.when(F.col("illegal_tool_calls") > 0, F.create_map(F.lit("unknown_tool"), F.col("illegal_tool_calls"))))
+    out = P.run_summary(rows)
+    text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    plain = out.columns[:9]
+    digits = ("mean_reward", "reward_std", "illegal_tool_call_rate")
+    return out.select(*[F.round(c, 6).alias(c) if c in digits else c for c in plain], text("hard_cap_distribution").alias("caps"), text("illegal_tool_call_kinds").alias("kinds"))
+
+
+@query(
+    """WITH r AS (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS z FROM orders),
+    y AS (SELECT unnest(generate_series(year(a), year(z))) AS y, a, z FROM r),
+    d AS (SELECT make_date(y, 6, 30) AS date, a, z FROM y UNION ALL SELECT make_date(y, 12, 31), a, z FROM y)
+    SELECT date FROM d WHERE date BETWEEN a AND z UNION SELECT a FROM r UNION SELECT z FROM r"""
+)
+def adjustment_dates(spark, sf_dir):
+    span = _table(spark, sf_dir, "orders").agg(F.min(F.col("o_orderdate").cast("date")).alias("a"), F.max(F.col("o_orderdate").cast("date")).alias("z"))
+    return P.adjustment_dates(span, "a", "z")
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, round(value, 4) AS metric FROM events WHERE event_type <> 'error' AND value IS NOT NULL)
+    SELECT user_id AS trajectory, event_id AS turn, metric FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY metric DESC, event_id) = 1"""
+)
+def best_candidate(spark, sf_dir):
+    return P.best_candidate(_turns(spark, sf_dir))
+
+
+@query(
+    """SELECT event_id, event_id % 3 <> 2 AS ok, CASE event_id % 3 WHEN 0 THEN round(value, 4) WHEN 1 THEN 0.5::DOUBLE END AS metric,
+    CASE WHEN event_id % 3 = 2 THEN 'environment' END AS error_source, CASE WHEN event_id % 3 = 2 THEN 1 ELSE 2 END AS n_metrics, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS n_reported FROM events"""
+)
+def metric_results(spark, sf_dir):
+    """Metrics of a service's answer, with its second name for the metric and a text that is no number."""
+    n, v = F.col("event_id"), F.round("value", 4).cast("string")
+    pairs = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
+    given = F.when(n % 3 == 0, pairs("Information_Ratio_with_cost", v, "turnover", "0.25", "note", "n/a")).when(n % 3 == 1, pairs("IR", "0.5", "turnover", "1e-1")).otherwise(pairs("turnover", "0.1"))
+    rows = _table(spark, sf_dir, "events").select("event_id", P.metric_result(given, "score").alias("r"))
+    return rows.select("event_id", "r.ok", "r.metric", "r.error_source", F.size("r.metrics").alias("n_metrics"), F.size(P.reported(F.col("r.metrics"))).alias("n_reported"))
+
+
 #: Date columns are returned as text, which all readers of results take alike.
 
 
@@ -685,7 +792,7 @@ def _as_text(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 _DATED = {
     "panel_build": "datetime", "signal_lag": "datetime", "daily_nav": "datetime", "drawdown": "datetime", "benchmark_return": "datetime", "membership_ranges": "from to",
     "universe_semijoin": "datetime", "dedupe_snapshots": "date", "asof_industry": "datetime", "calendar_index": "datetime", "calendar_reindex": "datetime",
-    "manifest_counts": "first_day last_day", "month_ends": "month_end",
+    "manifest_counts": "first_day last_day", "month_ends": "month_end", "adjustment_dates": "date",
 }
 _DATED |= {n: "datetime" for n, sql in ORACLES.items() if sql.endswith(") AS value FROM v")}
 QUERIES = {n: _as_text(q) for n, q in QUERIES.items()}
