@@ -74,43 +74,75 @@ def bounded(panel: DataFrame, start: str, expression: str, config: Config) -> Da
     return panel.join(F.broadcast(first), F.col("day_idx") >= F.col("_first") - bars, "left_semi")  # one row
 
 
-def tradable(rows: DataFrame, start: str, end: str) -> DataFrame:
-    """Tradable rows of the window with ``d``, their day's ordinal, and block start ``d0``."""
+def in_window(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows of the window that trade."""
     kept = rows.where(F.col("datetime").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    kept = kept.where(F.coalesce("tradestatus", F.lit(0)) > 0)
+    return kept.where(F.coalesce("tradestatus", F.lit(0)) > 0)
+
+
+def tradable(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Tradable rows of the window with ``d``, their day's ordinal."""
+    kept = in_window(rows, start, end)
     days = kept.select("datetime").distinct().withColumn("d", F.row_number().over(W.orderBy("datetime")) - 1)
     return kept.join(days, "datetime").select("datetime", "d", "instrument", "score", F.col("return").alias("r"))
 
 
-def chosen(rows: DataFrame, config: Config) -> DataFrame:
-    """(d, instrument, w): the top of each rebalance day, equal weights up to the bound."""
-    day = W.partitionBy("d")
-    can = rows.where((F.col("d") % config.update_freq == 0) & F.col("score").isNotNull() & F.col("r").isNotNull())
-    can = can.withColumn("n", F.count("*").over(day)).withColumn("place", F.row_number().over(day.orderBy(F.desc("score"), "instrument")))
-    k = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(float(config.topk_ratio))))
+def placed(rows: DataFrame, config: Config) -> DataFrame:
+    """``rows`` with ``w``: the weight of the top of each rebalance day, equal up to the bound; else NULL.
+
+    Rows that are no candidates are dealt by instrument besides, so that no day gathers them.
+    """
+    can = F.coalesce((F.col("d") % config.update_freq == 0) & F.col("score").isNotNull() & F.col("r").isNotNull(), F.lit(False))
+    rows = rows.withColumn("_part", F.when(can, -1).otherwise(F.pmod(F.hash("instrument"), F.lit(64))))
+    day = W.partitionBy("d", "_part")
+    k = F.greatest(F.lit(1), F.ceil(F.count("*").over(day) * F.lit(float(config.topk_ratio))))
+    place = F.row_number().over(day.orderBy(F.desc("score"), "instrument"))
     weight = F.least(F.lit(float(config.position_size)) / k, F.lit(float(config.max_pos_each_stock)))
-    return can.where(F.col("place") <= k).select("d", "instrument", weight.alias("w"))
+    return rows.withColumn("w", F.when((F.col("_part") == -1) & (place <= k), weight)).drop("_part")
+
+
+def chosen(rows: DataFrame, config: Config) -> DataFrame:
+    """(d, instrument, w) of the rebalance days."""
+    return placed(rows.where(F.col("d") % config.update_freq == 0), config).where("w is not null").select("d", "instrument", "w")
+
+
+def carried(rows: DataFrame, config: Config) -> DataFrame:
+    """``rows`` with ``w`` as held that day: a name falls out at its first day without a return, until the next rebalance.
+
+    One exchange by instrument serves this window and those of :func:`daily`.
+    """
+    rows = placed(rows, config).repartition("instrument").withColumn("d0", F.col("d") - F.col("d") % config.update_freq)
+    block = W.partitionBy("instrument", "d0")
+    given = F.max("w").over(block)
+    pace = F.count("r").over(block.orderBy("d").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("w", F.when(F.col("r").isNotNull() & (pace == F.col("d") - F.col("d0") + 1), given)).drop("d0")
 
 
 def holdings(rows: DataFrame, config: Config) -> DataFrame:
-    """(d, instrument, w, r) of all days: a name falls out at its first day without a return."""
-    f = config.update_freq
-    have = rows.where("r is not null").withColumn("d0", F.col("d") - F.col("d") % f)
-    picks = chosen(rows, config).withColumnRenamed("d", "d0")
-    held = have.join(picks, ["d0", "instrument"])
-    pace = F.row_number().over(W.partitionBy("d0", "instrument").orderBy("d"))
-    return held.withColumn("pace", pace).where("pace = d - d0 + 1").select("datetime", "d", "instrument", "w", "r")
+    """(datetime, d, instrument, w, r) of all days."""
+    return carried(rows, config).where("w is not null").select("datetime", "d", "instrument", "w", "r")
 
 
 def daily(rows: DataFrame, config: Config) -> DataFrame:
-    """One row a day: gross, cost, net, benchmark, turnover, n_held."""
-    held = holdings(rows, config)
-    days = rows.groupBy("d", "datetime").agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("benchmark"))
-    moves = held.select("d", "instrument", "w").unionByName(held.select((F.col("d") + 1).alias("d"), "instrument", (-F.col("w")).alias("w")))
-    moves = moves.groupBy("d", "instrument").agg(F.sum("w").alias("dw")).groupBy("d")
-    moves = moves.agg(F.sum(F.greatest("dw", F.lit(0.0))).alias("buys"), F.sum(F.greatest(-F.col("dw"), F.lit(0.0))).alias("sells"))
-    gross = held.groupBy("d").agg(F.sum(F.col("w") * F.col("r")).alias("gross"), F.count_if(F.col("w") > 0).alias("n_held"))
-    out = days.join(gross, "d", "left").join(moves, "d", "left").na.fill(0, ["gross", "n_held", "buys", "sells"])
+    """One row a day: gross, cost, net, benchmark, turnover, n_held.
+
+    All figures come from one aggregate.  A name that is held on a day and not on
+    the next is sold on the next, where it may have no row: it adds one.
+    """
+    own = W.partitionBy("instrument").orderBy("d")
+    beside = {"before": F.max("w").over(own.rangeBetween(-1, -1)), "after": F.max("w").over(own.rangeBetween(1, 1))}
+    rows, zero = carried(rows, config).withColumns(beside), F.lit(0.0)
+    w = F.col("w")
+    change = w - F.coalesce("before", zero)
+    part = lambda d, datetime, r, gross, held, buys, sells: F.struct(d.alias("d"), datetime.alias("datetime"), r.alias("r"), gross.alias("gross"), held.alias("held"), buys.alias("buys"), sells.alias("sells"))
+    here = part(F.col("d"), F.col("datetime"), F.col("r"), w * F.col("r"), (w > 0).cast("long"), F.greatest(change, zero), F.greatest(-change, zero))
+    none = F.lit(None)
+    gone = part(F.col("d") + 1, none.cast("date"), none.cast("double"), none.cast("double"), none.cast("long"), none.cast("double"), w)
+    left = w.isNotNull() & F.col("after").isNull()
+    each = rows.select(F.explode(F.when(left, F.array(here, gone)).otherwise(F.array(here))).alias("e")).select("e.*")
+    sums = {"benchmark": F.avg("r"), "gross": F.sum("gross"), "buys": F.sum("buys"), "sells": F.sum("sells")}
+    out = each.groupBy("d").agg(F.max("datetime").alias("datetime"), F.coalesce(F.sum("held"), F.lit(0)).alias("n_held"), *[F.coalesce(c, zero).alias(n) for n, c in sums.items()])
+    out = out.where("datetime is not null")  # the day after the last
     cost = F.col("buys") * F.lit(float(config.open_cost)) + F.col("sells") * F.lit(float(config.close_cost))
     return out.select(
         "d", "datetime", "gross", cost.alias("cost"), (F.col("gross") - cost).alias("net"), "benchmark", ((F.col("buys") + F.col("sells")) / 2).alias("turnover"), "n_held"
@@ -145,7 +177,7 @@ def metrics(days: DataFrame, annualization: int = 252) -> DataFrame:
 
 def backtest(panel: DataFrame, expression: str, start: str, end: str, config: Config = Config()) -> DataFrame:
     """The daily table of one factor; raises if the window has no tradable row."""
-    rows = tradable(scored(bounded(panel, start, expression, config.checked()), expression, config), start, end)
-    if rows.isEmpty():
+    if in_window(panel, start, end).isEmpty():
         raise RuntimeError(f"no tradable rows in backtest window {start}..{end}")
+    rows = tradable(scored(bounded(panel, start, expression, config.checked()), expression, config), start, end)
     return with_nav(daily(rows, config))
