@@ -12,10 +12,14 @@ two sizes give are discarded.
 3.  The rest order their shared shingles by rising frequency.  Two that link
     share one of the first ``n - ceil(t n) + 1``; tying each such shingle's
     classes to the smallest gives clusters that no link leaves.
-4.  A cluster is multiplied within one task; one of more than ``block`` entries
-    is cut into blocks, and each pair of blocks is a task.  Rows are multiplied
-    until all rows that are left lie in one component: what a further row could
-    add is then known.  So a group of near copies needs few rows, not all pairs.
+4.  A cluster is multiplied within one task.  Rows are multiplied until all
+    rows that are left lie in one component: what a further row could add is
+    then known.  So a group of near copies needs few rows, not all pairs.
+5.  A cluster of more than ``block`` entries is cut into blocks.  Each is
+    multiplied alone; then one row of each component with those of the others;
+    then every row outside the cluster's largest component with all blocks.
+    Rows within it are known to be linked, so a large group of near copies costs
+    as much as its blocks, and only rows outside are dealt to all of them.
 
 Hash collisions: 64 bits for shingles and for classes.  The chance that any two
 of N distinct values collide is about N^2 / 3.7e19.
@@ -149,8 +153,11 @@ def _prefixes(batches, percent: int):
             yield batch(schema, [np.concatenate(h), np.concatenate(rep)])
 
 
-def _multiply(rep: np.ndarray, n: np.ndarray, rows: list[np.ndarray], percent: int) -> np.ndarray:
-    """The smallest rep of each row's component within the block."""
+def _multiply(rep: np.ndarray, n: np.ndarray, rows: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """The smallest rep of each row's component within the block.
+
+    Rows with equal ``known`` lie in one component already.
+    """
     m = len(rep)
     order = np.argsort(rep)
     rep, n, rows = rep[order], n[order], [rows[i] for i in order]
@@ -163,7 +170,10 @@ def _multiply(rep: np.ndarray, n: np.ndarray, rows: list[np.ndarray], percent: i
     weight = np.bincount(owner, df[feature], minlength=m) / n  # the most typical rows first
     queue = np.argsort(-weight, kind="stable")
     label, left, place = np.arange(m), np.ones(m, bool), 0
-    open_ = np.ones(m, np.int64)  # rows left, by label
+    if known is not None:
+        _, head, group = np.unique(known[order], return_index=True, return_inverse=True)
+        label = head[group]
+    open_ = np.bincount(label, minlength=m)  # rows left, by label
     while True:
         most = int(np.argmax(open_))
         if open_[most] == left.sum():
@@ -192,19 +202,65 @@ def _multiply(rep: np.ndarray, n: np.ndarray, rows: list[np.ndarray], percent: i
 def _blocks(key, table, percent: int):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     group = np.stack([table[c].to_numpy() for c in ("cluster", "i", "j")])
-    rep, n = table["rep"].to_numpy(), table["n"].to_numpy()
+    rep, n, known = (table[c].to_numpy() for c in ("rep", "n", "known"))
     rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["row"]]
-    order = np.lexsort(group)
+    order = np.lexsort((rep, *group))
     cut = np.flatnonzero(np.any(np.diff(group[:, order], axis=1) != 0, axis=0)) + 1
     u, v = [], []
     for part in np.split(order, cut):
+        part = part[np.append(True, rep[part[1:]] != rep[part[:-1]])] if len(part) else part  # a row can be dealt twice
         if len(part) > 1:
             u.append(rep[part])
-            v.append(_multiply(rep[part], n[part], [rows[i] for i in part], percent))
+            v.append(_multiply(rep[part], n[part], [rows[i] for i in part], percent, known[part]))
     u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
     return pa.Table.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], schema=schema)
 
 
+_ROW = ("rep", "n", "row", "known", "cluster")
+
+
+def _multiplied(parts: DataFrame, nb: int, percent: int) -> DataFrame:
+    """Links (u, v) within each (cluster, i, j) of ``parts``."""
+    parts = parts.select(*_ROW, "i", "j").withColumn("task", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(4 * nb)).cast("int"))
+    return parts.groupBy("task").applyInArrow(grouped(_blocks, percent=percent), "u long, v long")
+
+
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.drop("known").join(roots, rows.rep == roots.node, "left").withColumn("known", F.coalesce("root", "rep")).drop("node", "root")
+
+
+def _own(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` with their cluster's number of blocks (parts) and their own one."""
+    size = rows.groupBy("cluster").agg(F.ceil(F.sum(F.length("row") / 8) / block).cast("int").alias("parts"))
+    return rows.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+
+
+def _across(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` dealt so that any two of a cluster meet in some (i, j)."""
+    rows = _own(rows, block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+
+def _large(rows: DataFrame, nb: int, percent: int, block: int) -> DataFrame:
+    """Links within clusters of several blocks; ``rows`` are staged and have parts and own."""
+    first = components(_multiplied(rows.withColumns({"i": F.col("own"), "j": F.col("own")}), nb, percent))
+    one = _labelled(rows, first)
+    heads = _multiplied(_across(one.where("rep = known").select(*_ROW), block), nb, percent)
+    stars = first.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    second = components(stars.unionByName(heads))
+    labelled = stage(_labelled(rows, second), "labelled")
+    held = labelled.groupBy("cluster", "known").agg(F.sum(F.length("row")).alias("c"))
+    main = held.groupBy("cluster").agg(F.max_by("known", F.struct("c", "known")).alias("main"))
+    outer = labelled.join(main, "cluster").where("known != main").drop("main", "own", "parts")
+    outer = _own(outer, block)
+    reach = outer.groupBy("cluster").agg(F.max("parts").alias("outer_parts"))
+    all_ = labelled.join(reach, "cluster").withColumns({"i": F.col("own"), "j": F.explode(F.sequence(F.lit(0), F.col("outer_parts") - 1))})
+    wide = outer.withColumnRenamed("own", "j").drop("parts").join(labelled.groupBy("cluster").agg(F.max("parts").alias("parts")), "cluster")
+    wide = wide.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    third = _multiplied(all_.select(*_ROW, "i", "j").unionByName(wide.select(*_ROW, "i", "j")), nb, percent)
+    return second.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(third)
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, block: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -225,14 +281,15 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, block: in
     heads = stage(rows.mapInArrow(partial(_prefixes, percent=percent), "h long, rep long"), "prefixes")
     hubs = heads.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     clusters = components(heads.join(hubs, "h").select(F.col("rep").alias("u"), F.col("hub").alias("v")))
-    clustered = rows.join(clusters, rows.rep == clusters.node, "left").select("rep", "n", "row", F.coalesce("root", "rep").alias("cluster"))
-    size = clustered.groupBy("cluster").agg(F.sum(F.length("row") / 8).alias("cells"), F.count("*").alias("c")).where("c > 1")
-    size = size.select("cluster", F.ceil(F.col("cells") / block).cast("int").alias("parts"))
+    cells = rows.select("rep", (F.length("row") / 8).alias("cells"))  # sizes alone, before the rows are dealt
+    size = cells.join(clusters, cells.rep == clusters.node, "left").groupBy(F.coalesce("root", "rep").alias("cluster"))
+    size = size.agg(F.ceil(F.sum("cells") / block).cast("int").alias("parts"), F.count("*").alias("c")).where("c > 1").drop("c")
+    size = stage(size, "sizes")
+    clustered = rows.join(clusters, rows.rep == clusters.node, "left").select("rep", "n", "row", F.col("rep").alias("known"), F.coalesce("root", "rep").alias("cluster"))
     parts = clustered.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    parts = parts.select("rep", "n", "row", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    parts = parts.withColumn("task", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(4 * nb)).cast("int"))
-    links = parts.groupBy("task").applyInArrow(grouped(_blocks, percent=percent), "u long, v long")
+    links = _multiplied(parts.where("parts = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}), nb, percent)
+    if not size.where("parts > 1").isEmpty():
+        links = links.unionByName(_large(stage(parts.where("parts > 1"), "clustered"), nb, percent, block))
     roots = components(links)
     unstage(heads)
     members = classes.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "rep")

@@ -64,10 +64,36 @@ def test_jaccard(docs, none):
                     root[i] = root[j] = min(root[i], root[j], key=key)
         if before == root:
             break
-    assert got == {i: (len(s), root[i]) for i, s in sets.items()}
+    want = {i: (len(s), root[i]) for i, s in sets.items()}
+    assert got == want
+    for block in (90, 2_000_000):  # blocks of one or two rows; no blocks
+        assert {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(docs, block=block).collect()} == want
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_jaccard_chain(spark):
+    """A cluster of several components and long chains, cut into many blocks, has the components that it has in one."""
+    made, base = [], text(40).split()
+    for i in range(60):
+        if i % 20 == 0:
+            base = base[:20] + text(20).split()  # shares half with the component before
+        w = list(base)
+        w[i % 40] = f"own{i}"
+        base = w if i % 3 == 0 else base
+        made.append((1000 - i, " ".join(w)))
+    docs, root = spark.createDataFrame(made, "doc_id long, text string"), {i: i for i, _ in made}
+    sets = {i: shingles(t) for i, t in made}
+    for _ in made:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert 1 < len(set(root.values())) < 60
+    for block in (40, 150, 10**6):
+        got = {r[0]: r[2] for r in jaccard_join.jaccard_components(docs, block=block).collect()}
+        assert got == root
+
+
 def test_suffix(docs, none, spark):
     extra = [(500, "ab" * 300), (500, "ab" * 300), (501, PASSAGE * 2)]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
