@@ -127,6 +127,25 @@ def test_passages(docs, none):
     assert len(cut[301].split()) <= 55 and passage_chains.fuzzy_passages(none).count() == 0
 
 
+def exact(d, r, n):
+    """Two texts without a word in common but for ``n``."""
+    return [f"d{d}w{i}" for i in range(n)], [f"d{r}w{i}" for i in range(n)]
+
+
+def test_passages_of_a_chain_that_fails(spark):
+    """Two exact passages with other words between them are both found, however far apart they are and on whichever side."""
+    made, want = [], {}
+    for n, (size, here, there) in enumerate([(60, 50, 50), (60, 100, 100), (60, 140, 140), (100, 160, 160), (60, 200, 0), (60, 0, 120), (60, 40, 40)]):
+        p, q = ([f"{c}{n}x{i}" for i in range(size)] for c in "pq")
+        a, b = exact(2 * n, 2 * n + 1, 400)
+        made += [(2 * n, " ".join([*a[:40], *p, *a[40 : 40 + there], *q, *a[300:]])), (2 * n + 1, " ".join([*b[:30], *p, *b[30 : 30 + here], *q, *b[300:]]))]
+        want[2 * n + 1] = {*range(30, 30 + size), *range(30 + size + here, 30 + 2 * size + here)}
+    rows = passage_chains.fuzzy_passages(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    for d, words in want.items():
+        assert words <= {w for r in rows if r.doc_id == d for w in range(r.start, r.end)}
+    assert all(4 * r.n_matched >= 3 * max(r.end - r.start, r.ref_end - r.ref_start) and r.n_matched >= 50 for r in rows)
+
+
 def test_fenwick_chain():
     assert passage_chains.chain([(0, 10, 0, 10), (12, 30, 12, 30), (5, 9, 40, 44)])[0] == [(0, 10, 0, 10), (12, 30, 12, 30)]
     assert passage_chains.chain([(0, 5, 0, 5)]) == []
