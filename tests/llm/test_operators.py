@@ -146,6 +146,28 @@ def test_passages_of_a_chain_that_fails(spark):
     assert all(4 * r.n_matched >= 3 * max(r.end - r.start, r.ref_end - r.ref_start) and r.n_matched >= 50 for r in rows)
 
 
+def substituted(words, percent, seed):
+    """Words of which the rest to ``percent`` are replaced at random places between the first and the last."""
+    r, w = random.Random(seed), list(words)
+    for n, i in enumerate(r.sample(range(1, len(w) - 1), len(w) - -(-len(w) * percent // 100))):
+        w[i] = f"s{seed}n{n}"
+    return w
+
+
+@pytest.mark.parametrize("size, percent, least", [(50, 95, 60), (60, 90, 60), (60, 80, 52), (80, 75, 54)])
+def test_passages_with_changed_words(spark, size, percent, least):
+    """60 passages with random substitutions, and one with a changed word near each end."""
+    made = []
+    for n in range(60):
+        p, (a, b) = [f"p{n}x{i}" for i in range(size)], exact(2 * n, 2 * n + 1, 60)
+        made += [(2 * n, " ".join([*a[:30], *p, *a[30:]])), (2 * n + 1, " ".join([*b[:30], *substituted(p, percent, n), *b[30:]]))]
+    p = [f"px{i}" for i in range(50)]
+    made += [(1000, " ".join(p)), (1001, " ".join([*p[:2], "new", *p[3:47], "other", *p[48:]]))]
+    rows = passage_chains.fuzzy_passages(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert len({r.doc_id for r in rows} - {1001}) >= least
+    assert [(r.start, r.end, r.n_matched) for r in rows if r.doc_id == 1001] == [(0, 50, 48)]
+
+
 def test_fenwick_chain():
     assert passage_chains.chain([(0, 10, 0, 10), (12, 30, 12, 30), (5, 9, 40, 44)])[0] == [(0, 10, 0, 10), (12, 30, 12, 30)]
     assert passage_chains.chain([(0, 5, 0, 5)]) == []
