@@ -168,6 +168,33 @@ def test_passages_with_changed_words(spark, size, percent, least):
     assert [(r.start, r.end, r.n_matched) for r in rows if r.doc_id == 1001] == [(0, 50, 48)]
 
 
+@pytest.mark.parametrize("copies", [1, 12])
+@pytest.mark.parametrize("size", [50, 60])
+def test_passages_whose_seeds_scatter(spark, copies, size):
+    """Halves of a passage in other documents, rare or common, or earlier in the same one, do not hide it."""
+    made, n = [], 0
+
+    def add(*parts):
+        nonlocal n
+        made.append((n, " ".join(w for i, p in enumerate(parts) for w in (*p, *(f"d{n}f{i}x{j}" for j in range(8))))))
+        n += 1
+        return n - 1
+
+    want = {}
+    for c in range(5):
+        p = [f"p{c}x{i}" for i in range(size)]
+        halves, cut = (p[: size // 2], p[size // 2 :]), size - 1 if copies > 1 else size // 2
+        for _ in range(copies):
+            add(halves[0]), add(halves[1]), add(p[: min(cut, 49)])
+        add(halves[1], halves[0], p)
+        for _ in range(copies):
+            add(halves[0]), add(halves[1]), add(p[: min(cut, 49)])
+        want[add(p)] = size
+    rows = passage_chains.fuzzy_passages(spark.createDataFrame(made, "doc_id long, text string").repartition(4)).collect()
+    for d, size in want.items():
+        assert any(r.doc_id == d and r.n_matched == size and r.start == 0 for r in rows), d
+
+
 def test_fenwick_chain():
     assert passage_chains.chain([(0, 10, 0, 10), (12, 30, 12, 30), (5, 9, 40, 44)])[0] == [(0, 10, 0, 10), (12, 30, 12, 30)]
     assert passage_chains.chain([(0, 5, 0, 5)]) == []
