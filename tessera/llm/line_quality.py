@@ -6,6 +6,7 @@ Words are runs outside ``\\x20 \\x09-\\x0D``; lines are parts between ``\\n``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,7 +58,7 @@ def line_fails(line: str, rules: LineRules) -> str:
         capitals = sum(len(w) > 1 and w.isupper() for w in words)
         if max(shouts, capitals) > rules.most_shouts * n:
             return "shouting"
-    if n >= 10 and max(map(words.count, set(words[:20]))) > rules.most_same * n:
+    if n >= 10 and max(Counter(words).values()) > rules.most_same * n:
         return "sameness"
     if rules.check_end and n >= rules.short and not line.rstrip().endswith(_ENDS):
         return "punctuation"

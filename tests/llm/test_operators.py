@@ -248,6 +248,17 @@ def test_sections_add_up(docs, none):
     assert token_counts.section_tokens(none).count() == 0
 
 
+def test_sameness_counts_the_whole_line(spark):
+    """The commonest word is looked for in all of a line, not at its beginning."""
+    own = [f"own{i}" for i in range(130)]
+    late = [*own[:20], *(w for i in range(110) for w in ("buy", own[20 + i])), *["buy"] * 60]
+    line, early = " ".join(late) + ".", " ".join(late[::-1]) + "."
+    assert [line_quality.line_fails(x, line_quality.LineRules()) for x in (line, early)] == ["sameness", "sameness"]
+    fine = f"{' '.join(own)}."
+    rows = line_quality.clean_lines(spark.createDataFrame([(1, f"{line}\n{fine}")], "doc_id long, text string")).collect()
+    assert [(r.n_failed_lines, r.n_lost_words, r.clean_text) for r in rows] == [(1, 300, fine)]
+
+
 def test_clean_lines(docs, none):
     got = {r.doc_id: r for r in line_quality.clean_lines(docs).collect()}
     for i, t in DOCS:
