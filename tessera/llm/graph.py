@@ -12,22 +12,21 @@ def _mark(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node that ``node`` reaches.
 
     ``links`` has long columns u and v.  Nodes whose root is themselves have no
     row.  Alternates two steps until nothing changes, each a group and a join:
     a node's larger neighbours are tied to its smallest, then its smaller ones.
-    Every round is staged, so the lineage stays short and only a count and a
-    checksum reach the driver.  No links give an empty table.
+    Every round ties nodes to smaller ones or changes nothing, so it ends.  Each
+    is staged, so the lineage stays short and only a count and a checksum reach
+    the driver.  No links give an empty table.
     """
     edges = stage(
         links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     seen = _mark(edges)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()

@@ -21,8 +21,8 @@ two sizes give are discarded.
     Rows within it are known to be linked, so a large group of near copies costs
     as much as its blocks, and only rows outside are dealt to all of them.
 
-Hash collisions: 64 bits for shingles and for classes.  The chance that any two
-of N distinct values collide is about N^2 / 3.7e19.
+Hash collisions: 64 bits for shingles and for classes, whatever the words look
+like.  The chance that any two of N distinct values collide is about N^2 / 3.7e19.
 """
 
 from __future__ import annotations
@@ -40,12 +40,12 @@ from .shared import batch, buckets, grouped, ids_of, joined, keyed, split_rows,
 
 _DEALT = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("sigs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 _SHARED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("shared", pa.binary())])
-_CLASSES = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("row", pa.binary())])
-_DOC = np.dtype([("doc", "<i8"), ("n", "<i8"), ("sig", "<u8")])
+_CLASSES = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("least", pa.int64()), ("row", pa.binary())])
+_DOC = np.dtype([("doc", "<i8"), ("key", "<i8"), ("n", "<i8"), ("sig", "<u8")])
 _CELL = np.dtype([("sig", "<u8"), ("h", "<u8"), ("df", "<u4")])
 _DEALT_SQL = "bucket int, docs binary, sigs binary, counts binary, hashes binary"
 _SHARED_SQL = "bucket int, docs binary, shared binary"
-_CLASSES_SQL = "kind int, doc_id long, n long, rep long, row binary"
+_CLASSES_SQL = "kind int, doc_id long, key long, n long, rep long, least long, row binary"
 
 
 def _deal(batches, nb: int, k: int):
@@ -62,7 +62,7 @@ def _deal(batches, nb: int, k: int):
             hashes.append(h)
         sig = K.mix(sig + n.astype(np.uint64))
         docs = np.zeros(len(ids), _DOC)
-        docs["doc"], docs["n"], docs["sig"] = ids, n, sig
+        docs["doc"], docs["key"], docs["n"], docs["sig"] = ids, ids_of(b.column(2)), n, sig
         for key, (part,) in split_rows((sig % np.uint64(nb)).astype(np.int64), nb, docs):
             yield batch(_DEALT, [[key], [part], [None], [None], [None]])
         if not rows:
@@ -124,10 +124,11 @@ def _classes(key, table, percent: int):
     if len(docs):
         head = np.flatnonzero(np.concatenate([[True], docs["sig"][1:] != docs["sig"][:-1]]))
         size = np.diff(np.append(head, len(docs)))
-        rep = np.repeat(docs["doc"][head], size)
-        rep = np.where(docs["n"] > 0, rep, docs["doc"])  # an empty set links with nothing
+        empty = docs["n"] == 0  # such a set links with nothing, each row is alone
+        rep = pa.array(docs["sig"].view(np.int64), mask=empty)
+        least = np.where(empty, docs["doc"], np.repeat(docs["doc"][head], size))
         none = pa.nulls(len(docs), pa.binary())
-        out.append(batch(_CLASSES, [np.zeros(len(docs), np.int32), docs["doc"], docs["n"], rep, none]))
+        out.append(batch(_CLASSES, [np.zeros(len(docs), np.int32), docs["doc"], docs["key"], docs["n"], rep, least, none]))
         cells = joined(table["shared"], _CELL)
         at = np.searchsorted(docs["sig"][head], cells["sig"])
         cells = cells[np.lexsort((cells["h"], cells["df"], at))]
@@ -136,7 +137,8 @@ def _classes(key, table, percent: int):
         begin, n = np.cumsum(count) - count, docs["n"][head]
         good = np.flatnonzero((count >= _need(n, percent)) & (n > 0) & (count > 0))
         blobs = [cells["h"][begin[i] : begin[i] + count[i]].tobytes() for i in good]
-        out.append(batch(_CLASSES, [np.ones(len(good), np.int32), pa.nulls(len(good), pa.int64()), n[good], docs["doc"][head][good], blobs]))
+        no = pa.nulls(len(good), pa.int64())
+        out.append(batch(_CLASSES, [np.ones(len(good), np.int32), no, no, n[good], docs["sig"][head][good].view(np.int64), docs["doc"][head][good], blobs]))
     return pa.Table.from_batches(out, schema=_CLASSES)
 
 
@@ -241,16 +243,17 @@ def _across(rows: DataFrame, block: int) -> DataFrame:
     return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
 
-def _large(rows: DataFrame, nb: int, percent: int, block: int) -> DataFrame:
-    """Links within clusters of several blocks; ``rows`` are staged and have parts and own."""
+def _large(rows: DataFrame, nb: int, percent: int, block: int, held: list) -> DataFrame:
+    """Links within clusters of several blocks; ``rows`` are staged and have parts and own; stages are added to ``held``."""
     first = components(_multiplied(rows.withColumns({"i": F.col("own"), "j": F.col("own")}), nb, percent))
     one = _labelled(rows, first)
     heads = _multiplied(_across(one.where("rep = known").select(*_ROW), block), nb, percent)
     stars = first.select(F.col("node").alias("u"), F.col("root").alias("v"))
     second = components(stars.unionByName(heads))
     labelled = stage(_labelled(rows, second), "labelled")
-    held = labelled.groupBy("cluster", "known").agg(F.sum(F.length("row")).alias("c"))
-    main = held.groupBy("cluster").agg(F.max_by("known", F.struct("c", "known")).alias("main"))
+    held.append(labelled)
+    each = labelled.groupBy("cluster", "known").agg(F.sum(F.length("row")).alias("c"))
+    main = each.groupBy("cluster").agg(F.max_by("known", F.struct("c", "known")).alias("main"))
     outer = labelled.join(main, "cluster").where("known != main").drop("main", "own", "parts")
     outer = _own(outer, block)
     reach = outer.groupBy("cluster").agg(F.max("parts").alias("outer_parts"))
@@ -261,26 +264,25 @@ def _large(rows: DataFrame, nb: int, percent: int, block: int) -> DataFrame:
     return second.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(third)
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, block: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+def jaccard_groups(docs: DataFrame, percent: int = 75, k: int = 5, block: int = 2_000_000) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, component) for every row of ``docs``.
 
-    A document's set is its distinct shingles of ``k`` words, A-Z lower-cased;
-    with 1 to k-1 words the whole sequence is one shingle; null, empty and blank
-    texts have none and link with nothing.  Two documents link when
-    ``100 * intersection >= percent * union``; component_id is the smallest
-    doc_id that links reach.  Rows with equal doc_id each have a row; a null
-    doc_id is an id of its own, below all others, and stays null.  Other
-    columns are not read.  An empty table gives an empty result.
+    As :func:`jaccard_components`, with ``key``, the xxhash64 of the text, and
+    ``component``, a number that the rows of a component share and no others
+    (null for an empty set).  Rows that share a doc_id are in different
+    components unless links join them.
     """
     spark = docs.sparkSession
     nb = buckets(spark)
-    dealt = keyed(docs, "text").mapInArrow(partial(_deal, nb=nb, k=k), _DEALT_SQL)
+    texts = keyed(docs, "text").withColumn("key", F.xxhash64("text"))
+    dealt = texts.mapInArrow(partial(_deal, nb=nb, k=k), _DEALT_SQL)
     shared = dealt.groupBy("bucket").applyInArrow(grouped(_share, nb=nb), _SHARED_SQL)
     classes = stage(shared.groupBy("bucket").applyInArrow(grouped(_classes, percent=percent), _CLASSES_SQL), "classes")
     rows = classes.where("kind = 1").select("rep", "n", "row")
     heads = stage(rows.mapInArrow(partial(_prefixes, percent=percent), "h long, rep long"), "prefixes")
     hubs = heads.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     clusters = components(heads.join(hubs, "h").select(F.col("rep").alias("u"), F.col("hub").alias("v")))
+    unstage(heads)
     cells = rows.select("rep", (F.length("row") / 8).alias("cells"))  # sizes alone, before the rows are dealt
     size = cells.join(clusters, cells.rep == clusters.node, "left").groupBy(F.coalesce("root", "rep").alias("cluster"))
     size = size.agg(F.ceil(F.sum("cells") / block).cast("int").alias("parts"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -288,12 +290,31 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, block: in
     clustered = rows.join(clusters, rows.rep == clusters.node, "left").select("rep", "n", "row", F.col("rep").alias("known"), F.coalesce("root", "rep").alias("cluster"))
     parts = clustered.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     links = _multiplied(parts.where("parts = 1").withColumns({"i": F.lit(0), "j": F.lit(0)}), nb, percent)
+    held = []
     if not size.where("parts > 1").isEmpty():
-        links = links.unionByName(_large(stage(parts.where("parts > 1"), "clustered"), nb, percent, block))
+        held = [stage(parts.where("parts > 1"), "clustered")]
+        links = links.unionByName(_large(held[0], nb, percent, block, held))
     roots = components(links)
-    unstage(heads)
-    members = classes.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "rep")
-    found = members.join(roots, members.rep == roots.node, "left")
-    return found.select(unkeyed(), "n_shingles", F.coalesce("root", "rep").alias("component_id")).select(
-        "doc_id", "n_shingles", unkeyed("component_id")
-    )
+    unstage(size, *held)
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = linked.join(classes.where("kind = 1").select("rep", F.col("least").alias("smallest")), linked.node == F.col("rep")).select("node", "root", "smallest")
+    smallest = linked.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    known = linked.select("node", "root").join(smallest, "root")
+    members = classes.where("kind = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), "rep", "least")
+    found = members.join(known, members.rep == known.node, "left")
+    found = found.select(unkeyed(), "key", "n_shingles", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "rep").alias("component"))
+    return found.select("doc_id", "key", "n_shingles", unkeyed("component_id"), "component")
+
+
+def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, block: int = 2_000_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+
+    A document's set is its distinct shingles of ``k`` words, A-Z lower-cased;
+    with 1 to k-1 words the whole sequence is one shingle; null, empty and blank
+    texts have none and link with nothing.  Two documents link when
+    ``100 * intersection >= percent * union``; component_id is the smallest
+    doc_id that links reach.  Rows are documents: rows with equal doc_id each
+    have a row and their own links; a null doc_id is below all others and stays
+    null.  Other columns are not read.  An empty table gives an empty result.
+    """
+    return jaccard_groups(docs, percent, k, block).select("doc_id", "n_shingles", "component_id")

@@ -6,6 +6,8 @@ bytes inside a character, so byte runs and character runs are the same.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,6 +19,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 #: Odd multipliers of the places of a window of words, by rule.
 _PLACES = np.array([(0xD6E8FEB86659FD93 * (2 * i + 1) ** 3) & (2**64 - 1) | 1 for i in range(64)], dtype=np.uint64)
+_STEP = np.uint64(0xBF58476D1CE4E5B9)
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_HELD = np.array([2 ** (8 * i) - 1 for i in range(9)], dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -86,11 +91,42 @@ def words(raw: np.ndarray, starts: np.ndarray, inks: np.ndarray = ~SPACE) -> tup
 
 
 def spans_hash(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, by their content alone."""
-    n = len(raw) + 1
-    total = np.zeros(n, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_BASE, "up", n)[:-1], out=total[1:])
-    return mix((total[last] - total[first]) * _power(_INVERSE, "down", n)[first])
+    """64-bit hashes of byte spans, by their content alone.
+
+    Eight bytes at a time go through ``mix``, so no algebra of the bytes makes
+    two spans alike; spans of more than 512 bytes are hashed by BLAKE2.
+    """
+    size = last - first
+    out = mix(size.astype(np.uint64) + _BASE)
+    if not len(out):
+        return out
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eights = np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))
+    out = mix(out ^ (eights[first] & _HELD[np.minimum(size, 8)]))
+    at = np.flatnonzero((size > 8) & (size <= 512))
+    done = 8
+    while len(at):
+        out[at] = mix(out[at] * _STEP ^ (eights[first[at] + done] & _HELD[np.minimum(size[at] - done, 8)]))
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > 512).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[first[i] : last[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def rolling(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and powers that :func:`rolled` takes; ``h`` are numbers that are mixed already."""
+    n = len(h) + 1
+    total = np.zeros(n, np.uint64)
+    np.cumsum(h * _power(_BASE, "up", n)[:-1], out=total[1:])
+    return total, _power(_INVERSE, "down", n)
+
+
+def rolled(sums: tuple[np.ndarray, np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of the ranges lo .. hi - 1, by their entries alone."""
+    total, down = sums
+    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
 
 
 def windows_hash(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size``, the words of the text (null: 0)."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
+def words(text):
+    """The words of a text, null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -46,26 +48,33 @@ def drawn(doc_id, seed: int):
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def mixed(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+NAMES = ("size", "source_size", "target", "copies")
+
+
+def mixed(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, names: tuple[str, ...] = NAMES) -> DataFrame:
     """``docs`` with size, source_size, target and copies, one row a document.
 
     A source's rate is target / source_size; a document is emitted floor(rate)
     times and once more if the draw of its id lies below the fraction.  Equal
     rows draw alike.  A null text has size 0; null sources are one source, last;
     a null doc_id draws as the word null.  Columns of the input that have one of
-    these names are replaced.  A source of size 0 has target 0 and no copies.
-    Partial sums by source leave the map side, so a hot source costs nothing.
+    these names are replaced; ``names`` gives the results others.  A source of
+    size 0 has target 0 and no copies.  Partial sums by source leave the map
+    side, so a hot source costs nothing.
     """
-    rows = sized(docs.drop("source_size", "target", "copies"))
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sources, weights, share, most).withColumnRenamed("source", "_source")
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    size, source_size, target, copies = names
+    rows = docs.drop(*names).withColumn(size, words(F.col("text")))
+    (key,) = fresh(rows, "source_key")
+    sources = rows.groupBy("source").agg(F.sum(size).alias("source_size"))
+    plan = targets(sources, weights, share, most).select(F.col("source").alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    rate = F.coalesce(F.try_divide(F.col(target), F.col(source_size)), F.lit(0.0))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col(key)), "left").drop(key)
     extra = (drawn(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return rows.withColumn("copies", F.floor(rate).cast("long") + extra)
+    return rows.withColumn(copies, F.floor(rate).cast("long") + extra)
 
 
 def emitted(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document ``copies`` times, with the columns of ``docs``."""
-    rows = mixed(docs, **options).where("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix itself: each document ``copies`` times, with the columns of ``docs`` as they are."""
+    *names, each = fresh(docs, *NAMES, "copy")
+    rows = mixed(docs, names=tuple(names), **options).where(F.col(names[-1]) > 0)
+    return rows.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), F.col(names[-1])))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -148,8 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, dims: int = 1
     grade = F.when(F.coalesce("toxic", F.lit(0)) > 0, 0).when(F.col("quality") > 0, 2).when(F.col("quality") == 0, 1)
     rated = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(grade).alias("grade")).where("grade is not null")
     few = rated.withColumn("_at", F.xxhash64("doc_id")).orderBy("_at", "doc_id").limit(sample).select("doc_id", "grade")
-    rows = keyed(docs, "text").join(few, "doc_id").select("grade", "text").mapInArrow(lambda it: _collected(it, dims), "grade int, places binary, shares binary")
-    rows = sorted(tuple(r) for r in rows.collect())  # bounded by ``sample``
+    one = F.min_by("text", F.xxhash64("text"))  # rows of one doc_id count once, so ``sample`` rows stay
+    rows = keyed(docs, "text").join(few, "doc_id").groupBy("doc_id").agg(F.first("grade").alias("grade"), one.alias("text"))
+    rows = rows.select("grade", "text").mapInArrow(lambda it: _collected(it, dims), "grade int, places binary, shares binary")
+    rows = sorted(tuple(r) for r in rows.collect())  # ``sample`` rows, each of ``dims`` places at most
     grades = np.array([r[0] for r in rows], np.int64)
     shares = np.array([np.frombuffer(r[2]) for r in rows]).reshape(-1, N_SHARES)
     return fit(grades, [np.frombuffer(r[1], np.int32) for r in rows], shares, dims)

@@ -20,14 +20,31 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where none is set."""
+    """The cluster's checkpoint folder.
+
+    Only a local session, whose tasks all run on this machine, gets a private
+    one where none is set; elsewhere executors could not read it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="stages-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, changed where ``docs`` has such a column (in any case)."""
+    have, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
@@ -38,6 +55,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def count_distinct_keys(rows: DataFrame, key: str) -> bool:
+    """Whether no two rows have one key."""
+    return rows.groupBy(key).count().where("count > 1").isEmpty()
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete stages that no later plan reads."""
     for df in tables:

@@ -72,7 +72,7 @@ def fingerprints(raw: np.ndarray, starts: np.ndarray, length: int):
     p = np.flatnonzero((most == h) & (h > 0))
     row = np.searchsorted(starts, p, side="right") - 1
     lo, hi = np.maximum(starts[row], p - (w - 1)), np.minimum(starts[row + 1], p + length)
-    ctx = K.mix((total[hi] - total[lo]) * down[lo]) + (p - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    ctx = K.spans_hash(raw, lo, hi) + (p - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return row, p - starts[row], p - lo, hi - p, h[p], K.mix(ctx)
 
 
