@@ -11,12 +11,13 @@ calendar, not w rows, and is NULL unless all are there.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The fields and the functions (arguments) of the language.
 FIELDS = ("open", "high", "low", "close", "volume", "amount", "return", "industry", "net_mf_amount")
@@ -35,7 +36,6 @@ class ExpressionError(ValueError):
 @dataclass(frozen=True)
 class Number:
     value: float
-    whole: bool = False
 
 
 @dataclass(frozen=True)
@@ -62,19 +62,69 @@ class Call:
     args: tuple
 
 
-_PIECE = re.compile(r"\s*(?:(?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|\$(?P<field>[A-Za-z_]\w*)|(?P<name>[A-Za-z_]\w*)|(?P<mark>[-+*/(),]))", re.A)
+_MARKS = frozenset("+-*/(),")
+
+
+class _Scanner:
+    """Cuts a text to (kind, text) pieces: number, field, name or mark."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def run(self, good) -> str:
+        """The longest run from here of characters that are ``good``."""
+        begin = self.at
+        while self.at < len(self.text) and good(self.text[self.at]):
+            self.at += 1
+        return self.text[begin : self.at]
+
+    def word(self) -> str:
+        """A name, or nothing if none begins here."""
+        here = self.text[self.at : self.at + 1]
+        return self.run(lambda c: c.isascii() and (c.isalnum() or c == "_")) if here.isascii() and (here.isalpha() or here == "_") else ""
+
+    def number(self) -> str:
+        """Digits with at most one point and an exponent; nothing if no digit comes."""
+        begin, digit = self.at, lambda c: c in "0123456789"
+        whole = self.run(digit)
+        if self.text[self.at : self.at + 1] == ".":
+            self.at += 1
+            whole += self.run(digit)
+        if not whole:
+            self.at = begin
+            return ""
+        end = self.at
+        if self.run(lambda c: c in "eE") in ("e", "E"):
+            if self.text[self.at : self.at + 1] in ("+", "-"):
+                self.at += 1
+            if self.run(digit):
+                end = self.at
+        self.at = end
+        return self.text[begin:end]
+
+    def pieces(self) -> list[tuple[str, str]]:
+        out = []
+        while self.at < len(self.text):
+            self.run(str.isspace)
+            begin, mark = self.at, self.text[self.at : self.at + 1]
+            if mark in _MARKS and mark:
+                self.at += 1
+                out.append(("mark", mark))
+            elif mark == "$":
+                self.at += 1
+                out.append(("field", self.word()))
+            elif found := self.number():
+                out.append(("number", found))
+            else:
+                out.append(("name", self.word()))
+            if not out[-1][1]:
+                raise ExpressionError(f"unexpected text at {begin}: {self.text[begin : begin + 12]!r}")
+        return out
 
 
 class _Reader:
     def __init__(self, text: str):
-        self.pieces, at = [], 0
-        while at < len(text):
-            found = _PIECE.match(text, at)
-            if not found:
-                raise ExpressionError(f"unexpected text at {at}: {text[at : at + 12]!r}")
-            self.pieces.append((found.lastgroup, found[found.lastgroup]))
-            at = found.end()
-        self.at = 0
+        self.pieces, self.at = _Scanner(text).pieces(), 0
 
     def next(self, *marks: str) -> str | None:
         if self.at < len(self.pieces) and self.pieces[self.at][0] == "mark" and self.pieces[self.at][1] in marks:
@@ -112,7 +162,7 @@ class _Reader:
         kind, text = self.pieces[self.at]
         self.at += 1
         if kind == "number":
-            return Number(float(text), text.isdigit())
+            return Number(float(text))
         if kind == "field":
             if text not in FIELDS:
                 raise ExpressionError(f"unknown field ${text}")
@@ -140,6 +190,11 @@ def parse(text: str):
     tree = reader.sum()
     if reader.at != len(reader.pieces):
         raise ExpressionError(f"unexpected {reader.pieces[reader.at][1]!r}")
+    return tree
+
+
+def evaluable(tree):
+    """The tree, if its windows are in bounds and no constant in it is without a value."""
     for node in walk(tree):
         if isinstance(node, Call) and node.name in TRAILING:
             window(node)
@@ -160,7 +215,7 @@ def walk(node):
 def window(node: Call) -> int:
     """The literal window of a trailing function."""
     w = node.args[1]
-    if not (isinstance(w, Number) and w.whole and 1 <= w.value <= MAX_WINDOW):
+    if not (isinstance(w, Number) and w.value.is_integer() and 1 <= w.value <= MAX_WINDOW):
         raise ExpressionError(f"the window of {node.name} is a whole number from 1 to {MAX_WINDOW}")
     return int(w.value)
 
@@ -193,20 +248,41 @@ def fields(tree) -> set[str]:
 
 
 def lookback(tree) -> int:
-    """Bars before a date that the value there depends on."""
-    here = max((lookback(p) for p in parts(tree)), default=0)
-    if isinstance(tree, Call) and tree.name in TRAILING:
-        here += window(tree) - (1 if tree.name in ("TS_MEAN", "TS_STD", "TS_MIN", "TS_MAX", "TS_SUM") else 0)
-    return here
+    """The windows that lie within each other, summed along the longest path."""
+    inner = max((lookback(p) for p in parts(tree)), default=0)
+    return inner + (window(tree) if isinstance(tree, Call) and tree.name in TRAILING else 0)
 
 
-def validate(text: str) -> dict:
-    """{ok, fields, max_lookback} or {ok, error}."""
+def reach(tree) -> int:
+    """Bars before a date that the value there depends on: a window of w bars reaches w - 1 back."""
+    inner = max((reach(p) for p in parts(tree)), default=0)
+    if not (isinstance(tree, Call) and tree.name in TRAILING):
+        return inner
+    return inner + window(tree) - (0 if tree.name in ("TS_PCTCHANGE", "DELAY", "DELTA") else 1)
+
+
+def validate(text: str | None) -> dict:
+    """{ok, fields, max_lookback} or {ok, error}.
+
+    Says whether the text is of the language; a constant without a value, such
+    as ``1 / 0``, is only refused when it is computed.
+    """
     try:
-        tree = parse(text)
+        tree = parse(text or "")
+        return {"ok": True, "fields": sorted(fields(tree)), "max_lookback": lookback(tree)}
     except ExpressionError as e:
         return {"ok": False, "error": str(e)}
-    return {"ok": True, "fields": sorted(fields(tree)), "max_lookback": lookback(tree)}
+
+
+_VERDICT = T.StructType().add("ok", "boolean").add("fields", T.ArrayType(T.StringType())).add("max_lookback", "integer").add("error", "string")
+
+
+@F.pandas_udf(_VERDICT)
+def validated(texts: pd.Series) -> pd.DataFrame:
+    """:func:`validate` of a column of expressions; each distinct text is parsed once a batch."""
+    known = {t: validate(t) for t in texts.unique()}
+    columns = ("ok", "fields", "max_lookback", "error")
+    return pd.DataFrame([[known[t].get(c) for c in columns] for t in texts], columns=columns).astype({"max_lookback": "Int32"})
 
 
 def neutralized(tree):
@@ -263,7 +339,7 @@ def with_signals(panel: DataFrame, signals: dict[str, str | object]) -> DataFram
     fields; NaN and infinite inputs are taken as missing only where the
     language says so.  Equal subtrees of all expressions are computed once.
     """
-    trees = {n: parse(t) if isinstance(t, str) else t for n, t in signals.items()}
+    trees = {n: evaluable(parse(t) if isinstance(t, str) else t) for n, t in signals.items()}
     missing = set().union(*map(fields, trees.values())) - set(panel.columns) if trees else set()
     if missing:
         raise ExpressionError(f"the panel has no {sorted(missing)}")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,25 +17,50 @@ UNITS = {"十": 10, "百": 100, "千": 1000}
 _NUMERAL = re.compile(f"[{''.join(DIGITS)}{''.join(UNITS)}]+")
 
 
+_DIGITS, _UNITS = "".join(DIGITS), "".join(UNITS)
+_TERM = re.compile(f"([{_DIGITS}]?)([{_UNITS}])")
+
+
 def numbers(text: Column) -> Column:
-    """The distinct whole numbers of a text, by their runs of ASCII digits."""
-    found = F.regexp_extract_all(text, F.lit(r"([0-9]+)"), F.lit(1))
+    """The distinct whole numbers of a text, by their runs of digits (full-width ones too)."""
+    plain = F.translate(text, "０１２３４５６７８９", "0123456789")
+    found = F.regexp_extract_all(plain, F.lit(r"([0-9]+)"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda n: n.try_cast("bigint")))
 
 
+def numerals(text: Column) -> Column:
+    """The values of a text's Chinese numerals, without Python: see :func:`numeral`."""
+    ascii_digits = "".join(str(v) for v in DIGITS.values())
+    digit = lambda c: F.translate(c, _DIGITS, ascii_digits).try_cast("bigint")
+    exponent = lambda c: F.translate(c, _UNITS, "123").cast("int")  # noqa: E731  the units are powers of ten
+
+    def value(run: Column) -> Column:
+        terms = F.regexp_extract_all(run, F.lit(f"([{_DIGITS}]?[{_UNITS}])"), F.lit(1))
+        times = lambda t: F.greatest(F.coalesce(digit(F.substring(t, 1, 1)), F.lit(1)), F.lit(1))
+        each = F.transform(terms, lambda t: times(t) * F.pow(F.lit(10), exponent(F.right(t, F.lit(1)))).cast("bigint"))
+        rest = F.coalesce(digit(F.right(run, F.lit(1))), F.lit(0))
+        return F.when(F.size(terms) == 0, digit(run)).otherwise(F.aggregate(each, rest, lambda a, x: a + x))
+
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"([{_DIGITS}{_UNITS}]+)"), F.lit(1)), value))
+
+
+def numbers_meant(text: Column) -> Column:
+    """The numbers of a text, written in digits or in Chinese numerals."""
+    return F.array_union(numbers(text), numerals(text))
+
+
 def numeral(text: str) -> int | None:
-    """A Chinese numeral's value: digits alone are read in place, units multiply."""
+    """A Chinese numeral's value: digits alone are read in place.
+
+    With units, each unit counts as often as the digit right before it says
+    (once if there is none, or a zero), and a last digit is added.
+    """
     if not text or any(c not in DIGITS and c not in UNITS for c in text):
         return None
-    if not any(c in UNITS for c in text):
-        return int("".join(str(DIGITS[c]) for c in text))
-    sums, digit = 0, 0
-    for c in text:
-        if c in UNITS:
-            sums, digit = sums + max(digit, 1) * UNITS[c], 0
-        else:
-            digit = DIGITS[c]
-    return sums + digit
+    terms = _TERM.findall(text)
+    if not terms:
+        return int(text.translate({ord(c): str(v) for c, v in DIGITS.items()}))
+    return sum(max(1, DIGITS.get(digit, 1)) * UNITS[unit] for digit, unit in terms) + DIGITS.get(text[-1], 0)
 
 
 @F.pandas_udf(T.StringType())
@@ -64,8 +91,13 @@ def search(rows: DataFrame, query: str, text: str, order: list[str], limit: int
     return rows.where(hit).orderBy(*order).limit(min(20, max(1, limit)))
 
 
+def blank(text: Column) -> Column:
+    """Whether there is nothing but white space."""
+    return text.rlike(r"(?U)^\s*$")
+
+
 def normal_expression(expr: Column) -> Column:
-    return F.lower(F.regexp_replace(expr, r"\s+", ""))
+    return F.lower(F.regexp_replace(expr, r"(?U)\s+", ""))
 
 
 def content_hash(text: Column) -> Column:
@@ -77,27 +109,97 @@ def document_id(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-SPEC = "name string, universe string, frequency string, neutralization string, rebalance string, expr string, windows array<string>"
+_SPAN = "struct<chunk_id: string, quote: string, page_start: string, page_end: string, char_start: string, char_end: string>"
+SPEC = f"name string, universe string, frequency string, neutralization string, rebalance string, expr string, windows array<string>, evidence array<{_SPAN}>"
 _TERMS = ("daily", "weekly", "monthly")
 
 
-def parse_spec(answer: Column) -> Column:
-    """The record in an answer: a fenced JSON object, else first ``{`` to last ``}``; NULL if it is none.
+def whole(value: Column) -> Column:
+    """A number or a text of a number as an int if it has no fraction, else NULL."""
+    number = value.try_cast("double")
+    return F.when(number == F.floor(number), number.try_cast("int"))
+
 
-    Windows may be numbers or texts of numbers; unknown keys are ignored.
+def read_spec(body: Column) -> Column:
+    """The record of a JSON text; NULL if it is none.
+
+    Windows and places may be numbers or texts of numbers; unknown keys are
+    ignored; lists that are not there are empty; a quotation has to name its
+    chunk.
     """
-    fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    braced = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)
-    read = F.from_json(F.when(fenced != "", fenced).otherwise(braced), SPEC)
-    windows = F.transform(read["windows"], lambda w: w.try_cast("int"))
+    read = F.from_json(body, SPEC)
+    windows = F.coalesce(F.transform(read["windows"], whole), F.array().cast("array<int>"))
+    places = ("page_start", "page_end", "char_start", "char_end")
+    spans = F.coalesce(read["evidence"], F.array().cast(f"array<{_SPAN}>"))
+    evidence = F.transform(spans, lambda e: F.struct(e["chunk_id"].alias("chunk_id"), e["quote"].alias("quote"), *[whole(e[p]).alias(p) for p in places]))
     good = read["name"].isNotNull() & read["universe"].isNotNull() & read["expr"].isNotNull()
     good &= read["frequency"].isin(*_TERMS) & read["rebalance"].isin(*_TERMS)
     good &= read["neutralization"].isin("none", "industry", "size", "industry_size")
-    good &= ~F.coalesce(F.exists(windows, lambda w: w.isNull()), F.lit(False))
-    return F.when(good, read.withField("windows", F.coalesce(windows, F.array().cast("array<int>"))))
+    good &= F.forall(windows, lambda w: w.isNotNull())
+    fits = lambda e: reduce(and_, [e[p].isNull() | whole(e[p]).isNotNull() for p in places])
+    good &= F.forall(spans, lambda e: e["chunk_id"].isNotNull() & e["quote"].isNotNull() & fits(e))
+    return F.when(good, read.withField("windows", windows).withField("evidence", evidence))
+
+
+def parse_spec(answer: Column) -> Column:
+    """The record in an answer: a fenced JSON object, else first ``{`` to last ``}``; NULL if it is none."""
+    fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    braced = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)
+    return read_spec(F.when(fenced != "", fenced).otherwise(braced))
+
+
+def candidate(payload: Column, seed: Column) -> Column:
+    """The record that a tool call proposes, or NULL.
+
+    The payload is the record, or holds it as ``spec``; one with ``factor_expr``
+    is the seed with that expression and, if given, ``factor_name``.
+    """
+    inner = F.coalesce(F.get_json_object(payload, "$.spec"), payload)
+    expr, name = (F.get_json_object(inner, f"$.factor_{f}") for f in ("expr", "name"))
+    changed = seed.withField("name", F.coalesce(name, seed["name"])).withField("expr", expr)
+    return F.when(expr.isNotNull(), changed).otherwise(read_spec(inner))
 
 
 def tool_calls(answer: Column) -> Column:
-    """The bodies of ``<tool_call>{...}</tool_call>``; empty if one is not JSON."""
-    found = F.regexp_extract_all(answer, F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"), F.lit(1))
-    return F.when(F.exists(found, lambda c: F.try_parse_json(c).isNull()), F.array().cast("array<string>")).otherwise(found)
+    """(id, name, arguments) of each ``<tool_call>{...}</tool_call>``; empty if one is not JSON, see :func:`tool_call_error`."""
+    found = _called(answer)
+
+    def call(body: Column) -> Column:
+        inner = F.coalesce(F.get_json_object(body, "$.function"), body)
+        given = [F.get_json_object(inner, f"$.{k}") for k in ("arguments", "parameters")]
+        return F.struct(F.get_json_object(body, "$.id").alias("id"), F.get_json_object(inner, "$.name").alias("name"), F.coalesce(*given, F.lit("{}")).alias("arguments"))
+
+    return F.when(F.exists(found, lambda c: F.try_parse_json(c).isNull()), F.filter(F.transform(found, call), lambda c: F.lit(False))).otherwise(F.transform(found, call))
+
+
+def tool_call_error(answer: Column) -> Column:
+    """The first ``<tool_call>`` body that is not JSON, or NULL."""
+    return F.try_element_at(F.filter(_called(answer), lambda c: F.try_parse_json(c).isNull()), F.lit(1))
+
+
+def _called(answer: Column) -> Column:
+    return F.regexp_extract_all(answer, F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"), F.lit(1))
+
+
+def joined_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
+    """(doc, text): the pages of each document in turn, a blank line between them.
+
+    The pages of one document meet in one row, which is the text itself.
+    """
+    each = F.sort_array(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(text, F.lit("")).alias("t"))))
+    return pages.groupBy(doc).agg(F.array_join(F.transform(each, lambda e: e["t"]), "\n\n").alias(text))
+
+
+def dumps(value: Column, kind: T.DataType) -> Column:
+    """JSON with ``, `` and ``: `` between its parts, nulls explicit and text as it is."""
+    if isinstance(kind, T.StructType):
+        parts = [F.concat(F.lit(f'"{f.name}": '), dumps(value[f.name], f.dataType)) for f in kind]
+        out = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda v: dumps(v, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, T.StringType):
+        quoted = F.to_json(F.array(value))
+        out = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    else:
+        out = value.cast("string")
+    return F.when(value.isNull(), F.lit("null")).otherwise(out)

@@ -7,15 +7,22 @@ import pytest
 from tessera.functions import expression as E
 
 
-@pytest.mark.parametrize("text", ["", "RANK($close) ", "COUNT($close)", "__import__('os')", "TS_MEAN($close, 0)", "TS_MEAN($close, 505)", "TS_MEAN($close, $open)", "$nope", "1/(1-1)", "LOG(0-1)", "RANK($close", "$close $open", "x" * 4097])
+@pytest.mark.parametrize("text", ["", "RANK($close) ", "COUNT($close)", "__import__('os')", "TS_MEAN($close, 0)", "TS_MEAN($close, 505)", "TS_MEAN($close, $open)", "$nope", "$", "2..5", "RANK($close", "$close $open", "x" * 4097])
 def test_rejects(text):
     assert not E.validate(text)["ok"]
 
 
 def test_reads():
-    assert E.validate("ts_mean($close, 4)") == {"ok": True, "fields": ["close"], "max_lookback": 3}
+    assert E.validate("ts_mean($close, 4)") == {"ok": True, "fields": ["close"], "max_lookback": 4}
     assert E.parse("-$close*$open") == E.Binary("*", E.Sign("-", E.Field("close")), E.Field("open"))
-    assert E.lookback(E.parse("DELAY(TS_SUM($close, 4), 3)")) == 6
+    tree = E.parse("DELAY(TS_SUM($close, 4), 3)")
+    assert (E.lookback(tree), E.reach(tree)) == (7, 6)
+    assert E.validate("TS_MEAN($close, 4.0) + .5 * 1e1 - 2.")["max_lookback"] == 4
+    for text in ("1/(1-1)", "LOG(0-1)"):
+        assert E.validate(text) == {"ok": True, "fields": [], "max_lookback": 0}
+        with pytest.raises(E.ExpressionError):
+            E.evaluable(E.parse(text))
+    assert E.parse("1e+2") == E.Number(100.0) and not E.validate("1e")["ok"] and not E.validate("$close é")["ok"]
     assert E.neutralized(E.parse("RANK($close)")).name == "INDUSTRY_NEUTRALIZE"
 
 
