@@ -10,14 +10,27 @@ from pyspark.sql import functions as F
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, default=None) -> DataFrame:
     """``left`` with the last ``value`` of ``right`` at or before its time, by key.
 
-    One union and one window: rows of the right side come first at equal times,
-    and of repeated right keys the greatest value counts.
+    Of repeated right keys the greatest value counts.  Rows are dealt by key and
+    month, so a key with a long history is many tasks' work: the value that
+    holds when a month begins is carried into it as one more row, and a window
+    within the month does the rest.  What is carried is one row for each key and
+    month of the right side's span; later months need only the key's last value.
     """
-    r = right.groupBy(key, time).agg(F.max(value).alias("_v"))
-    r = r.select(F.col(key), F.col(time), "_v", F.lit(0).alias("_side"))
-    rows = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_side": F.lit(1)}).unionByName(r, allowMissingColumns=True)
-    run = W.partitionBy(key).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
-    out = rows.withColumn(value, F.last("_v", ignorenulls=True).over(run)).where("_side = 1").drop("_v", "_side")
+    kind = right.schema[time].dataType
+    month = lambda c: F.date_trunc("month", c).cast(kind)
+    r = right.groupBy(key, time).agg(F.max(value).alias("_v")).where(F.col("_v").isNotNull()).withColumn("_m", month(time))
+    last = r.groupBy(key, "_m").agg(F.max_by("_v", time).alias("_v"))
+    following = F.lead("_m").over(W.partitionBy(key).orderBy("_m"))
+    carried = last.withColumn("_next", following).where("_next is not null")
+    steps = F.explode(F.sequence(F.add_months("_m", 1).cast(kind), F.col("_next"), F.expr("interval 1 month")))
+    carried = carried.select(key, steps.alias("_m"), "_v").withColumns({time: F.col("_m"), "_side": F.lit(-1)})
+    final = last.groupBy(F.col(key).alias("_key")).agg(F.max("_m").alias("_end"), F.max_by("_v", "_m").alias("_final"))
+    rows = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_side": F.lit(1), "_m": month(time)})
+    rows = rows.unionByName(r.withColumn("_side", F.lit(0)), allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    run = W.partitionBy(key, "_m").orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
+    out = rows.withColumn(value, F.last("_v", ignorenulls=True).over(run)).where("_side = 1")
+    out = out.join(final, F.col(key) == F.col("_key"), "left").withColumn(value, F.when(F.col("_m") > F.col("_end"), F.col("_final")).otherwise(F.col(value)))
+    out = out.drop("_v", "_side", "_m", "_key", "_end", "_final")
     return out if default is None else out.withColumn(value, F.coalesce(value, F.lit(default)))
 
 
@@ -25,14 +38,16 @@ def membership_ranges(snapshots: DataFrame, calendar: DataFrame, group: str = "u
     """(group, instrument, from, to) of snapshots (group, date, instrument).
 
     A snapshot holds until the last calendar day before the group's next one,
-    and from the calendar's first day at the earliest; empty ranges go.
+    and from the calendar's first day at the earliest; empty ranges go.  The
+    calendar, one entry a day, is looked up as one sorted array.
     """
     dates = snapshots.select(group, "date").distinct()
     dates = dates.withColumn("_next", F.lead("date").over(W.partitionBy(group).orderBy("date")))
-    days = dates.join(calendar, (F.col("datetime") >= F.col("date")) & (F.col("_next").isNull() | (F.col("datetime") < F.col("_next"))))
-    spans = days.groupBy(group, "date").agg(F.min("datetime").alias("_from"), F.max("datetime").alias("to"))
-    first = calendar.agg(F.min("datetime").alias("_first"))
-    spans = spans.crossJoin(F.broadcast(first)).withColumn("from", F.greatest("date", "_first"))  # one row
+    days = calendar.agg(F.sort_array(F.collect_set("datetime")).alias("_days"))
+    dates = dates.crossJoin(F.broadcast(days))  # one row
+    held = F.filter("_days", lambda d: (d >= F.col("date")) & (F.col("_next").isNull() | (d < F.col("_next"))))
+    first = F.try_element_at("_days", F.lit(1))
+    spans = dates.select(group, "date", F.greatest("date", first).alias("from"), F.try_element_at(held, F.lit(-1)).alias("to")).where("to is not null")
     return snapshots.distinct().join(spans, [group, "date"]).select(group, "instrument", "from", "to")
 
 
@@ -42,12 +57,19 @@ def within_membership(panel: DataFrame, ranges: DataFrame) -> DataFrame:
     return panel.join(ranges, hit, "left_semi")
 
 
-def reindexed(panel: DataFrame, columns: list[str]) -> DataFrame:
-    """Each instrument on every calendar day between its first and last, NULL where it has no row."""
-    days = panel.select("day_idx", "datetime").distinct()
-    span = panel.groupBy("instrument").agg(F.min("day_idx").alias("_a"), F.max("day_idx").alias("_z"))
-    grid = span.select("instrument", F.explode(F.sequence("_a", "_z")).alias("day_idx")).join(days, "day_idx")
-    return grid.join(panel.select("instrument", "day_idx", *columns), ["instrument", "day_idx"], "left")
+def reindexed(panel: DataFrame, columns: list[str], days: DataFrame | None = None) -> DataFrame:
+    """Each instrument on every calendar day between its first and last, NULL where it has no row.
+
+    ``days`` (datetime, day_idx) is the calendar, if it is at hand; the grid is
+    filled in from each row to the next, so nothing is joined to it.
+    """
+    days = panel.select("day_idx", "datetime").distinct() if days is None else days
+    following = F.lead("day_idx").over(W.partitionBy("instrument").orderBy("day_idx"))
+    rows = panel.select("instrument", "day_idx", *columns).withColumn("_next", F.coalesce(following, F.col("day_idx") + 1))
+    rows = rows.withColumn("_at", F.explode(F.sequence("day_idx", F.col("_next") - 1)))
+    own = {c: F.when(F.col("_at") == F.col("day_idx"), F.col(c)) for c in columns}
+    rows = rows.withColumns(own).select("instrument", F.col("_at").alias("day_idx"), *columns)
+    return rows.join(days.select("day_idx", "datetime"), "day_idx").select("instrument", "day_idx", "datetime", *columns)
 
 
 def category_codes(rows: DataFrame, column: str) -> DataFrame:

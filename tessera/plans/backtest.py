@@ -7,9 +7,9 @@ keeps pace with the day.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -67,24 +67,30 @@ def scored(panel: DataFrame, expression: str, config: Config = Config()) -> Data
     return shuffled(rows, config.shuffle_seed) if config.shuffle_seed is not None else rows
 
 
-def bounded(panel: DataFrame, start: str, expression: str, config: Config) -> DataFrame:
+def traded_days(panel: DataFrame) -> DataFrame:
+    """The calendar (datetime, day_idx, traded) of a panel, for callers that have none at hand."""
+    return panel.groupBy("datetime").agg(F.first("day_idx").alias("day_idx"), F.coalesce(F.max(F.col("tradestatus") > 0), F.lit(False)).alias("traded"))
+
+
+def bounded(panel: DataFrame, start: str, expression: str, config: Config, days: DataFrame | None = None) -> DataFrame:
     """Only the days that scores from ``start`` on can depend on."""
-    bars = E.lookback(E.parse(expression)) + AS_OF_BARS + config.shift_bars
-    first = panel.where(F.col("datetime") >= F.lit(start).cast("date")).agg(F.min("day_idx").alias("_first"))
+    bars = E.reach(E.parse(expression)) + AS_OF_BARS + config.shift_bars
+    days = panel.select("datetime", "day_idx") if days is None else days
+    first = days.where(F.col("datetime") >= F.lit(start).cast("date")).agg(F.min("day_idx").alias("_first"))
     return panel.join(F.broadcast(first), F.col("day_idx") >= F.col("_first") - bars, "left_semi")  # one row
 
 
-def in_window(rows: DataFrame, start: str, end: str) -> DataFrame:
-    """Rows of the window that trade."""
-    kept = rows.where(F.col("datetime").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    return kept.where(F.coalesce("tradestatus", F.lit(0)) > 0)
+def within(start: str, end: str) -> Column:
+    return F.col("datetime").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
 
 
-def tradable(rows: DataFrame, start: str, end: str) -> DataFrame:
-    """Tradable rows of the window with ``d``, their day's ordinal."""
-    kept = in_window(rows, start, end)
-    days = kept.select("datetime").distinct().withColumn("d", F.row_number().over(W.orderBy("datetime")) - 1)
-    return kept.join(days, "datetime").select("datetime", "d", "instrument", "score", F.col("return").alias("r"))
+def tradable(rows: DataFrame, start: str, end: str, days: DataFrame | None = None) -> DataFrame:
+    """Rows of the window that trade, with ``d``, their day's ordinal among the window's traded days."""
+    days = traded_days(rows) if days is None else days
+    days = days.where(within(start, end) & F.col("traded")).select("datetime")
+    days = days.withColumn("d", F.row_number().over(W.orderBy("datetime")) - 1)
+    kept = rows.where(within(start, end) & (F.coalesce("tradestatus", F.lit(0)) > 0))
+    return kept.join(F.broadcast(days), "datetime").select("datetime", "d", "instrument", "score", F.col("return").alias("r"))  # one row a day
 
 
 def placed(rows: DataFrame, config: Config) -> DataFrame:
@@ -175,9 +181,22 @@ def metrics(days: DataFrame, annualization: int = 252) -> DataFrame:
     )
 
 
-def backtest(panel: DataFrame, expression: str, start: str, end: str, config: Config = Config()) -> DataFrame:
-    """The daily table of one factor; raises if the window has no tradable row."""
-    if in_window(panel, start, end).isEmpty():
-        raise RuntimeError(f"no tradable rows in backtest window {start}..{end}")
-    rows = tradable(scored(bounded(panel, start, expression, config.checked()), expression, config), start, end)
-    return with_nav(daily(rows, config))
+def backtest(panel: DataFrame, expression: str, start: str, end: str, config: Config = Config(), days: DataFrame | None = None) -> DataFrame:
+    """The daily table of one factor; empty if the window has no tradable row.
+
+    ``days`` is the calendar (datetime, day_idx, traded), one row a day.  Without
+    it the calendar is an aggregate of the panel, which is then built again for it.
+    """
+    rows = scored(bounded(panel, start, expression, config.checked(), days), expression, config)
+    return with_nav(daily(tradable(rows, start, end, days), config))
+
+
+def contrasts(panel: DataFrame, expression: str, start: str, end: str, config: Config = Config(), days: DataFrame | None = None, seed: int = 20260913) -> DataFrame:
+    """One row of (contrast, metrics) for the factor as it is, one bar later, and with each day's scores dealt anew."""
+    runs = {"reference": config, "lag_one": replace(config, shift_bars=config.shift_bars + 1), "shuffle_cross_section": replace(config, shuffle_seed=seed)}
+    out = None
+    for name, each in runs.items():
+        row = metrics(backtest(panel, expression, start, end, each, days), config.annualization)
+        row = row.select(F.lit(name).alias("contrast"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -10,20 +10,31 @@ from pyspark.sql import functions as F
 OFF_TIES = 3e-8
 
 
-def with_calendar(panel: DataFrame) -> DataFrame:
-    """Adds day_idx, the place (from 0) of each date among the panel's distinct dates.
+def numbered(days: DataFrame) -> DataFrame:
+    """Adds day_idx, the place (from 0) of each datetime; one row a day, so one task is enough."""
+    return days.withColumn("day_idx", (F.row_number().over(W.orderBy("datetime")) - 1).cast("int"))
 
-    The row number has no key, but runs over distinct dates alone.
-    """
-    days = panel.select("datetime").distinct()
-    days = days.withColumn("day_idx", (F.row_number().over(W.orderBy("datetime")) - 1).cast("int"))
-    return panel.join(days, "datetime")
+
+def with_calendar(panel: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Adds day_idx by ``days`` (datetime, day_idx), or by the panel's own dates."""
+    days = numbered(panel.select("datetime").distinct()) if days is None else days.select("datetime", "day_idx")
+    return panel.join(F.broadcast(days), "datetime")  # one row a day
+
+
+def week(column: str):
+    return F.date_trunc("week", column).cast("date")
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(datetime, day_idx, traded) of the weeks, from two columns of the lines alone."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(week("l_shipdate").alias("datetime"), (F.col("l_returnflag") != "R").alias("traded"))
+    return numbered(lines.groupBy("datetime").agg(F.max("traded").alias("traded")))
 
 
 def weekly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly price and volume of each supplier: the panel without returns."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.date_trunc("week", "l_shipdate").cast("date").alias("datetime"),
+        week("l_shipdate").alias("datetime"),
         F.col("l_suppkey").alias("instrument"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
         "l_quantity",
@@ -49,4 +60,4 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = weekly_prices(spark, sf_dir).join(suppliers, "instrument")
     change = F.col("close") / F.lag("close").over(own) - 1
-    return with_calendar(rows.withColumn("return", F.round(change * F.lit(0.005), 9)))
+    return with_calendar(rows.withColumn("return", F.round(change * F.lit(0.005), 9)), calendar(spark, sf_dir))
