@@ -39,13 +39,18 @@ def missing_requirements(spec: Column) -> Column:
     return F.array_compact(F.array(*messages))
 
 
+def replayed() -> Column:
+    """Whether a scored gold record passes the gate with itself as the answer."""
+    return R.passes_gate(F.col("reward"), F.col("caps"), listed(F.col("gold.expr"))["ok"])
+
+
 def integrity(cases: DataFrame) -> DataFrame:
     """Adds gold_reward, errors and intact: does the label score itself, is its document hashed, are its quotes in the report.
 
     ``cases`` have report, gold and, if known, document.
     """
     rows = R.scored(cases.withColumn("pred", F.col("gold")))
-    replay = R.passes_gate(F.col("reward"), F.col("caps"), listed(F.col("gold.expr"))["ok"])
+    replay = replayed()
     hashless = F.coalesce(F.col("document.content_hash") == "", F.lit(False)) if "document" in cases.columns else F.lit(False)
     unquoted = F.exists(F.col("gold.evidence"), lambda e: ~F.contains(F.col("report"), e["quote"]))
     errors = R.compacted(("gold_replay_failed", ~replay), ("missing_document_hash", hashless), ("gold_citation_not_in_report", unquoted))
@@ -63,7 +68,7 @@ def probed(checked: DataFrame, rollouts: DataFrame) -> DataFrame:
     """Every case with the metrics of its rollouts and its route; cases that are not intact have none."""
     metrics = R.group_metrics(rollouts)
     found = checked.join(metrics, "case_id", "left").withColumn("any_success", F.coalesce("any_success", F.lit(False)))
-    return found.withColumn("route", R.route(F.col("split"), F.col("intact")))
+    return found.withColumns({c: R.routed(F.col("split"), F.col("intact"), F.col("errors"))[c] for c in ("route", "reason")})
 
 
 def citation_errors(specs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -151,17 +156,3 @@ def adjustment_dates(rows: DataFrame, start: str, end: str) -> DataFrame:
     ends = F.flatten(F.transform(years, lambda y: F.array(F.make_date(y, F.lit(6), F.lit(30)), F.make_date(y, F.lit(12), F.lit(31)))))
     inner = F.filter(ends, lambda d: d.between(F.col(start), F.col(end)))
     return rows.select(F.explode(F.array_distinct(F.concat(F.array(start, end), inner))).alias("date")).distinct()
-
-
-def valid_mask(ids: Column, mask: Column, *logs: Column) -> Column:
-    """Whether a response mask fits: equal lengths, not empty, only 0 and 1, some 1."""
-    good = (F.size(mask) > 0) & (F.size(ids) == F.size(mask)) & F.forall(mask, lambda m: m.isin(0, 1)) & F.exists(mask, lambda m: m == 1)
-    for c in logs:
-        good &= F.size(c) == F.size(mask)
-    return F.coalesce(good, F.lit(False))
-
-
-def truncated(values: Column, most: int) -> Column:
-    return F.slice(values, 1, most)
-
-

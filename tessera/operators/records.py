@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expression import listed
-from ..functions.text import normal_expression, numbers
+from ..functions.text import blank, normal_expression, numbers, numbers_meant
 
 #: Weights of the parts of a score, and what each fault caps it at.
 WEIGHTS = {"schema_ok": 0.25, "executable": 0.25, "fields": 0.40, "grounding": 0.10}
@@ -38,8 +38,8 @@ def parameters(spec: Column) -> Column:
 
 
 def support(wanted: Column, text: Column) -> Column:
-    """The share of the wanted numbers that the text holds; 1 if none is wanted."""
-    return F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(F.array_intersect(wanted, numbers(text))) / F.size(wanted))
+    """The share of the wanted numbers that the text holds, in digits or Chinese numerals; 1 if none is wanted."""
+    return F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(F.array_intersect(wanted, numbers_meant(text))) / F.size(wanted))
 
 
 def field_score(pred: Column, gold: Column) -> Column:
@@ -66,48 +66,60 @@ def quotes(spec: Column) -> Column:
 
 
 def uncited(spec: Column) -> Column:
-    return F.array_except(parameters(spec), numbers(quotes(spec)))
+    """Numbers of the expression or the windows that no quotation holds."""
+    return F.array_except(parameters(spec), numbers_meant(quotes(spec)))
 
 
 def unlocated(spec: Column) -> Column:
-    bad = F.filter(spec["evidence"], lambda e: (F.trim(e["chunk_id"]) == "") | (e["page_start"].isNull() & e["char_start"].isNull()))
+    bad = F.filter(spec["evidence"], lambda e: blank(e["chunk_id"]) | (e["page_start"].isNull() & e["char_start"].isNull()))
     return F.transform(bad, lambda e: F.coalesce(F.nullif(e["chunk_id"], F.lit("")), F.lit("<no chunk_id>")))
 
 
-def scored(cases: DataFrame, evidence_text=None) -> DataFrame:
-    """Adds reward, raw, fields, grounding, executable and caps to (report, gold, pred).
+def citation_faults(evidence: Column, report: Column) -> Column:
+    """Messages of quotations that the report does not hold, then of those without a chunk."""
+    lost = F.filter(evidence, lambda e: blank(e["quote"]) | ~F.contains(report, e["quote"]))
+    loose = F.filter(evidence, lambda e: blank(e["chunk_id"]))
+    return F.concat(
+        F.transform(lost, lambda e: F.concat(e["chunk_id"], F.lit(": quote not found"))),
+        F.transform(loose, lambda e: F.lit("<no chunk_id>: citation is not anchored to a chunk")),
+    )
+
+
+def scored(cases: DataFrame) -> DataFrame:
+    """Adds schema_ok, executable, fields, grounding, caps, cap_reasons, raw and reward to (report, gold, pred).
 
     gold and pred are structs of the record's fields; a NULL pred was not
-    parsed.  ``evidence_text`` maps a text column before numbers are sought.
+    parsed.  Numbers count in digits and in Chinese numerals.
     """
-    shown = evidence_text or (lambda c: c)
     pred, gold = F.col("pred"), F.col("gold")
-    legal = listed(pred["expr"])["ok"]
-    evidence = F.coalesce(pred["evidence"], F.array())
-    bad_citation = F.exists(
-        evidence, lambda e: (F.trim(e["quote"]) == "") | ~F.contains(F.col("report"), e["quote"]) | (F.trim(e["chunk_id"]) == "")
-    )
+    check = listed(pred["expr"])
+    legal = check["ok"]
+    evidence = F.coalesce(pred["evidence"], F.filter(pred["evidence"], lambda e: F.lit(False)))
+    faults = citation_faults(evidence, F.col("report"))
     same = normal_expression(pred["expr"]) == normal_expression(gold["expr"])
-    invented = ~same & legal & ((pred["universe"] != gold["universe"]) | (support(parameters(pred), shown(F.col("report"))) < 0.3))
-    grounding = F.when(F.size(evidence) == 0, 0.0).otherwise(support(parameters(pred), shown(quotes(pred))))
+    invented = ~same & legal & ((pred["universe"] != gold["universe"]) | (support(parameters(pred), F.col("report")) < 0.3))
+    grounding = F.when(F.size(evidence) == 0, 0.0).otherwise(support(parameters(pred), quotes(pred)))
     found = pred.isNotNull()
-    caps = compacted(
-        ("invalid_json_cap", ~found),
-        ("illegal_expr_cap", found & ~legal),
-        ("invalid_citation_cap", found & bad_citation),
-        ("hallucinated_expr_cap", found & invented),
+    raised = (
+        ("invalid_json_cap", ~found, F.lit("could not parse FactorSpec JSON")),
+        ("illegal_expr_cap", found & ~legal, check["reason"]),
+        ("invalid_citation_cap", found & (F.size(faults) > 0), F.array_join(faults, "; ")),
+        ("hallucinated_expr_cap", found & invented, F.lit("expr ungrounded vs report/gold")),
     )
+    reasons = F.array(*[F.when(c, F.struct(F.lit(n).alias("key"), r.alias("value"))) for n, c, r in raised])
+    given = lambda c: F.when(found, c).otherwise(0.0)
     rows = cases.withColumns(
         {
-            "executable": F.when(found, legal.cast("double")).otherwise(0.0),
-            "fields": F.when(found, field_score(pred, gold)).otherwise(0.0),
-            "grounding": F.when(found, grounding).otherwise(0.0),
-            "caps": caps,
+            "schema_ok": found.cast("double"),
+            "executable": given(legal.cast("double")),
+            "fields": given(field_score(pred, gold)),
+            "grounding": given(grounding),
+            "caps": compacted(*[r[:2] for r in raised]),
+            "cap_reasons": F.map_from_entries(F.array_compact(reasons)),
         }
     )
-    w = WEIGHTS
-    raw = F.when(found, w["schema_ok"] + w["executable"] * F.col("executable") + w["fields"] * F.col("fields") + w["grounding"] * F.col("grounding"))
-    return rows.withColumn("raw", F.coalesce(raw, F.lit(0.0))).withColumn("reward", capped(F.col("raw"), F.col("caps"), CAPS))
+    raw = sum((F.col(part) * weight for part, weight in WEIGHTS.items()), F.lit(0.0))
+    return rows.withColumn("raw", F.when(found, raw).otherwise(0.0)).withColumn("reward", capped(F.col("raw"), F.col("caps"), CAPS))
 
 
 def passes_gate(reward: Column, caps: Column, legal: Column, least: float = 0.7) -> Column:
@@ -142,22 +154,52 @@ def summary_columns() -> dict[str, Column]:
     }
 
 
-def summarized(results: DataFrame) -> DataFrame:
-    return results.agg(*[c.alias(n) for n, c in summary_columns().items()])
+def summarized(results: DataFrame, audits: DataFrame | None = None) -> DataFrame:
+    """One row of figures; with ``audits`` (as :func:`audited` gives them) also of the tool calls."""
+    out = results.agg(*[c.alias(n) for n, c in summary_columns().items()])
+    if audits is None:
+        return out
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    calls = audits.agg(zero("tool_calls").alias("tool_calls"), zero("illegal_tool_calls").alias("illegal_tool_calls"))
+    rate = F.coalesce(F.try_divide("illegal_tool_calls", "tool_calls"), F.lit(0.0))
+    return out.crossJoin(F.broadcast(calls.withColumn("illegal_tool_call_rate", rate)))  # one row each
+
+
+#: The rates whose medians over the groups are shown, and those that are compared.
+MEDIANS = ("task_success_rate", "evidence_grounding_rate", "mean_reward")
+HEADLINE = ("task_success_rate", "evidence_grounding_rate", "illegal_tool_call_rate")
+
 
+def summarized_by_group(results: DataFrame, group: Column) -> DataFrame:
+    """(level, group, n, figures): a row for each group, one for all rows (pooled), one of the groups' medians.
+
+    A row without a group is a group of its own, its case_id.  The row of
+    medians counts the groups in n and holds the medians of ``MEDIANS`` alone.
+    """
+    names = list(summary_columns())
+    rows = results.withColumn("group", F.coalesce(group, F.col("case_id")))
+    sums = rows.rollup("group").agg(F.grouping("group").alias("_all"), *[c.alias(n) for n, c in summary_columns().items()])
+    each = sums.select(F.when(F.col("_all") == 1, "pooled").otherwise("group").alias("level"), "group", *names)
+    own = each.where("level = 'group'")
+    middle = own.agg(F.count("*").alias("n"), *[F.median(m).alias(m) for m in MEDIANS])
+    shown = [F.col(n) if n in ("n", *MEDIANS) else F.lit(None).cast("double").alias(n) for n in names]
+    return each.unionByName(middle.select(F.lit("median").alias("level"), F.lit(None).cast("string").alias("group"), *shown))
 
-def summarized_by_group(results: DataFrame, group: str, metrics: list[str]) -> DataFrame:
-    """Each group's figures, then their medians in a row whose group is ``<median>``."""
-    each = results.groupBy(F.col(group).alias("group")).agg(*[c.alias(n) for n, c in summary_columns().items()])
-    middle = each.agg(F.lit("<median>").alias("group"), F.count("*").alias("n"), *[F.median(m).alias(m) for m in metrics])
-    return each.select("group", "n", *metrics).unionByName(middle)
 
+def compared(before: DataFrame, after: DataFrame, metrics: tuple[str, ...] = HEADLINE) -> DataFrame:
+    """(metric, before, after, delta_pp) in percentage points; a metric that one side lacks counts as 0."""
+    points = lambda c: F.bround(c * 100, 1)
+    b, a = (df.where(F.col("metric").isin(*metrics)).select("metric", F.col("value").alias(n)) for df, n in ((before, "b"), (after, "a")))
+    asked = before.sparkSession.createDataFrame([(m,) for m in metrics], "metric string")
+    both = asked.join(b, "metric", "left").join(a, "metric", "left").na.fill(0, ["b", "a"])
+    return both.select("metric", points(F.col("b")).alias("before"), points(F.col("a")).alias("after"), points(F.col("a") - F.col("b")).alias("delta_pp"))
 
-def compared(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(metric, before, after, delta_pp): a metric that one side lacks counts as 0."""
-    b, a = (df.select("metric", F.col("value").alias(n)) for df, n in ((before, "before"), (after, "after")))
-    both = b.join(a, "metric", "full").na.fill(0, ["before", "after"])
-    return both.withColumn("delta_pp", F.bround((F.col("after") - F.col("before")) * 100, 1))
+
+def injection_gap(rows: DataFrame) -> DataFrame:
+    """(n, gold_mean, inject_mean) of scored ``injected`` rows."""
+    mean = lambda c: F.coalesce(F.avg(F.when(c, F.col("reward"))), F.lit(0.0))
+    gold = F.col("kind") == "gold"
+    return rows.agg(F.count("*").alias("n"), mean(gold).alias("gold_mean"), mean(~gold).alias("inject_mean"))
 
 
 def leaked(rows: DataFrame, key: str) -> DataFrame:
@@ -172,9 +214,12 @@ def assert_no_leak(rows: DataFrame, key: str) -> None:
 
 
 def group_key(explicit: Column, institution: Column, series: Column, doc_id: Column, case_id: Column) -> Column:
-    """The first that there is: explicit, institution::series, document, case."""
-    full = lambda c: F.nullif(c, F.lit(""))
-    return F.coalesce(full(explicit), F.concat(full(institution), F.lit("::"), full(series)), full(doc_id), case_id)
+    """The first that there is: explicit, institution::series (one of them is enough), document, case."""
+    bare = lambda c: F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    given = lambda c: F.nullif(c, F.lit(""))
+    named = [F.coalesce(bare(c), F.lit("unknown")) for c in (institution, series)]
+    source = F.when(F.coalesce(bare(institution), bare(series)).isNotNull(), F.concat_ws("::", *named))
+    return F.coalesce(given(explicit), source, given(doc_id), case_id)
 
 
 INJECTIONS = ("drop_neutralization", "wrong_frequency", "wrong_window", "hallucinated_expr", "illegal_expr")
@@ -198,26 +243,43 @@ def injected(golds: DataFrame) -> DataFrame:
     return rows.withColumn("pred", pred)
 
 
+#: What can be wrong with a tool call.
+ILLEGAL_KINDS = ("unknown_tool", "unparsable_arguments", "schema_invalid", "budget_exceeded", "frozen_field_mutation", "multi_tool_per_step")
+
+
 def classified(calls: DataFrame, allowed: list[str]) -> DataFrame:
-    """Adds illegal_kind: the first rule that a call breaks, then more calls than one in a step."""
+    """Adds illegal_kind: the first rule that a call breaks, then more calls than one in a step.
+
+    A boolean column ``drifted``, if there is one, tells calls whose record
+    changes frozen fields.
+    """
     error = F.coalesce("error", F.lit(""))
-    kind = (
+    fault = (
         F.when(~F.col("name").isin(allowed), "unknown_tool")
         .when(F.col("unparsable"), "unparsable_arguments")
         .when(F.col("ok") | (F.col("source") == "environment"), None)
         .when(error.contains("max evaluation rounds"), "budget_exceeded")
         .when(error.contains("invalid FactorSpec"), "schema_invalid")
     )
+    drifted = F.when(F.col("drifted"), "frozen_field_mutation") if "drifted" in calls.columns else F.lit(None)
     crowded = F.count("*").over(W.partitionBy("trajectory", "step")) > 1
-    return calls.withColumn("illegal_kind", F.coalesce(kind, F.when(crowded, "multi_tool_per_step")))
+    return calls.withColumn("illegal_kind", F.coalesce(fault, drifted, F.when(crowded, "multi_tool_per_step")))
+
+
+def tally(names: tuple[str, ...], hit) -> Column:
+    """An aggregate: a map of the names that occur to how often ``hit(name)`` holds."""
+    counts = F.create_map(*[x for n in names for x in (F.lit(n), F.count_if(hit(n)))])
+    return F.map_filter(counts, lambda k, v: v > 0)
 
 
 def audited(calls: DataFrame) -> DataFrame:
+    """Counts of each trajectory's calls, of the illegal ones by kind and of failures of the environment."""
     illegal = F.count("illegal_kind")
     return calls.groupBy("trajectory").agg(
         F.count("*").alias("tool_calls"),
         illegal.alias("illegal_tool_calls"),
         F.coalesce(F.try_divide(illegal, F.count("*")), F.lit(0.0)).alias("illegal_tool_call_rate"),
+        tally(ILLEGAL_KINDS, lambda n: F.col("illegal_kind") == n).alias("illegal_by_kind"),
         F.count_if(~F.col("ok") & (F.col("source") == "environment")).alias("environment_failures"),
     )
 
@@ -250,25 +312,35 @@ def group_metrics(records: DataFrame, high: float = 0.8) -> DataFrame:
         share(flag("spec_drift") | any_cap("spec_drift_cap")).alias("spec_drift_rate"),
         share(flag("backtest_failed")).alias("backtest_failure_rate"),
         share(flag("max_step_hit")).alias("max_step_hit_rate"),
+        tally(tuple(CAPS | EVOLVE_CAPS), lambda n: F.array_contains(caps, n)).alias("hard_cap_distribution"),
     )
 
 
-def route(split: Column, intact: Column, high: float = 0.8, low: float = 0.3, spread_min: float = 0.3, calm: float = 0.1, often: float = 0.5) -> Column:
-    """The route of a case's metrics: the first rule that holds."""
+def routed(split: Column, intact: Column, errors: Column | None = None, high: float = 0.8, low: float = 0.3, spread_min: float = 0.3, calm: float = 0.1, often: float = 0.5) -> Column:
+    """Struct (route, reason) of a case's metrics by the first rule that holds; ``errors`` are what is wrong with a case that is not intact."""
     rate = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return (
-        F.when(split == "holdout", "heldout_eval")
-        .when(~intact, "quarantine")
-        .when(rate("environment_error_rate") >= often, "backtest_gap")
-        .when(rate("parse_error_rate") >= often, "sft_format")
-        .when(rate("grounding_error_rate") >= often, "sft_grounding")
-        .when(rate("tool_error_rate") >= often, "sft_tool")
-        .when((rate("min_reward") >= high) & (rate("reward_spread") <= calm), "all_high_eval")
-        .when(F.col("any_success") & (rate("reward_spread") >= spread_min), "rl_main")
-        .when(rate("max_step_hit_rate") >= often, "long_trajectory")
-        .when((rate("max_reward") < high) & (rate("reward_spread") <= calm), "sft_curriculum")
-        .otherwise("more_probe")
+    broken = F.coalesce(F.nullif(F.array_join(errors, ","), F.lit("")), F.lit("integrity_failed")) if errors is not None else F.lit("integrity_failed")
+    steady = rate("reward_spread") <= calm
+    #: The routes in their order, with their reasons.
+    rules = (
+        (split == "holdout", "heldout_eval", F.lit("holdout is never promoted into training pools")),
+        (~intact, "quarantine", broken),
+        (rate("environment_error_rate") >= often, "backtest_gap", F.lit("environment/backtest errors dominate")),
+        (rate("parse_error_rate") >= often, "sft_format", F.lit("high JSON parse error rate")),
+        (rate("grounding_error_rate") >= often, "sft_grounding", F.lit("high grounding/citation error rate")),
+        (rate("tool_error_rate") >= often, "sft_tool", F.lit("high model-caused tool error rate")),
+        ((rate("min_reward") >= high) & steady, "all_high_eval", F.lit("already solved with low rollout variance")),
+        (F.col("any_success") & (rate("reward_spread") >= spread_min), "rl_main", F.lit("learnable within-group reward variation")),
+        (rate("max_step_hit_rate") >= often, "long_trajectory", F.lit("frequent max-step termination")),
+        ((rate("max_reward") < high) & steady, "sft_curriculum", F.lit("consistently weak but structurally clean")),
+        (rate("max_reward") < low, "more_probe", F.lit("all-low group needs diagnosis")),
+        (F.lit(True), "more_probe", F.lit("insufficient evidence for promotion")),
     )
+    return F.coalesce(*[F.when(c, F.struct(F.lit(n).alias("route"), r.alias("reason"))) for c, n, r in rules])
+
+
+def route(split: Column, intact: Column, **bounds: float) -> Column:
+    return routed(split, intact, **bounds)["route"]
 
 
 def best_so_far(results: DataFrame) -> DataFrame:
@@ -329,8 +401,24 @@ def response_mask(segments: Column) -> tuple[Column, Column]:
     return ids, own
 
 
+def valid_mask(ids: Column, mask: Column, *logs: Column) -> Column:
+    """Whether a response mask fits: equal lengths, not empty, only 0 and 1, some 1."""
+    good = (F.size(mask) > 0) & (F.size(ids) == F.size(mask)) & F.forall(mask, lambda m: m.isin(0, 1)) & F.exists(mask, lambda m: m == 1)
+    for c in logs:
+        good &= F.size(c) == F.size(mask)
+    return F.coalesce(good, F.lit(False))
+
+
+def truncated(values: Column, most: int) -> Column:
+    """The first ``most`` entries."""
+    return F.slice(values, 1, most)
+
+
 def sequence_correction(rollout: Column, training: Column, mask: Column, threshold: float = 2.0) -> Column:
-    """Struct (log_ratio, raw_ratio, clipped_ratio, was_clipped, mean_abs_delta) over masked tokens."""
+    """Struct (log_ratio, raw_ratio, clipped_ratio, was_clipped, mean_abs_logprob_delta) over masked tokens.
+
+    Rows whose mask does not fit the log-probabilities are an error.
+    """
     if threshold <= 1:
         raise ValueError("the threshold must be greater than 1")
     rows = F.filter(F.arrays_zip(rollout.alias("r"), training.alias("t"), mask.alias("m")), lambda z: z["m"] == 1)
@@ -339,24 +427,18 @@ def sequence_correction(rollout: Column, training: Column, mask: Column, thresho
     raw = F.exp(F.least(F.lit(50.0), F.greatest(F.lit(-50.0), total)))
     clipped = F.least(F.lit(float(threshold)), F.greatest(F.lit(1 / threshold), raw))
     mean = F.try_divide(F.aggregate(each, F.lit(0.0), lambda a, x: a + F.abs(x)), F.size(each))
-    return F.struct(
-        total.alias("log_ratio"), raw.alias("raw_ratio"), clipped.alias("clipped_ratio"), (clipped != raw).alias("was_clipped"), mean.alias("mean_abs_delta")
+    found = F.struct(
+        total.alias("log_ratio"), raw.alias("raw_ratio"), clipped.alias("clipped_ratio"), (clipped != raw).alias("was_clipped"), mean.alias("mean_abs_logprob_delta")
     )
+    return F.when(valid_mask(rollout, mask, training), found).otherwise(F.raise_error(F.lit("the response mask does not fit the log-probabilities")))
 
 
 def correction_report(samples: DataFrame, threshold: float = 2.0, enable: float = 0.02) -> DataFrame:
-    """Sample count, mean change, clip rate and whether a correction is advised."""
+    """Sample count, mean change, clip rate and whether a correction is advised, with the reason."""
     c = samples.select(sequence_correction(F.col("rollout_log_probs"), F.col("training_log_probs"), F.col("response_mask"), threshold).alias("c"))
-    mean = F.coalesce(F.avg("c.mean_abs_delta"), F.lit(0.0))
+    mean = F.coalesce(F.avg("c.mean_abs_logprob_delta"), F.lit(0.0))
     clip = F.coalesce(F.avg(F.col("c.was_clipped").cast("double")), F.lit(0.0))
-    return c.agg(F.count("*").alias("sample_count"), mean.alias("mean_abs_delta"), clip.alias("clip_rate"), (mean >= enable).alias("recommended"))
-
-
-def training_rows(cases: DataFrame) -> DataFrame:
-    """Supervised rows: system, user and assistant messages; the last alone is trained on."""
-    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    return cases.where("split = 'train'").select(
-        "case_id",
-        F.array(message("system", F.lit("Extract the factor as JSON.")), message("user", F.col("report")), message("assistant", F.to_json("gold"))).alias("messages"),
-        F.array(F.lit(0), F.lit(0), F.lit(1)).alias("loss_mask"),
-    )
+    out = c.agg(F.count("*").alias("sample_count"), mean.alias("mean_abs_logprob_delta"), clip.alias("clip_rate"))
+    advised = (F.col("sample_count") > 0) & (F.col("mean_abs_logprob_delta") >= enable)
+    reason = F.when(advised, "systematic rollout/training log-prob gap").otherwise("gap below enable threshold")
+    return out.withColumns({"threshold": F.lit(float(threshold)), "recommended": advised, "reason": reason})

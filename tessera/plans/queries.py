@@ -13,7 +13,8 @@ from ..functions import text as X
 from ..operators import market as M
 from ..operators import probes as P
 from ..operators import records as R
-from ..sources.panel import OFF_TIES, panel
+from ..operators import training as T
+from ..sources.panel import OFF_TIES, calendar, panel
 from . import backtest as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,11 +95,16 @@ for _name, _text, _sql in (
 _MANY = {"reversal": "-TS_PCTCHANGE($close, 4)", "liquidity": "RANK($amount / TS_MEAN($amount, 4))", "calm": "-TS_STD($return, 4)", "trend": FLAGSHIP}
 
 
-@query()
+@query(
+    f"""WITH {PANEL}, w AS (SELECT *, max(close) OVER l4 AS lag4, avg(amount) OVER w4 AS am4, count(amount) OVER w4 AS an4, avg(close) OVER w4 AS cm4, count(close) OVER w4 AS cn4, stddev_pop(ret) OVER w4 AS rs4, count(ret) OVER w4 AS rn4 FROM panel
+        WINDOW w4 AS (PARTITION BY instrument ORDER BY day_idx RANGE BETWEEN 3 PRECEDING AND CURRENT ROW), l4 AS (PARTITION BY instrument ORDER BY day_idx RANGE BETWEEN 4 PRECEDING AND 4 PRECEDING)),
+    r AS (SELECT *, CASE WHEN an4 = 4 THEN amount / am4 END AS liq, CASE WHEN cn4 = 4 THEN close / cm4 END AS tr FROM w)
+    SELECT datetime, instrument, round(1 - close / lag4 + 3e-8, 6) AS reversal, round({_RANK.format("liq")} + 3e-8, 6) AS liquidity, round(CASE WHEN rn4 = 4 THEN -rs4 END + 3e-8, 6) AS calm, round({_RANK.format("tr")} + 3e-8, 6) AS trend FROM r"""
+)
 def many_factors(spark, sf_dir):
     """Several factors over one panel: equal subtrees and exchanges are shared."""
     out = E.with_signals(panel(spark, sf_dir), _MANY)
-    return out.select("datetime", "instrument", *[F.round(n, 6).alias(n) for n in _MANY])
+    return out.select("datetime", "instrument", *[F.round(F.col(n) + OFF_TIES, 6).alias(n) for n in _MANY])
 
 
 _SCORE = f"""{PANEL},
@@ -137,7 +143,12 @@ _DAILY = f"""{_HELD},
 
 
 def _rows(spark, sf_dir):
-    return B.tradable(B.scored(B.bounded(panel(spark, sf_dir), START, FLAGSHIP, CONFIG), FLAGSHIP, CONFIG), START, END)
+    days = calendar(spark, sf_dir)
+    return B.tradable(B.scored(B.bounded(panel(spark, sf_dir), START, FLAGSHIP, CONFIG, days), FLAGSHIP, CONFIG), START, END, days)
+
+
+def _backtest(spark, sf_dir, expression=FLAGSHIP, config=CONFIG):
+    return B.backtest(panel(spark, sf_dir), expression, START, END, config, calendar(spark, sf_dir))
 
 
 @query(f"WITH {_HELD} SELECT d, instrument, round(w, 9) AS w FROM c1")
@@ -158,13 +169,13 @@ def turnover_cost(spark, sf_dir):
 
 @query(f"WITH {_DAILY} SELECT datetime, round(gross + 1.234567e-10, 6) AS gross, round(net + 1.234567e-10, 6) AS net, round(nav, 6) AS nav, round(gross_nav, 6) AS gross_nav, round(benchmark_nav, 6) AS benchmark_nav FROM dd")
 def daily_nav(spark, sf_dir):
-    days = B.backtest(panel(spark, sf_dir), FLAGSHIP, START, END, CONFIG)
+    days = _backtest(spark, sf_dir)
     return days.select("datetime", *[F.round(F.col(c) + 1.234567e-10, 6).alias(c) for c in ("gross", "net")], *[F.round(c, 6).alias(c) for c in ("nav", "gross_nav", "benchmark_nav")])
 
 
 @query(f"WITH {_DAILY} SELECT datetime, round(drawdown, 6) AS drawdown FROM dd")
 def drawdown(spark, sf_dir):
-    days = B.backtest(panel(spark, sf_dir), FLAGSHIP, START, END, CONFIG)
+    days = _backtest(spark, sf_dir)
     return days.select("datetime", F.round("drawdown", 6).alias("drawdown"))
 
 
@@ -181,20 +192,46 @@ def benchmark_return(spark, sf_dir):
     round(avg(n_held), 6) AS mean_holdings, count(*) AS n_days FROM dd"""
 )
 def portfolio_metrics(spark, sf_dir):
-    row = B.metrics(B.backtest(panel(spark, sf_dir), FLAGSHIP, START, END, CONFIG))
+    row = B.metrics(_backtest(spark, sf_dir))
     return row.select(*[F.round(c, 6).alias(c) if c != "n_days" else F.col(c) for c in row.columns])
 
 
-@query()
+@query(f"WITH {_SCORE} SELECT datetime, round(score, 6) AS score, row_number() OVER (PARTITION BY datetime ORDER BY score) AS place FROM b3 WHERE score IS NOT NULL")
 def shuffle_contrast(spark, sf_dir):
-    """A seeded deal of each date's scores; tested by its properties."""
-    return B.scored(panel(spark, sf_dir), FLAGSHIP, B.Config(shuffle_seed=7)).select("datetime", "instrument", "score")
+    """A seeded deal of each date's scores: the same scores a date, whoever has them."""
+    rows = B.scored(panel(spark, sf_dir), FLAGSHIP, B.Config(shuffle_seed=7)).where("score is not null")
+    return rows.select("datetime", F.round("score", 6).alias("score"), F.row_number().over(W.partitionBy("datetime").orderBy("score")).alias("place"))
 
 
-@query()
+def _nav_sql(sql: str, lag: int, start: str = "") -> str:
+    """SQL of the metrics with another signal and lag."""
+    score = _SCORE.replace("1 PRECEDING AND 1 PRECEDING", f"{lag} PRECEDING AND {lag} PRECEDING")
+    if sql:
+        score = score[: score.index("b2 AS")] + f"b2 AS (SELECT *, {sql} AS signal FROM b1),\n    b3 AS" + score[score.index("b3 AS") + 5 :]
+    return f"""WITH {_DAILY.replace(_SCORE, score)} SELECT round(CASE WHEN stddev_pop(net - benchmark) > 0 THEN avg(net - benchmark) / stddev_pop(net - benchmark) * sqrt(252::DOUBLE) ELSE 0 END, 6) AS information_ratio,
+        round(max_by(nav, d) - 1, 6) AS total_return, round(min(drawdown), 6) AS max_drawdown, round(avg(n_held), 6) AS mean_holdings, count(*) AS n_days FROM dd"""
+
+
+def _shown(row):
+    return row.select(*[F.round(c, 6).alias(c) for c in ("information_ratio", "total_return", "max_drawdown", "mean_holdings")], "n_days")
+
+
+@query(_nav_sql("", 2))
+def lagged_backtest(spark, sf_dir):
+    """The flagship factor one bar later."""
+    return _shown(B.metrics(_backtest(spark, sf_dir, config=B.Config(shift_bars=1))))
+
+
+@query(_nav_sql(_NEUTRAL.format("volume"), 2))
 def neutralized_backtest(spark, sf_dir):
-    config = B.Config(neutralization="industry", shift_bars=1)
-    return B.metrics(B.backtest(panel(spark, sf_dir), "-TS_PCTCHANGE($close, 4)", START, END, config))
+    """A factor that the engine neutralizes by industry, one bar later."""
+    return _shown(B.metrics(_backtest(spark, sf_dir, "$volume", B.Config(neutralization="industry", shift_bars=1))))
+
+
+@query()
+def contrast_metrics(spark, sf_dir):
+    """The factor, its lag and its shuffle; the deal is the engine's own, so only rows are compared."""
+    return B.contrasts(panel(spark, sf_dir), FLAGSHIP, START, END, CONFIG, calendar(spark, sf_dir))
 
 
 def _snapshots(spark, sf_dir):
@@ -215,7 +252,7 @@ _RANGES = f"""{_SNAPSHOTS}, cal AS (SELECT DISTINCT datetime FROM panel),
 
 @query(f"WITH {PANEL}, {_RANGES} SELECT * FROM mr")
 def membership_ranges(spark, sf_dir):
-    return M.membership_ranges(_snapshots(spark, sf_dir), panel(spark, sf_dir).select("datetime").distinct())
+    return M.membership_ranges(_snapshots(spark, sf_dir), calendar(spark, sf_dir))
 
 
 @query(
@@ -224,7 +261,7 @@ def membership_ranges(spark, sf_dir):
 )
 def universe_semijoin(spark, sf_dir):
     rows = panel(spark, sf_dir)
-    ranges = M.membership_ranges(_snapshots(spark, sf_dir), rows.select("datetime").distinct())
+    ranges = M.membership_ranges(_snapshots(spark, sf_dir), calendar(spark, sf_dir))
     return M.within_membership(rows, ranges).select("datetime", "instrument", "close")
 
 
@@ -273,7 +310,7 @@ def duplicate_keys(spark, sf_dir):
     SELECT sp.instrument, c.day_idx, c.datetime, p.close FROM sp JOIN c ON c.day_idx BETWEEN a AND z LEFT JOIN panel p ON p.instrument = sp.instrument AND p.day_idx = c.day_idx"""
 )
 def calendar_reindex(spark, sf_dir):
-    return M.reindexed(panel(spark, sf_dir), ["close"])
+    return M.reindexed(panel(spark, sf_dir), ["close"], calendar(spark, sf_dir))
 
 
 @query(f"WITH {PANEL} SELECT count(*) AS n_rows, count(DISTINCT instrument) AS n_instruments, min(datetime) AS first_day, max(datetime) AS last_day FROM panel")
@@ -334,10 +371,21 @@ def content_hash(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"), X.document_id(F.col("text")).alias("hash_id"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || '::' || lang WHEN doc_id % 3 = 1 THEN CAST(doc_id AS VARCHAR) ELSE 'case' || doc_id END AS group_key FROM documents")
+@query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN source || '::' || lang WHEN 1 THEN source || '::unknown' WHEN 2 THEN 'unknown::' || lang WHEN 3 THEN CAST(doc_id AS VARCHAR)
+        WHEN 4 THEN 'case' || doc_id ELSE 'own' || doc_id % 10 END AS group_key FROM documents"""
+)
 def group_key(spark, sf_dir):
-    d, n = _table(spark, sf_dir, "documents"), F.col("doc_id") % 3
-    key = R.group_key(F.lit(""), F.when(n == 0, F.col("source")), F.col("lang"), F.when(n == 1, F.col("doc_id").cast("string")), F.concat(F.lit("case"), F.col("doc_id").cast("string")))
+    """Both, one or none of institution and series, padded with blanks; a document, a case or an explicit group."""
+    d, n = _table(spark, sf_dir, "documents"), F.col("doc_id") % 6
+    given = lambda c: F.concat(F.lit("  "), F.col(c), F.lit(" "))
+    key = R.group_key(
+        F.when(n == 5, F.concat(F.lit("own"), (F.col("doc_id") % 10).cast("string"))).otherwise(""),
+        F.when((n < 2) | (n == 5), given("source")).otherwise(" "),
+        F.when((n == 0) | (n == 2), given("lang")).otherwise(""),
+        F.when(n != 4, F.col("doc_id").cast("string")),
+        F.concat(F.lit("case"), F.col("doc_id").cast("string")),
+    )
     return d.select("doc_id", key.alias("group_key"))
 
 
@@ -356,7 +404,12 @@ def _cases(spark, sf_dir):
     n = F.col("doc_id")
     w = (n % 60 + 1).cast("int")
     pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (n % len(v) + 1).cast("int"))
-    evidence = F.array(F.struct(F.lit("p0-c0000").alias("chunk_id"), F.concat(F.lit("over "), w.cast("string"), F.lit(" days")).alias("quote"), F.lit(0).alias("page_start"), F.lit(None).cast("int").alias("char_start")))
+    ones = lambda k: F.substring(F.lit("一二三四五六七八九"), k, F.lit(1))
+    tens = F.when(w < 10, "").when(w < 20, "十").otherwise(F.concat(ones((w / 10).cast("int")), F.lit("十")))
+    written = F.concat(tens, F.when(w % 10 > 0, ones(w % 10)).otherwise(""))
+    quote = F.when(n % 4 == 2, F.concat(F.lit("过去"), written, F.lit("日"))).otherwise(F.concat(F.lit("over "), w.cast("string"), F.lit(" days")))
+    none = F.lit(None).cast("int")
+    evidence = F.array(F.struct(F.lit("p0-c0000").alias("chunk_id"), quote.alias("quote"), F.when(n % 7 < 5, n % 3).cast("int").alias("page_start"), *[none.alias(c) for c in ("page_end",)], (n % 11).cast("int").alias("char_start"), none.alias("char_end")))
     gold = F.struct(
         F.concat(F.lit("f"), n.cast("string")).alias("name"),
         pick("CSI300", "CSI500").alias("universe"),
@@ -367,8 +420,33 @@ def _cases(spark, sf_dir):
         F.array(w).alias("windows"),
         F.when(n % 5 < 3, evidence).otherwise(F.filter(evidence, lambda e: F.lit(False))).alias("evidence"),
     )
-    report = F.concat(F.lit("We rank closes over "), w.cast("string"), F.lit(" days. "), "text")
-    return d.select("doc_id", "lang", report.alias("report"), gold.alias("gold"))
+    report = F.concat(F.lit("We rank closes "), quote, F.lit(". "), "text")
+    return d.select("doc_id", "lang", "source", report.alias("report"), gold.alias("gold"))
+
+
+#: SQL of the window, its Chinese numeral and the quotation of a case, over a table with doc_id.
+_W = "(doc_id % 60 + 1)"
+_NUMERAL = f"(CASE WHEN {_W} < 10 THEN '' WHEN {_W} < 20 THEN '十' ELSE substr('一二三四五六七八九', {_W} // 10, 1) || '十' END || CASE WHEN {_W} % 10 > 0 THEN substr('一二三四五六七八九', {_W} % 10, 1) ELSE '' END)"
+_QUOTE = f"(CASE WHEN doc_id % 4 = 2 THEN '过去' || {_NUMERAL} || '日' ELSE 'over ' || {_W} || ' days' END)"
+_CITED = "doc_id % 5 < 3"
+_PAGE = "CASE WHEN doc_id % 7 < 5 THEN CAST(doc_id % 3 AS VARCHAR) ELSE 'null' END"
+
+
+def _spec_sql(colon: str, comma: str) -> str:
+    """The record's JSON text, with the given marks between its parts."""
+    name = lambda k: f"'\"{k}\"{colon}'"
+    text = lambda x: f"'\"' || {x} || '\"'"
+    fields = {
+        "name": text("'f' || doc_id"), "universe": text("(CASE WHEN doc_id % 2 = 0 THEN 'CSI300' ELSE 'CSI500' END)"), "frequency": text("['daily', 'weekly', 'monthly'][doc_id % 3 + 1]"),
+        "neutralization": text("(CASE WHEN doc_id % 2 = 0 THEN 'none' ELSE 'industry' END)"), "rebalance": "'\"monthly\"'",
+        "expr": text(f"'RANK($close / TS_MEAN($close, ' || {_W} || '))'"), "windows": f"'[' || {_W} || ']'", "evidence": f"CASE WHEN {_CITED} THEN {_evidence_sql(colon, comma)} ELSE '[]' END",
+    }
+    return "'{' || " + f" || '{comma}' || ".join(f"{name(k)} || {v}" for k, v in fields.items()) + " || '}'"
+
+
+def _evidence_sql(colon: str, comma: str) -> str:
+    parts = {"chunk_id": "'\"p0-c0000\"'", "quote": f"'\"' || {_QUOTE} || '\"'", "page_start": _PAGE, "page_end": "'null'", "char_start": "doc_id % 11", "char_end": "'null'"}
+    return "'[{' || " + f" || '{comma}' || ".join(f"'\"{k}\"{colon}' || {v}" for k, v in parts.items()) + " || '}]'"
 
 
 @query(
@@ -377,7 +455,7 @@ def _cases(spark, sf_dir):
     e AS (SELECT *, CASE k WHEN 'hallucinated_expr' THEN 4 WHEN 'illegal_expr' THEN 4 WHEN 'drop_neutralization' THEN CASE WHEN ind THEN 4 ELSE 5 END
             WHEN 'wrong_frequency' THEN 4 WHEN 'wrong_window' THEN 4 ELSE 5 END - CASE WHEN k = 'hallucinated_expr' THEN 1 ELSE 0 END AS hits,
         CASE WHEN k = 'illegal_expr' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS executable,
-        list_transform(regexp_extract_all('We rank closes over ' || w || ' days. ' || text, '([0-9]+)'), lambda x: TRY_CAST(x AS BIGINT)) AS seen FROM c),
+        list_append(list_transform(regexp_extract_all(text, '([0-9]+)'), lambda x: TRY_CAST(x AS BIGINT)), w) AS seen FROM c),
     g AS (SELECT *, hits / 5.0::DOUBLE AS fields, CASE WHEN NOT cited THEN 0.0::DOUBLE WHEN k = 'hallucinated_expr' THEN 1.0::DOUBLE
             WHEN k = 'wrong_window' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS grounding,
         k = 'hallucinated_expr' OR (k = 'wrong_window' AND NOT list_contains(seen, w * 3)) AS invented FROM e),
@@ -419,38 +497,66 @@ def headline_summary(spark, sf_dir):
     return out.select("n", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
+_FIGURE_NAMES = ("mean_reward", "parse_ok", "field_mean", "grounding_mean", "gate_pass_rate", "hallucination_rate", "task_success_rate", "evidence_grounding_rate")
+
+
 @query(
-    f"""WITH {_RESULTS}, g AS (SELECT source AS "group", {_FIGURES} FROM s GROUP BY source)
-    SELECT "group", n, mean_reward, task_success_rate FROM g UNION ALL SELECT '<median>', count(*), round(median(mean_reward), 6), round(median(task_success_rate), 6) FROM g"""
+    f"""WITH {_RESULTS}, g AS (SELECT coalesce(CASE WHEN doc_id % 50 <> 7 THEN source END, 'c' || doc_id) AS "group", * FROM s),
+    e AS (SELECT "group", {_FIGURES} FROM g GROUP BY "group")
+    SELECT 'group' AS level, * FROM e UNION ALL SELECT 'pooled', NULL, {_FIGURES} FROM s
+    UNION ALL SELECT 'median', NULL, count(*), {", ".join(f"round(median({n}), 6)" if n in R.MEDIANS else "NULL" for n in _FIGURE_NAMES)} FROM e"""
 )
 def group_summary_median(spark, sf_dir):
-    results = _results(spark, sf_dir)
-    each = results.groupBy(F.col("source").alias("group")).agg(F.count("*").alias("n"), F.round(F.avg("reward"), 6).alias("mean_reward"), F.round(R.share(R.task_success()), 6).alias("task_success_rate"))
-    middle = each.agg(F.lit("<median>").alias("group"), F.count("*").alias("n"), F.round(F.median("mean_reward"), 6).alias("mean_reward"), F.round(F.median("task_success_rate"), 6).alias("task_success_rate"))
-    return each.unionByName(middle)
+    """By source, pooled, and the medians over the sources; some rows have no source and are groups of their own."""
+    rows = _results(spark, sf_dir).withColumn("case_id", F.concat(F.lit("c"), F.col("doc_id").cast("string")))
+    out = R.summarized_by_group(rows, F.when(F.col("doc_id") % 50 != 7, F.col("source")))
+    return out.select("level", "group", "n", *[F.round(c, 6).alias(c) for c in _FIGURE_NAMES])
 
 
-@query(f"WITH {_RESULTS} SELECT doc_id, reward >= 0.7 AND NOT any_cap AS passed FROM s")
+@query(f"WITH {_RESULTS} SELECT doc_id, reward >= 0.7 AND NOT any_cap AND doc_id % 4 <> 1 AS passed FROM s")
 def gate_pass(spark, sf_dir):
-    return _results(spark, sf_dir).select("doc_id", R.passes_gate(F.col("reward"), F.col("caps"), F.lit(True)).alias("passed"))
+    """The gate over rewards, caps and expressions, of which a quarter are not legal."""
+    expr = F.when(F.col("doc_id") % 4 == 1, "FOO($close)").otherwise("RANK($close)")
+    return _results(spark, sf_dir).select("doc_id", R.passes_gate(F.col("reward"), F.col("caps"), E.listed(expr)["ok"]).alias("passed"))
 
 
-@query(
-    f"""WITH {_RESULTS}, h AS (SELECT doc_id % 2 AS half, {_FIGURES} FROM s GROUP BY 1),
-    b AS (UNPIVOT (SELECT mean_reward, field_mean, task_success_rate FROM h WHERE half = 0) ON mean_reward, field_mean, task_success_rate INTO NAME metric VALUE v),
-    a AS (UNPIVOT (SELECT mean_reward, field_mean, task_success_rate FROM h WHERE half = 1) ON mean_reward, field_mean, task_success_rate INTO NAME metric VALUE v)
-    SELECT metric, coalesce(b.v, 0) AS before, coalesce(a.v, 0) AS after, round((coalesce(a.v, 0) - coalesce(b.v, 0)) * 100, 1) AS delta_pp FROM b FULL JOIN a USING (metric)"""
-)
+_HALVES = f"""h AS (SELECT doc_id % 2 AS half, {_FIGURES} FROM s GROUP BY 1),
+    p AS (SELECT unnest(['task_success_rate', 'evidence_grounding_rate', 'illegal_tool_call_rate']) AS metric),
+    v AS (SELECT metric, half, CASE metric WHEN 'task_success_rate' THEN task_success_rate WHEN 'evidence_grounding_rate' THEN evidence_grounding_rate ELSE CASE WHEN half = 0 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END END AS v FROM h, p),
+    w AS (SELECT metric, coalesce(max(CASE WHEN half = 0 THEN v END), 0) AS b, coalesce(max(CASE WHEN half = 1 THEN v END), 0) AS a FROM p LEFT JOIN v USING (metric) GROUP BY metric)"""
+
+
+@query(f"WITH {_RESULTS}, {_HALVES} SELECT metric, round_even(b * 100, 1) AS before, round_even(a * 100, 1) AS after, round_even((a - b) * 100, 1) AS delta_pp FROM w")
 def compare_pp(spark, sf_dir):
-    names = ["mean_reward", "field_mean", "task_success_rate"]
+    """The headline rates of two runs in percentage points; the calls are 10, of which 2 and 1 are illegal."""
 
     def half(n):
-        s = R.summarized(_results(spark, sf_dir).where(F.col("doc_id") % 2 == n)).select(*[F.round(c, 6).alias(c) for c in names])
-        return s.unpivot([], names, "metric", "value")
+        audits = spark.createDataFrame([(7, 1 - n), (3, 1)], "tool_calls long, illegal_tool_calls long")
+        s = R.summarized(_results(spark, sf_dir).where(F.col("doc_id") % 2 == n), audits).select(*[F.round(c, 6).alias(c) for c in R.HEADLINE])
+        return s.unpivot([], list(R.HEADLINE), "metric", "value")
 
     return R.compared(half(0), half(1))
 
 
+@query(
+    """WITH c AS (SELECT doc_id, k, doc_id % 60 + 1 AS w, doc_id % 5 < 3 AS cited, doc_id % 2 = 1 AS ind, list_append(list_transform(regexp_extract_all(text, '([0-9]+)'), lambda x: TRY_CAST(x AS BIGINT)), doc_id % 60 + 1) AS seen
+        FROM documents, (SELECT unnest(['gold', 'drop_neutralization', 'wrong_frequency', 'wrong_window', 'hallucinated_expr', 'illegal_expr']) AS k)),
+    e AS (SELECT k, least(0.25::DOUBLE + CASE WHEN k = 'illegal_expr' THEN 0 ELSE 0.25::DOUBLE END + 0.08::DOUBLE * CASE k WHEN 'gold' THEN 5 WHEN 'drop_neutralization' THEN CASE WHEN ind THEN 4 ELSE 5 END WHEN 'hallucinated_expr' THEN 3 ELSE 4 END
+            + 0.1::DOUBLE * CASE WHEN NOT cited THEN 0 WHEN k = 'wrong_window' THEN 0 ELSE 1 END,
+        CASE WHEN k = 'illegal_expr' THEN 0.15::DOUBLE WHEN k = 'hallucinated_expr' OR (k = 'wrong_window' AND NOT list_contains(seen, w * 3)) THEN 0.35::DOUBLE ELSE 1 END) AS reward FROM c)
+    SELECT count(*) AS n, round(avg(CASE WHEN k = 'gold' THEN reward END), 6) AS gold_mean, round(avg(CASE WHEN k <> 'gold' THEN reward END), 6) AS inject_mean FROM e"""
+)
+def injection_gap(spark, sf_dir):
+    out = R.injection_gap(R.scored(R.injected(_cases(spark, sf_dir))))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("gold_mean", "inject_mean")])
+
+
+def _listed_map(m):
+    """A map of counts as text, by key: maps compare in no engine."""
+    entries = F.sort_array(F.map_entries(m))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+
 def _calls(spark, sf_dir):
     """Turns as tool calls: two turns a step, faults by the length of the text."""
     c, n = _table(spark, sf_dir, "conversations"), F.length("text")
@@ -463,13 +569,14 @@ def _calls(spark, sf_dir):
         (n % 3 != 0).alias("ok"),
         F.when(n % 2 == 0, "environment").otherwise("model").alias("source"),
         F.when(n % 5 == 0, "max evaluation rounds reached").when(n % 5 == 1, "invalid FactorSpec: x").alias("error"),
+        (n % 7 == 0).alias("drifted"),
     )
 
 
 _CALLS = """c0 AS (SELECT conv_id AS trajectory, turn // 2 AS step, turn, role AS name, length(text) AS n FROM conversations),
     c1 AS (SELECT *, n % 3 <> 0 AS ok, CASE WHEN n % 2 = 0 THEN 'environment' ELSE 'model' END AS source, count(*) OVER (PARTITION BY trajectory, step) AS in_step FROM c0),
     c2 AS (SELECT *, CASE WHEN name NOT IN ('user', 'assistant') THEN 'unknown_tool' WHEN n % 11 = 0 THEN 'unparsable_arguments' WHEN NOT (ok OR source = 'environment') AND n % 5 = 0 THEN 'budget_exceeded'
-        WHEN NOT (ok OR source = 'environment') AND n % 5 = 1 THEN 'schema_invalid' WHEN in_step > 1 THEN 'multi_tool_per_step' END AS illegal_kind FROM c1)"""
+        WHEN NOT (ok OR source = 'environment') AND n % 5 = 1 THEN 'schema_invalid' WHEN n % 7 = 0 THEN 'frozen_field_mutation' WHEN in_step > 1 THEN 'multi_tool_per_step' END AS illegal_kind FROM c1)"""
 
 
 @query(f"WITH {_CALLS} SELECT trajectory, turn, illegal_kind FROM c2")
@@ -478,11 +585,15 @@ def multi_tool_steps(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_CALLS} SELECT trajectory, count(*) AS tool_calls, count(illegal_kind) AS illegal_tool_calls, count(illegal_kind) / count(*)::DOUBLE AS illegal_tool_call_rate,
-    count(*) FILTER (NOT ok AND source = 'environment') AS environment_failures FROM c2 GROUP BY trajectory"""
+    f"""WITH {_CALLS}, k AS (SELECT trajectory, illegal_kind, count(*) AS n FROM c2 WHERE illegal_kind IS NOT NULL GROUP BY ALL),
+    l AS (SELECT trajectory, string_agg(illegal_kind || '=' || n, ',' ORDER BY illegal_kind) AS illegal_by_kind FROM k GROUP BY 1),
+    t AS (SELECT trajectory, count(*) AS tool_calls, count(illegal_kind) AS illegal_tool_calls, count(illegal_kind) / count(*)::DOUBLE AS illegal_tool_call_rate,
+        count(*) FILTER (NOT ok AND source = 'environment') AS environment_failures FROM c2 GROUP BY trajectory)
+    SELECT t.*, coalesce(illegal_by_kind, '') AS illegal_by_kind FROM t LEFT JOIN l USING (trajectory)"""
 )
 def protocol_audit(spark, sf_dir):
-    return R.audited(R.classified(_calls(spark, sf_dir), ["user", "assistant"]))
+    out = R.audited(R.classified(_calls(spark, sf_dir), ["user", "assistant"]))
+    return out.withColumn("illegal_by_kind", _listed_map(F.col("illegal_by_kind")))
 
 
 @query(f"WITH {_CALLS} SELECT illegal_kind, count(*) AS n FROM c2 WHERE illegal_kind IS NOT NULL GROUP BY 1")
@@ -513,7 +624,8 @@ _METRICS = """e AS (SELECT user_id AS case_id, round(least(1.0::DOUBLE, abs(valu
         round(max(reward) - min(reward), 6) AS reward_spread, avg((reward >= 0.8)::INTEGER) AS success_at_k, bool_or(reward >= 0.8) AS any_success,
         avg((n % 4 = 0)::INTEGER) AS parse_error_rate, avg((n % 9 = 0)::INTEGER) AS grounding_error_rate, sum(n % 2) / sum(n % 3 + 1)::DOUBLE AS illegal_tool_call_rate,
         avg((n % 6 = 0)::INTEGER) AS tool_error_rate, avg((event_type = 'error')::INTEGER) AS environment_error_rate, 0.0::DOUBLE AS spec_drift_rate, 0.0::DOUBLE AS backtest_failure_rate,
-        avg((n % 5 = 0)::INTEGER) AS max_step_hit_rate FROM e GROUP BY case_id)"""
+        avg((n % 5 = 0)::INTEGER) AS max_step_hit_rate, concat_ws(',', CASE WHEN bool_or(n % 9 = 0) THEN 'invalid_citation_cap=' || count(*) FILTER (n % 9 = 0) END,
+            CASE WHEN bool_or(n % 4 = 0) THEN 'invalid_json_cap=' || count(*) FILTER (n % 4 = 0) END) AS hard_cap_distribution FROM e GROUP BY case_id)"""
 _ROUTES = """rt AS (SELECT *, CASE WHEN case_id % 10 = 0 THEN 'heldout_eval' WHEN case_id % 13 = 0 THEN 'quarantine' WHEN environment_error_rate >= 0.5 THEN 'backtest_gap'
     WHEN parse_error_rate >= 0.5 THEN 'sft_format' WHEN grounding_error_rate >= 0.5 THEN 'sft_grounding' WHEN tool_error_rate >= 0.5 THEN 'sft_tool'
     WHEN min_reward >= 0.8 AND reward_spread <= 0.1 THEN 'all_high_eval' WHEN any_success AND reward_spread >= 0.3 THEN 'rl_main' WHEN max_step_hit_rate >= 0.5 THEN 'long_trajectory'
@@ -522,7 +634,8 @@ _ROUTES = """rt AS (SELECT *, CASE WHEN case_id % 10 = 0 THEN 'heldout_eval' WHE
 
 def _metrics(spark, sf_dir):
     m = R.group_metrics(_records(spark, sf_dir))
-    return m.withColumns({c: F.round(c, 6) for c in ("mean_reward", "reward_std", "reward_spread")})
+    rounded = {c: F.round(c, 6) for c in ("mean_reward", "reward_std", "reward_spread")}
+    return m.withColumns(rounded | {"hard_cap_distribution": _listed_map(F.col("hard_cap_distribution"))})
 
 
 @query(f"WITH {_METRICS} SELECT * FROM m")
@@ -564,14 +677,17 @@ def best_so_far_delta(spark, sf_dir):
     f"""WITH {_DELTA}, s AS (SELECT trajectory, avg((turn % 7 <> 0)::INTEGER) AS validity, 1 - max((turn % 23 = 0)::INTEGER) AS no_drift, 1 - max((turn % 31 = 0)::INTEGER) AS protocol,
         avg(ok::INTEGER) AS backtest_success, greatest(0, least(1, 0.5::DOUBLE + max(delta) / 2)) AS performance, avg((turn % 2 = 0)::INTEGER) AS novelty FROM d GROUP BY trajectory),
     w AS (SELECT *, validity * 0.15::DOUBLE + no_drift * 0.15::DOUBLE + protocol * 0.10::DOUBLE + backtest_success * 0.10::DOUBLE + performance * 0.35::DOUBLE + 0.5::DOUBLE * 0.10::DOUBLE + novelty * 0.05::DOUBLE AS raw FROM s)
-    SELECT trajectory, round(raw, 6) AS raw, round(least(raw, CASE WHEN protocol = 0 THEN 0 WHEN validity < 1 THEN 0.15::DOUBLE WHEN no_drift = 0 THEN 0.30::DOUBLE ELSE 1 END), 6) AS reward FROM w"""
+    SELECT trajectory, round(validity, 6) AS validity, CAST(no_drift AS DOUBLE) AS no_drift, CAST(protocol AS DOUBLE) AS protocol, round(backtest_success, 6) AS backtest_success, round(performance, 6) AS performance,
+        0.5::DOUBLE AS robustness, round(novelty, 6) AS novelty, concat_ws(',', CASE WHEN protocol = 0 THEN 'multi_tool_per_step_cap' END, CASE WHEN validity < 1 THEN 'illegal_expr_cap' END, CASE WHEN no_drift = 0 THEN 'spec_drift_cap' END) AS caps,
+        round(raw, 6) AS raw, round(least(raw, CASE WHEN protocol = 0 THEN 0 WHEN validity < 1 THEN 0.15::DOUBLE WHEN no_drift = 0 THEN 0.30::DOUBLE ELSE 1 END), 6) AS reward FROM w"""
 )
 def evolution_scores(spark, sf_dir):
     n = F.col("turn")
     rows = R.best_so_far(_turns(spark, sf_dir)).withColumns(
         {"legal": n % 7 != 0, "drifted": n % 23 == 0, "crowded": n % 31 == 0, "novel": n % 2 == 0, "robustness": F.lit(None).cast("double")}
     )
-    return R.evolution_scores(rows).select("trajectory", F.round("raw", 6).alias("raw"), F.round("reward", 6).alias("reward"))
+    out = R.evolution_scores(rows)
+    return out.select("trajectory", *[F.round(c, 6).alias(c) for c in (*R.EVOLVE_WEIGHTS, "raw", "reward")], F.array_join("caps", ",").alias("caps"))
 
 
 @query(
@@ -589,13 +705,35 @@ def eval_window_median(spark, sf_dir):
     """WITH z AS (SELECT vec_id, embedding AS r, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + (i % 3) * 0.05::DOUBLE) AS t FROM embeddings),
     u AS (SELECT vec_id, unnest(r)::DOUBLE AS r, unnest(t) AS t, generate_subscripts(r, 1) AS i FROM z),
     s AS (SELECT vec_id, sum(t - r) AS lr, avg(abs(t - r)) AS mean FROM u WHERE i % 4 <> 0 GROUP BY vec_id)
-    SELECT vec_id, round(lr, 6) AS log_ratio, round(least(2, greatest(0.5::DOUBLE, exp(lr))), 6) AS clipped_ratio, lr < ln(0.5::DOUBLE) OR lr > ln(2.0::DOUBLE) AS was_clipped, round(mean, 6) AS mean_abs_delta FROM s"""
+    SELECT vec_id, round(lr, 6) AS log_ratio, round(least(2, greatest(0.5::DOUBLE, exp(lr))), 6) AS clipped_ratio, lr < ln(0.5::DOUBLE) OR lr > ln(2.0::DOUBLE) AS was_clipped, round(mean, 6) AS mean_abs_logprob_delta FROM s"""
 )
 def tis_masked(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("r"))
     e = e.withColumns({"t": F.transform("r", lambda x, i: x + ((i + 1) % 3) * 0.05), "m": F.transform("r", lambda x, i: F.when((i + 1) % 4 != 0, 1).otherwise(0))})
     c = e.select("vec_id", R.sequence_correction(F.col("r"), F.col("t"), F.col("m")).alias("c"))
-    return c.select("vec_id", F.round("c.log_ratio", 6).alias("log_ratio"), F.round("c.clipped_ratio", 6).alias("clipped_ratio"), "c.was_clipped", F.round("c.mean_abs_delta", 6).alias("mean_abs_delta"))
+    return c.select("vec_id", F.round("c.log_ratio", 6).alias("log_ratio"), F.round("c.clipped_ratio", 6).alias("clipped_ratio"), "c.was_clipped", F.round("c.mean_abs_logprob_delta", 6).alias("mean_abs_logprob_delta"))
+
+
+@query(
+    """WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS r, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    s AS (SELECT vec_id, sum((i % 3) * 0.05::DOUBLE * (vec_id % 2)) AS lr, avg((i % 3) * 0.05::DOUBLE * (vec_id % 2)) AS mean FROM u WHERE i % 4 <> 0 GROUP BY vec_id)
+    SELECT count(*) AS sample_count, round(avg(mean), 6) AS mean_abs_logprob_delta, round(avg((lr > ln(2.0::DOUBLE))::INTEGER), 6) AS clip_rate, 2.0::DOUBLE AS threshold, avg(mean) >= 0.02 AS recommended,
+        CASE WHEN avg(mean) >= 0.02 THEN 'systematic rollout/training log-prob gap' ELSE 'gap below enable threshold' END AS reason FROM s"""
+)
+def correction_diagnostics(spark, sf_dir):
+    """Half of the samples agree; the others are off by up to 0.1 a token."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("rollout_log_probs"))
+    off = lambda x, i: x + ((i + 1) % 3) * 0.05 * (F.col("vec_id") % 2)
+    e = e.withColumns({"training_log_probs": F.transform("rollout_log_probs", off), "response_mask": F.transform("rollout_log_probs", lambda x, i: F.when((i + 1) % 4 != 0, 1).otherwise(0))})
+    out = R.correction_report(e)
+    return out.select("sample_count", F.round("mean_abs_logprob_delta", 6).alias("mean_abs_logprob_delta"), F.round("clip_rate", 6).alias("clip_rate"), "threshold", "recommended", "reason")
+
+
+@query("SELECT vec_id, CAST(least(len(embedding), vec_id % 40 + 1) AS INTEGER) AS n_kept, CAST(embedding[least(len(embedding), vec_id % 40 + 1)] AS DOUBLE) AS last_kept FROM embeddings")
+def truncated_response(spark, sf_dir):
+    """Responses cut to a length that each row has."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", R.truncated(F.col("embedding"), (F.col("vec_id") % 40 + 1).cast("int")).alias("kept"))
+    return rows.select("vec_id", F.size("kept").alias("n_kept"), F.element_at("kept", -1).cast("double").alias("last_kept"))
 
 
 @query(
@@ -654,22 +792,252 @@ def chinese_numerals(spark, sf_dir):
     return rows.select("raw", X.with_numerals("raw").alias("normal"))
 
 
-@query("SELECT doc_id, doc_id % 3 <> 2 AS parsed, CASE WHEN doc_id % 3 <> 2 THEN CAST(doc_id % 60 + 1 AS VARCHAR) END AS first_window FROM documents")
-def parse_answers(spark, sf_dir):
-    """Records out of fenced, bare and broken answers."""
-    rows = _cases(spark, sf_dir)
+_ANSWERED = "doc_id % 3 <> 2"
+
+
+def _answered(spark, sf_dir):
+    """Records in fenced, bare and broken answers."""
+    rows, n = _cases(spark, sf_dir), F.col("doc_id") % 3
     body = F.to_json(F.col("gold").withField("windows", F.transform(F.col("gold.windows"), lambda w: w.cast("string"))))
-    n = F.col("doc_id") % 3
     answer = F.when(n == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone."))).when(n == 1, F.concat(F.lit("It is "), body, F.lit(" ."))).otherwise(F.substring(body, 1, 20))
-    spec = X.parse_spec(answer)
-    return rows.select("doc_id", spec.isNotNull().alias("parsed"), F.try_element_at(spec["windows"], F.lit(1)).cast("string").alias("first_window"))
+    return rows.withColumn("pred", X.parse_spec(answer))
+
+
+@query(f"SELECT doc_id, CASE WHEN {_ANSWERED} THEN {_spec_sql(':', ',')} END AS record FROM documents")
+def parse_answers(spark, sf_dir):
+    """Whole records out of answers, evidence and all."""
+    return _answered(spark, sf_dir).select("doc_id", T.spec_json(F.col("pred")).alias("record"))
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN NOT {_ANSWERED} THEN 0 WHEN {_CITED} THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS reward,
+    CASE WHEN {_ANSWERED} THEN '' ELSE 'invalid_json_cap: could not parse FactorSpec JSON' END AS reasons FROM documents"""
+)
+def score_rows(spark, sf_dir):
+    """Answers read and scored."""
+    rows = R.scored(_answered(spark, sf_dir))
+    reasons = F.array_join(F.transform(F.map_entries("cap_reasons"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+    return rows.select("doc_id", F.round("reward", 6).alias("reward"), reasons.alias("reasons"))
+
 
+def _labelled(spark, sf_dir):
+    """Cases as they are read from files, split by the labels."""
+    split = F.when(F.col("quality") == 1, "train").otherwise("holdout")
+    rows = _cases(spark, sf_dir).join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    text = F.lit(None).cast("string")
+    meta = F.struct(F.col("doc_id").cast("string").alias("doc_id"), *[text.alias(c) for c in ("source_path", "source_format", "title")], F.lit("").alias("institution"), F.lit("").alias("series"), *[text.alias(c) for c in ("published_at", "content_hash")])
+    return rows.select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("case_id"), "report", "gold", split.alias("split"), F.lit(4).alias("max_steps"), F.lit("v1").alias("version"), F.lit("").alias("notes"), F.lit("").alias("group_id"), meta.alias("document"))
 
-@query("SELECT doc_id, 3 AS n_messages, source FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
-def training_rows(spark, sf_dir):
-    d = _cases(spark, sf_dir).join(_table(spark, sf_dir, "labels"), "doc_id").join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    cases = d.select(F.col("doc_id").alias("case_id"), "report", "gold", F.when(F.col("quality") == 1, "train").otherwise("holdout").alias("split"), "source")
-    return R.training_rows(cases).join(cases.select("case_id", "source"), "case_id").select(F.col("case_id").alias("doc_id"), F.size("messages").alias("n_messages"), "source")
+
+def _messages(messages, *parts):
+    """The parts of all messages, hashed; nulls are empty."""
+    return F.sha2(F.array_join(F.transform(messages, lambda m: F.concat_ws("|", *[F.coalesce(p(m), F.lit("")) for p in parts])), chr(1)), 256)
+
+
+def _message_hash(*messages: str) -> str:
+    """SQL of the same hash; each message is the SQL of its parts, joined."""
+    return "sha256(" + " || chr(1) || ".join(f"({m})" for m in messages) + ")"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_message(role: str, content: str, call: str = "''", arguments: str = "''", answers: str = "''") -> str:
+    return f"concat_ws('|', '{role}', {content}, {call}, {arguments}, {answers})"
+
+
+_PARTS = (
+    lambda m: m["role"],
+    lambda m: m["content"],
+    lambda m: m["tool_calls"][0]["function"]["name"],
+    lambda m: m["tool_calls"][0]["function"]["arguments"],
+    lambda m: F.coalesce(m["tool_call_id"], m["tool_calls"][0]["id"]),
+)
+_REPORT = f"'We rank closes ' || {_QUOTE} || '. ' || text"
+_KEY = "'k' || doc_id"
+_PAYLOAD = f"""'{{"spec": ' || {_spec_sql(": ", ", ")} || '}}'"""
+_PAGED = "doc_id % 7 < 5"
+_LOOK = f"CASE WHEN {_PAGED} THEN 'read_report_pages' ELSE 'search_report' END"
+_LOOKED = f"""CASE WHEN {_PAGED} THEN '{{"page_start": ' || doc_id % 3 || ', "page_end": ' || doc_id % 3 || '}}' ELSE '{{"query": "' || {_QUOTE} || '", "limit": 5}}' END"""
+_HEAD = [_sql_message("system", _quoted(T.EXTRACT_SYSTEM)), _sql_message("user", f"{_quoted(T.EXTRACT_USER[0])} || {_REPORT} || {_quoted(T.EXTRACT_USER[1])}")]
+_READ = [
+    _sql_message("assistant", "''", _LOOK, _LOOKED, f"{_KEY} || '-read'"),
+    _sql_message("tool", f"""'{{"ok": true, "evidence": ' || {_evidence_sql(": ", ", ")} || '}}'""", answers=f"{_KEY} || '-read'"),
+]
+_CHECK = [_sql_message("assistant", "''", "'validate_factor_spec'", _PAYLOAD, f"{_KEY} || '-validate'"), _sql_message("tool", _quoted(T.VALIDATED), answers=f"{_KEY} || '-validate'")]
+_REPLY = [_sql_message("assistant", _spec_sql(":", ","))]
+_EVOLVE = [
+    _sql_message("system", _quoted(T.EVOLVE_SYSTEM)),
+    _sql_message("user", f"{_quoted(T.EVOLVE_SFT_USER[0])} || {_spec_sql(':', ',')} || {_quoted(T.EVOLVE_SFT_USER[1])}"),
+    _sql_message("assistant", "''", "'validate_expr'", _PAYLOAD, f"{_KEY} || '-validate-expr'"),
+    _sql_message("tool", _quoted(T.LEGAL), answers=f"{_KEY} || '-validate-expr'"),
+    *_REPLY,
+]
+
+
+def _sft_sql(stage: str, mask: str, messages: str) -> str:
+    return f"""SELECT {_KEY} AS case_id, CAST(doc_id AS VARCHAR) AS group_id, 'train' AS split, '{stage}' AS stage, '{stage}_lora' AS adapter, 'factor_{stage}' AS data_source, {mask} AS mask,
+        sha256({_spec_sql(":", ",")}) AS response_sha256, {messages} AS messages_sha256 FROM documents JOIN labels USING (doc_id) WHERE quality = 1"""
+
+
+def _sft(spark, sf_dir, stage):
+    rows = T.sft_rows(_labelled(spark, sf_dir), stage)
+    mask = F.array_join(F.transform("message_loss_mask", lambda m: m.cast("string")), "")
+    info = [F.col(f"extra_info.{c}").alias(c) for c in ("case_id", "group_id", "split", "stage", "adapter")]
+    return rows.select(*info, "data_source", mask.alias("mask"), F.sha2("response", 256).alias("response_sha256"), _messages(F.col("messages"), *_PARTS).alias("messages_sha256"))
+
+
+@query(_sft_sql("extract", f"CASE WHEN {_CITED} THEN '0010101' ELSE '00101' END", f"CASE WHEN {_CITED} THEN {_message_hash(*_HEAD, *_READ, *_CHECK, *_REPLY)} ELSE {_message_hash(*_HEAD, *_CHECK, *_REPLY)} END"))
+def sft_extract(spark, sf_dir):
+    """Supervised rows: every message, tool call and mask."""
+    return _sft(spark, sf_dir, "extract")
+
+
+@query(_sft_sql("evolve", "'00101'", _message_hash(*_EVOLVE)))
+def sft_evolve(spark, sf_dir):
+    return _sft(spark, sf_dir, "evolve")
+
+
+def _grpo(spark, sf_dir, stage):
+    cases = _labelled(spark, sf_dir)
+    entries = cases.where(F.col("gold.frequency") != "daily").select("case_id", F.concat(F.lit("batch/"), "case_id").alias("case_path"), F.create_map(F.lit("gold"), F.sha2("case_id", 256)).alias("content_hashes"))
+    rows = T.grpo_rows(cases, stage, entries)
+    truth = lambda path: F.get_json_object("reward_model.ground_truth", path)
+    return rows.select(
+        F.col("extra_info.case_id").alias("case_id"), F.col("extra_info.stage").alias("stage"), F.col("extra_info.adapter").alias("adapter"), "data_source", F.col("extra_info.case_path").alias("case_path"),
+        F.col("extra_info.content_hashes")["gold"].alias("gold_hash"), _messages(F.col("prompt"), lambda m: m["role"], lambda m: m["content"]).alias("prompt_sha256"),
+        truth("$.case_id").alias("truth_id"), F.sha2(truth("$.report"), 256).alias("report_sha256"), truth("$.gold.windows[0]").alias("first_window"), truth("$.document.doc_id").alias("truth_doc"), truth("$.max_steps").alias("max_steps"),
+    )
+
+
+def _grpo_sql(stage: str, system: str, user: str) -> str:
+    return f"""SELECT {_KEY} AS case_id, '{stage}' AS stage, '{stage}_lora' AS adapter, 'factor_{stage}' AS data_source, CASE WHEN doc_id % 3 <> 0 THEN 'batch/' || {_KEY} END AS case_path,
+        CASE WHEN doc_id % 3 <> 0 THEN sha256({_KEY}) END AS gold_hash, sha256('system|' || {_quoted(system)} || chr(1) || 'user|' || {user}) AS prompt_sha256,
+        {_KEY} AS truth_id, sha256({_REPORT}) AS report_sha256, CAST({_W} AS VARCHAR) AS first_window, CAST(doc_id AS VARCHAR) AS truth_doc, '4' AS max_steps
+        FROM documents JOIN labels USING (doc_id) WHERE quality = 1"""
+
+
+@query(_grpo_sql("extract", T.EXTRACT_SYSTEM, f"{_quoted(T.EXTRACT_USER[0])} || {_REPORT} || {_quoted(T.EXTRACT_USER[1])}"))
+def grpo_extract(spark, sf_dir):
+    """Prompt rows with their cases as ground truth and what a manifest adds."""
+    return _grpo(spark, sf_dir, "extract")
+
+
+@query(_grpo_sql("evolve", T.EVOLVE_SYSTEM, f"{_quoted(T.EVOLVE_GRPO_USER[0])} || {_spec_sql(':', ',')} || {_quoted(T.EVOLVE_GRPO_USER[1])}"))
+def grpo_evolve(spark, sf_dir):
+    return _grpo(spark, sf_dir, "evolve")
+
+
+@query(f"SELECT {_KEY} AS case_id, CASE WHEN {_CITED} THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS reward FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
+def hook_scores(spark, sf_dir):
+    """The reward hook over prompt rows: the ground truth's record given as the answer."""
+    rows = T.grpo_rows(_labelled(spark, sf_dir)).select("extra_info.case_id", "reward_model.ground_truth")
+    out = T.answer_scores(rows.withColumn("solution_str", F.get_json_object("ground_truth", "$.gold")))
+    return out.select("case_id", F.round("reward", 6).alias("reward"))
+
+
+@query(f"SELECT {_KEY} AS case_id, true AS passed, CASE WHEN {_CITED} THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS reward FROM documents JOIN labels USING (doc_id)")
+def dry_run(spark, sf_dir):
+    """Every case with its label as the answer."""
+    return T.dry_run(_labelled(spark, sf_dir)).select("case_id", "passed", F.round("reward", 6).alias("reward"))
+
+
+_HOLD = f"SELECT CAST(doc_id AS VARCHAR) AS g, CASE WHEN {_CITED} THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS reward, CASE WHEN {_CITED} THEN 1.0::DOUBLE ELSE 0 END AS cited FROM documents JOIN labels USING (doc_id) WHERE quality <> 1"
+
+
+@query(
+    f"""WITH h AS ({_HOLD}) SELECT 'group' AS level, g AS "group", 1 AS n, reward AS mean_reward, cited AS grounding_mean FROM h
+    UNION ALL SELECT 'pooled', NULL, count(*), round(avg(reward), 6), round(avg(cited), 6) FROM h UNION ALL SELECT 'median', NULL, count(*), median(reward), NULL FROM h"""
+)
+def holdout_report(spark, sf_dir):
+    out = T.holdout_report(_labelled(spark, sf_dir))
+    return out.select("level", "group", "n", *[F.round(c, 6).alias(c) for c in ("mean_reward", "grounding_mean")])
+
+
+@query(
+    f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'f' || doc_id WHEN 1 THEN 'g' || doc_id WHEN 2 THEN 'f' || doc_id END AS name,
+    CASE doc_id % 4 WHEN 0 THEN 'RANK($close / TS_MEAN($close, ' || {_W} || '))' WHEN 1 THEN 'RANK($open)' WHEN 2 THEN '-$close' END AS expr,
+    CASE WHEN doc_id % 4 = 0 AND doc_id % 8 = 0 THEN 'universe,frequency' ELSE '' END AS drift FROM documents"""
+)
+def candidates(spark, sf_dir):
+    """What tool calls propose: whole records, in them or around the seed; and which frozen fields they change."""
+    rows, n, gold = _cases(spark, sf_dir), F.col("doc_id"), F.col("gold")
+    moved = gold.withField("universe", F.lit("ALL")).withField("frequency", F.when(gold["frequency"] == "daily", "weekly").otherwise("daily"))
+    whole = T.spec_json(F.when(n % 8 == 0, moved).otherwise(gold))
+    payload = (
+        F.when(n % 4 == 0, F.concat(F.lit('{"spec":'), whole, F.lit("}")))
+        .when(n % 4 == 1, F.concat(F.lit('{"factor_expr":"RANK($open)","factor_name":"g'), n.cast("string"), F.lit('"}')))
+        .when(n % 4 == 2, '{"spec":{"factor_expr":"-$close"}}')
+        .otherwise('{"name":"no record"}')
+    )
+    found = rows.withColumn("c", X.candidate(payload, gold))
+    drift = F.when(F.col("c").isNotNull(), F.array_join(R.spec_drift(gold, F.col("c")), ",")).otherwise("")
+    return found.select("doc_id", "c.name", "c.expr", drift.alias("drift"))
+
+
+@query(
+    """WITH e AS (SELECT doc_id, doc_id % 600 AS a, doc_id % 9 + 1 AS b FROM documents)
+    SELECT doc_id, a BETWEEN 1 AND 504 AS ok, CASE WHEN a BETWEEN 1 AND 504 THEN CASE doc_id % 3 WHEN 0 THEN 'close' WHEN 1 THEN 'close,volume' ELSE 'open' END END AS fields,
+        CASE WHEN a BETWEEN 1 AND 504 THEN CAST(CASE doc_id % 3 WHEN 0 THEN a WHEN 1 THEN greatest(a, b) ELSE a + b END AS INTEGER) END AS max_lookback FROM e"""
+)
+def validated_expressions(spark, sf_dir):
+    """A column of expressions read by the strict language."""
+    a, b = (F.col("doc_id") % 600).cast("string"), (F.col("doc_id") % 9 + 1).cast("string")
+    one = F.concat(F.lit("RANK(TS_MEAN($close, "), a, F.lit("))"))
+    two = F.concat(F.lit("ts_sum($volume, "), b, F.lit(".0) / (1 - 1) + DELTA($close, "), a, F.lit(")"))
+    three = F.concat(F.lit("-TS_STD(DELAY($open, "), b, F.lit("), "), a, F.lit(")"))
+    n = F.col("doc_id") % 3
+    rows = _table(spark, sf_dir, "documents").select("doc_id", E.validated(F.when(n == 0, one).when(n == 1, two).otherwise(three)).alias("v"))
+    return rows.select("doc_id", "v.ok", F.array_join("v.fields", ",").alias("fields"), "v.max_lookback")
+
+
+@query(
+    f"""SELECT doc_id, {_NUMERAL} || '日，' || text AS raw, CAST({_W} AS BIGINT) AS numeral,
+        replace({_NUMERAL} || '日', {_NUMERAL}, {_NUMERAL} || '(' || {_W} || ')') AS normal FROM documents"""
+)
+def numerals_in_text(spark, sf_dir):
+    """Chinese numerals before each text: their values, and the text that shows them."""
+    rows = _cases(spark, sf_dir).select("doc_id", F.regexp_extract(F.when(F.col("doc_id") % 4 == 2, F.col("report")), "过去(.*?)日", 1).alias("_"), F.element_at("gold.windows", 1).alias("w"))
+    ones = lambda k: F.substring(F.lit("一二三四五六七八九"), k, F.lit(1))
+    w = F.col("w")
+    written = F.concat(F.when(w < 10, "").when(w < 20, "十").otherwise(F.concat(ones((w / 10).cast("int")), F.lit("十"))), F.when(w % 10 > 0, ones(w % 10)).otherwise(""))
+    rows = rows.join(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.concat(written, F.lit("日，"), "text").alias("raw"))
+    return rows.select("doc_id", "raw", F.element_at(X.numerals(F.substring_index("raw", "，", 1)), 1).alias("numeral"), F.substring_index(X.with_numerals("raw"), "，", 1).alias("normal"))
+
+
+@query(
+    f"""WITH {_CHUNK} SELECT doc_id, chunk_no, doc_id % 9 AS page FROM ch WHERE doc_id % 9 BETWEEN 2 AND 4"""
+)
+def page_range(spark, sf_dir):
+    """Chunks of the pages asked for; every ninth document has no pages."""
+    rows = X.chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = rows.withColumn("page_start", F.nullif(F.col("doc_id") % 9, F.lit(0)))
+    return P.page_range(rows, 2, 4).select("doc_id", "chunk_no", F.col("page_start").alias("page"))
+
+
+@query(
+    """WITH p AS (SELECT conv_id, turn, text FROM conversations)
+    SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS joined_sha256 FROM p GROUP BY conv_id"""
+)
+def joined_pages(spark, sf_dir):
+    """Turns as the pages of a document."""
+    rows = X.joined_pages(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return rows.select("conv_id", F.sha2("text", 256).alias("joined_sha256"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' WHEN turn % 2 = 0 THEN 'validate_expr:{"n":' || turn || '}' ELSE 'evaluate_factor:{},validate_expr:{"m":1}' END AS calls, turn % 5 = 4 AS failed FROM conversations"""
+)
+def text_tool_calls(spark, sf_dir):
+    """Tool calls written into turns, one, two or broken."""
+    t = F.col("turn")
+    one = F.concat(F.lit('<tool_call>{"id":"x","function":{"name":"validate_expr","arguments":{"n":'), t.cast("string"), F.lit("}}}</tool_call>"))
+    two = F.lit('<tool_call> {"name":"evaluate_factor"} </tool_call> then <tool_call>{"name":"validate_expr","parameters":{"m":1}}</tool_call>')
+    said = F.concat("text", F.when(t % 5 == 4, F.lit("<tool_call>{broken}</tool_call>")).when(t % 2 == 0, one).otherwise(two))
+    rows = _table(spark, sf_dir, "conversations").withColumn("said", said)
+    calls = F.array_join(F.transform(X.tool_calls(F.col("said")), lambda c: F.concat(c["name"], F.lit(":"), c["arguments"])), ",")
+    return rows.select("conv_id", "turn", calls.alias("calls"), X.tool_call_error(F.col("said")).isNotNull().alias("failed"))
 
 
 @query(
@@ -792,7 +1160,7 @@ def _as_text(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 _DATED = {
     "panel_build": "datetime", "signal_lag": "datetime", "daily_nav": "datetime", "drawdown": "datetime", "benchmark_return": "datetime", "membership_ranges": "from to",
     "universe_semijoin": "datetime", "dedupe_snapshots": "date", "asof_industry": "datetime", "calendar_index": "datetime", "calendar_reindex": "datetime",
-    "manifest_counts": "first_day last_day", "month_ends": "month_end", "adjustment_dates": "date",
+    "many_factors": "datetime", "shuffle_contrast": "datetime", "manifest_counts": "first_day last_day", "month_ends": "month_end", "adjustment_dates": "date",
 }
 _DATED |= {n: "datetime" for n, sql in ORACLES.items() if sql.endswith(") AS value FROM v")}
 QUERIES = {n: _as_text(q) for n, q in QUERIES.items()}

@@ -167,7 +167,7 @@ def test_rollouts_and_report(spark, tmp_path):
 
 def test_masks_and_contrasts(spark):
     rows = spark.createDataFrame([([1, 2], [0, 1]), ([1], [0]), ([1, 2], [1]), ([1], [2]), ([], [])], "i array<int>, m array<int>")
-    assert [r[0] for r in rows.select(P.valid_mask(F.col("i"), F.col("m"))).collect()] == [True, False, False, False, False]
+    assert [r[0] for r in rows.select(R.valid_mask(F.col("i"), F.col("m"))).collect()] == [True, False, False, False, False]
     given = spark.createDataFrame([(1.0, 0.5, 0.0), (1.0, None, 0.0), (None, 1.0, 1.0), (0.0, 0.05, None)], "a double, b double, c double")
     got = [r[0] for r in given.select(R.robustness(F.col("a"), F.col("b"), F.col("c"))).collect()]
     assert got == pytest.approx([0.75, 0.5, 0.5, 0.25])

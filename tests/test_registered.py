@@ -4,6 +4,7 @@ import os
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera.plans import queries as Q
@@ -22,7 +23,7 @@ def duck():
 
 def rows(frame):
     def plain(v):
-        return None if v is None or v != v else float(f"{v:.10g}") + 0.0 if isinstance(v, float) else v  # -0.0 sorts as 0.0
+        return None if v is None or v is pd.NA or v != v else float(f"{v:.10g}") + 0.0 if isinstance(v, float) else v  # -0.0 sorts as 0.0
 
     return sorted((tuple(map(plain, r)) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=repr)
 
