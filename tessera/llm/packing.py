@@ -7,7 +7,7 @@ list of patterns (the lengths in a sequence) with multiplicities.
 1.  Best fit, longest first: all pieces of a length go at once to the patterns
     that they fill most, tightest first.
 2.  Local search on the underfull patterns: a move, a swap of one for one or of
-    two for one between two sequences is made if it raises the sum of squared
+    two for one out of the emptiest is made if it raises the sum of squared
     fills, until sequences empty or nothing helps.  It is made on as many pairs
     of sequences at once as both patterns have.
 3.  Each piece's rank among those of its length (its rank in its task plus the
@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,62 +89,93 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[list]:
     return [x for room in by_room.values() for x in room]
 
 
-def local_search(plan: list[list], capacity: int, steps: int = 20_000) -> list[list]:
+@lru_cache(1 << 16)
+def _of(pattern: tuple) -> tuple[int, np.ndarray]:
+    """A pattern's fill, and nothing and each length that it can give back."""
+    return sum(n * m for n, m in pattern), np.array([0, *(n for n, _ in pattern)])
+
+
+def _exchange(from_: tuple, targets: list[tuple], times: list[int], capacity: int):
+    """The move or swap out of ``from_`` that fills another pattern most, then the largest: (target, out, back), or None.
+
+    A pattern is a rising tuple of (length, how often).  For each length that a
+    target can give back (or none), the largest give that still fits is found
+    among the lengths of ``from_`` and, if something comes back, their pairs.  A
+    pattern has 63 different lengths at most (1 + ... + 63 is near 2048), so
+    there are no more pairs than 2016.
+    """
+    lengths = [n for n, _ in from_]
+    singles = np.array(lengths)
+    pairs = sorted({a + b: (a, b) for i, (a, n) in enumerate(from_) for b in lengths[i:] if a != b or n > 1}.items())
+    sums = np.array([p[0] for p in pairs], np.int64)
+    fill, parts = np.array([_of(t)[0] for t in targets]), [_of(t)[1] for t in targets]
+    back = np.concatenate(parts)
+    target = np.repeat(np.arange(len(targets)), [len(x) for x in parts])
+    most = back + capacity - fill[target]
+    here = targets.index(from_)
+    allowed = (target != here) | (times[here] > 1)
+    own, best = int(fill[here]), None
+    for gives, usable in ((singles, allowed), (sums, allowed & (back > 0))):
+        at = np.searchsorted(gives, most, side="right") - 1
+        gain = np.where(at >= 0, gives[np.maximum(at, 0)] - back, 0) if len(gives) else np.zeros(len(back), np.int64)
+        good = np.flatnonzero(usable & (gain > 0) & (fill[target] - own + gain > 0))  # only these raise the squared fill
+        if len(good):
+            first = good[np.lexsort((good, -gain[good], -(fill[target] + gain)[good]))[0]]
+            rank = (int(fill[target[first]] + gain[first]), int(gain[first]))
+            if best is None or rank > best[0]:
+                give = int(gives[at[first]])
+                best = rank, int(target[first]), (give,) if gives is singles else pairs[int(at[first])][1], int(back[first])
+    return best and best[1:]
+
+
+def local_search(plan: list[list], capacity: int) -> list[list]:
     """Moves and swaps between underfull sequences that raise the squared fill.
 
-    Ends when as few sequences are left as the total needs, when nothing helps,
-    or after ``steps`` exchanges.
+    Ends when as few sequences are left as the total needs, or when no move, no
+    swap of one for one or of two for one out of any sequence raises it.  It
+    rises with each exchange and is bounded, so that comes.
     """
-    full: list[list] = []
-    loose: list[list] = []  # [times, pattern, fill], the emptiest last
+    full, loose, tried = [], Counter(), Counter()  # patterns by how often they are there
     total = 0
     for times, pattern in plan:
         fill = sum(k * v for k, v in pattern.items())
         total += times * fill
-        (full if fill == capacity else loose).append([times, pattern, fill])
-    spare = sum(x[0] for x in full) + sum(x[0] for x in loose) - -(-total // capacity)
-    for _ in range(steps):
-        if spare <= 0 or len(loose) < 1:
-            break
-        loose.sort(key=lambda x: -x[2])
-        from_ = loose[-1]
-        best = None
-        lengths = sorted(from_[1])
-        pairs = [(a, b) for i, a in enumerate(lengths) for b in lengths[i:] if a != b or from_[1][a] > 1][:400]
-        for to in loose[:512]:
-            if to is from_ and from_[0] < 2:
-                continue
-            room = capacity - to[2]
-            gives = [(a, ()) for a in lengths if a <= room]
-            for b in to[1]:
-                gives += [(a, (b,)) for a in lengths if 0 < a - b <= room]
-            options = [((a,), b) for a, b in gives] + [((a1, a2), (b,)) for a1, a2 in pairs for b in to[1] if 0 < a1 + a2 - b <= room]
-            for out, back in options:
-                gain = sum(out) - sum(back)
-                if best is None or (gain + to[2], gain) > best[0]:
-                    best = ((gain + to[2], gain), to, out, back)
-            if best and best[0][0] == capacity:
+        if fill == capacity:
+            full.append([times, pattern])
+        else:
+            loose[tuple(sorted(pattern.items()))] += times
+    spare = sum(x[0] for x in full) + sum(loose.values()) - -(-total // capacity)
+    changed = False
+    while spare > 0:
+        if not loose:
+            if not changed:
                 break
-        if best is None:
-            full.append(loose.pop())  # nothing helps this one
+            loose, tried, changed = tried, Counter(), False  # what found nothing before may find something now
+        from_ = min(loose, key=lambda p: (_of(p)[0], p))
+        both = loose + tried
+        targets = list(both)
+        found = _exchange(from_, targets, [both[t] for t in targets], capacity)
+        if found is None:
+            tried[from_] += loose.pop(from_)
             continue
-        (_, gain), to, out, back = best
-        times = from_[0] // 2 if to is from_ else min(from_[0], to[0])
-        a, b = from_[1] - Counter(out) + Counter(back), to[1] + Counter(out) - Counter(back)
-        for x in (from_, to):
-            x[0] -= times
-        for pattern, fill in ((a, from_[2] - gain), (b, to[2] + gain)):
-            if fill:
-                (full if fill == capacity else loose).append([times, pattern, fill])
+        changed = True
+        to, out, back = targets[found[0]], Counter(found[1]), Counter([found[2]] if found[2] else [])
+        times = both[from_] // 2 if to == from_ else min(both[from_], both[to])
+        for pattern, less, more in ((from_, out, back), (to, back, out)):
+            for held in (loose, tried):
+                took = min(times, held[pattern]) if held is loose else times - took
+                held[pattern] -= took
+                if held[pattern] <= 0:
+                    del held[pattern]
+            new = Counter(dict(pattern)) - less + more
+            fill = sum(k * v for k, v in new.items())
+            if fill == capacity:
+                full.append([times, new])
+            elif fill:
+                loose[tuple(sorted(new.items()))] += times
             else:
                 spare -= times
-        loose = [x for x in loose if x[0]]
-        same: dict = {}
-        if len(loose) > 4096:
-            for x in loose:
-                same.setdefault((x[2], tuple(sorted(x[1].items()))), [0, x[1], x[2]])[0] += x[0]
-            loose = list(same.values())
-    return [x[:2] for x in full + loose]
+    return full + [[n, Counter(dict(p))] for p, n in (loose + tried).items()]
 
 
 def places(plan: list[list]) -> dict[int, np.ndarray]:
@@ -194,7 +226,7 @@ def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> Data
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     lengths = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
     plan = places(local_search(best_fit(lengths, capacity), capacity))
-    ranked = pieces.join(counts, ["task", "length"])
+    ranked = pieces.join(counts.hint("shuffle_merge"), ["task", "length"])  # it grows with the tasks, so it is never broadcast
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     out = ranked.mapInArrow(lambda it: _place(it, plan), "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.select(unkeyed(), *out.columns[1:])
