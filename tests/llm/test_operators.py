@@ -220,10 +220,30 @@ def test_tokens_and_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
+def fewest(pieces, capacity):
+    """The least number of sequences, by trying all ways."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for n in {r: j for j, r in enumerate(rooms) if r >= pieces[i]}.values():
+            place(i + 1, rooms[:n] + [rooms[n] - pieces[i]] + rooms[n + 1 :])
+        place(i + 1, rooms + [capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
 def test_local_search(seed):
     r = random.Random(seed)
-    counts = {r.randint(20, 100): r.randint(1, 9) for _ in range(20)}
+    small = seed >= 4
+    counts = {r.randint(20, 100): r.randint(1, 2 if small else 9) for _ in range(7 if small else 20)}
     plan = packing.best_fit(counts, 100)
     after = packing.local_search([[t, p] for t, p in plan], 100)
     total = {}
@@ -232,6 +252,16 @@ def test_local_search(seed):
         for k, v in pattern.items():
             total[k] = total.get(k, 0) + times * v
     assert total == counts and sum(t for t, _ in after) <= sum(t for t, _ in plan)
+    if small:  # best fit and the search are near the least number
+        pieces = sorted((k for k, v in counts.items() for _ in range(v)), reverse=True)
+        assert sum(t for t, _ in after) <= fewest(pieces, 100) + 1
+
+
+def test_local_search_empties_sequences():
+    """Each of these needs a move, a swap of one for one, or of two for one."""
+    for pieces, before in (([[60], [30], [10]], 3), ([[70, 20], [60, 30], [20]], 3), ([[50, 40], [45, 45], [10, 10]], 3)):
+        after = packing.local_search([[1, packing.Counter(p)] for p in pieces], 100)
+        assert sum(t for t, _ in after) < before
 
 
 def test_sections():
@@ -291,14 +321,36 @@ def test_chat(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in own).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block", [16, 8192])
-def test_top_k(spark, block):
+@pytest.mark.parametrize("block, query_block", [(16, 3), (16, 8192), (8192, 3), (8192, 8192)])
+def test_top_k(spark, block, query_block):
+    """Against all products: ties, copies, zeros, rows that share a vec_id, two dimensions, null and odd parts."""
     g = np.random.default_rng(5)
     rows = [(i, [float(x) for x in g.integers(-4, 5, 6)]) for i in range(90)] + [(200 + i, [1.0] * 6) for i in range(40)] + [(7000, [0.0] * 6), (7020, None), (7040, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0]), (None, [1.0] * 6)]
-    got = topk_search.exact_top_k(spark.createDataFrame(rows, "vec_id long, v array<double>"), F.col("vec_id") % 20 == 0, k=5, block=block, query_block=3).collect()
-    fine = [(i, np.array(v)) for i, v in rows if i is not None and v and not np.isnan(v).any()]
-    want = [(q, n + 1, i, s) for q, a in fine if q % 20 == 0 for n, (s, i) in enumerate(sorted(((int(a @ b), i) for i, b in fine if i != q), key=lambda x: (-x[0], x[1]))[:5])]
+    rows += [(20, [9.0] * 6), (20, [9.0] * 6), (40, [2.0, 1.0]), (61, [1.0, 1.0]), (62, [3.0, -1.0]), (80, [])] + [(300 + i, [float(x) for x in 50 * g.integers(0, 2, 6)]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "vec_id long, v array<double>").withColumns({c: F.lit(7) for c in ("row", "block", "dim", "floor")})
+    got = topk_search.exact_top_k(docs, F.col("vec_id") % 20 == 0, k=5, block=block, query_block=query_block).collect()
+    fine = [(i, np.array(v)) for i, v in rows if i is not None and v is not None and not np.isnan(v).any()]
+    want = []
+    for n, (q, a) in enumerate(fine):
+        if q % 20 == 0:
+            scores = sorted(((int(a @ b), i) for m, (i, b) in enumerate(fine) if m != n and len(a) == len(b)), key=lambda x: (-x[0], x[1]))
+            want += [(q, r + 1, i, s) for r, (s, i) in enumerate(scores[:5])]
     assert sorted(map(tuple, got)) == sorted(want)
+    assert topk_search.exact_top_k(docs.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_top_k_search_of_many(spread):
+    """Thousands of clustered vectors, of like and of unlike length, so that both ways of pruning are taken."""
+    g = np.random.default_rng(9)
+    middle = g.normal(size=(8, 32))
+    x = np.floor(64 * (middle[g.integers(0, 8, 5000)] + 0.15 * g.normal(size=(5000, 32))) * np.exp(spread * g.normal(size=(5000, 1))))
+    own = np.arange(0, 5000, 50)
+    a, b, score = topk_search.search(own, x[own], np.full(len(own), -np.inf), np.arange(5000), np.arange(5000), x, 20, bucket=256)
+    for n, q in enumerate(own):
+        s = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(5000), -s)) if i != q][:20]
+        assert b[a == n].tolist() == want and score[a == n].tolist() == s[want].astype(int).tolist()
 
 
 def test_mixing(docs, none):
