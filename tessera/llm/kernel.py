@@ -115,6 +115,24 @@ def spans_hash(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
     return out
 
 
+def every_hash(raw: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the ``size`` bytes (a multiple of 8) from each place on, by pairs of halves."""
+    if len(raw) < size:
+        return np.zeros(0, np.uint64)
+    raw = np.ascontiguousarray(raw)
+    level, have, left, out, at = mix(np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,)).copy()), 8, size // 8, None, 0
+    while True:
+        if left & 1:
+            part = level[at:]
+            out = part if out is None else mix(out[: len(part)] * _STEP ^ part[: len(out)])
+            at += have
+        left >>= 1
+        if not left:
+            return out[: len(raw) - size + 1]
+        level = mix(level[:-have] * _STEP ^ level[have:])
+        have *= 2
+
+
 def rolling(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums and powers that :func:`rolled` takes; ``h`` are numbers that are mixed already."""
     n = len(h) + 1

@@ -5,7 +5,8 @@ places: the smallest hashes of their ``GRAM``-byte grams.  So
 
 1.  one pass keeps the grams that are smallest within some window that a string
     of ``length`` bytes spans, with a hash of the context that such strings can
-    reach, and deals them by hash;
+    reach, and deals them by hash.  Equal contexts within a batch are repeated
+    as a whole; one place of them is dealt, so copies do not pile up;
 2.  a gram that occurs once ends there.  Equal contexts at two places are
     repeated as a whole.  Where contexts of one gram differ, their bytes are
     fetched, one place for each context;
@@ -18,7 +19,10 @@ places: the smallest hashes of their ``GRAM``-byte grams.  So
     more are marked.
 
 Contexts of different grams use different alphabets within one index.  A gram
-with more than ``block`` bytes of contexts is indexed in pairs of blocks.
+with more than ``block`` bytes of contexts, such as one that a third of all
+documents hold, has no index: the strings of ``length`` bytes in its contexts
+are dealt by hash themselves (equal ones of a batch as one), so its places are
+spread over all tasks and their number grows with the places alone.
 """
 
 from __future__ import annotations
@@ -31,14 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import batch, buckets, grouped, ids_of, joined, keyed, split_rows, stage, unkeyed
+from .shared import batch, buckets, grouped, ids_of, joined, keyed, split_rows, stage, unkeyed, unstage
 
 GRAM = 64
-_CELL = np.dtype([("h", "<u8"), ("ctx", "<u8"), ("key", "<i8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1")])
+_CELL = np.dtype([("h", "<u8"), ("ctx", "<u8"), ("key", "<i8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("many", "u1")])
+_FOUND_SQL = "bucket int, marks binary, wants binary, heavy binary"
+_STRING = np.dtype([("h", "<u8"), ("key", "<i8"), ("pos", "<i4"), ("many", "u1")])
 _MARK = np.dtype([("key", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 _WANT = np.dtype([("key", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("h", "<u8")])
-_DEALT = pa.schema([("bucket", pa.int32()), ("cells", pa.binary())])
-_FOUND = pa.schema([("bucket", pa.int32()), ("marks", pa.binary()), ("wants", pa.binary())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("cells", pa.binary()), ("marks", pa.binary())])
+_FOUND = pa.schema([("bucket", pa.int32()), ("marks", pa.binary()), ("wants", pa.binary()), ("heavy", pa.binary())])
 _BYKEY = pa.schema([("key", pa.int64()), ("rows", pa.binary())])
 _SENT = pa.schema([("bucket", pa.int32()), ("wants", pa.binary()), ("bytes", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -78,13 +84,32 @@ def fingerprints(raw: np.ndarray, starts: np.ndarray, length: int):
 
 def _deal(batches, nb: int, length: int):
     for b in batches:
-        keys = ids_of(b.column(0))
+        keys, made = ids_of(b.column(0)), []
         for first, raw, starts in K.slices(b.column(1), 1 << 21):
             row, pos, left, right, h, ctx = fingerprints(raw, starts, length)
             cells = np.zeros(len(row), _CELL)
             cells["h"], cells["ctx"], cells["key"], cells["pos"], cells["left"], cells["right"] = h, ctx, keys[first + row], pos, left, right
-            for key, (part,) in split_rows(((h >> np.uint64(32)) % np.uint64(nb)).astype(np.int64), nb, cells):
-                yield batch(_DEALT, [[key], [part]])
+            made.append(cells)
+        if not made:
+            continue
+        cells = np.concatenate(made)
+        cells = cells[np.lexsort((cells["ctx"], cells["h"]))]
+        heads = _runs(cells["h"], cells["ctx"])
+        size = np.diff(np.append(heads, len(cells)))
+        marks = _merge(_spans(cells[np.repeat(size > 1, size)]))
+        cells = cells[heads]
+        cells["many"] = size > 1
+        for key, (part,) in split_rows(((cells["h"] >> np.uint64(32)) % np.uint64(nb)).astype(np.int64), nb, cells):
+            yield batch(_DEALT, [[key], [part], [None]])
+        for key, (part,) in split_rows(marks["key"] % nb, nb, marks):
+            yield batch(_DEALT, [[key], [None], [part]])
+
+
+def _spans(cells: np.ndarray) -> np.ndarray:
+    """The contexts of cells as marks."""
+    marks = np.zeros(len(cells), _MARK)
+    marks["key"], marks["lo"], marks["hi"] = cells["key"], cells["pos"] - cells["left"], cells["pos"] + cells["right"]
+    return marks
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -98,35 +123,92 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _match(key, table, nb: int):
+def _match(key, table, nb: int, block: int):
     cells = joined(table["cells"], _CELL)
     h = cells["h"]
     order = np.argsort(h)
-    twin = np.zeros(len(h), bool)
     ordered = h[order]
-    twin[1:] = ordered[1:] == ordered[:-1]
-    twin[:-1] |= twin[1:]
+    twin = cells["many"][order] > 0
+    same = ordered[1:] == ordered[:-1]
+    twin[1:] |= same
+    twin[:-1] |= same
     cells = cells[order[twin]]
     cells = cells[np.lexsort((cells["ctx"], cells["h"]))]
-    out = []
+    out = [batch(_FOUND, [[key[0].as_py()], [x], [None], [None]]) for x in table["marks"].drop_null()]
     if len(cells):
         heads = _runs(cells["h"], cells["ctx"])
         size = np.diff(np.append(heads, len(cells)))
-        whole = cells[np.repeat(size > 1, size)]
+        often = (size > 1) | (np.maximum.reduceat(cells["many"], heads) > 0)
+        marks = _merge(_spans(cells[np.repeat(often, size)]))
         group = np.cumsum(np.isin(heads, _runs(cells["h"]))) - 1
-        kinds = np.bincount(group)
-        singles = np.bincount(group, size == 1)
-        want = cells[heads[((kinds > 1) & (singles > 0))[group]]]
-        marks = np.zeros(len(whole), _MARK)
-        wants = np.zeros(len(want), _WANT)
-        for to, of in ((marks, whole), (wants, want)):
-            to["key"], to["lo"], to["hi"] = of["key"], of["pos"] - of["left"], of["pos"] + of["right"]
-        wants["h"] = want["h"]
-        marks = _merge(marks)
+        kinds, singles = np.bincount(group), np.bincount(group, ~often)
+        wants, heavy = _asked(cells[heads[((kinds > 1) & (singles > 0))[group]]], block)
         for to, (part,) in split_rows(marks["key"] % nb, nb, marks):
-            out.append(batch(_FOUND, [[to], [part], [None]]))
+            out.append(batch(_FOUND, [[to], [part], [None], [None]]))
         for to, (part,) in split_rows(wants["key"] % nb, nb, wants):
-            out.append(batch(_FOUND, [[to], [None], [part]]))
+            out.append(batch(_FOUND, [[to], [None], [part], [None]]))
+        for to, (part,) in split_rows(heavy["key"] % nb, nb, heavy):
+            out.append(batch(_FOUND, [[to], [None], [None], [part]]))
+    return pa.Table.from_batches(out, schema=_FOUND)
+
+
+def _asked(cells: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts to be indexed, and the spans of those of grams with more than ``block`` bytes of them."""
+    held = np.zeros(len(cells), bool)
+    if len(cells):
+        heads = _runs(cells["h"])
+        size = np.add.reduceat(cells["left"].astype(np.int64) + cells["right"], heads)
+        held = np.repeat(size > block, np.diff(np.append(heads, len(cells))))
+    wants = np.zeros(int((~held).sum()), _WANT)
+    few = cells[~held]
+    wants["key"], wants["lo"], wants["hi"], wants["h"] = few["key"], few["pos"] - few["left"], few["pos"] + few["right"], few["h"]
+    return wants, _merge(_spans(cells[held]))
+
+
+def _strings(batches, nb: int, length: int):
+    """The strings of ``length`` bytes within spans of texts; equal ones of a batch are marked, and one of them dealt."""
+    for b in batches:
+        made = []
+        for key, text, blob in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+            for lo, hi in np.frombuffer(blob.as_buffer(), _MARK)[["lo", "hi"]].tolist():
+                h = K.every_hash(raw[lo:hi], length)
+                cells = np.zeros(len(h), _STRING)
+                cells["h"], cells["key"], cells["pos"] = h, key, np.arange(lo, lo + len(h))
+                made.append(cells)
+        if not made:
+            continue
+        cells = np.concatenate(made)
+        cells = cells[np.argsort(cells["h"], kind="stable")]
+        heads = _runs(cells["h"])
+        size = np.diff(np.append(heads, len(cells)))
+        marks = _string_marks(cells[np.repeat(size > 1, size)], length)
+        cells = cells[heads]
+        cells["many"] = size > 1
+        for to, (part,) in split_rows(((cells["h"] >> np.uint64(32)) % np.uint64(nb)).astype(np.int64), nb, cells):
+            yield batch(_DEALT, [[to], [part], [None]])
+        for to, (part,) in split_rows(marks["key"] % nb, nb, marks):
+            yield batch(_DEALT, [[to], [None], [part]])
+
+
+def _string_marks(cells: np.ndarray, length: int) -> np.ndarray:
+    marks = np.zeros(len(cells), _MARK)
+    marks["key"], marks["lo"], marks["hi"] = cells["key"], cells["pos"], cells["pos"] + length
+    return _merge(marks)
+
+
+def _same(key, table, nb: int, length: int):
+    """Marks of the strings that are dealt twice or stand for several."""
+    cells = joined(table["cells"], _STRING)
+    out = [batch(_FOUND, [[key[0].as_py()], [x], [None], [None]]) for x in table["marks"].drop_null()]
+    if len(cells):
+        cells = cells[np.argsort(cells["h"], kind="stable")]
+        heads = _runs(cells["h"])
+        size = np.diff(np.append(heads, len(cells)))
+        often = (size > 1) | (np.maximum.reduceat(cells["many"], heads) > 0)
+        marks = _string_marks(cells[np.repeat(often, size)], length)
+        for to, (part,) in split_rows(marks["key"] % nb, nb, marks):
+            out.append(batch(_FOUND, [[to], [part], [None], [None]]))
     return pa.Table.from_batches(out, schema=_FOUND)
 
 
@@ -267,15 +349,6 @@ def _index(key, table, nb: int, length: int, block: int):
 
     for g in range(len(size)):
         rows = order[heads[g] : heads[g + 1]]
-        if size[g] > block:  # pairs of its blocks; overlapping contexts of a key stay in one block
-            rows = rows[np.lexsort((want["lo"][rows], want["key"][rows]))]
-            part = np.cumsum((want["hi"] - want["lo"])[rows].astype(np.int64)) // (block // 2)
-            part = np.repeat(part[_runs(want["key"][rows])], np.diff(np.append(_runs(want["key"][rows]), len(rows))))
-            names = np.unique(part)
-            for i, a in enumerate(names):
-                for c in names[i + (len(names) > 1) :]:
-                    index(rows[(part == a) | (part == c)])
-            continue
         if held + size[g] > block or len(now) >= 4000:
             index(np.concatenate(now) if now else np.zeros(0, np.int64))
             now, held = [], 0
@@ -287,7 +360,7 @@ def _index(key, table, nb: int, length: int, block: int):
     if marks:
         marks = _merge(np.concatenate(marks))
         for to, (part,) in split_rows(marks["key"] % nb, nb, marks):
-            out.append(batch(_FOUND, [[to], [part], [None]]))
+            out.append(batch(_FOUND, [[to], [part], [None], [None]]))
     return pa.Table.from_batches(out, schema=_FOUND)
 
 
@@ -318,20 +391,25 @@ def remove_repeats(docs: DataFrame, length: int = 200, block: int = 1_000_000, k
     left, which need not be whole characters (null unless ``keep``).  A null doc_id stays null; other
     columns are not read; an empty table gives an empty result.
     """
-    if not GRAM < length <= 255:
-        raise ValueError(f"length must be from {GRAM + 1} to 255")
+    if not GRAM < length <= 255 or length % 8:
+        raise ValueError(f"length must be a multiple of 8 from {GRAM + 8} to 248")
     nb = buckets(docs.sparkSession)
     rows = keyed(docs, "text").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    dealt = rows.select("key", "text").mapInArrow(lambda it: _deal(it, nb, length), "bucket int, cells binary")
-    found = stage(dealt.groupBy("bucket").applyInArrow(grouped(_match, nb=nb), "bucket int, marks binary, wants binary"), "found")
-    wants = found.where("wants is not null").select("bucket", "wants")
-    wants = wants.groupBy("bucket").applyInArrow(grouped(_by_key, column="wants", dtype=_WANT), "key long, rows binary")
-    texts = rows.select("key", "text").join(wants, "key").dropDuplicates(["key"]).select("text", "rows")
+    dealt = rows.select("key", "text").mapInArrow(lambda it: _deal(it, nb, length), "bucket int, cells binary, marks binary")
+    found = stage(dealt.groupBy("bucket").applyInArrow(grouped(_match, nb=nb, block=block), _FOUND_SQL), "found")
+
+    def by_key(table: DataFrame, column: str, dtype) -> DataFrame:
+        part = table.where(F.col(column).isNotNull()).select("bucket", column)
+        return part.groupBy("bucket").applyInArrow(grouped(_by_key, column=column, dtype=dtype), "key long, rows binary")
+
+    texts = rows.select("key", "text").join(by_key(found, "wants", _WANT), "key").dropDuplicates(["key"]).select("text", "rows")
     sent = texts.mapInArrow(lambda it: _send(it, nb), "bucket int, wants binary, bytes binary")
-    more = sent.groupBy("bucket").applyInArrow(grouped(_index, nb=nb, length=length, block=block), "bucket int, marks binary, wants binary")
-    marks = found.where("marks is not null").unionByName(more).select("bucket", "marks")
-    marks = marks.groupBy("bucket").applyInArrow(grouped(_by_key, column="marks", dtype=_MARK), "key long, rows binary")
-    kept = rows.join(stage(marks, "marks"), "key", "left").select("doc_id", "text", "rows")
+    more = sent.groupBy("bucket").applyInArrow(grouped(_index, nb=nb, length=length, block=block), _FOUND_SQL)
+    texts = rows.select("key", "text").join(by_key(found, "heavy", _MARK), "key").dropDuplicates(["key"]).select("key", "text", "rows")
+    strings = texts.mapInArrow(lambda it: _strings(it, nb, length), "bucket int, cells binary, marks binary")
+    same = strings.groupBy("bucket").applyInArrow(grouped(_same, nb=nb, length=length), _FOUND_SQL)
+    marks = stage(by_key(found.unionByName(more).unionByName(same), "marks", _MARK), "marks")
+    unstage(found)
+    kept = rows.join(marks, "key", "left").select("doc_id", "text", "rows")
     kept = kept.mapInArrow(lambda it: _cut(it, keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return kept.select(unkeyed(), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-

@@ -47,6 +47,17 @@ def test_span_hashes():
     assert len(set(h.tolist())) == len(set(spans)) and (h[: len(spans)] == h[len(spans) :]).all()
 
 
+def test_hashes_of_every_place():
+    import numpy as np
+
+    raw = np.frombuffer(bytes(random.Random(1).choice(b"ab") for _ in range(3000)), np.uint8)
+    for size in (8, 72, 200):
+        h = kernel.every_hash(raw, size)
+        of = [raw[i : i + size].tobytes() for i in range(len(raw) - size + 1)]
+        assert len(h) == len(of) and len(set(zip(of, h.tolist()))) == len(set(of)) == len(set(h.tolist()))
+    assert len(kernel.every_hash(raw[:199], 200)) == 0
+
+
 def test_jaccard_rows_of_one_id(spark):
     """Rows of one doc_id are documents of their own, each with its links."""
     a, b = own("a", 60), own("b", 60)
