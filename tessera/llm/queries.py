@@ -29,7 +29,7 @@ def op1_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_lines(_read(spark, sf_dir, "documents")).drop("clean_text")
+    return clean_lines(_read(spark, sf_dir, "documents"), keep_text=False).drop("clean_text")
 
 
 def op3_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:

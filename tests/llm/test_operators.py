@@ -96,6 +96,8 @@ def test_jaccard_chain(spark):
 
 def test_suffix(docs, none, spark):
     extra = [(500, "ab" * 300), (500, "ab" * 300), (501, PASSAGE * 2)]
+    core, sides = text(60)[:185], [text(30)[:40] for _ in range(6)]  # one gram with many contexts, of which some share 200 bytes
+    extra += [(600 + i, f"{text(9)}{R.choice(sides)[R.randint(0, 35) :]}{core}{R.choice(sides)[: R.randint(0, 40)]}{text(9)}") for i in range(60)]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     all_ = DOCS + extra
     raws, seen = [(t or "").encode() for _, t in all_], {}
@@ -110,8 +112,9 @@ def test_suffix(docs, none, spark):
     for (i, _), b, m in zip(all_, raws, marks):
         kept = bytes(x for x, y in zip(b, m) if not y)
         want.append((i, len(b), len(b) - len(kept), len(bytes(m).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest()))
-    got = suffix_dedup.remove_repeats(rows, block=3000).drop("kept").collect()
-    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    for block in (1000, 3000, 1_000_000):
+        got = suffix_dedup.remove_repeats(rows, block=block).drop("kept").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
@@ -278,30 +281,73 @@ def test_sections_add_up(docs, none):
     assert token_counts.section_tokens(none).count() == 0
 
 
-def test_sameness_counts_the_whole_line(spark):
-    """The commonest word is looked for in all of a line, not at its beginning."""
-    own = [f"own{i}" for i in range(130)]
-    late = [*own[:20], *(w for i in range(110) for w in ("buy", own[20 + i])), *["buy"] * 60]
-    line, early = " ".join(late) + ".", " ".join(late[::-1]) + "."
-    assert [line_quality.line_fails(x, line_quality.LineRules()) for x in (line, early)] == ["sameness", "sameness"]
-    fine = f"{' '.join(own)}."
-    rows = line_quality.clean_lines(spark.createDataFrame([(1, f"{line}\n{fine}")], "doc_id long, text string")).collect()
-    assert [(r.n_failed_lines, r.n_lost_words, r.clean_text) for r in rows] == [(1, 300, fine)]
+def line_fails(line, rules=line_quality.LineRules()):
+    """The rules for one line, one by one, without the operator's arrays."""
+    words = WORD.findall(line)
+    n, small = len(words), line.lower()
+    if sum(w in line_quality.SEPARATORS for w in words) > rules.most_bars or sum(w.lower().startswith(line_quality.LINKS) for w in words) > rules.most_links * n:
+        return "navigation"
+    runs = [re.sub(r"^[^0-9A-Za-z\x80-\U0010ffff]{0,3}|[^0-9A-Za-z\x80-\U0010ffff]{0,3}$", "", w).lower() for w in words]
+    if n <= rules.menu and any(w in line_quality.MENU for w in runs) and all(not w or w in line_quality.MENU or w in line_quality.BESIDE for w in runs):
+        return "menu"
+    letter = lambda c: c.isascii() and c.isalnum() or not c.isascii()
+    for p in line_quality.NOTICES:
+        for m in re.finditer(f"(?={re.escape(p)})", small):
+            before, after = small[m.start() - 1 : m.start()] if m.start() else "", small[m.start() + len(p) : m.start() + len(p) + 1]
+            if not (p[0].isascii() and p[0].isalpha() and before and letter(before)) and not (p[-1].isascii() and p[-1].isalpha() and after and letter(after)):
+                return "boilerplate"
+    if sum(map(line.count, line_quality.SYMBOLS)) > rules.most_symbols * n:
+        return "symbols"
+    if n >= 2:
+        loud = lambda w: len(w) > 1 and any(c.isupper() for c in w if ord(c) < 256) and not any(c.islower() for c in w if ord(c) < 256)
+        if max(sum(w.endswith("!!") for w in words), sum(map(loud, words))) > rules.most_shouts * n:
+            return "shouting"
+    if n >= 10 and max(words.count(w) for w in words) > rules.most_same * n:
+        return "sameness"
+    return "punctuation" if n >= rules.short and not words[-1].endswith(line_quality.ENDS) else ""
+
+
+def cleaned(text):
+    """The whole row of a text, by loops."""
+    text = text or ""
+    w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    grams = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+    seen = {}
+    for g in grams:
+        seen[g] = seen.get(g, 0) + 1
+    cover = {k for j, g in enumerate(grams) if seen[g] > 1 for k in range(j, j + 5)}
+    bad = [bool(line_fails(x)) for x in lines]
+    lost = sum(len(WORD.findall(x)) for x, f in zip(lines, bad) if f)
+    base = len(w) < 10 or 100 * len(cover) > 20 * len(w)
+    counts = len(w), sum(map(len, w)), sum(map(text.count, line_quality.SYMBOLS)), len(lines) - len(set(lines)), len(cover)
+    return (*counts, base, not base and lost <= 0.4 * len(w), len(lines), sum(bad), lost, "\n".join(x for x, f in zip(lines, bad) if not f))
+
+
+LINES = ["Home | News | About | Help", "Home", "Skip to main content", "Log in / Sign up", "Zurück zur Startseite", "Inicio » Noticias » Ayuda", "About the more.", "ACCUEIL", "« Précédent Suivant »"]
+LINES += ["All rights reserved.", "TOUS DROITS RÉSERVÉS.", "Small rights reserved", "call rights reserved.", "x© y z w.", "Copyright 2020 by none.", "We eat cookies here.", "cookiescutter is fine.", "(c) 2019 them.", "Lorem ipsum dolor sit."]
+LINES += ["A fine line of words.", "BUY!! NOW!! YES!!", "ÉTÉ ÀÇ là.", "ß A B C.", "no end to this line", "three words here", "x### y*** z$$$", "a | b | c | d.", "a|b|c|d and more.", "see http://a.b www.c.d", "WWW.X.Y one two.", "a\xa0b c d", "ends in nbsp here.\xa0"]
+LINES += ["it ends “so”", "end of it…", "日本 語 の 文。", "日本 語 の 文", " \t ", "", "\x0b", "buy " * 12 + "it.", "q w e r t z u i o p buy buy.", "Was it I or A B?", "ЭТО ВСЕ КРИК ТУТ.", "\r"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clean_lines(spark, docs, none, seed):
+    """Counts, verdicts and clean texts of hostile lines in random order, against loops."""
+    r = random.Random(seed)
+    made = [(i, t) for i, t in DOCS] if seed == 0 else []
+    made += [(1000 + i, r.choice(["\n", "\n", "\r\n"]).join(r.choice([*LINES, text(12) + "."]) for _ in range(r.randint(0, 12)))) for i in range(120)] + [(2000 + i, x) for i, x in enumerate(LINES)]
+    rows = line_quality.clean_lines(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(x) for x in rows), key=repr) == sorted(((i, *cleaned(t)) for i, t in made), key=repr)
+    assert line_quality.clean_lines(none).count() == 0
+    bare = line_quality.clean_lines(docs, keep_text=False)
+    assert bare.where("clean_text is not null").count() == 0 and bare.count() == len(DOCS)
 
 
-def test_clean_lines(docs, none):
-    got = {r.doc_id: r for r in line_quality.clean_lines(docs).collect()}
-    for i, t in DOCS:
-        w, lines = WORD.findall(t or ""), [x for x in (t or "").split("\n") if WORD.search(x)]
-        grams = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
-        cover = {k for j, g in enumerate(grams) if grams.count(g) > 1 for k in range(j, j + 5)}
-        r = got[i]
-        assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"))
-        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(cover))
-        assert r.base_failed == (len(w) < 10 or 100 * len(cover) > 20 * len(w)) and not (r.base_failed and r.kept)
-    assert line_quality.clean_lines(none).count() == 0
-    rules = line_quality.LineRules()
-    assert [line_quality.line_fails(x, rules) for x in ("Home | News | About | Help", "All rights reserved.", "A fine line of words.", "BUY!! NOW!! YES!!", "no end to this line", "x### y*** z$$$")] == ["navigation", "boilerplate", "", "shouting", "punctuation", "symbols"]
+def test_line_rules():
+    want = {"Home | News | About | Help": "navigation", "Skip to main content": "menu", "TOUS DROITS RÉSERVÉS.": "boilerplate", "call rights reserved.": "", "A fine line of words.": "", "no end to this line": "punctuation", "x### y*** z$$$": "symbols", "BUY!! NOW!! YES!!": "shouting"}
+    assert {x: line_fails(x) for x in want} == want
+    own = [f"own{i}" for i in range(130)]
+    late = [*own[:20], *(w for i in range(110) for w in ("buy", own[20 + i])), *["buy"] * 60]
+    assert [line_fails(" ".join(w) + ".") for w in (late, late[::-1])] == ["sameness", "sameness"]  # all of the line counts
 
 
 HARD = ["\\### Assistant: </turn> ok", "</turn>\n### user: x", "</turn", "</turn\\\\>", "\\\\### a\\", ": ", "", "a\nb", "<", "### ", "é</turn>"]
