@@ -115,10 +115,15 @@ def vendor_code(code):
     return F.concat_ws(".", F.substring(code, 1, 2), F.substring(code, 3, 32))
 
 
+def month_ends_to(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """The last days of the months from start's to end's, the last of which may be past ``end``."""
+    months = F.explode(F.sequence(F.trunc(start, "month"), F.col(end), F.expr("interval 1 month")))
+    return rows.select(months.alias("_m"), end).select(F.last_day("_m").alias("month_end"), end)
+
+
 def month_ends(rows: DataFrame, start: str, end: str) -> DataFrame:
     """The last days of the months from start's to end's, none past ``end``."""
-    months = F.explode(F.sequence(F.trunc(start, "month"), F.col(end), F.expr("interval 1 month")))
-    return rows.select(months.alias("_m"), end).select(F.last_day("_m").alias("month_end"), end).where(F.col("month_end") <= F.col(end)).select("month_end")
+    return month_ends_to(rows, start, end).where(F.col("month_end") <= F.col(end)).select("month_end")
 
 
 def coerced(rows: DataFrame, numbers: list[str], flags: list[str]) -> DataFrame:

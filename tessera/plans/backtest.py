@@ -17,6 +17,7 @@ from ..functions import expression as E
 
 AS_OF_BARS = 1
 UNIVERSES = ("CSI300", "CSI500")
+SHUFFLE_SEED = 20260913
 NEUTRALIZATIONS = ("none", "industry")
 
 
@@ -130,7 +131,7 @@ def holdings(rows: DataFrame, config: Config) -> DataFrame:
 
 
 def daily(rows: DataFrame, config: Config) -> DataFrame:
-    """One row a day: gross, cost, net, benchmark, turnover, n_held.
+    """One row a day: gross, cost, net, benchmark, turnover, n_held, n_rows.
 
     All figures come from one aggregate.  A name that is held on a day and not on
     the next is sold on the next, where it may have no row: it adds one.
@@ -147,11 +148,11 @@ def daily(rows: DataFrame, config: Config) -> DataFrame:
     left = w.isNotNull() & F.col("after").isNull()
     each = rows.select(F.explode(F.when(left, F.array(here, gone)).otherwise(F.array(here))).alias("e")).select("e.*")
     sums = {"benchmark": F.avg("r"), "gross": F.sum("gross"), "buys": F.sum("buys"), "sells": F.sum("sells")}
-    out = each.groupBy("d").agg(F.max("datetime").alias("datetime"), F.coalesce(F.sum("held"), F.lit(0)).alias("n_held"), *[F.coalesce(c, zero).alias(n) for n, c in sums.items()])
+    out = each.groupBy("d").agg(F.max("datetime").alias("datetime"), F.coalesce(F.sum("held"), F.lit(0)).alias("n_held"), F.count("datetime").alias("n_rows"), *[F.coalesce(c, zero).alias(n) for n, c in sums.items()])
     out = out.where("datetime is not null")  # the day after the last
     cost = F.col("buys") * F.lit(float(config.open_cost)) + F.col("sells") * F.lit(float(config.close_cost))
     return out.select(
-        "d", "datetime", "gross", cost.alias("cost"), (F.col("gross") - cost).alias("net"), "benchmark", ((F.col("buys") + F.col("sells")) / 2).alias("turnover"), "n_held"
+        "d", "datetime", "gross", cost.alias("cost"), (F.col("gross") - cost).alias("net"), "benchmark", ((F.col("buys") + F.col("sells")) / 2).alias("turnover"), "n_held", "n_rows"
     )
 
 
@@ -191,7 +192,7 @@ def backtest(panel: DataFrame, expression: str, start: str, end: str, config: Co
     return with_nav(daily(tradable(rows, start, end, days), config))
 
 
-def contrasts(panel: DataFrame, expression: str, start: str, end: str, config: Config = Config(), days: DataFrame | None = None, seed: int = 20260913) -> DataFrame:
+def contrasts(panel: DataFrame, expression: str, start: str, end: str, config: Config = Config(), days: DataFrame | None = None, seed: int = SHUFFLE_SEED) -> DataFrame:
     """One row of (contrast, metrics) for the factor as it is, one bar later, and with each day's scores dealt anew."""
     runs = {"reference": config, "lag_one": replace(config, shift_bars=config.shift_bars + 1), "shuffle_cross_section": replace(config, shuffle_seed=seed)}
     out = None

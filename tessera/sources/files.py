@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import time
 from collections.abc import Callable, Iterable, Iterator
 
@@ -91,8 +92,13 @@ def prices(spark: SparkSession, path: str) -> DataFrame:
     """Daily bars from CSV files with headers: numbers and flags coerced, return from the percent change, one row a key."""
     names = ["date", "code", *PRICE_NUMBERS, *PRICE_FLAGS]
     rows = spark.read.option("header", True).option("enforceSchema", False).schema(", ".join(f"`{c}` string" for c in names)).csv(path)
+    return bars(rows.withColumn("instrument", M.instrument_code(F.col("code"))))
+
+
+def bars(rows: DataFrame) -> DataFrame:
+    """Bars as a vendor writes them, all texts, with types, returns and one row a key."""
     rows = M.coerced(rows, list(PRICE_NUMBERS), list(PRICE_FLAGS))
-    rows = rows.withColumns({"datetime": F.to_date("date"), "instrument": M.instrument_code(F.col("code")), "return": F.col("pctChg") / 100})
+    rows = rows.withColumns({"datetime": F.to_date("date"), "return": F.col("pctChg") / 100})
     rows = rows.select("datetime", "instrument", *PRICE_NUMBERS[:-1], "return", *PRICE_FLAGS)
     return M.first_of(rows, ["datetime", "instrument"], [*PRICE_NUMBERS[:-1], "return", *PRICE_FLAGS])
 
@@ -139,14 +145,71 @@ def fetched(instruments: DataFrame, fetch: Callable[[list[str]], pd.DataFrame],
     return instruments.select("instrument").distinct().mapInPandas(work, schema)
 
 
+def calendar(spark: SparkSession, path: str) -> DataFrame:
+    """(datetime, day_idx, traded) of an exported panel; every day of it is one that traded."""
+    return spark.read.parquet(f"{path}/calendar").select("datetime", "day_idx", F.lit(True).alias("traded"))
+
+
 def market_panel(spark: SparkSession, path: str, universe: str | None, fields: list[str], start: str, end: str) -> DataFrame:
-    """Pruned scan of an exported panel: its fields, dates, and the rows within the universe's memberships."""
+    """Pruned scan of an exported panel: its fields, dates, and the rows within the universe's memberships.
+
+    Whether there can be rows is asked of the small tables of ranges or spans.
+    """
+    day = lambda s: F.lit(s).cast("date")
+    held = spark.read.parquet(f"{path}/ranges").where(F.col("universe") == universe) if universe else spark.read.parquet(f"{path}/spans")
+    if held.where((F.col("from") <= day(end)) & (F.col("to") >= day(start))).isEmpty():
+        raise ValueError(f"no market rows of {universe} from {start} to {end}")
     rows = spark.read.parquet(f"{path}/features")
-    rows = rows.where(F.col("year").between(int(start[:4]), int(end[:4])) & F.col("datetime").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    rows = rows.where(F.col("year").between(int(start[:4]), int(end[:4])) & F.col("datetime").between(day(start), day(end)))
     rows = rows.select("datetime", "instrument", *fields)
-    if universe:
-        ranges = spark.read.parquet(f"{path}/ranges").where(F.col("universe") == universe)
-        rows = M.within_membership(rows, ranges)
-    if rows.isEmpty():
-        raise ValueError(f"no market rows of {universe} from {start} to {end}")
-    return rows
+    return M.within_membership(rows, held) if universe else rows
+
+
+def pdf_texts(content: bytes) -> list[str]:
+    """The texts of a PDF's pages, by pypdf where it is installed."""
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise RuntimeError("reading PDF files takes the package pypdf") from e
+    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
+
+
+def pdf_pages(spark: SparkSession, path: str, texts: Callable[[bytes], list[str]] = pdf_texts) -> DataFrame:
+    """(source_path, page, text) of PDF files, pages from 1; ``texts`` reads one file's pages."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                pages = texts(bytes(content))
+                yield pd.DataFrame({"source_path": name, "page": range(1, len(pages) + 1), "text": pages})
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content").mapInPandas(work, "source_path string, page int, text string")
+
+
+def pdf_reports(pages: DataFrame) -> DataFrame:
+    """``reports`` out of pages: a blank line between pages, the hash of the text without added numerals."""
+    raw, shown = X.joined_pages(pages, "source_path"), X.joined_pages(pages.withColumn("text", X.with_numerals("text")), "source_path")
+    raw = raw.select("source_path", X.document_id(F.col("text")).alias("doc_id"), X.content_hash(F.col("text")).alias("content_hash"))
+    return raw.join(shown, "source_path").select("doc_id", "source_path", F.lit("pdf").alias("source_format"), "content_hash", "text")
+
+
+def page_chunks(pages: DataFrame, size: int = 1800, overlap: int = 200) -> DataFrame:
+    """Pages cut to chunks with their page's number; chunk numbers begin anew on each page."""
+    rows = X.chunks(pages.withColumn("text", X.with_numerals("text")), size=size, overlap=overlap)
+    page = F.col("page")
+    return rows.select("source_path", X.chunk_id(page, F.col("chunk_no")).alias("chunk_id"), page.alias("page_start"), page.alias("page_end"), "char_start", "char_end", F.col("chunk").alias("text"))
+
+
+#: Schemas of the other JSON lines that commands read: pairs of records, and samples of log-probabilities.
+PAIRS = f"case_id string, seed {_SPEC}, evolved {_SPEC}"
+SAMPLES = "rollout_log_probs array<double>, training_log_probs array<double>, response_mask array<int>"
+
+
+def pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(case_id, seed, evolved) records to be compared."""
+    return json_rows(spark, path, PAIRS).select("case_id", _whole(F.col("seed")).alias("seed"), _whole(F.col("evolved")).alias("evolved"))
+
+
+def samples(spark: SparkSession, path: str) -> DataFrame:
+    """Log-probabilities of rollouts as ``records.correction_report`` takes them."""
+    return json_rows(spark, path, SAMPLES)

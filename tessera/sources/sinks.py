@@ -7,8 +7,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+from collections.abc import Iterator
+from pathlib import Path
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +36,21 @@ def write_json(rows: DataFrame, path: str, mode: str = "errorifexists", *partiti
     rows.write.mode(mode).partitionBy(*partitions).option("ignoreNullFields", False).json(path)
 
 
+def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """CSV files with headers; readers see all of them or none."""
+    rows.write.mode(mode).option("header", True).csv(path)
+
+
+def write_by_case(rows: DataFrame, path: str) -> None:
+    """JSON lines, a folder for each case."""
+    write_json(rows, path, "errorifexists", "case_id")
+
+
+def write_one(row: DataFrame, path: str) -> None:
+    """A report of a few rows as one file of JSON lines."""
+    write_json(row.coalesce(1), path)
+
+
 def write_pools(routed: DataFrame, path: str) -> DataFrame:
     """One folder of JSON lines for each route, and the counts, which are returned."""
     write_json(routed, f"{path}/pools", "errorifexists", "route")
@@ -78,20 +98,82 @@ def export_panel(market: DataFrame, memberships: DataFrame, path: str, source: s
 
 
 def validate_manifest(spark: SparkSession, path: str, start: str, end: str) -> dict:
-    """The manifest of an export that covers the period and whose tables are unchanged; else an error."""
-    if not exists(spark, f"{path}/manifest"):
-        raise FileNotFoundError(f"no manifest at {path}")
-    found = spark.read.schema(MANIFEST).json(f"{path}/manifest").first().asDict()
-    if found["start"] > start or found["end"] < end:
-        raise ValueError(f"data coverage {found['start']}..{found['end']} does not cover {start}..{end}")
-    for table, wanted in found["hashes"].items():
-        if not exists(spark, f"{path}/{table}"):
-            raise FileNotFoundError(f"table missing: {table}")
-        if rows_hash(spark.read.parquet(f"{path}/{table}")) != wanted:
-            raise ValueError(f"content hash mismatch: {table}")
+    """The manifest of an export that covers the period and whose tables are as they were written; else an error.
+
+    What is wrong is listed as a whole: the first kind of fault that there is,
+    with every table that has it.
+    """
+    where = f"{path}/manifest"
+    found = json_first(spark, where, MANIFEST)
+    if found is None:
+        raise FileNotFoundError(f"{where} is not there")
+    if not (found["start"] <= start and end <= found["end"]):
+        raise ValueError(f"{start}..{end} is not within the data's {found['start']}..{found['end']}")
+    lost = [t for t in sorted(found["hashes"]) if not exists(spark, f"{path}/{t}")]
+    if lost:
+        raise FileNotFoundError(f"tables of the export are gone: {', '.join(lost)}")
+    changed = [t for t in sorted(found["hashes"]) if rows_hash(spark.read.parquet(f"{path}/{t}")) != found["hashes"][t]]
+    if changed:
+        raise ValueError(f"tables differ from when they were exported: {', '.join(changed)}")
     return found
 
 
+def json_first(spark: SparkSession, path: str, schema: str) -> dict | None:
+    """The first row of JSON lines, or None where there is no file."""
+    rows = spark.read.schema(schema).json(path).head(1) if exists(spark, path) else []
+    return rows[0].asDict() if rows else None
+
+
+def binary_features(market: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(path, content) of vectors on disk: for each instrument and field the place of its first day and its values.
+
+    Little-endian 32-bit floats over the calendar's days from the instrument's
+    first to its last, NaN where there is no row.  One instrument's days are one
+    group.
+    """
+    names = [c for c in PANEL_FIELDS if c in market.columns]
+    days = calendar.select("datetime", "day_idx")
+    rows = market.select("datetime", "instrument", *[F.col(c).cast("double").alias(c) for c in names]).join(F.broadcast(days), "datetime")  # one row a day
+
+    def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.set_index("day_idx").sort_index()
+        whole = frame.reindex(range(frame.index[0], frame.index[-1] + 1))
+        content = [np.concatenate([[frame.index[0]], whole[c].to_numpy(float)]).astype("<f4").tobytes() for c in names]
+        return pd.DataFrame({"path": [f"features/{str(key[0]).lower()}/{c}.day.bin" for c in names], "content": content})
+
+    return rows.groupBy("instrument").applyInPandas(work, "path string, content binary")
+
+
+def export_binary(market: DataFrame, memberships: DataFrame, root: str) -> int:
+    """The panel as vectors, a calendar and spans of instruments in text files; returns the number of files.
+
+    ``root`` is a folder that the driver and all executors mount.  A file is
+    written beside its name and then renamed, so a repeated task is harmless.
+    """
+    calendar = M.trading_calendar(market)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    line = lambda *c: F.concat_ws("\t", *c)
+    ranges = M.membership_ranges(memberships, calendar.select("datetime"))
+    spans = market.groupBy("instrument").agg(F.min("datetime").alias("from"), F.max("datetime").alias("to")).withColumn("universe", F.lit("all"))
+    text = lambda rows, key, value: rows.groupBy(key.alias("path")).agg(F.encode(F.concat(F.array_join(F.sort_array(F.collect_list(value)), "\n"), F.lit("\n")), "UTF-8").alias("content"))
+    lists = ranges.select("universe", "instrument", "from", "to").unionByName(spans.select("universe", "instrument", "from", "to"))
+    made = binary_features(market, calendar)
+    made = made.unionByName(text(calendar, F.lit("calendars/day.txt"), day("datetime")))  # one line a day
+    made = made.unionByName(text(lists, F.concat(F.lit("instruments/"), F.lower("universe"), F.lit(".txt")), line("instrument", day("from"), day("to"))))
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                to = Path(root) / name
+                to.parent.mkdir(parents=True, exist_ok=True)
+                beside = to.with_name(f".{to.name}.{uuid.uuid4().hex}")
+                beside.write_bytes(content)
+                beside.replace(to)
+            yield frame[["path"]]
+
+    return made.mapInPandas(write, "path string").count()
+
+
 def write_batch(cases: DataFrame, reports: DataFrame, path: str, batch_id: str, need_evidence: bool = True) -> DataFrame:
     """A label batch: four JSON texts a case with their hashes, and a manifest, which is returned.
 
@@ -113,7 +195,9 @@ def write_batch(cases: DataFrame, reports: DataFrame, path: str, batch_id: str,
     rows = rows.withColumn("content_hashes", F.create_map(*[x for n in body for x in (F.lit(n), F.sha2(f"{n}_json", 256))]))
     rows.write.partitionBy("split").parquet(f"{path}/batch")
     back = cases.sparkSession.read.parquet(f"{path}/batch")
-    entries = back.select(F.lit(batch_id).alias("batch_id"), "case_id", "group_id", "split", "content_hashes")
+    parts = {"case": "case_path", "report": "report_snapshot_path", "verifier": "verifier_spec_path", "gold": "gold_path"}
+    places = [F.concat(F.lit(f"{path}/batch?column={n}_json&case_id="), "case_id").alias(p) for n, p in parts.items()]
+    entries = back.select(F.lit(batch_id).alias("batch_id"), "case_id", "group_id", "split", *places, "content_hashes", F.lit("factor_batch_v1").alias("version"))
     write_json(entries, f"{path}/manifest")
     return entries
 
@@ -123,6 +207,43 @@ def write_rollouts(rollouts: DataFrame, path: str) -> None:
     write_json(rollouts, path, "append")
 
 
+def store_rollouts(trajectories: DataFrame, path: str, run_id: str) -> DataFrame:
+    """Keeps whole rollouts and appends their records, which are returned.
+
+    ``trajectories`` have rollout_id, case_id, stage, steps (array of role and
+    content), reward, caps, audit (tool_calls, illegal_tool_calls,
+    illegal_by_kind) and, if known, tools, metadata and the two columns of
+    log-probabilities.  The trajectory, the score and the rest go to three
+    tables by case; the prompt is the steps of system and user.
+    """
+    kept = F.filter("steps", lambda s: s["role"].isin("system", "user"))
+    prompt = F.transform(kept, lambda s: F.struct(s["content"].alias("content"), s["role"].alias("role")))
+    have, text = set(trajectories.columns), F.lit(None).cast("string")
+    optional = {c: F.col(c) if c in have else F.lit(None).cast(t) for c, t in (("metadata", "map<string, string>"), ("rollout_log_probs", "array<double>"), ("training_log_probs", "array<double>"))}
+    rows = trajectories.withColumns(
+        {
+            "run_id": F.lit(run_id),
+            "prompt": prompt,
+            "prompt_hash": F.sha2(F.to_json(prompt), 256),
+            "tool_schemas": F.coalesce(F.col("tools") if "tools" in have else text, F.lit("[]")),
+            "place": F.concat_ws("/", F.lit(path), F.lit("{}"), F.concat(F.lit("case_id="), "case_id"), "rollout_id"),
+            **optional,
+        }
+    )
+    rows = rows.withColumn("tool_schema_hash", F.sha2("tool_schemas", 256))
+    parts = {"trajectory": ["stage", "steps"], "score": ["reward", "caps"], "metadata": ["prompt", "tool_schemas", "prompt_hash", "tool_schema_hash", *optional]}
+    for name, columns in parts.items():
+        write_json(rows.select("run_id", "rollout_id", "case_id", *columns), f"{path}/{name}", "append", "case_id")
+    calls = {c: F.coalesce(F.col(f"audit.{c}"), F.lit(0)).cast("long").alias(c) for c in ("tool_calls", "illegal_tool_calls")}
+    place = lambda n: F.replace("place", F.lit("{}"), F.lit(n))
+    records = rows.select(
+        "run_id", "rollout_id", "case_id", "stage", "reward", F.col("caps").alias("active_caps"), *calls.values(), F.col("audit.illegal_by_kind").alias("illegal_by_kind"),
+        "prompt_hash", "tool_schema_hash", place("trajectory").alias("trajectory_path"), place("score").alias("score_path"), "metadata",
+    )
+    write_rollouts(records, f"{path}/scores")
+    return records
+
+
 def write_run_report(records: DataFrame, path: str, routed: DataFrame | None = None) -> DataFrame:
     """The one-row summary of a run as JSON and as Markdown lines; returned."""
     summary = P.run_summary(records, routed)
