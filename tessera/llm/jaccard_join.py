@@ -58,7 +58,7 @@ def _deal(batches, nb: int, k: int):
                 head = np.flatnonzero(np.diff(own, prepend=-1))
                 n[lo + own[head]] = np.diff(np.append(head, len(own)))
                 sig[lo + own[head]] = np.add.reduceat(K.mix(h + np.uint64(0x5851F42D4C957F2D)), head)
-            rows.append(own + lo)
+            rows.append((own + lo).astype(np.int32))
             hashes.append(h)
         sig = K.mix(sig + n.astype(np.uint64))
         docs = np.zeros(len(ids), _DOC)
@@ -68,13 +68,16 @@ def _deal(batches, nb: int, k: int):
         if not rows:
             continue
         row, h = np.concatenate(rows), np.concatenate(hashes)
+        rows, hashes = [], []
         _, firsts = np.unique(sig, return_index=True)  # copies within the batch count once
         keep = np.zeros(len(ids), bool)
         keep[firsts] = True
-        row, h = row[keep[row]], h[keep[row]]
-        bucket = ((h >> np.uint64(32)) % np.uint64(nb)).astype(np.int64)
-        order = np.argsort(bucket.astype(np.uint16 if nb <= 65536 else np.uint32), kind="stable")
+        if not keep.all():
+            row, h = row[keep[row]], h[keep[row]]
+        bucket = ((h >> np.uint64(32)) % np.uint64(nb)).astype(np.uint16 if nb <= 65536 else np.uint32)
+        order = np.argsort(bucket, kind="stable")
         row, h, ends, lo = row[order], h[order], np.cumsum(np.bincount(bucket, minlength=nb)), 0
+        del bucket, order
         for key in range(nb):
             hi = int(ends[key])
             if hi > lo:
