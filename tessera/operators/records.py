@@ -382,10 +382,34 @@ def spec_drift(seed: Column, now: Column, fields: tuple = ("universe", "frequenc
 
 
 def eval_window(pairs: DataFrame) -> DataFrame:
-    """Median change and improved share of pairs (seed, evolved) that both have a metric."""
+    """Medians of pairs (seed, evolved) that both have a metric, and the share of them that improved."""
     scored_ = F.col("seed").isNotNull() & F.col("evolved").isNotNull()
-    delta = F.when(scored_, F.col("evolved") - F.col("seed"))
-    return pairs.agg(F.count("*").alias("n"), F.count(delta).alias("n_scored"), F.median(delta).alias("median_delta"), F.avg((delta > 0).cast("double")).alias("improved_share"))
+    own = lambda c: F.when(scored_, c)
+    delta = own(F.col("evolved") - F.col("seed"))
+    return pairs.agg(
+        F.count("*").alias("n"),
+        F.count(delta).alias("n_scored"),
+        F.median(own(F.col("seed"))).alias("median_seed_metric"),
+        F.median(own(F.col("evolved"))).alias("median_evolved_metric"),
+        F.median(delta).alias("median_delta"),
+        F.coalesce(F.avg((delta > 0).cast("double")), F.lit(0.0)).alias("improved_share"),
+    )
+
+
+#: The periods of search, score and evaluation.
+PERIODS = {"search": ("2018-01-01", "2021-12-31"), "score": ("2022-01-01", "2023-12-31"), "eval": ("2024-01-01", "2024-12-31")}
+
+
+def eval_pairs(results: DataFrame) -> DataFrame:
+    """(case_id, seed, evolved, delta, ok, error) of results (case_id, side, ok, metric, error), side seed or evolved."""
+    side = lambda name, c: F.max(F.when(F.col("side") == name, c))
+    good = F.when(F.col("ok"), F.col("metric"))
+    rows = results.groupBy("case_id").agg(
+        side("seed", good).alias("seed"), side("evolved", good).alias("evolved"), side("seed", F.col("error")).alias("_a"), side("evolved", F.col("error")).alias("_b")
+    )
+    errors = [F.nullif(F.col(c), F.lit("")) for c in ("_a", "_b")]
+    delta = F.col("evolved") - F.col("seed")
+    return rows.select("case_id", "seed", "evolved", delta.alias("delta"), delta.isNotNull().alias("ok"), F.concat_ws("; ", *errors).alias("error"))
 
 
 def latest_success(log: DataFrame, keys: list[str]) -> DataFrame:

@@ -690,15 +690,30 @@ def evolution_scores(spark, sf_dir):
     return out.select("trajectory", *[F.round(c, 6).alias(c) for c in (*R.EVOLVE_WEIGHTS, "raw", "reward")], F.array_join("caps", ",").alias("caps"))
 
 
+_SIDES = """r AS (SELECT user_id AS case_id, event_type = 'click' AS seed, round(avg(value), 4) AS v, count(*) % 7 <> 0 AS ok FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL),
+    p AS (SELECT case_id, max(CASE WHEN seed AND ok THEN v END) AS a, max(CASE WHEN NOT seed AND ok THEN v END) AS b, concat_ws('; ', max(CASE WHEN seed AND NOT ok THEN 'seed failed' END), max(CASE WHEN NOT seed AND NOT ok THEN 'evolved failed' END)) AS error FROM r GROUP BY case_id)"""
+
+
+def _sides(spark, sf_dir):
+    """Clicks as results of seeds, purchases as those of evolved records; some fail."""
+    rows = _table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase"))
+    side = F.when(F.col("event_type") == "click", "seed").otherwise("evolved")
+    rows = rows.groupBy(F.col("user_id").alias("case_id"), side.alias("side")).agg(F.round(F.avg("value"), 4).alias("metric"), (F.count("*") % 7 != 0).alias("ok"))
+    return R.eval_pairs(rows.withColumn("error", F.when(F.col("ok"), "").otherwise(F.concat("side", F.lit(" failed")))))
+
+
+@query(f"WITH {_SIDES} SELECT case_id, a AS seed, b AS evolved, round(b - a, 6) AS delta, (b - a) IS NOT NULL AS ok, error FROM p")
+def eval_pairs(spark, sf_dir):
+    return _sides(spark, sf_dir).withColumn("delta", F.round("delta", 6))
+
+
 @query(
-    """WITH p AS (SELECT user_id, avg(CASE WHEN event_type = 'click' THEN value END) AS a, avg(CASE WHEN event_type = 'purchase' THEN value END) AS b FROM events GROUP BY user_id)
-    SELECT count(*) AS n, count(b - a) AS n_scored, round(median(b - a), 6) AS median_delta, round(avg((b > a)::INTEGER), 6) AS improved_share FROM p"""
+    f"""WITH {_SIDES}, q AS (SELECT *, (b - a) IS NOT NULL AS ok FROM p) SELECT count(*) AS n, count(b - a) AS n_scored, round(median(a) FILTER (ok), 6) AS median_seed_metric, round(median(b) FILTER (ok), 6) AS median_evolved_metric,
+    round(median(b - a), 6) AS median_delta, round(coalesce(avg((b > a)::INTEGER), 0), 6) AS improved_share FROM q"""
 )
 def eval_window_median(spark, sf_dir):
-    value = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
-    pairs = _table(spark, sf_dir, "events").groupBy("user_id").agg(value("click").alias("seed"), value("purchase").alias("evolved"))
-    out = R.eval_window(pairs)
-    return out.select("n", "n_scored", F.round("median_delta", 6).alias("median_delta"), F.round("improved_share", 6).alias("improved_share"))
+    out = R.eval_window(_sides(spark, sf_dir))
+    return out.select("n", "n_scored", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
 @query(
