@@ -1,7 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are sorted by length and cut to blocks, longest first, and these to
-buckets.  A block of queries goes through the buckets of a block in that order,
+buckets.  Of equal vectors, which score alike, only the k + 1 with the smallest
+ids can be among a query's k best, so no more go on as candidates.  A block of queries goes through the buckets of a block in that order,
 and each query keeps its k best.  In a bucket a query's k-th score over the
 product of lengths is its local cosine threshold: above 1 no vector of this or
 any later bucket can enter.  The thresholds choose how the bucket is pruned:
@@ -144,6 +145,24 @@ def _dealt(batches, blocks: dict[int, tuple[np.ndarray, np.ndarray]], first: boo
             yield batch(_SENT, [column("dim"), names.astype(np.int32), column("group"), column("row"), column("vec_id"), column("v"), column("floor")])
 
 
+def _blocks(ranges: list[tuple[int, int, float, int]], most: int):
+    """[(dim, range, block)] and, by dimension, (blocks, their longest), longest first.
+
+    Ranges of (dim, range, longest, rows) that follow each other are one block
+    while they have no more rows than ``most`` together.
+    """
+    names, blocks, held = [], {}, 0
+    for dim, name, longest, n in sorted(ranges, key=lambda r: (r[0], -r[2], r[1])):
+        own = blocks.setdefault(dim, ([], []))
+        if not own[0] or held + n > most:
+            own[0].append(len(names))
+            own[1].append(longest)
+            held = 0
+        held += n
+        names.append((dim, name, own[0][-1]))
+    return names, {d: tuple(map(np.array, b)) for d, b in blocks.items()}
+
+
 def exact_top_k(vectors: DataFrame, queries, k: int = 20, block: int = 16384, query_block: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows by inner product.
 
@@ -166,10 +185,13 @@ def exact_top_k(vectors: DataFrame, queries, k: int = 20, block: int = 16384, qu
     if not m:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     groups = -(-m // query_block)
-    ordered = packed.repartitionByRange(-(-n // block), "dim", F.desc("length"), "row").withColumn("block", F.spark_partition_id())
-    ordered = stage(ordered, "blocks")
-    found = ordered.groupBy("dim", "block").agg(F.max("length").alias("longest")).orderBy("dim", F.desc("longest"), "block").collect()
-    blocks = {d: tuple(np.array(c) for c in zip(*[(r.block, r.longest) for r in found if r.dim == d])) for d in {r.dim for r in found}}
+    copy = F.row_number().over(W.partitionBy("v").orderBy("vec_id", "row"))
+    ordered = packed.withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")
+    ordered = ordered.repartitionByRange(-(-n // block), "dim", F.desc("length"), "row").withColumn("range", F.spark_partition_id())
+    ranges = stage(ordered, "ranges")
+    found = ranges.groupBy("dim", "range").agg(F.max("length").alias("longest"), F.count("*").alias("n")).collect()
+    names, blocks = _blocks([(r.dim, r.range, r.longest, r.n) for r in found], block)
+    ordered = ranges.join(F.broadcast(spark.createDataFrame(names, "dim int, range int, block int")), ["dim", "range"])  # a row for each range
     each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))) if groups > 1 else F.lit(0)
     here = ordered.select("dim", "block", each.alias("group"), "row", "vec_id", "v", F.lit(float("nan")).alias("floor"))
     nothing = F.lit(float("-inf"))
@@ -182,11 +204,11 @@ def exact_top_k(vectors: DataFrame, queries, k: int = 20, block: int = 16384, qu
         return part.unionByName(sent).groupBy("dim", "block", "group").applyInArrow(grouped(_pair, k=k), _HITS)
 
     hits = stage(against(here.where(longest), asked.withColumn("floor", nothing), True), "hits")
-    if len(found) > len(blocks):
+    if len({(d, b) for d, _, b in names}) > len(blocks):
         floors = hits.groupBy(F.col("asked").alias("_asked")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("_floor"))
         floored = asked.join(floors, asked["row"] == floors["_asked"], "left").withColumn("floor", F.coalesce("_floor", nothing)).drop("_asked", "_floor")
         later = stage(against(here.where(~longest), floored, False), "hits")
         hits = hits.unionByName(later)
-    unstage(packed, ordered)
+    unstage(packed, ranges)
     place = F.row_number().over(W.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "row"))
     return hits.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

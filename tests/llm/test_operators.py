@@ -272,6 +272,39 @@ def test_sections():
     assert (first.tolist(), most.tolist(), split.tolist(), across.tolist()) == ([2, 1], [2, 1], [1.5, 1.5], [1, 0])
 
 
+def spans_of(text, whole):
+    """(first, past the last) byte of each token of an ASCII text, as the tokenizer itself tells them."""
+    return whole.encode(text, add_special_tokens=False).offsets
+
+
+def test_sections_against_loops(spark):
+    """Each token's characters are dealt to the sections one by one."""
+    from tokenizers import Tokenizer
+
+    whole, r = Tokenizer.from_file(default_path()), random.Random(8)
+    made = [(i, "".join(r.choice(["the ", "token", "isation", "\n", "\n\n", ";", " ", "-----", "\n   ", "x;y", "!!"]) for _ in range(r.randint(0, 40)))) for i in range(60)]
+    for separator in ("\n", ";"):
+        rows = token_counts.section_tokens(spark.createDataFrame(made, "doc_id long, text string"), separator=separator).collect()
+        got = {}
+        for x in rows:
+            got.setdefault(x.doc_id, []).append(x)
+        for i, t in made:
+            parts = re.findall(f"[^{separator}]*{separator}|[^{separator}]+$", t) or [""]
+            place = [n for n, p in enumerate(parts) for _ in p]
+            first, most, split, cross = ([0.0] * len(parts) for _ in range(4))
+            for a, z in spans_of(t, whole):
+                held = [place[a:z].count(n) for n in range(len(parts))]
+                first[place[a]] += 1
+                most[held.index(max(held))] += 1
+                cross[place[a]] += place[a] != place[z - 1]
+                for n, h in enumerate(held):
+                    split[n] += h / (z - a)
+            own = sorted(got[i], key=lambda x: x.section)
+            assert [x.n_chars for x in own] == [len(p) for p in parts] and [x.start for x in own] == [sum(map(len, parts[:n])) for n in range(len(parts))]
+            assert [(x.tokens_start, x.tokens_most, x.n_crossing) for x in own] == list(zip(first, most, cross))
+            assert [x.tokens_split for x in own] == pytest.approx(split)
+
+
 def test_sections_add_up(docs, none):
     got = token_counts.section_tokens(docs).groupBy("doc_id").agg(F.sum("tokens_start").alias("a"), F.sum("tokens_most").alias("b"), F.sum("tokens_split").alias("c"), F.sum("n_chars").alias("n")).collect()
     enc = encoder(default_path())
@@ -419,6 +452,38 @@ def test_mixing(docs, none):
     assert mixing.emitted(docs).count() == rows.copies.sum() and mixing.mixed(none).count() == 0
 
 
+def test_ordinal_fit_is_a_minimum():
+    """The loss, written out for each row, is no lower beside the fitted weights and thresholds."""
+    import math
+
+    g = np.random.default_rng(3)
+    n, dims = 240, 16
+    grade = g.integers(0, 3, n)
+    places = [np.array(sorted({int(grade[i]) * 5 if g.random() < 0.8 else int(g.integers(0, 16)), int(g.integers(0, 16))})) for i in range(n)]
+    shares = g.normal(size=(n, ordinal_quality.N_SHARES)) + grade[:, None] * np.linspace(0, 0.6, ordinal_quality.N_SHARES)
+    m = ordinal_quality.fit(grade, places, shares, dims, rounds=1500, screen=0.0)
+    dense = (shares - m.middle) / m.spread
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def loss(words, own, t):
+        total = 0.0
+        for i in range(n):
+            score = sum(words[p] for p in places[i]) + float(dense[i] @ own)
+            below = [0.0, *(sigmoid(x - score) for x in t), 1.0]
+            total -= math.log(below[grade[i] + 1] - below[grade[i]])
+        return total / n + 0.5 * 0.5 * (float(words @ words) + float(own @ own)) / n
+
+    words, best = m.words.astype(float), None
+    best = loss(words, m.shares, m.thresholds)
+    for _ in range(40):
+        a, b, c = g.normal(size=dims), g.normal(size=len(m.shares)), g.normal(size=2)
+        for step in (0.02, -0.02):
+            assert loss(words + step * a, m.shares + step * b, m.thresholds + step * c) >= best - 1e-5
+    score = m.score(np.repeat(np.arange(n), [len(p) for p in places]), np.concatenate(places), shares)
+    tails = m.tails(score)
+    assert (tails[:, 0] > tails[:, 1]).all() and m.thresholds[0] < m.thresholds[1]
+
+
 def test_ordinal(spark, none):
     r = random.Random(2)
     made = []
