@@ -45,11 +45,16 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Paths of the stages of this process that are still there.
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stage_path = path
     return back
@@ -60,12 +65,31 @@ def count_distinct_keys(rows: DataFrame, key: str) -> bool:
     return rows.groupBy(key).count().where("count > 1").isEmpty()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _staged:
+        _staged.remove(path)
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete stages that no later plan reads."""
     for df in tables:
-        spark, path = df.sparkSession, df._stage_path
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, df._stage_path)
+
+
+def staged() -> list[str]:
+    """The stages that are there; what an operator adds to them its result may read."""
+    return list(_staged)
+
+
+def release(spark: SparkSession, before: list[str], *kept: DataFrame) -> None:
+    """Delete the stages made since ``before`` was taken, but for those kept.
+
+    For callers that have written the results that read them.
+    """
+    for path in set(_staged) - set(before) - {df._stage_path for df in kept}:
+        _delete(spark, path)
 
 
 def buckets(spark: SparkSession) -> int:

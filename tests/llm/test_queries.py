@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from tessera.llm import ordinal_quality, queries, suffix_dedup
-from tessera.llm.shared import stage
+from tessera.llm.shared import stage, staged
 
 HERE = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 pytestmark = pytest.mark.skipif(not HERE.is_dir(), reason="no tables here")
@@ -112,7 +112,9 @@ def test_pipeline(spark):
     before, after = kept["best-fit packing"]
     assert after.where("piece = 0").count() == before.count()
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+    there = staged()
     assert corpus_pipeline.run(spark, str(HERE)).count() == after.count()
+    assert len(staged()) == len(there) + 1  # the result alone
 
 
 def test_pipeline_without_documents(spark, tmp_path):
