@@ -37,9 +37,9 @@ def parameters(spec: Column) -> Column:
     return F.array_union(spec["windows"].cast("array<bigint>"), numbers(spec["expr"]))
 
 
-def support(wanted: Column, text: Column) -> Column:
-    """The share of the wanted numbers that the text holds, in digits or Chinese numerals; 1 if none is wanted."""
-    return F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(F.array_intersect(wanted, numbers_meant(text))) / F.size(wanted))
+def held(wanted: Column, present: Column) -> Column:
+    """The share of the wanted numbers that are present; 1 if none is wanted."""
+    return F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(F.array_intersect(wanted, present)) / F.size(wanted))
 
 
 def field_score(pred: Column, gold: Column) -> Column:
@@ -89,16 +89,18 @@ def scored(cases: DataFrame) -> DataFrame:
     """Adds schema_ok, executable, fields, grounding, caps, cap_reasons, raw and reward to (report, gold, pred).
 
     gold and pred are structs of the record's fields; a NULL pred was not
-    parsed.  Numbers count in digits and in Chinese numerals.
+    parsed.  Numbers count in digits and in Chinese numerals.  A column
+    report_numbers, if there is one, saves looking for those of the report.
     """
     pred, gold = F.col("pred"), F.col("gold")
     check = listed(pred["expr"])
     legal = check["ok"]
     evidence = F.coalesce(pred["evidence"], F.filter(pred["evidence"], lambda e: F.lit(False)))
     faults = citation_faults(evidence, F.col("report"))
+    present = F.col("report_numbers") if "report_numbers" in cases.columns else numbers_meant(F.col("report"))
     same = normal_expression(pred["expr"]) == normal_expression(gold["expr"])
-    invented = ~same & legal & ((pred["universe"] != gold["universe"]) | (support(parameters(pred), F.col("report")) < 0.3))
-    grounding = F.when(F.size(evidence) == 0, 0.0).otherwise(support(parameters(pred), quotes(pred)))
+    invented = ~same & legal & ((pred["universe"] != gold["universe"]) | (held(parameters(pred), present) < 0.3))
+    grounding = F.when(F.size(evidence) == 0, 0.0).otherwise(held(parameters(pred), numbers_meant(quotes(pred))))
     found = pred.isNotNull()
     raised = (
         ("invalid_json_cap", ~found, F.lit("could not parse FactorSpec JSON")),
@@ -226,8 +228,10 @@ INJECTIONS = ("drop_neutralization", "wrong_frequency", "wrong_window", "halluci
 
 
 def injected(golds: DataFrame) -> DataFrame:
-    """``gold`` and five damaged copies, as (kind, pred)."""
+    """``gold`` and five damaged copies, as (kind, pred); the report's numbers are sought once, before it is copied."""
     gold, kind = F.col("gold"), F.col("kind")
+    if "report" in golds.columns:
+        golds = golds.withColumn("report_numbers", numbers_meant(F.col("report")))
     rows = golds.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in ("gold", *INJECTIONS)])))
     windows = F.when(F.size(gold["windows"]) > 0, gold["windows"]).otherwise(F.array(F.lit(20)))
     tripled = F.transform(windows, lambda w: F.when(w == 0, 60).otherwise(w * 3).cast("int"))

@@ -88,6 +88,7 @@ for _name, _text, _sql in (
     ("log_abs_sign", "LOG($close - 1500) + ABS($close - $open) * SIGN(DELTA($close, 3))", "CASE WHEN close > 1500 THEN ln(close - 1500) END + abs(close - open) * sign(close - lag3)"),
     ("safe_divide", "$amount / ($high - $low)", "amount / nullif(high - low, 0)"),
     ("unary_arithmetic", "--$close * -2 + .5 * $open - 1e1", "close * -2 + 0.5::DOUBLE * open - 10"),
+    ("constant_signal", "LOG(2) * 3 - ABS(0 - 1) / 4", "ln(2::DOUBLE) * 3 - 0.25::DOUBLE"),
     ("nested_expr", FLAGSHIP, _RANK.format("(close / nullif(CASE WHEN n4 = 4 THEN mean4 END, 0))")),
 ):
     _signal(_name, _text, _sql, 2 if _name == "ts_std" else 6)
@@ -790,21 +791,46 @@ def declaration_issues(spark, sf_dir):
     return _cases(spark, sf_dir).select("doc_id", F.array_join(R.declaration_issues(gold), ",").alias("issues"), text(R.uncited(gold)).alias("uncited"))
 
 
+_EXPRESSIONS = {
+    "RANK($close)": "ok", "COUNT($close)": "ok", "FOO($close)": "unknown func FOO", "$clsoe": "unknown var $clsoe", "import os": "forbidden token", "  ": "empty expr", "foo($close) + E": "ok",
+    "RANK($close": "ok", "TS_MEAN($volume, 5) * eval(1)": "forbidden token", "LOG($amount) + Ts_Mean": "ok",
+}
+
+
 @query(
-    """SELECT * FROM (VALUES ('RANK($close)', true, 'ok'), ('COUNT($close)', true, 'ok'), ('FOO($close)', false, 'unknown func FOO'), ('$clsoe', false, 'unknown var $clsoe'),
-    ('import os', false, 'forbidden token'), ('', false, 'empty expr'), ('foo($close) + E', true, 'ok')) AS t(expr, ok, reason)"""
-)
+    "SELECT doc_id, "
+    + "list_extract([" + ", ".join(f"'{e}'" for e in _EXPRESSIONS) + f"], doc_id % {len(_EXPRESSIONS)} + 1) AS expr, "
+    + "list_extract([" + ", ".join(f"'{r}'" for r in _EXPRESSIONS.values()) + f"], doc_id % {len(_EXPRESSIONS)} + 1) AS reason FROM documents"
+)
 def expression_check(spark, sf_dir):
     """The loose whitelist over a column of expressions."""
-    given = ("RANK($close)", "COUNT($close)", "FOO($close)", "$clsoe", "import os", "", "foo($close) + E")
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in given])).alias("expr"))
-    return rows.select("expr", E.listed(F.col("expr")).alias("c")).select("expr", "c.ok", "c.reason")
+    given = F.array(*[F.lit(x) for x in _EXPRESSIONS])
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.element_at(given, (F.col("doc_id") % len(_EXPRESSIONS) + 1).cast("int")).alias("expr"))
+    return rows.select("doc_id", "expr", E.listed(F.col("expr"))["reason"].alias("reason"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 6 = 0")
+def leak_ids(spark, sf_dir):
+    """Keys in both splits: every second row of one split, every third of the other."""
+    d = _table(spark, sf_dir, "documents").select("doc_id")
+    train, holdout = d.where("doc_id % 2 = 0").withColumn("split", F.lit("train")), d.where("doc_id % 3 = 0").withColumn("split", F.lit("holdout"))
+    return R.leaked(train.unionByName(holdout), "doc_id")
+
+
+@query("SELECT vec_id, vec_id % 5 NOT IN (1, 2, 3) AS fits FROM embeddings")
+def valid_masks(spark, sf_dir):
+    """Masks that fit, of the wrong length, with a 2, with no 1, and empty responses."""
+    n, ids = F.col("vec_id") % 5, F.col("embedding")
+    ones = F.transform(ids, lambda x: F.lit(1))
+    mask = F.when(n == 1, F.slice(ones, 2, F.size(ones))).when(n == 2, F.transform(ids, lambda x: F.lit(2))).when(n == 3, F.transform(ids, lambda x: F.lit(0))).otherwise(ones)
+    return _table(spark, sf_dir, "embeddings").select("vec_id", R.valid_mask(ids, mask, ids).alias("fits"))
 
 
-@query("SELECT * FROM (VALUES ('二十日', '二十(20)日'), ('二百五', '二百五(205)'), ('二〇二四年', '二〇二四(2024)年'), ('十', '十(10)'), ('plain 5', 'plain 5')) AS t(raw, normal)")
-def chinese_numerals(spark, sf_dir):
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("二十日", "二百五", "二〇二四年", "十", "plain 5")])).alias("raw"))
-    return rows.select("raw", X.with_numerals("raw").alias("normal"))
+@query("SELECT doc_id, 20 AS bars, CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE 20 END AS step FROM documents")
+def rebalance_bars(spark, sf_dir):
+    """Bars between two rebalances, by name."""
+    bars = lambda c: R.lookup(R.STEP_BARS, F.col(c))
+    return _cases(spark, sf_dir).select("doc_id", bars("gold.rebalance").alias("bars"), bars("gold.frequency").alias("step"))
 
 
 _ANSWERED = "doc_id % 3 <> 2"
@@ -993,8 +1019,8 @@ def candidates(spark, sf_dir):
 
 @query(
     """WITH e AS (SELECT doc_id, doc_id % 600 AS a, doc_id % 9 + 1 AS b FROM documents)
-    SELECT doc_id, a BETWEEN 1 AND 504 AS ok, CASE WHEN a BETWEEN 1 AND 504 THEN CASE doc_id % 3 WHEN 0 THEN 'close' WHEN 1 THEN 'close,volume' ELSE 'open' END END AS fields,
-        CASE WHEN a BETWEEN 1 AND 504 THEN CAST(CASE doc_id % 3 WHEN 0 THEN a WHEN 1 THEN greatest(a, b) ELSE a + b END AS INTEGER) END AS max_lookback FROM e"""
+    SELECT doc_id, a BETWEEN 1 AND 504 AND doc_id % 11 <> 5 AS ok, CASE WHEN a BETWEEN 1 AND 504 AND doc_id % 11 <> 5 THEN CASE doc_id % 3 WHEN 0 THEN 'close' WHEN 1 THEN 'close,volume' ELSE 'open' END END AS fields,
+        CASE WHEN a BETWEEN 1 AND 504 AND doc_id % 11 <> 5 THEN CAST(CASE doc_id % 3 WHEN 0 THEN a WHEN 1 THEN greatest(a, b) ELSE a + b END AS INTEGER) END AS max_lookback FROM e"""
 )
 def validated_expressions(spark, sf_dir):
     """A column of expressions read by the strict language."""
@@ -1003,7 +1029,7 @@ def validated_expressions(spark, sf_dir):
     two = F.concat(F.lit("ts_sum($volume, "), b, F.lit(".0) / (1 - 1) + DELTA($close, "), a, F.lit(")"))
     three = F.concat(F.lit("-TS_STD(DELAY($open, "), b, F.lit("), "), a, F.lit(")"))
     n = F.col("doc_id") % 3
-    rows = _table(spark, sf_dir, "documents").select("doc_id", E.validated(F.when(n == 0, one).when(n == 1, two).otherwise(three)).alias("v"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", E.validated(F.when(F.col("doc_id") % 11 == 5, F.concat(F.lit("COUNT($close) + "), one)).when(n == 0, one).when(n == 1, two).otherwise(three)).alias("v"))
     return rows.select("doc_id", "v.ok", F.array_join("v.fields", ",").alias("fields"), "v.max_lookback")
 
 
