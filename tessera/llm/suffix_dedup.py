@@ -12,11 +12,12 @@ places: the smallest hashes of their ``GRAM``-byte grams.  So
     fetched, one place for each context;
 3.  the contexts of a gram (joined where they overlap in a text, so that each
     place is there once) are indexed: suffixes are sorted, the Burrows-Wheeler
-    transform is cut into runs, and the suffix at either end of each run is kept
-    with the length that it shares with its neighbour across the end.  Inside a
-    run that length is one less than at the place before, so the kept ends give
-    the matching statistics of all places in one sweep.  Starts of ``length`` or
-    more are marked.
+    transform is cut into runs, and of each run its symbol, its length and the
+    suffixes at its ends are kept, with the length that each shares with its
+    neighbour across the end (:class:`RunIndex`).  Inside a run that length is one
+    less than at the place before, so what is kept gives the matching statistics
+    of all places, which are streamed through it.  Starts of ``length`` or more
+    are marked.  Equal contexts, which would only lengthen runs, are one.
 
 Contexts of different grams use different alphabets within one index.  A gram
 with more than ``block`` bytes of contexts, such as one that a third of all
@@ -28,6 +29,7 @@ spread over all tasks and their number grows with the places alone.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -256,46 +258,63 @@ def _send(batches, nb: int):
             lo = hi
 
 
-def match_lengths(symbols: np.ndarray, most: int) -> np.ndarray:
-    """For each place, the longest match with another place, by the run-length index.
-
-    ``symbols`` are numbers below 2**21; those that must match nothing occur
-    once, and one such symbol comes within every ``most`` places.
-    """
-    n = len(symbols)
-    padded = np.concatenate([symbols, np.zeros(2, symbols.dtype)]).astype(np.uint64)
-    key = padded[:n] << np.uint64(42) | padded[1 : n + 1] << np.uint64(21) | padded[2 : n + 2]
-    levels, size = [(1, padded[: n + 1])] * 2, 3
-    while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n + 1, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) + 1
-        rank[n] = 0
-        levels.append((size, rank))
-        if size > most or rank.max() == n:
-            break
-        ahead = rank[np.minimum(np.arange(n) + size, n)]
-        key = rank[:n].astype(np.uint64) << np.uint64(32) | ahead.astype(np.uint64)
-        size *= 2
-    transform = symbols[order - 1]  # the symbol before each suffix
-    cut = np.flatnonzero(transform[1:] != transform[:-1]) + 1  # first of each run but the first
-    x, y = order[cut - 1], order[cut]
-    shared, a, b = np.zeros(len(cut), np.int64), x.copy(), y.copy()
-    for size, rank in reversed(levels):
-        same = rank[a] == rank[b]
-        shared += size * same
-        a, b = np.minimum(a + size * same, n), np.minimum(b + size * same, n)
-
-    def sweep(at: np.ndarray, value: np.ndarray) -> np.ndarray:
-        sample = np.full(n, -1, np.int64)
-        sample[at] = value
-        last = np.maximum.accumulate(np.where(sample >= 0, np.arange(n), -1))
-        return np.where(last >= 0, sample[np.maximum(last, 0)] - (np.arange(n) - last), 0)
-
-    before = sweep(np.append(y, order[0]), np.append(shared, 0))
-    after = sweep(np.append(x, order[-1]), np.append(shared, 0))
-    return np.maximum(before, after)
+@dataclass(frozen=True)
+class RunIndex:
+    """A run-length compressed Burrows-Wheeler transform with sampled run ends."""
+
+    heads: np.ndarray  # the symbol of each run
+    lengths: np.ndarray
+    first: np.ndarray  # suffixes that begin a run, rising, and what each shares with the one before the run
+    first_shared: np.ndarray
+    last: np.ndarray  # suffixes that end a run, and what each shares with the one after
+    last_shared: np.ndarray
+
+    @staticmethod
+    def build(symbols: np.ndarray, most: int) -> RunIndex:
+        """Of ``symbols``, numbers below 2**21; those that must match nothing occur once, one within every ``most`` places."""
+        n = len(symbols)
+        padded = np.concatenate([symbols, np.zeros(2, symbols.dtype)]).astype(np.uint64)
+        key = padded[:n] << np.uint64(42) | padded[1 : n + 1] << np.uint64(21) | padded[2 : n + 2]
+        levels, size = [(1, padded[: n + 1])] * 2, 3
+        while True:
+            order = np.argsort(key)
+            ordered = key[order]
+            rank = np.empty(n + 1, np.int64)
+            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) + 1
+            rank[n] = 0
+            levels.append((size, rank))
+            if size > most or rank.max() == n:
+                break
+            ahead = rank[np.minimum(np.arange(n) + size, n)]
+            key = rank[:n].astype(np.uint64) << np.uint64(32) | ahead.astype(np.uint64)
+            size *= 2
+        transform = symbols[order - 1]  # the symbol before each suffix
+        cut = np.flatnonzero(transform[1:] != transform[:-1]) + 1  # first of each run but the first
+        x, y = order[cut - 1], order[cut]
+        shared, a, b = np.zeros(len(cut), np.int64), x.copy(), y.copy()
+        for size, rank in reversed(levels):
+            same = rank[a] == rank[b]
+            shared += size * same
+            a, b = np.minimum(a + size * same, n), np.minimum(b + size * same, n)
+        ends = []
+        for suffix, value in ((np.append(y, order[0]), np.append(shared, 0)), (np.append(x, order[-1]), np.append(shared, 0))):
+            rising = np.argsort(suffix)
+            ends += [suffix[rising], value[rising]]
+        bounds = np.concatenate([[0], cut])
+        return RunIndex(transform[bounds], np.diff(np.append(bounds, n)), *ends)
+
+    def statistics(self, places: np.ndarray) -> np.ndarray:
+        """For each place, the longest match of what begins there with what begins at another place."""
+
+        def of(suffix: np.ndarray, shared: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(suffix, places, side="right") - 1
+            return np.where(at >= 0, shared[at] - (places - suffix[at]), 0)
+
+        return np.maximum(np.maximum(of(self.first, self.first_shared), of(self.last, self.last_shared)), 0)
+
+
+#: Places that go through an index at once.
+STREAM = 1 << 16
 
 
 def _marked(want: np.ndarray, texts: list[bytes], length: int, most: int) -> np.ndarray:
@@ -321,7 +340,11 @@ def _marked(want: np.ndarray, texts: list[bytes], length: int, most: int) -> np.
     ends = np.cumsum(size + 1) - 1
     symbols = raw.astype(np.int64) + np.repeat(np.array(own) * 256 + len(parts) + 1, size + 1)
     symbols[ends] = np.arange(len(parts)) + 1
-    found = np.flatnonzero(match_lengths(symbols, int(size.max()) + 1) >= length)
+    index, found = RunIndex.build(symbols, int(size.max()) + 1), []
+    for begin in range(0, len(symbols), STREAM):
+        places = np.arange(begin, min(begin + STREAM, len(symbols)))
+        found.append(places[index.statistics(places) >= length])
+    found = np.concatenate(found)
     part = np.searchsorted(ends, found)
     marks = np.zeros(len(found), _MARK)
     marks["key"] = np.array(key)[part]

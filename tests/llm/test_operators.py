@@ -118,6 +118,28 @@ def test_suffix(docs, none, spark):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_run_index(seed):
+    """Matching statistics against all pairs of places, and the transform's runs, on texts with many repeats."""
+    r = random.Random(seed)
+    base = [r.randrange(3) for _ in range(40)]
+    texts = [base[r.randint(0, 10) : r.randint(20, 40)] * r.randint(1, 2) + [r.randrange(3) for _ in range(r.randint(0, 9))] for _ in range(7)]
+    symbols = np.array([x for n, t in enumerate(texts) for x in [*(s + len(texts) + 1 for s in t), n + 1]])
+    index = suffix_dedup.RunIndex.build(symbols, max(map(len, texts)) + 1)
+    n = len(symbols)
+
+    def shared(i, j):
+        k = 0
+        while max(i, j) + k < n and symbols[i + k] == symbols[j + k]:
+            k += 1
+        return k
+
+    assert index.statistics(np.arange(n)).tolist() == [max(shared(i, j) for j in range(n) if j != i) for i in range(n)]
+    order = sorted(range(n), key=lambda i: symbols[i:].tolist())
+    transform = [int(symbols[i - 1]) for i in order]
+    assert np.repeat(index.heads, index.lengths).tolist() == transform and len(index.heads) < n
+
+
 def test_passages(docs, none):
     found = passage_chains.fuzzy_passages(docs)
     rows = found.collect()
