@@ -20,10 +20,11 @@ places: the smallest hashes of their ``GRAM``-byte grams.  So
     are marked.  Equal contexts, which would only lengthen runs, are one.
 
 Contexts of different grams use different alphabets within one index.  A gram
-with more than ``block`` bytes of contexts, such as one that a third of all
-documents hold, has no index: the strings of ``length`` bytes in its contexts
-are dealt by hash themselves (equal ones of a batch as one), so its places are
-spread over all tasks and their number grows with the places alone.
+with more than ``block`` bytes of contexts, or more than ``hot`` in one batch,
+such as one that a third of all documents hold, has no index: the strings of
+``length`` bytes in its contexts are dealt by hash themselves (equal ones of a
+batch as one), so its places are spread over all tasks and their number grows
+with the places alone.  What a batch knows to be hot is not dealt by gram.
 """
 
 from __future__ import annotations
@@ -45,7 +46,12 @@ _FOUND_SQL = "bucket int, marks binary, wants binary, heavy binary"
 _STRING = np.dtype([("h", "<u8"), ("key", "<i8"), ("pos", "<i4"), ("many", "u1")])
 _MARK = np.dtype([("key", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 _WANT = np.dtype([("key", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("h", "<u8")])
-_DEALT = pa.schema([("bucket", pa.int32()), ("cells", pa.binary()), ("marks", pa.binary())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("cells", pa.binary()), ("marks", pa.binary()), ("heavy", pa.binary())])
+_DEALT_SQL = "bucket int, cells binary, marks binary, heavy binary"
+#: Contexts of one gram in a batch, beyond which it is hot.
+HOT = 64
+#: Bits of a cell: it stands for several places; its gram is hot.
+SEVERAL, HEAVY = 1, 2
 _FOUND = pa.schema([("bucket", pa.int32()), ("marks", pa.binary()), ("wants", pa.binary()), ("heavy", pa.binary())])
 _BYKEY = pa.schema([("key", pa.int64()), ("rows", pa.binary())])
 _SENT = pa.schema([("bucket", pa.int32()), ("wants", pa.binary()), ("bytes", pa.binary())])
@@ -84,7 +90,7 @@ def fingerprints(raw: np.ndarray, starts: np.ndarray, length: int):
     return row, p - starts[row], p - lo, hi - p, h[p], K.mix(ctx)
 
 
-def _deal(batches, nb: int, length: int):
+def _deal(batches, nb: int, length: int, most: int):
     for b in batches:
         keys, made = ids_of(b.column(0)), []
         for first, raw, starts in K.slices(b.column(1), 1 << 21):
@@ -100,11 +106,20 @@ def _deal(batches, nb: int, length: int):
         size = np.diff(np.append(heads, len(cells)))
         marks = _merge(_spans(cells[np.repeat(size > 1, size)]))
         cells = cells[heads]
-        cells["many"] = size > 1
+        cells["many"] = SEVERAL * (size > 1)
+        grams = _runs(cells["h"])
+        each = np.diff(np.append(grams, len(cells)))
+        hot = np.repeat(each > most, each)
+        heavy = _merge(_spans(cells[hot]))
+        cells["many"][hot] |= HEAVY
+        hot[grams] = False  # one cell tells the others of its gram
+        cells = cells[~hot]
         for key, (part,) in split_rows(((cells["h"] >> np.uint64(32)) % np.uint64(nb)).astype(np.int64), nb, cells):
-            yield batch(_DEALT, [[key], [part], [None]])
+            yield batch(_DEALT, [[key], [part], [None], [None]])
         for key, (part,) in split_rows(marks["key"] % nb, nb, marks):
-            yield batch(_DEALT, [[key], [None], [part]])
+            yield batch(_DEALT, [[key], [None], [part], [None]])
+        for key, (part,) in split_rows(heavy["key"] % nb, nb, heavy):
+            yield batch(_DEALT, [[key], [None], [None], [part]])
 
 
 def _spans(cells: np.ndarray) -> np.ndarray:
@@ -137,14 +152,18 @@ def _match(key, table, nb: int, block: int):
     cells = cells[order[twin]]
     cells = cells[np.lexsort((cells["ctx"], cells["h"]))]
     out = [batch(_FOUND, [[key[0].as_py()], [x], [None], [None]]) for x in table["marks"].drop_null()]
+    out += [batch(_FOUND, [[key[0].as_py()], [None], [None], [x]]) for x in table["heavy"].drop_null()]
     if len(cells):
         heads = _runs(cells["h"], cells["ctx"])
         size = np.diff(np.append(heads, len(cells)))
-        often = (size > 1) | (np.maximum.reduceat(cells["many"], heads) > 0)
+        bits = np.bitwise_or.reduceat(cells["many"], heads)
+        often = (size > 1) | (bits & SEVERAL > 0)
         marks = _merge(_spans(cells[np.repeat(often, size)]))
         group = np.cumsum(np.isin(heads, _runs(cells["h"]))) - 1
         kinds, singles = np.bincount(group), np.bincount(group, ~often)
-        wants, heavy = _asked(cells[heads[((kinds > 1) & (singles > 0))[group]]], block)
+        hot = np.bincount(group, bits & HEAVY) > 0
+        open_ = ((kinds > 1) & (singles > 0) | hot)[group]  # contexts whose places are not all known yet
+        wants, heavy = _asked(cells[heads[open_]], hot[group[open_]], block)
         for to, (part,) in split_rows(marks["key"] % nb, nb, marks):
             out.append(batch(_FOUND, [[to], [part], [None], [None]]))
         for to, (part,) in split_rows(wants["key"] % nb, nb, wants):
@@ -154,13 +173,13 @@ def _match(key, table, nb: int, block: int):
     return pa.Table.from_batches(out, schema=_FOUND)
 
 
-def _asked(cells: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts to be indexed, and the spans of those of grams with more than ``block`` bytes of them."""
-    held = np.zeros(len(cells), bool)
+def _asked(cells: np.ndarray, hot: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts to be indexed, and the spans of those of grams that are hot or have more than ``block`` bytes of them."""
+    held = hot.copy()
     if len(cells):
         heads = _runs(cells["h"])
         size = np.add.reduceat(cells["left"].astype(np.int64) + cells["right"], heads)
-        held = np.repeat(size > block, np.diff(np.append(heads, len(cells))))
+        held |= np.repeat(size > block, np.diff(np.append(heads, len(cells))))
     wants = np.zeros(int((~held).sum()), _WANT)
     few = cells[~held]
     wants["key"], wants["lo"], wants["hi"], wants["h"] = few["key"], few["pos"] - few["left"], few["pos"] + few["right"], few["h"]
@@ -188,9 +207,9 @@ def _strings(batches, nb: int, length: int):
         cells = cells[heads]
         cells["many"] = size > 1
         for to, (part,) in split_rows(((cells["h"] >> np.uint64(32)) % np.uint64(nb)).astype(np.int64), nb, cells):
-            yield batch(_DEALT, [[to], [part], [None]])
+            yield batch(_DEALT, [[to], [part], [None], [None]])
         for to, (part,) in split_rows(marks["key"] % nb, nb, marks):
-            yield batch(_DEALT, [[to], [None], [part]])
+            yield batch(_DEALT, [[to], [None], [part], [None]])
 
 
 def _string_marks(cells: np.ndarray, length: int) -> np.ndarray:
@@ -403,7 +422,7 @@ def _cut(batches, keep: bool):
         yield batch(_OUT, cols)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, block: int = 1_000_000, keep: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, block: int = 1_000_000, keep: bool = True, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row.
 
     Texts are UTF-8 bytes; a null text is empty.  A byte goes if some string of
@@ -418,7 +437,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block: int = 1_000_000, k
         raise ValueError(f"length must be a multiple of 8 from {GRAM + 8} to 248")
     nb = buckets(docs.sparkSession)
     rows = keyed(docs, "text").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    dealt = rows.select("key", "text").mapInArrow(lambda it: _deal(it, nb, length), "bucket int, cells binary, marks binary")
+    dealt = rows.select("key", "text").mapInArrow(lambda it: _deal(it, nb, length, hot), _DEALT_SQL)
     found = stage(dealt.groupBy("bucket").applyInArrow(grouped(_match, nb=nb, block=block), _FOUND_SQL), "found")
 
     def by_key(table: DataFrame, column: str, dtype) -> DataFrame:
@@ -429,7 +448,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block: int = 1_000_000, k
     sent = texts.mapInArrow(lambda it: _send(it, nb), "bucket int, wants binary, bytes binary")
     more = sent.groupBy("bucket").applyInArrow(grouped(_index, nb=nb, length=length, block=block), _FOUND_SQL)
     texts = rows.select("key", "text").join(by_key(found, "heavy", _MARK), "key").dropDuplicates(["key"]).select("key", "text", "rows")
-    strings = texts.mapInArrow(lambda it: _strings(it, nb, length), "bucket int, cells binary, marks binary")
+    strings = texts.mapInArrow(lambda it: _strings(it, nb, length), _DEALT_SQL)
     same = strings.groupBy("bucket").applyInArrow(grouped(_same, nb=nb, length=length), _FOUND_SQL)
     marks = stage(by_key(found.unionByName(more).unionByName(same), "marks", _MARK), "marks")
     unstage(found)

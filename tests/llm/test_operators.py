@@ -112,8 +112,8 @@ def test_suffix(docs, none, spark):
     for (i, _), b, m in zip(all_, raws, marks):
         kept = bytes(x for x, y in zip(b, m) if not y)
         want.append((i, len(b), len(b) - len(kept), len(bytes(m).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest()))
-    for block in (1000, 3000, 1_000_000):
-        got = suffix_dedup.remove_repeats(rows, block=block).drop("kept").collect()
+    for block, hot in ((1000, 64), (3000, 64), (1_000_000, 64), (1_000_000, 2)):
+        got = suffix_dedup.remove_repeats(rows, block=block, hot=hot).drop("kept").collect()
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert suffix_dedup.remove_repeats(none).count() == 0
 
