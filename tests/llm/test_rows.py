@@ -98,12 +98,14 @@ def test_passages_between_documents_that_hold_the_seeds(spark):
         halves = [[*own(f"{n}x{i}", 9), *part] for n in range(copies) for i, part in enumerate((p[:40], p[30:]))]
         made = [(n, w) for n, w in enumerate(halves)] + [(200 + n, [*w, "end"]) for n, w in enumerate(halves)] + [(100, [*own("y", 9), *p]), (300, [*p, *own("z", 9)])]
         docs = spark.createDataFrame([(i, " ".join(w)) for i, w in made], "doc_id long, text string")
-        rows = passage_chains.fuzzy_passages(docs).where("doc_id = 300 and ref_id = 100").collect()
-        assert any(r.n_matched == 70 for r in rows)
+        for hot in (2, 64):
+            rows = passage_chains.fuzzy_passages(docs, hot=hot).where("doc_id = 300 and ref_id = 100").collect()
+            assert any(r.n_matched == 70 for r in rows)
 
 
+@pytest.mark.parametrize("hot", [1, 3, 64])
 @pytest.mark.parametrize("seed", range(3))
-def test_exact_passages_are_all_found(spark, seed):
+def test_exact_passages_are_all_found(spark, seed, hot):
     """Each run of 50 words that an earlier document holds as well lies in reported passages."""
     r = random.Random(seed)
     pool = [own(f"q{i}", r.randint(20, 90)) for i in range(12)]
@@ -115,7 +117,7 @@ def test_exact_passages_are_all_found(spark, seed):
             lo = r.randint(0, len(part) // 2)
             words += [*part[lo : r.randint(lo, len(part))], *own(f"d{i}p{n}", r.choice([0, 1, 30]))]
         docs.append((i, words))
-    found = passage_chains.fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"))
+    found = passage_chains.fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in r.sample(docs, len(docs))], "doc_id long, text string"), hot=hot)
     covered = {}
     for row in found.collect():
         covered.setdefault(row.doc_id, set()).update(range(row.start, row.end))
