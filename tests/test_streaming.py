@@ -21,7 +21,8 @@ def test_metrics_of_cases_go_on(spark, tmp_path):
         logs.keep_latest(logs.case_metrics(logs.rollouts(spark, log)), out, at).awaitTermination()
     got = logs.latest(spark, out, "case_id")
     want = R.group_metrics(files.json_rows(spark, log, files.ROLLOUTS))
-    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    shown = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in want.dtypes]  # sums in another order differ in their last digits
+    assert sorted(map(str, got.select(*shown).collect())) == sorted(map(str, want.select(*shown).collect()))
 
 
 def test_windows_close(spark, tmp_path):
