@@ -201,7 +201,7 @@ def portfolio_metrics(spark, sf_dir):
 def shuffle_contrast(spark, sf_dir):
     """A seeded deal of each date's scores: the same scores a date, whoever has them."""
     rows = B.scored(panel(spark, sf_dir), FLAGSHIP, B.Config(shuffle_seed=7)).where("score is not null")
-    return rows.select("datetime", F.round("score", 6).alias("score"), F.row_number().over(W.partitionBy("datetime").orderBy("score")).alias("place"))
+    return rows.select("datetime", F.round("score", 6).alias("score"), F.row_number().over(W.partitionBy("datetime").orderBy("score")).cast("long").alias("place"))
 
 
 def _nav_sql(sql: str, lag: int, start: str = "") -> str:
@@ -691,7 +691,7 @@ def evolution_scores(spark, sf_dir):
     return out.select("trajectory", *[F.round(c, 6).alias(c) for c in (*R.EVOLVE_WEIGHTS, "raw", "reward")], F.array_join("caps", ",").alias("caps"))
 
 
-_SIDES = """r AS (SELECT user_id AS case_id, event_type = 'click' AS seed, round(avg(value), 4) AS v, count(*) % 7 <> 0 AS ok FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL),
+_SIDES = """r AS (SELECT user_id AS case_id, event_type = 'click' AS seed, round(avg(value) + 3e-8, 4) AS v, count(*) % 7 <> 0 AS ok FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL),
     p AS (SELECT case_id, max(CASE WHEN seed AND ok THEN v END) AS a, max(CASE WHEN NOT seed AND ok THEN v END) AS b, concat_ws('; ', max(CASE WHEN seed AND NOT ok THEN 'seed failed' END), max(CASE WHEN NOT seed AND NOT ok THEN 'evolved failed' END)) AS error FROM r GROUP BY case_id)"""
 
 
@@ -699,7 +699,7 @@ def _sides(spark, sf_dir):
     """Clicks as results of seeds, purchases as those of evolved records; some fail."""
     rows = _table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase"))
     side = F.when(F.col("event_type") == "click", "seed").otherwise("evolved")
-    rows = rows.groupBy(F.col("user_id").alias("case_id"), side.alias("side")).agg(F.round(F.avg("value"), 4).alias("metric"), (F.count("*") % 7 != 0).alias("ok"))
+    rows = rows.groupBy(F.col("user_id").alias("case_id"), side.alias("side")).agg(F.round(F.avg("value") + OFF_TIES, 4).alias("metric"), (F.count("*") % 7 != 0).alias("ok"))
     return R.eval_pairs(rows.withColumn("error", F.when(F.col("ok"), "").otherwise(F.concat("side", F.lit(" failed")))))
 
 
