@@ -60,7 +60,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def count_distinct_keys(rows: DataFrame, key: str) -> bool:
+def keys_are_unique(rows: DataFrame, key: str) -> bool:
     """Whether no two rows have one key."""
     return rows.groupBy(key).count().where("count > 1").isEmpty()
 

@@ -415,6 +415,8 @@ def test_chat(spark):
     for r in out.collect():
         own = sorted((t, a or "", b or "") for c, t, a, b in rows if c == r.conv_id)
         assert r.round_trip and [tuple(x) for x in r.turns] == [x[1:] for x in own] and r.n_turns == len(own)
+        masked = [re.sub(r"\\(\\*)### ", r"\1### ", re.sub(r"</turn(\\*)\\>", r"</turn\1>", r.formatted[m["from"] : m["to"]])) for m in r.loss]
+        assert masked == [b for _, a, b in own if a == "assistant"]
     for r in chat_format.digest(out).collect():
         own = sorted((t, a or "", b or "") for c, t, a, b in rows if c == r.conv_id)
         said = "".join(b for _, a, b in own if a == "assistant")
