@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..operators import market as M
 from ..operators import probes as P
 from ..operators import records as R
+from ..operators import tools as tools
 from ..operators import training as T
 from ..sources.panel import OFF_TIES, calendar, panel
 from . import backtest as B
@@ -1057,6 +1058,38 @@ def page_range(spark, sf_dir):
     return P.page_range(rows, 2, 4).select("doc_id", "chunk_no", F.col("page_start").alias("page"))
 
 
+_TOOL = "CASE doc_id % 5 WHEN 0 THEN 'search_report' WHEN 1 THEN 'read_report_pages' WHEN 2 THEN 'validate_factor_spec' WHEN 3 THEN 'search_report' ELSE 'other' END"
+
+
+def _tool_rows(spark, sf_dir):
+    """A call for each document and the chunks of all of them, every fourth of which has no page."""
+    rows, n = _cases(spark, sf_dir), F.col("doc_id")
+    pieces = X.chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    page = F.when(n % 4 != 0, F.col("chunk_no") + 1)
+    chunks = pieces.select("doc_id", X.chunk_id(F.lit(None).cast("int"), F.col("chunk_no")).alias("chunk_id"), F.col("chunk").alias("text"), page.alias("page_start"), page.alias("page_end"), "char_start", "char_end")
+    whole = F.concat(F.lit('{"spec":'), T.spec_json(F.col("gold")), F.lit("}"))
+    arguments = F.when(n % 5 == 0, '{"query":" E ","limit":2}').when(n % 5 == 1, '{"page_start":2,"page_end":"3"}').when(n % 5 == 2, whole).when(n % 5 == 3, "not json").otherwise("{}")
+    names = F.array(*[F.lit(x) for x in ("search_report", "read_report_pages", "validate_factor_spec", "search_report", "other")])
+    calls = rows.select(n.alias("call_id"), "doc_id", F.col("doc_id").alias("trajectory"), F.lit(0).alias("step"), F.element_at(names, (n % 5 + 1).cast("int")).alias("name"), arguments.alias("arguments"))
+    return calls, chunks
+
+
+@query(
+    f"""WITH {_CHUNK}, h AS (SELECT doc_id, count(*) FILTER (contains(lower(chunk), 'e')) AS with_e, count(*) FILTER (doc_id % 4 <> 0 AND chunk_no BETWEEN 1 AND 2) AS paged FROM ch GROUP BY doc_id)
+    SELECT doc_id, {_TOOL} AS name, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN NOT ({_CITED}) ELSE false END AS ok,
+        CASE doc_id % 5 WHEN 0 THEN least(2, coalesce(with_e, 0)) WHEN 1 THEN coalesce(paged, 0) END AS n_found,
+        CASE WHEN doc_id % 5 = 2 THEN CASE WHEN {_CITED} THEN '["p0-c0000"]' ELSE '[]' END END AS citation_errors,
+        CASE doc_id % 5 WHEN 3 THEN 'unparsable_arguments' WHEN 4 THEN 'unknown_tool' END AS illegal_kind FROM documents LEFT JOIN h USING (doc_id)"""
+)
+def tool_results(spark, sf_dir):
+    """Calls of a report's tools, answered from its chunks; no report quotes its case's label."""
+    out = tools.observed(*_tool_rows(spark, sf_dir))
+    n = F.col("doc_id") % 5
+    listed = F.when(n == 0, F.get_json_object("result", "$.matches[*].chunk_id")).when(n == 1, F.get_json_object("result", "$.chunks[*].chunk_id"))
+    found = F.when(n < 2, F.coalesce(F.regexp_count(listed, F.lit("p0-c")), F.lit(0)).cast("long"))
+    return out.select("doc_id", "name", "ok", found.alias("n_found"), F.get_json_object("result", "$.citation_errors").alias("citation_errors"), "illegal_kind")
+
+
 @query(
     """WITH p AS (SELECT conv_id, turn, text FROM conversations)
     SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS joined_sha256 FROM p GROUP BY conv_id"""
