@@ -355,22 +355,30 @@ def best_so_far(results: DataFrame) -> DataFrame:
     return results.withColumn("delta", F.when(good, delta).otherwise(0.0))
 
 
+def clamped(value: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+
+
 def evolution_scores(turns: DataFrame) -> DataFrame:
-    """(trajectory, subscores, raw, reward) of turns with delta, ok, metric, legal, drifted, novel, crowded, robustness."""
-    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """(trajectory, subscores, raw, caps, reward) of turns with delta, ok, metric, legal, drifted, novel, crowded, robustness."""
     yes = lambda c: F.when(c, 1.0).otherwise(0.0)
     s = turns.groupBy("trajectory").agg(
         F.avg(yes(F.col("legal"))).alias("validity"),
         (1 - F.max(yes(F.col("drifted")))).alias("no_drift"),
         (1 - F.max(yes(F.col("crowded")))).alias("protocol"),
         F.avg(yes(F.col("ok") & F.col("metric").isNotNull())).alias("backtest_success"),
-        clamp(0.5 + F.max("delta") / 2).alias("performance"),
-        clamp(F.coalesce(F.max("robustness"), F.lit(0.5))).alias("robustness"),
+        clamped(0.5 + F.max("delta") / 2).alias("performance"),
+        clamped(F.coalesce(F.max("robustness"), F.lit(0.5))).alias("robustness"),
         F.avg(yes(F.col("novel"))).alias("novelty"),
     )
+    return evolution_reward(s, F.lit(True))
+
+
+def evolution_reward(subscores: DataFrame, proposed: Column) -> DataFrame:
+    """Adds raw, caps and reward; ``proposed`` tells whether there was a candidate, without which none was illegal."""
     raw = sum((F.col(k) * w for k, w in EVOLVE_WEIGHTS.items()), F.lit(0.0))
-    caps = compacted(("multi_tool_per_step_cap", F.col("protocol") == 0), ("illegal_expr_cap", F.col("validity") < 1), ("spec_drift_cap", F.col("no_drift") == 0))
-    s = s.withColumns({"raw": raw, "caps": caps})
+    caps = compacted(("multi_tool_per_step_cap", F.col("protocol") == 0), ("illegal_expr_cap", proposed & (F.col("validity") < 1)), ("spec_drift_cap", F.col("no_drift") == 0))
+    s = subscores.withColumns({"raw": raw, "caps": caps})
     return s.withColumn("reward", capped(F.col("raw"), F.col("caps"), EVOLVE_CAPS))
 
 
