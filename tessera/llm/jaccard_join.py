@@ -8,7 +8,10 @@ two sizes give are discarded.
 1.  One pass over the texts gives each document's set (64-bit hashes) and deals
     the incidence by hash.  Documents with equal sets are one class.
 2.  Each bucket of hashes keeps those that two classes share.  A class that
-    shares less than the threshold's part of its set links with nothing.
+    shares less than the threshold's part of its set links with nothing.  A
+    shingle that many documents of one batch share is known to be shared: all but
+    its name goes straight to its classes, so no shingle gathers a share of all
+    rows, and it counts as the most frequent wherever it is.
 3.  The rest order their shared shingles by rising frequency.  Two that link
     share one of the first ``n - ceil(t n) + 1``; tying each such shingle's
     classes to the smallest gives clusters that no link leaves.
@@ -38,17 +41,35 @@ from . import kernel as K
 from .graph import components
 from .shared import batch, buckets, grouped, ids_of, joined, keyed, split_rows, stage, unkeyed, unstage
 
-_DEALT = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("sigs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("sigs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("hot", pa.binary()), ("known", pa.binary())])
 _SHARED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("shared", pa.binary())])
 _CLASSES = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("least", pa.int64()), ("row", pa.binary())])
+#: Documents of a batch that share a shingle, beyond which it is hot.
+HOT = 64
+_MOST = np.uint32(2**32 - 1)
 _DOC = np.dtype([("doc", "<i8"), ("key", "<i8"), ("n", "<i8"), ("sig", "<u8")])
 _CELL = np.dtype([("sig", "<u8"), ("h", "<u8"), ("df", "<u4")])
-_DEALT_SQL = "bucket int, docs binary, sigs binary, counts binary, hashes binary"
+_DEALT_SQL = "bucket int, docs binary, sigs binary, counts binary, hashes binary, hot binary, known binary"
 _SHARED_SQL = "bucket int, docs binary, shared binary"
 _CLASSES_SQL = "kind int, doc_id long, key long, n long, rep long, least long, row binary"
 
 
-def _deal(batches, nb: int, k: int):
+def _dealt(key: int, **blobs: bytes):
+    return batch(_DEALT, [[key], *[[blobs.get(f.name)] for f in list(_DEALT)[1:]]])
+
+
+def _hot(h: np.ndarray, most: int) -> np.ndarray:
+    """Which entries have a value that is there more than ``most`` times; few are, so a small table of counts finds most that are not."""
+    small = (h & np.uint64(0xFFFFF)).astype(np.int32)
+    at = np.flatnonzero(np.bincount(small)[small] > most)
+    hot = np.zeros(len(h), bool)
+    if len(at):
+        _, name, count = np.unique(h[at], return_inverse=True, return_counts=True)
+        hot[at] = count[name] > most
+    return hot
+
+
+def _deal(batches, nb: int, k: int, most: int):
     for b in batches:
         ids = ids_of(b.column(0))
         n, sig, rows, hashes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.uint64), [], []
@@ -64,7 +85,7 @@ def _deal(batches, nb: int, k: int):
         docs = np.zeros(len(ids), _DOC)
         docs["doc"], docs["key"], docs["n"], docs["sig"] = ids, ids_of(b.column(2)), n, sig
         for key, (part,) in split_rows((sig % np.uint64(nb)).astype(np.int64), nb, docs):
-            yield batch(_DEALT, [[key], [part], [None], [None], [None]])
+            yield _dealt(key, docs=part)
         if not rows:
             continue
         row, h = np.concatenate(rows), np.concatenate(hashes)
@@ -74,6 +95,16 @@ def _deal(batches, nb: int, k: int):
         keep[firsts] = True
         if not keep.all():
             row, h = row[keep[row]], h[keep[row]]
+        hot = _hot(h, most)
+        if hot.any():
+            known = np.zeros(int(hot.sum()), _CELL)
+            known["sig"], known["h"], known["df"] = sig[row[hot]], h[hot], _MOST
+            for key, (part,) in split_rows((known["sig"] % np.uint64(nb)).astype(np.int64), nb, known):
+                yield _dealt(key, known=part)
+            names = np.unique(known["h"])
+            for key, (part,) in split_rows(((names >> np.uint64(32)) % np.uint64(nb)).astype(np.int64), nb, names):
+                yield _dealt(key, hot=part)
+            row, h = row[~hot], h[~hot]
         bucket = ((h >> np.uint64(32)) % np.uint64(nb)).astype(np.uint16 if nb <= 65536 else np.uint32)
         order = np.argsort(bucket, kind="stable")
         row, h, ends, lo = row[order], h[order], np.cumsum(np.bincount(bucket, minlength=nb)), 0
@@ -83,33 +114,36 @@ def _deal(batches, nb: int, k: int):
             if hi > lo:
                 head = np.flatnonzero(np.diff(row[lo:hi], prepend=-1))
                 counts = np.diff(np.append(head, hi - lo)).astype(np.uint32)
-                yield batch(_DEALT, [[key], [None], [sig[row[lo:hi][head]].tobytes()], [counts.tobytes()], [h[lo:hi].tobytes()]])
+                yield _dealt(key, sigs=sig[row[lo:hi][head]].tobytes(), counts=counts.tobytes(), hashes=h[lo:hi].tobytes())
             lo = hi
 
 
 def _share(key, table, nb: int):
     bucket = key[0].as_py()
     out = [batch(_SHARED, [[bucket], [joined(table["docs"], _DOC).tobytes()], [None]])]
+    out += [batch(_SHARED, [[bucket], [None], [x]]) for x in table["known"].drop_null()]
     h = joined(table["hashes"], np.uint64)
     if len(h):
         sig = np.repeat(joined(table["sigs"], np.uint64), joined(table["counts"], np.uint32))
         order = np.argsort(h)
         h, sig = h[order], sig[order]
-        twin = np.zeros(len(h), bool)
-        twin[1:] = h[1:] == h[:-1]
-        twin[:-1] |= twin[1:]
-        h, sig = h[twin], sig[twin]
+        hot = np.isin(h, joined(table["hot"], np.uint64))
+        twin = hot.copy()
+        same = h[1:] == h[:-1]
+        twin[1:] |= same
+        twin[:-1] |= same
+        h, sig, hot = h[twin], sig[twin], hot[twin]
         order = np.lexsort((sig, h))
-        h, sig = h[order], sig[order]
+        h, sig, hot = h[order], sig[order], hot[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])
-        h, sig = h[new], sig[new]
+        h, sig, hot = h[new], sig[new], hot[new]
         if len(h):
             head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             df = np.repeat(np.diff(np.append(head, len(h))), np.diff(np.append(head, len(h))))
             cells = np.zeros(len(h), _CELL)
-            cells["sig"], cells["h"], cells["df"] = sig, h, np.minimum(df, 2**32 - 1)
-            cells = cells[df > 1]
+            cells["sig"], cells["h"], cells["df"] = sig, h, np.where(hot, _MOST, np.minimum(df, _MOST - 1))
+            cells = cells[(df > 1) | hot]
             for to, (part,) in split_rows((cells["sig"] % np.uint64(nb)).astype(np.int64), nb, cells):
                 out.append(batch(_SHARED, [[to], [None], [part]]))
     return pa.Table.from_batches(out)
@@ -134,8 +168,11 @@ def _classes(key, table, percent: int):
         out.append(batch(_CLASSES, [np.zeros(len(docs), np.int32), docs["doc"], docs["key"], docs["n"], rep, least, none]))
         cells = joined(table["shared"], _CELL)
         at = np.searchsorted(docs["sig"][head], cells["sig"])
-        cells = cells[np.lexsort((cells["h"], cells["df"], at))]
-        at.sort()
+        order = np.lexsort((cells["h"], cells["df"], at))
+        cells, at = cells[order], at[order]
+        new = np.ones(len(cells), bool)  # copies in two batches can both bring a hot shingle
+        new[1:] = (at[1:] != at[:-1]) | (cells["h"][1:] != cells["h"][:-1])
+        cells, at = cells[new], at[new]
         count = np.bincount(at, minlength=len(head))
         begin, n = np.cumsum(count) - count, docs["n"][head]
         good = np.flatnonzero((count >= _need(n, percent)) & (n > 0) & (count > 0))
@@ -267,7 +304,7 @@ def _large(rows: DataFrame, nb: int, percent: int, block: int, held: list) -> Da
     return second.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(third)
 
 
-def jaccard_groups(docs: DataFrame, percent: int = 75, k: int = 5, block: int = 2_000_000) -> DataFrame:
+def jaccard_groups(docs: DataFrame, percent: int = 75, k: int = 5, block: int = 2_000_000, hot: int = HOT) -> DataFrame:
     """(doc_id, key, n_shingles, component_id, component) for every row of ``docs``.
 
     As :func:`jaccard_components`, with ``key``, the xxhash64 of the text, and
@@ -278,7 +315,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, k: int = 5, block: int =
     spark = docs.sparkSession
     nb = buckets(spark)
     texts = keyed(docs, "text").withColumn("key", F.xxhash64("text"))
-    dealt = texts.mapInArrow(partial(_deal, nb=nb, k=k), _DEALT_SQL)
+    dealt = texts.mapInArrow(partial(_deal, nb=nb, k=k, most=hot), _DEALT_SQL)
     shared = dealt.groupBy("bucket").applyInArrow(grouped(_share, nb=nb), _SHARED_SQL)
     classes = stage(shared.groupBy("bucket").applyInArrow(grouped(_classes, percent=percent), _CLASSES_SQL), "classes")
     rows = classes.where("kind = 1").select("rep", "n", "row")
@@ -309,7 +346,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, k: int = 5, block: int =
     return found.select("doc_id", "key", "n_shingles", unkeyed("component_id"), "component")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, block: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, block: int = 2_000_000, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
     A document's set is its distinct shingles of ``k`` words, A-Z lower-cased;
@@ -320,4 +357,4 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5, block: in
     have a row and their own links; a null doc_id is below all others and stays
     null.  Other columns are not read.  An empty table gives an empty result.
     """
-    return jaccard_groups(docs, percent, k, block).select("doc_id", "n_shingles", "component_id")
+    return jaccard_groups(docs, percent, k, block, hot).select("doc_id", "n_shingles", "component_id")

@@ -66,8 +66,8 @@ def test_jaccard(docs, none):
             break
     want = {i: (len(s), root[i]) for i, s in sets.items()}
     assert got == want
-    for block in (90, 2_000_000):  # blocks of one or two rows; no blocks
-        assert {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(docs, block=block).collect()} == want
+    for block, hot in ((90, 64), (2_000_000, 64), (2_000_000, 1), (400, 3)):  # blocks of one or two rows; no blocks; shingles that few share are hot
+        assert {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(docs, block=block, hot=hot).collect()} == want
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
@@ -89,8 +89,8 @@ def test_jaccard_chain(spark):
                 if 100 * len(a & b) >= 75 * len(a | b):
                     root[i] = root[j] = min(root[i], root[j])
     assert 1 < len(set(root.values())) < 60
-    for block in (40, 150, 10**6):
-        got = {r[0]: r[2] for r in jaccard_join.jaccard_components(docs, block=block).collect()}
+    for block, hot in ((40, 64), (150, 64), (10**6, 64), (10**6, 1), (150, 4)):
+        got = {r[0]: r[2] for r in jaccard_join.jaccard_components(docs, block=block, hot=hot).collect()}
         assert got == root
 
 
