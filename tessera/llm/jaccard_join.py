@@ -58,17 +58,6 @@ def _dealt(key: int, **blobs: bytes):
     return batch(_DEALT, [[key], *[[blobs.get(f.name)] for f in list(_DEALT)[1:]]])
 
 
-def _hot(h: np.ndarray, most: int) -> np.ndarray:
-    """Which entries have a value that is there more than ``most`` times; few are, so a small table of counts finds most that are not."""
-    small = (h & np.uint64(0xFFFFF)).astype(np.int32)
-    at = np.flatnonzero(np.bincount(small)[small] > most)
-    hot = np.zeros(len(h), bool)
-    if len(at):
-        _, name, count = np.unique(h[at], return_inverse=True, return_counts=True)
-        hot[at] = count[name] > most
-    return hot
-
-
 def _deal(batches, nb: int, k: int, most: int):
     for b in batches:
         ids = ids_of(b.column(0))
@@ -95,7 +84,7 @@ def _deal(batches, nb: int, k: int, most: int):
         keep[firsts] = True
         if not keep.all():
             row, h = row[keep[row]], h[keep[row]]
-        hot = _hot(h, most)
+        hot = K.frequent(h, most)
         if hot.any():
             known = np.zeros(int(hot.sum()), _CELL)
             known["sig"], known["h"], known["df"] = sig[row[hot]], h[hot], _MOST
@@ -127,7 +116,10 @@ def _share(key, table, nb: int):
         sig = np.repeat(joined(table["sigs"], np.uint64), joined(table["counts"], np.uint32))
         order = np.argsort(h)
         h, sig = h[order], sig[order]
-        hot = np.isin(h, joined(table["hot"], np.uint64))
+        names, hot = np.unique(joined(table["hot"], np.uint64)), np.zeros(len(h), bool)
+        lo, hi = np.searchsorted(h, names, side="left"), np.searchsorted(h, names, side="right")
+        hot[K.ragged(lo, hi - lo)] = True
+        del order
         twin = hot.copy()
         same = h[1:] == h[:-1]
         twin[1:] |= same

@@ -185,6 +185,21 @@ def shingle_sets(raw: np.ndarray, starts: np.ndarray, k: int = 5) -> tuple[np.nd
     return own[new], sh[new]
 
 
+def frequent(h: np.ndarray, most: int) -> np.ndarray:
+    """Which entries have a value that is there more than ``most`` times.
+
+    A small table of counts, by some bits of the values, rules out nearly all
+    others before any are sorted.
+    """
+    small = (h & np.uint64(0xFFFFF)).astype(np.int32)
+    at = np.flatnonzero((np.bincount(small) > most)[small])
+    found = np.zeros(len(h), bool)
+    if len(at):
+        _, name, count = np.unique(h[at], return_inverse=True, return_counts=True)
+        found[at] = count[name] > most
+    return found
+
+
 def ragged(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     """lo[0], lo[0]+1, ... size[0] of them, then those of lo[1], and so on."""
     total = int(size.sum())
