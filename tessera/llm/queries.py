@@ -12,10 +12,13 @@ from .chat_format import digest, format_conversations
 from .jaccard_join import jaccard_components
 from .line_quality import clean_lines
 from .mixing import mixed
+from .multi_index import near_vectors
 from .ordinal_quality import grade, train
 from .packing import pack
 from .passage_chains import fuzzy_passages
+from .spelling_variants import spelling_variants
 from .suffix_dedup import remove_repeats
+from .tiered_search import ranked_search
 from .token_counts import section_tokens
 from .topk_search import exact_top_k
 
@@ -72,12 +75,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return near_vectors(vectors, F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_section_tokens, op2_clean_lines, op3_passage_chains, op4_chat_format, op5_suffix_dedup)
     + (op6_ordinal_quality, op7_topk_search, op8_packing, op9_jaccard_join, op10_mixing)
+    + (op11_ranked_search, op12_spelling_variants, op13_multi_index)
 }
 
+_SMALL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = r"unnest(regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))".format(_SMALL.format("text"))
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _ESC = r"regexp_replace(regexp_replace({0}, '</turn(\\*)>', '</turn\1\\>', 'g'), '(\\*)### ', '\\\1### ', 'g')"
 _ROLE = _ESC.format(r"regexp_replace({0}, ':(\\*) ', ':\1\\ ', 'g')")
@@ -134,4 +153,42 @@ ORACLES = {
             size * (CAST(floor(rate) AS BIGINT) + CASE WHEN CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE
                 < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
         FROM r""",
+    "op11_ranked_search": f"""
+        WITH i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} AS term FROM benchmark) GROUP BY ALL),
+        r AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+        p AS (SELECT row, doc_id, term, count(*) AS tf FROM (SELECT row, doc_id, {_TERMS} AS term FROM r) GROUP BY ALL),
+        d AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY row),
+        c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+        m AS (SELECT row, 100 - 75 + ((75 * n * docs) // terms) AS m FROM d, c),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * max(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, c GROUP BY term),
+        s AS (
+            SELECT item_id, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM i JOIN w USING (term) JOIN p USING (term) JOIN m USING (row) GROUP BY ALL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10""",
+    "op12_spelling_variants": rf"""
+        WITH RECURSIVE t AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+        r AS (
+            SELECT doc_id, run, count(*) AS n FROM (
+                SELECT doc_id, unnest(regexp_extract_all({_SMALL.format('text')}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL),
+        b AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run)) AS b FROM r WHERE length(run) >= 6),
+        h AS (
+            SELECT run, n, xor(4294967295, list_reduce(list_transform(range(CAST(length(b) // 2 AS BIGINT)), lambda i: CAST('0x' || b[2 * i + 1:2 * i + 2] AS BIGINT)),
+                lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295)) AS h FROM b, t),
+        a AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+        w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM a WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        e AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM w),
+        k AS (SELECT word, n, place, left(word, place - 1) || substr(word, place + 1) AS key FROM e),
+        x AS (SELECT DISTINCT word, n, key FROM k),
+        p AS (
+            SELECT a.word, o.word AS near, o.n AS near_n FROM k a JOIN k o ON a.key = o.key AND a.place = o.place AND a.word <> o.word
+            UNION ALL SELECT x.word, w.word, w.n FROM x JOIN w ON w.word = x.key
+            UNION ALL SELECT w.word, x.word, x.n FROM x JOIN w ON w.word = x.key),
+        q AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM p GROUP BY word),
+        f AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+            FROM w LEFT JOIN q USING (word)),
+        o AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT o.word, f.form, steps + 1 FROM o JOIN f ON f.word = o.root WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(root, steps) AS root FROM o GROUP BY word) l USING (word)""",
 }

@@ -49,11 +49,11 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
 _staged: list[str] = []
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+def stage(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` to the shared folder, with the writer's options, and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _staged.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stage_path = path

@@ -41,7 +41,7 @@ def test_sql(spark, name):
 def test_all_are_registered():
     found = __spark_entry__.queries()
     assert [n for n in found if n.startswith("op")] == list(queries.QUERIES) and "pipeline" in found
-    assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(i) for i in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(i) for i in range(1, 14)]
 
 
 def test_repeats_of_the_table(spark):
