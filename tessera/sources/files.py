@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import market as M
+from . import downloads
 
 _EVIDENCE = "array<struct<chunk_id: string, quote: string, page_start: int, page_end: int, char_start: int, char_end: int>>"
 _SPEC = "struct<name: string, universe: string, frequency: string, neutralization: string, rebalance: string, expr: string, windows: array<string>, evidence: {0}>".format(_EVIDENCE)
@@ -123,26 +123,14 @@ def snapshots_cover(memberships: DataFrame, industries: DataFrame, start: str, e
 
 
 def fetched(instruments: DataFrame, fetch: Callable[[list[str]], pd.DataFrame], schema: str, batch: int = 10, tries: int = 3, wait: float = 1.0) -> DataFrame:
-    """Rows that ``fetch`` returns for batches of the column ``instrument``, fetched by the executors.
+    """Rows that ``fetch`` returns for batches of the column ``instrument``, fetched by the executors, a task for each batch.
 
     A failed batch is tried again after 1, 2, 4, ... times ``wait`` seconds; the
-    last failure is raised, so Spark repeats the task.
+    last failure is raised, so Spark repeats the task.  The driver deals the
+    instruments out, some thousand short names.
     """
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            codes = frame["instrument"].tolist()
-            for lo in range(0, len(codes), batch):
-                for attempt in range(tries):
-                    try:
-                        yield fetch(codes[lo : lo + batch])
-                        break
-                    except Exception:
-                        if attempt == tries - 1:
-                            raise
-                        time.sleep(wait * 2**attempt)
-
-    return instruments.select("instrument").distinct().mapInPandas(work, schema)
+    keys = [r.instrument for r in instruments.select("instrument").distinct().orderBy("instrument").collect()]
+    return downloads.fetched(instruments.sparkSession, keys, fetch, schema, batch, tries, wait)
 
 
 def calendar(spark: SparkSession, path: str) -> DataFrame:

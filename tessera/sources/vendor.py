@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import market as M
 from ..operators import probes as P
 from ..plans.backtest import UNIVERSES
-from . import files, sinks
+from . import downloads, files, sinks
 
 #: How the vendor names the universes' queries and the fields of a daily bar, and forward adjustment.
 QUERIES = {"CSI300": "query_hs300_stocks", "CSI500": "query_zz500_stocks"}
@@ -69,15 +69,37 @@ def _code(instrument: str) -> str:
     return f"{instrument[:2].lower()}.{instrument[2:]}"
 
 
+class Session:
+    """A client that logs in when it is first asked, and again after a question that failed."""
+
+    def __init__(self, connect: Callable[[], Any], wait: float):
+        self.connect, self.wait, self.client = connect, wait, None
+
+    def bars(self, instrument: str, first: str, last: str) -> pd.DataFrame:
+        if self.client is None:
+            self.client = logged_in(self.connect, wait=self.wait)
+        try:
+            return drained(self.client.query_history_k_data_plus(_code(instrument), BAR_FIELDS, start_date=first, end_date=last, frequency="d", adjustflag=ADJUST))
+        except Exception:
+            self.close()
+            raise
+
+    def close(self) -> None:
+        client, self.client = self.client, None
+        if client is not None:
+            client.logout()
+
+
 class VendorSource:
-    """Snapshots are asked for by the driver, one small answer a date; bars by the executors, in batches.
+    """Snapshots are asked for by the driver, one small answer a date; bars by the executors, a task for each batch.
 
-    With a ``cache`` folder bars are written there as Parquet by instrument and
-    only what it lacks is asked for, so a run that broke goes on where it was.
+    With a ``cache`` folder bars are kept there with the days that were asked
+    for, and only days that it lacks are asked for: a run that broke goes on
+    where it was, and a longer period fetches what is new.
     """
 
-    def __init__(self, spark: SparkSession, connect: Callable[[], Any], name: str = "vendor", batch: int = 10, tries: int = 3, wait: float = 1.0):
-        self.spark, self.connect, self.name, self.batch, self.tries, self.wait = spark, connect, name, batch, tries, wait
+    def __init__(self, spark: SparkSession, connect: Callable[[], Any], name: str = "vendor", batch: int = 10, tries: int = 3, wait: float = 1.0, wave: int = 64):
+        self.spark, self.connect, self.name, self.batch, self.tries, self.wait, self.wave = spark, connect, name, batch, tries, wait, wave
         self.client: Any = None
 
     def open(self) -> None:
@@ -120,32 +142,42 @@ class VendorSource:
         return self._frame(found[["date", "code", "industry"]], "date string, code string, industry string").select("date", "instrument", "industry").distinct()
 
     def prices(self, instruments: DataFrame, start: str, end: str, cache: str | None = None) -> DataFrame:
-        wanted = instruments.select("instrument").distinct()
-        connect, wait = self.connect, self.wait
-        names = BAR_FIELDS.split(",")
+        """Bars of the period; an instrument without any is an error, after what came of the others is kept in the cache.
 
-        def fetch(codes: list[str]) -> pd.DataFrame:
-            client, out = logged_in(connect, wait=wait), []
+        Bars are adjusted forward, so those of one instrument that were fetched at
+        different times can stand on different bases; another ``cache`` folder
+        fetches all of them anew.
+        """
+        connect, tries, wait, names = self.connect, self.tries, self.wait, BAR_FIELDS.split(",")
+
+        def bars_of(asked: list[tuple[str, str, str]]) -> Iterator[tuple[pd.DataFrame | None, str | None]]:
+            """The bars of each (instrument, first day, last day), in sessions that are opened anew after a failure."""
+            session = Session(connect, wait)
             try:
-                for code in codes:
-                    bars = drained(client.query_history_k_data_plus(_code(code), BAR_FIELDS, start_date=start, end_date=end, frequency="d", adjustflag=ADJUST))
-                    if not len(bars):
-                        raise RuntimeError(f"{code}: no bars")
-                    out.append(bars.reindex(columns=names).assign(instrument=code))
+                for code, first, last in asked:
+                    try:
+                        yield downloads.attempts(lambda: session.bars(code, first, last), tries, wait), None
+                    except Exception as e:
+                        yield None, str(e)
             finally:
-                client.logout()
-            return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[*names, "instrument"])
+                session.close()
+
+        if cache is not None:
+            held = downloads.RangeCache(self.spark, cache, names, self.batch, self.wave)
+            keys = instruments.select(F.col("instrument").alias("key"))
+            held.fill(keys, start, end, bars_of)
+            return files.bars(held.rows(keys, start, end).withColumnRenamed("key", "instrument"))
+
+        def fetch(codes: list[str]) -> pd.DataFrame:
+            out = []
+            for code, (rows, error) in zip(codes, bars_of([(c, start, end) for c in codes])):
+                if error or rows is None or not len(rows):
+                    raise RuntimeError(f"{code}: {error or 'no bars'}")
+                out.append(rows.assign(instrument=code))
+            return pd.concat(out, ignore_index=True)
 
         schema = ", ".join(f"`{c}` string" for c in [*names, "instrument"])
-        if cache is None:
-            rows = files.fetched(wanted, fetch, schema, self.batch, self.tries, wait)
-        else:
-            if files.exists(self.spark, cache):
-                have = self.spark.read.schema("instrument string").parquet(cache).distinct()
-                wanted = wanted.join(have, "instrument", "left_anti")
-            files.fetched(wanted, fetch, schema, self.batch, self.tries, wait).write.mode("append").partitionBy("instrument").parquet(cache)
-            rows = self.spark.read.schema(schema).parquet(cache).join(instruments.select("instrument").distinct(), "instrument", "left_semi")
-        return files.bars(rows)
+        return files.bars(files.fetched(instruments, fetch, schema, self.batch, 1, wait))
 
 
 def prepared(source: MarketSource, path: str, start: str, end: str, universes: Iterable[str] = UNIVERSES) -> dict:
