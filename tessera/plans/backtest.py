@@ -7,7 +7,7 @@ keeps pace with the day.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,13 +48,33 @@ class Config:
         return self
 
 
+def deal_order(seed: int) -> Column:
+    """Where a score stands in the deal of its date: the MD5 of seed, day and instrument, so any engine deals alike."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.date_format("datetime", "yyyy-MM-dd"), F.col("instrument").cast("string")))
+
+
+def dealt(rows: DataFrame, order: Column, anew: Column | bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """``score`` dealt anew, where ``anew``, among the instruments of each date that have one.
+
+    The n-th instrument gets the score whose own instrument is n-th by ``order``.
+    Instruments and scores meet by date and number in one aggregate, so the rows
+    are read once; rows that are not dealt anew bring their score along.
+    """
+    day = W.partitionBy(*by, "datetime", "_has")
+    rows = rows.withColumn("_has", F.col("score").isNotNull())
+    rows = rows.withColumns({"_n": F.row_number().over(day.orderBy("instrument")), "_m": F.row_number().over(day.orderBy(order, "instrument"))})
+    row = F.struct(*[c for c in rows.columns if c not in (*by, "datetime", "_has", "_n", "_m", "score")])
+    part = lambda n, row, score: F.struct(n.alias("n"), row.alias("row"), score.alias("score"))
+    own, none = part(F.col("_n"), row, F.col("score")), F.lit(None)
+    given = F.array(part(F.col("_n"), row, none.cast("double")), part(F.col("_m"), F.when(F.lit(False), row), F.col("score")))
+    parts = rows.select(*by, "datetime", "_has", F.explode(F.when(F.lit(anew) & F.col("_has"), given).otherwise(F.array(own))).alias("p")).select(*by, "datetime", "_has", "p.*")
+    met = parts.groupBy(*by, "datetime", "_has", "n").agg(F.first("row", True).alias("row"), F.max("score").alias("score"))
+    return met.select(*by, "datetime", "row.*", "score")
+
+
 def shuffled(rows: DataFrame, seed: int) -> DataFrame:
     """``score`` dealt anew among the instruments of each date that have one, by a seeded hash."""
-    has = rows.where("score is not null").select("datetime", "instrument", "score")
-    by = W.partitionBy("datetime")
-    places = has.select("datetime", "instrument", F.row_number().over(by.orderBy("instrument")).alias("n"))
-    drawn = has.select("datetime", "score", F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "datetime", "instrument"), "instrument")).alias("n"))
-    return rows.drop("score").join(places.join(drawn, ["datetime", "n"]).drop("n"), ["datetime", "instrument"], "left")
+    return dealt(rows, deal_order(seed)).select(*rows.columns)
 
 
 def scored(panel: DataFrame, expression: str, config: Config = Config()) -> DataFrame:
@@ -85,23 +105,26 @@ def within(start: str, end: str) -> Column:
     return F.col("datetime").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
 
 
-def tradable(rows: DataFrame, start: str, end: str, days: DataFrame | None = None) -> DataFrame:
-    """Rows of the window that trade, with ``d``, their day's ordinal among the window's traded days."""
+def tradable(rows: DataFrame, start: str, end: str, days: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the window that trade, with ``d``, their day's ordinal among the window's traded days.
+
+    Here and below, ``by`` names columns that tell several runs in one table apart.
+    """
     days = traded_days(rows) if days is None else days
     days = days.where(within(start, end) & F.col("traded")).select("datetime")
     days = days.withColumn("d", F.row_number().over(W.orderBy("datetime")) - 1)
     kept = rows.where(within(start, end) & (F.coalesce("tradestatus", F.lit(0)) > 0))
-    return kept.join(F.broadcast(days), "datetime").select("datetime", "d", "instrument", "score", F.col("return").alias("r"))  # one row a day
+    return kept.join(F.broadcast(days), "datetime").select(*by, "datetime", "d", "instrument", "score", F.col("return").alias("r"))  # one row a day
 
 
-def placed(rows: DataFrame, config: Config) -> DataFrame:
+def placed(rows: DataFrame, config: Config, by: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with ``w``: the weight of the top of each rebalance day, equal up to the bound; else NULL.
 
     Rows that are no candidates are dealt by instrument besides, so that no day gathers them.
     """
     can = F.coalesce((F.col("d") % config.update_freq == 0) & F.col("score").isNotNull() & F.col("r").isNotNull(), F.lit(False))
     rows = rows.withColumn("_part", F.when(can, -1).otherwise(F.pmod(F.hash("instrument"), F.lit(64))))
-    day = W.partitionBy("d", "_part")
+    day = W.partitionBy(*by, "d", "_part")
     k = F.greatest(F.lit(1), F.ceil(F.count("*").over(day) * F.lit(float(config.topk_ratio))))
     place = F.row_number().over(day.orderBy(F.desc("score"), "instrument"))
     weight = F.least(F.lit(float(config.position_size)) / k, F.lit(float(config.max_pos_each_stock)))
@@ -113,13 +136,13 @@ def chosen(rows: DataFrame, config: Config) -> DataFrame:
     return placed(rows.where(F.col("d") % config.update_freq == 0), config).where("w is not null").select("d", "instrument", "w")
 
 
-def carried(rows: DataFrame, config: Config) -> DataFrame:
+def carried(rows: DataFrame, config: Config, by: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with ``w`` as held that day: a name falls out at its first day without a return, until the next rebalance.
 
     One exchange by instrument serves this window and those of :func:`daily`.
     """
-    rows = placed(rows, config).repartition("instrument").withColumn("d0", F.col("d") - F.col("d") % config.update_freq)
-    block = W.partitionBy("instrument", "d0")
+    rows = placed(rows, config, by).repartition(*by, "instrument").withColumn("d0", F.col("d") - F.col("d") % config.update_freq)
+    block = W.partitionBy(*by, "instrument", "d0")
     given = F.max("w").over(block)
     pace = F.count("r").over(block.orderBy("d").rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("w", F.when(F.col("r").isNotNull() & (pace == F.col("d") - F.col("d0") + 1), given)).drop("d0")
@@ -130,15 +153,15 @@ def holdings(rows: DataFrame, config: Config) -> DataFrame:
     return carried(rows, config).where("w is not null").select("datetime", "d", "instrument", "w", "r")
 
 
-def daily(rows: DataFrame, config: Config) -> DataFrame:
+def daily(rows: DataFrame, config: Config, by: tuple[str, ...] = ()) -> DataFrame:
     """One row a day: gross, cost, net, benchmark, turnover, n_held, n_rows.
 
     All figures come from one aggregate.  A name that is held on a day and not on
     the next is sold on the next, where it may have no row: it adds one.
     """
-    own = W.partitionBy("instrument").orderBy("d")
+    own = W.partitionBy(*by, "instrument").orderBy("d")
     beside = {"before": F.max("w").over(own.rangeBetween(-1, -1)), "after": F.max("w").over(own.rangeBetween(1, 1))}
-    rows, zero = carried(rows, config).withColumns(beside), F.lit(0.0)
+    rows, zero = carried(rows, config, by).withColumns(beside), F.lit(0.0)
     w = F.col("w")
     change = w - F.coalesce("before", zero)
     part = lambda d, datetime, r, gross, held, buys, sells: F.struct(d.alias("d"), datetime.alias("datetime"), r.alias("r"), gross.alias("gross"), held.alias("held"), buys.alias("buys"), sells.alias("sells"))
@@ -146,29 +169,29 @@ def daily(rows: DataFrame, config: Config) -> DataFrame:
     none = F.lit(None)
     gone = part(F.col("d") + 1, none.cast("date"), none.cast("double"), none.cast("double"), none.cast("long"), none.cast("double"), w)
     left = w.isNotNull() & F.col("after").isNull()
-    each = rows.select(F.explode(F.when(left, F.array(here, gone)).otherwise(F.array(here))).alias("e")).select("e.*")
+    each = rows.select(*by, F.explode(F.when(left, F.array(here, gone)).otherwise(F.array(here))).alias("e")).select(*by, "e.*")
     sums = {"benchmark": F.avg("r"), "gross": F.sum("gross"), "buys": F.sum("buys"), "sells": F.sum("sells")}
-    out = each.groupBy("d").agg(F.max("datetime").alias("datetime"), F.coalesce(F.sum("held"), F.lit(0)).alias("n_held"), F.count("datetime").alias("n_rows"), *[F.coalesce(c, zero).alias(n) for n, c in sums.items()])
+    out = each.groupBy(*by, "d").agg(F.max("datetime").alias("datetime"), F.coalesce(F.sum("held"), F.lit(0)).alias("n_held"), F.count("datetime").alias("n_rows"), *[F.coalesce(c, zero).alias(n) for n, c in sums.items()])
     out = out.where("datetime is not null")  # the day after the last
     cost = F.col("buys") * F.lit(float(config.open_cost)) + F.col("sells") * F.lit(float(config.close_cost))
     return out.select(
-        "d", "datetime", "gross", cost.alias("cost"), (F.col("gross") - cost).alias("net"), "benchmark", ((F.col("buys") + F.col("sells")) / 2).alias("turnover"), "n_held", "n_rows"
+        *by, "d", "datetime", "gross", cost.alias("cost"), (F.col("gross") - cost).alias("net"), "benchmark", ((F.col("buys") + F.col("sells")) / 2).alias("turnover"), "n_held", "n_rows"
     )
 
 
-def with_nav(days: DataFrame) -> DataFrame:
-    """Adds nav, gross_nav, benchmark_nav and drawdown (one row a day, so one task is enough)."""
-    run = W.orderBy("d").rowsBetween(W.unboundedPreceding, 0)
+def with_nav(days: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds nav, gross_nav, benchmark_nav and drawdown (one row a day, so one task a run is enough)."""
+    run = W.partitionBy(*by).orderBy("d").rowsBetween(W.unboundedPreceding, 0)
     nav = {n: F.product(1 + F.col(c)).over(run) for n, c in (("nav", "net"), ("gross_nav", "gross"), ("benchmark_nav", "benchmark"))}
     return days.withColumns(nav).withColumn("drawdown", F.col("nav") / F.max("nav").over(run) - 1)
 
 
-def metrics(days: DataFrame, annualization: int = 252) -> DataFrame:
-    """One row of risk and return figures from :func:`with_nav`'s days."""
+def metrics(days: DataFrame, annualization: int = 252, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one a run, of risk and return figures from :func:`with_nav`'s days."""
     bars = F.lit(float(annualization))
     excess = F.col("net") - F.col("benchmark")
     final = lambda c: F.max_by(c, "d")
-    return days.agg(
+    return days.groupBy(*by).agg(
         F.when(F.stddev_pop(excess) > 0, F.avg(excess) / F.stddev_pop(excess) * F.sqrt(bars)).otherwise(0.0).alias("information_ratio"),
         (F.pow(final("nav"), bars / F.count("*")) - 1).alias("annualized_return"),
         (F.stddev_pop("net") * F.sqrt(bars)).alias("annualized_volatility"),
@@ -192,12 +215,29 @@ def backtest(panel: DataFrame, expression: str, start: str, end: str, config: Co
     return with_nav(daily(tradable(rows, start, end, days), config))
 
 
-def contrasts(panel: DataFrame, expression: str, start: str, end: str, config: Config = Config(), days: DataFrame | None = None, seed: int = SHUFFLE_SEED) -> DataFrame:
-    """One row of (contrast, metrics) for the factor as it is, one bar later, and with each day's scores dealt anew."""
-    runs = {"reference": config, "lag_one": replace(config, shift_bars=config.shift_bars + 1), "shuffle_cross_section": replace(config, shuffle_seed=seed)}
-    out = None
-    for name, each in runs.items():
-        row = metrics(backtest(panel, expression, start, end, each, days), config.annualization)
-        row = row.select(F.lit(name).alias("contrast"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+def contrasts(panel: DataFrame, expressions: dict[str, str], start: str, end: str, config: Config = Config(), days: DataFrame | None = None, seed: int = SHUFFLE_SEED) -> DataFrame:
+    """(factor, contrast, metrics) of each factor as it is, one bar later, and with each day's scores dealt anew.
+
+    All runs are one plan: the signals share their windows, each row then has
+    its score of every run, and what follows tells the runs apart by their
+    columns, so the panel is read once however many factors there are.  A factor
+    without a tradable row has no rows.
+    """
+    config.checked()
+    bars = max(E.reach(E.parse(e)) for e in expressions.values()) + AS_OF_BARS + config.shift_bars + 1
+    calendar = panel.select("datetime", "day_idx") if days is None else days
+    first = calendar.where(F.col("datetime") >= F.lit(start).cast("date")).agg(F.min("day_idx").alias("_first"))
+    rows = panel.join(F.broadcast(first), F.col("day_idx") >= F.col("_first") - bars, "left_semi")  # one row
+    trees = {f"_s{i}": E.parse(e) for i, e in enumerate(expressions.values())}
+    if config.neutralization == "industry":
+        trees = {c: E.neutralized(t) for c, t in trees.items()}
+    lag, by = AS_OF_BARS + config.shift_bars, ("factor", "contrast")
+    rows = E.with_signals(rows, trees)
+    rows = rows.withColumns({f"{c}_{late}": E.delayed(F.col(c), lag + late) for c in trees for late in (0, 1)})
+    kinds = {"reference": 0, "lag_one": 1, "shuffle_cross_section": 0}
+    runs = [F.struct(F.lit(f).alias("factor"), F.lit(k).alias("contrast"), F.col(f"{c}_{late}").alias("score")) for f, c in zip(expressions, trees) for k, late in kinds.items()]
+    each = rows.where(within(start, end)).select("datetime", "instrument", "return", "tradestatus", F.explode(F.array(*runs)).alias("run"))
+    each = each.select("datetime", "instrument", "return", "tradestatus", "run.*")
+    given = dealt(each, deal_order(config.shuffle_seed or seed), F.col("contrast") == "shuffle_cross_section", by)
+    table = with_nav(daily(tradable(given, start, end, traded_days(panel) if days is None else days, by), config, by), by)
+    return metrics(table, config.annualization, by)
