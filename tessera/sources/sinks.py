@@ -10,13 +10,13 @@ import json
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
-from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.canonical import stable_hash, with_hash  # noqa: F401  both are this module's
 from ..operators import market as M
 from ..operators import probes as P
 from ..operators import records as R
@@ -26,11 +26,6 @@ MANIFEST = "source string, start string, end string, warmup_start string, univer
 PANEL_FIELDS = ("open", "high", "low", "close", "volume", "amount", "return", "industry", "tradestatus", "isST")
 
 
-def stable_hash(payload: Any) -> str:
-    """SHA-256 of the JSON with sorted keys and no spaces."""
-    return hashlib.sha256(json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-
-
 def write_json(rows: DataFrame, path: str, mode: str = "errorifexists", *partitions: str) -> None:
     """JSON lines; nulls stay explicit."""
     rows.write.mode(mode).partitionBy(*partitions).option("ignoreNullFields", False).json(path)
@@ -59,6 +54,15 @@ def write_pools(routed: DataFrame, path: str) -> DataFrame:
     return routed.sparkSession.read.schema("route string, n long").json(f"{path}/summary")
 
 
+def identified(calls: DataFrame, spec: str = "spec", config: str = "config", payload: str = "payload") -> DataFrame:
+    """``calls`` with the hashes under which a run log keeps them, as ``stable_hash`` gives them one by one.
+
+    ``spec`` is a record with name and expr, ``config`` and ``payload`` are structs.
+    """
+    rows = calls.withColumns({"_e": F.struct(F.col(spec)["name"].alias("name"), F.col(spec)["expr"].alias("expr")), "_c": F.struct(F.col(config).alias("config"), F.col(payload).alias("payload"))})
+    return with_hash(with_hash(rows, "_e", "expression_hash"), "_c", "config_hash").drop("_e", "_c")
+
+
 def append_ledger(entries: DataFrame, path: str) -> None:
     """Adds entries to a run log; what is there is never changed."""
     whole = entries.withColumns({"run_id": F.coalesce("run_id", F.expr("uuid()")), "created_at": F.coalesce("created_at", F.unix_micros(F.current_timestamp()) / 1e6)})
@@ -224,13 +228,12 @@ def store_rollouts(trajectories: DataFrame, path: str, run_id: str) -> DataFrame
         {
             "run_id": F.lit(run_id),
             "prompt": prompt,
-            "prompt_hash": F.sha2(F.to_json(prompt), 256),
             "tool_schemas": F.coalesce(F.col("tools") if "tools" in have else text, F.lit("[]")),
             "place": F.concat_ws("/", F.lit(path), F.lit("{}"), F.concat(F.lit("case_id="), "case_id"), "rollout_id"),
             **optional,
         }
     )
-    rows = rows.withColumn("tool_schema_hash", F.sha2("tool_schemas", 256))
+    rows = with_hash(rows, "prompt", "prompt_hash").withColumn("tool_schema_hash", F.sha2("tool_schemas", 256))
     parts = {"trajectory": ["stage", "steps"], "score": ["reward", "caps"], "metadata": ["prompt", "tool_schemas", "prompt_hash", "tool_schema_hash", *optional]}
     for name, columns in parts.items():
         write_json(rows.select("run_id", "rollout_id", "case_id", *columns), f"{path}/{name}", "append", "case_id")
