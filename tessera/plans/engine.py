@@ -89,7 +89,7 @@ class BacktestEngine:
         table = B.backtest(panel, expression, backtest_start_time, backtest_end_time, config, days)
         rows = table.orderBy("d").collect()
         if not rows:
-            raise RuntimeError(f"no tradable rows in backtest window {backtest_start_time}..{backtest_end_time}")
+            raise RuntimeError(f"the window {backtest_start_time} to {backtest_end_time} has no tradable rows")
         figures = B.metrics(panel.sparkSession.createDataFrame(rows, table.schema), config.annualization).first()
         return {
             "metrics": {shown: float(figures[c]) for c, shown in METRICS.items()},

@@ -7,6 +7,7 @@ import sys
 import threading
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -92,6 +93,11 @@ def test_service_and_client(spark, tmp_path):
     gone = client.evaluate(SPEC | {"expr": "$close"}, "c", "search", "2024-01-02", "2024-02-01")
     assert (gone["ok"], gone["error_source"], gone["metric"]) == (False, "environment", None)
     assert service.answered(e, "GET", "/health", {})[1]["status"] == "healthy" and service.answered(e, "GET", "/x", {})[0] == 404
+    a, m = service.Answer, "Information_Ratio_with_cost"
+    given = lambda *x: [service.outcome(a(*x), m)[c] for c in ("ok", "metric", "error_source")]
+    assert given(200, {"data": {"metrics": {m: 2, "x": "y", "z": True}}}) == given(200, {"metrics": {m: 2.0}}) == [True, 2.0, None]
+    assert given(200, {"metrics": {"other": 1}}) == given(200, "text") == given(500, "text") == given(503, {"detail": {"error": "x"}}) == given(0, {"error": "x"}) == [False, None, "environment"]
+    assert given(404, "text") == given(422, {"detail": "x"}) == given(500, {"detail": {"source": "model"}}) == [False, None, "model"]
     sent = service.ClientConfig().payload(SPEC, "a", "b", shuffle=True)
     assert sent["update_freq"] == 5 and sent["shuffle_cross_section"] and "shift_bars" not in sent and not sent["pred_score_industry_neutralization"]
 
@@ -149,13 +155,85 @@ def test_vendor(spark, tmp_path):
         vendor.drained(Cursor([], [], "7"))
 
 
-def test_vendor_goes_on_from_its_cache(spark, tmp_path):
-    cache = str(tmp_path / "bars")
-    codes = spark.createDataFrame([("sh600001",), ("sz000001",)], "instrument string")
-    source = vendor.VendorSource(spark, Client, wait=0.01)
-    assert source.prices(codes.limit(1), "2020-01-01", "2020-12-31", cache).count() == 3
-    assert source.prices(codes, "2020-01-01", "2020-12-31", cache).count() == 6
-    assert spark.read.parquet(cache).count() == 6
+class Ranged(Client):
+    """Bars of the weekdays asked for; what was asked is told in a file, some instruments fail."""
+
+    told, broken = "", ()
+
+    def __init__(self, told="", broken=()):
+        self.told, self.broken = told, broken
+
+    def login(self):
+        with open(self.told, "a") as f:
+            f.write("login\n")
+        return SimpleNamespace(error_code="0", error_msg="")
+
+    def query_history_k_data_plus(self, code, fields, start_date, end_date, frequency, adjustflag):
+        with open(self.told, "a") as f:
+            f.write(f"{code} {start_date} {end_date}\n")
+        if code in self.broken:
+            return Cursor([], [], "9")
+        days = [] if code == "sh.000000" else [str(d.date()) for d in pd.bdate_range(start_date, end_date)]
+        return Cursor(fields.split(","), [[{"date": d, "code": code, "close": "1.5", "pctChg": "1"}.get(c, "") for c in fields.split(",")] for d in days])
+
+
+def told(path):
+    text = path.read_text().split("\n") if path.exists() else []
+    path.write_text("")
+    return sorted(x for x in text if x and x != "login"), text.count("login")
+
+
+def test_vendor_cache_of_a_broken_run(spark, tmp_path):
+    """Nine of ten instruments are kept when one fails, and are not asked for again."""
+    cache, log = str(tmp_path / "bars"), tmp_path / "told"
+    names = [f"sh60000{i}" for i in range(10)]
+    codes = spark.createDataFrame([(n,) for n in names], "instrument string")
+    bad = vendor.VendorSource(spark, lambda: Ranged(str(log), ("sh.600004",)), batch=3, wave=2, tries=2, wait=0.01)
+    with pytest.raises(RuntimeError, match="1 of 10 keys could not be fetched, all others are kept: sh600004: vendor error 9"):
+        bad.prices(codes, "2024-01-01", "2024-01-31", cache)
+    asked, logins = told(log)
+    assert asked.count("sh.600004 2024-01-01 2024-01-31") == 2 and len(asked) == 11 and logins == 4 + 2  # a session a batch, and one after each failure but the batch's last
+    good = vendor.VendorSource(spark, lambda: Ranged(str(log)), batch=3, wait=0.01)
+    assert good.prices(codes, "2024-01-01", "2024-01-31", cache).count() == 10 * 23
+    assert told(log)[0] == ["sh.600004 2024-01-01 2024-01-31"]
+    assert good.prices(codes, "2024-01-08", "2024-01-12", cache).count() == 10 * 5 and told(log)[0] == []
+    empty = spark.createDataFrame([("sh000000",)], "instrument string")
+    with pytest.raises(RuntimeError, match="sh000000: no rows"):
+        good.prices(empty, "2024-01-01", "2024-01-31", cache)
+    with pytest.raises(Exception, match="sh000000: no bars"):
+        good.prices(empty, "2024-01-01", "2024-01-31").collect()
+
+
+def test_vendor_cache_of_a_longer_period(spark, tmp_path):
+    """Only days that the cache lacks are asked for: before, between and after."""
+    cache, log = str(tmp_path / "bars"), tmp_path / "told"
+    source = vendor.VendorSource(spark, lambda: Ranged(str(log)), wait=0.01)
+    codes = spark.createDataFrame([("sh600001",), ("sz000001",), ("sh600001",)], "instrument string")
+    source.prices(codes.limit(1), "2024-01-08", "2024-01-12", cache)
+    source.prices(codes.limit(1), "2024-01-22", "2024-01-24", cache)
+    told(log)
+    rows = source.prices(codes, "2024-01-01", "2024-01-31", cache)
+    assert told(log)[0] == ["sh.600001 2024-01-01 2024-01-07", "sh.600001 2024-01-13 2024-01-21", "sh.600001 2024-01-25 2024-01-31", "sz.000001 2024-01-01 2024-01-31"]
+    assert rows.count() == rows.select("instrument", "datetime").distinct().count() == 2 * 23
+    assert source.prices(codes, "2023-12-01", "2024-02-29", cache).count() == 2 * (21 + 23 + 21)
+    assert len(told(log)[0]) == 4
+    day = pd.Timestamp.today().normalize()
+    first, last = str((day - pd.Timedelta(days=10)).date()), str((day + pd.Timedelta(days=10)).date())
+    source.prices(codes.limit(1), first, last, cache)
+    told(log)
+    source.prices(codes.limit(1), first, last, cache)  # today and later are not taken as known
+    assert told(log)[0] == [f"sh.600001 {day.date()} {last}"]
+
+
+def test_a_task_for_each_batch(spark):
+    """Small batches are not put together, however few bytes they have."""
+    import pyspark.sql.functions as F_
+
+    codes = spark.range(95).select(F_.concat(F_.lit("s"), "id").alias("instrument"))
+    rows = files.fetched(codes, lambda keys: pd.DataFrame({"instrument": keys}), "instrument string")
+    assert rows.rdd.getNumPartitions() == 10 and rows.select(F_.spark_partition_id()).distinct().count() == 10
+    assert rows.distinct().count() == rows.count() == 95
+    assert files.fetched(codes.limit(0), None, "instrument string").count() == 0
 
 
 def test_binary_export(spark, tmp_path):
