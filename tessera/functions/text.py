@@ -28,25 +28,30 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda n: n.try_cast("bigint")))
 
 
-def numerals(text: Column) -> Column:
-    """The values of a text's Chinese numerals, without Python: see :func:`numeral`."""
+def _numeral_value(run: Column) -> Column:
+    """The value of a Chinese numeral, without Python: see :func:`numeral`."""
     ascii_digits = "".join(str(v) for v in DIGITS.values())
     digit = lambda c: F.translate(c, _DIGITS, ascii_digits).try_cast("bigint")
     exponent = lambda c: F.translate(c, _UNITS, "123").cast("int")  # noqa: E731  the units are powers of ten
+    terms = F.regexp_extract_all(run, F.lit(f"([{_DIGITS}]?[{_UNITS}])"), F.lit(1))
+    times = lambda t: F.greatest(F.coalesce(digit(F.substring(t, 1, 1)), F.lit(1)), F.lit(1))
+    each = F.transform(terms, lambda t: times(t) * F.pow(F.lit(10), exponent(F.right(t, F.lit(1)))).cast("bigint"))
+    rest = F.coalesce(digit(F.right(run, F.lit(1))), F.lit(0))
+    return F.when(F.size(terms) == 0, digit(run)).otherwise(F.aggregate(each, rest, lambda a, x: a + x))
 
-    def value(run: Column) -> Column:
-        terms = F.regexp_extract_all(run, F.lit(f"([{_DIGITS}]?[{_UNITS}])"), F.lit(1))
-        times = lambda t: F.greatest(F.coalesce(digit(F.substring(t, 1, 1)), F.lit(1)), F.lit(1))
-        each = F.transform(terms, lambda t: times(t) * F.pow(F.lit(10), exponent(F.right(t, F.lit(1)))).cast("bigint"))
-        rest = F.coalesce(digit(F.right(run, F.lit(1))), F.lit(0))
-        return F.when(F.size(terms) == 0, digit(run)).otherwise(F.aggregate(each, rest, lambda a, x: a + x))
 
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"([{_DIGITS}{_UNITS}]+)"), F.lit(1)), value))
+def numerals(text: Column) -> Column:
+    """The values of a text's Chinese numerals."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"([{_DIGITS}{_UNITS}]+)"), F.lit(1)), _numeral_value))
 
 
 def numbers_meant(text: Column) -> Column:
-    """The numbers of a text, written in digits or in Chinese numerals."""
-    return F.array_union(numbers(text), numerals(text))
+    """The distinct numbers of a text, those in digits before Chinese numerals, in one pass over it."""
+    found = F.regexp_extract_all(text, F.lit(f"([0-9０-９]+|[{_DIGITS}{_UNITS}]+)"), F.lit(1))
+    plain = lambda t: F.translate(t, "０１２３４５６７８９", "0123456789").try_cast("bigint")
+    value = lambda t: F.when(t.rlike("^[0-9０-９]"), plain(t)).otherwise(_numeral_value(t))
+    each = F.transform(found, lambda t, i: F.struct(~t.rlike("^[0-9０-９]"), i, value(t).alias("v")))
+    return F.array_distinct(F.transform(F.array_sort(each), lambda e: e["v"]))
 
 
 def numeral(text: str) -> int | None:

@@ -10,28 +10,27 @@ from pyspark.sql import functions as F
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, default=None) -> DataFrame:
     """``left`` with the last ``value`` of ``right`` at or before its time, by key.
 
-    Of repeated right keys the greatest value counts.  Rows are dealt by key and
-    month, so a key with a long history is many tasks' work: the value that
-    holds when a month begins is carried into it as one more row, and a window
-    within the month does the rest.  What is carried is one row for each key and
-    month of the right side's span; later months need only the key's last value.
+    Of repeated right keys the greatest value counts; null keys and values count
+    for nothing.  Both sides are merged by key and month, so a key with a long
+    history is many tasks' work.  What holds when a month begins is the last
+    value of the months before: one row for each key and month that either side
+    has, put in order once and brought back to the month's rows.
     """
-    kind = right.schema[time].dataType
-    month = lambda c: F.date_trunc("month", c).cast(kind)
-    r = right.groupBy(key, time).agg(F.max(value).alias("_v")).where(F.col("_v").isNotNull()).withColumn("_m", month(time))
-    last = r.groupBy(key, "_m").agg(F.max_by("_v", time).alias("_v"))
-    following = F.lead("_m").over(W.partitionBy(key).orderBy("_m"))
-    carried = last.withColumn("_next", following).where("_next is not null")
-    steps = F.explode(F.sequence(F.add_months("_m", 1).cast(kind), F.col("_next"), F.expr("interval 1 month")))
-    carried = carried.select(key, steps.alias("_m"), "_v").withColumns({time: F.col("_m"), "_side": F.lit(-1)})
-    final = last.groupBy(F.col(key).alias("_key")).agg(F.max("_m").alias("_end"), F.max_by("_v", "_m").alias("_final"))
-    rows = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_side": F.lit(1), "_m": month(time)})
-    rows = rows.unionByName(r.withColumn("_side", F.lit(0)), allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
-    run = W.partitionBy(key, "_m").orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
-    out = rows.withColumn(value, F.last("_v", ignorenulls=True).over(run)).where("_side = 1")
-    out = out.join(final, F.col(key) == F.col("_key"), "left").withColumn(value, F.when(F.col("_m") > F.col("_end"), F.col("_final")).otherwise(F.col(value)))
-    out = out.drop("_v", "_side", "_m", "_key", "_end", "_final")
-    return out if default is None else out.withColumn(value, F.coalesce(value, F.lit(default)))
+    month, side = F.date_trunc("month", F.col(time)), F.lit(1)
+    kept = [c for c in left.columns if c != value]
+    given = right.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast(left.schema[key].dataType), F.col(time).cast(left.schema[time].dataType), F.col(value).alias("_v"))
+    rows = left.select(*kept, F.lit(None).cast(given.schema["_v"].dataType).alias("_v"), side.alias("_side")).unionByName(given.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    rows = rows.withColumn("_m", month)
+    marks = left.select(key, time, F.lit(None).cast(given.schema["_v"].dataType).alias("_v")).unionByName(given).withColumn("_m", month)
+    marks = marks.groupBy(key, "_m").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(time, "_v"))).alias("_v"))
+    before = W.partitionBy(key).orderBy("_m").rowsBetween(W.unboundedPreceding, -1)
+    marks = marks.select(F.col(key).alias("_k"), F.col("_m").alias("_n"), F.last("_v", ignorenulls=True).over(before).alias("_carried")).where("_carried is not null")
+    run = W.partitionBy(key, "_m").orderBy(time, "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
+    found = rows.withColumn("_own", F.last("_v", ignorenulls=True).over(run)).where("_side = 1")
+    found = found.join(marks, (F.col(key) == F.col("_k")) & (F.col("_m") == F.col("_n")), "left")
+    held = F.when(F.col(key).isNotNull(), F.coalesce("_own", "_carried"))
+    found = found.withColumn(value, held if default is None else F.coalesce(held, F.lit(default)))
+    return found.select(*left.columns, *([value] if value not in left.columns else []))
 
 
 def membership_ranges(snapshots: DataFrame, calendar: DataFrame, group: str = "universe") -> DataFrame:

@@ -26,15 +26,19 @@ def _listed(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(values), lambda v: v.cast("string")), ", "), F.lit("]"))
 
 
+#: The messages about a label, which are results; a list follows but the first.
+EVIDENCE, DECLARED, CITED, PLACED = "no evidence span", "expression parameters not declared in windows: ", "parameters without a citation: ", "spans without chunk/page locator: "
+
+
 def missing_requirements(spec: Column) -> Column:
     """What a label lacks, as messages: evidence, declared windows, citations, places."""
     declared, cited, placed = R.undeclared(spec), R.uncited(spec), R.unlocated(spec)
     quoted = F.concat(F.lit("['"), F.array_join(placed, "', '"), F.lit("']"))
     messages = (
-        F.when(F.size(spec["evidence"]) == 0, F.lit("no evidence span")),
-        F.when(F.size(declared) > 0, F.concat(F.lit("expression parameters not declared in windows: "), _listed(declared))),
-        F.when(F.size(cited) > 0, F.concat(F.lit("parameters without a citation: "), _listed(cited))),
-        F.when(F.size(placed) > 0, F.concat(F.lit("spans without chunk/page locator: "), quoted)),
+        F.when(F.size(spec["evidence"]) == 0, F.lit(EVIDENCE)),
+        F.when(F.size(declared) > 0, F.concat(F.lit(DECLARED), _listed(declared))),
+        F.when(F.size(cited) > 0, F.concat(F.lit(CITED), _listed(cited))),
+        F.when(F.size(placed) > 0, F.concat(F.lit(PLACED), quoted)),
     )
     return F.array_compact(F.array(*messages))
 
@@ -86,34 +90,34 @@ def page_range(chunks: DataFrame, first: int, last: int) -> DataFrame:
     return chunks.where(F.col("page_start").between(first, last))
 
 
-def _tally(rows: DataFrame, key: Column, weight: Column) -> DataFrame:
-    each = rows.select(key.alias("k"), weight.alias("n")).groupBy("k").agg(F.sum("n").alias("n"))
-    return each.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("m"))
-
-
 def run_summary(records: DataFrame, routed: DataFrame | None = None) -> DataFrame:
     """One row: rollouts, cases, rewards, tool calls, and tallies of caps, illegal kinds and routes.
 
-    The tallies' keys are from closed lists, so each map is a few entries.
+    Each record gives one row of its own and one for each entry of its tallies,
+    all counted by (tally, key) in one aggregate, so the records are read once
+    whatever is tallied.  The tallies' keys are from closed lists, so what is
+    put together at the end are some ten rows.
     """
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    reward, calls, bad = F.coalesce("reward", F.lit(0.0)), zero(F.sum("tool_calls")), zero(F.sum("illegal_tool_calls"))
-    out = records.agg(
-        F.count("*").alias("rollout_count"),
-        F.count_distinct("case_id").alias("case_count"),
-        *[F.coalesce(f(reward), F.lit(0.0)).alias(n) for n, f in (("mean_reward", F.avg), ("reward_std", F.stddev_pop), ("min_reward", F.min), ("max_reward", F.max))],
-        calls.alias("tool_calls"),
-        bad.alias("illegal_tool_calls"),
-        F.coalesce(F.try_divide(bad, calls), F.lit(0.0)).alias("illegal_tool_call_rate"),
-    )
-    caps = records.select(F.explode("active_caps").alias("c"))
-    kinds = records.select(F.explode("illegal_by_kind").alias("c", "n"))
-    tallies = {"hard_cap_distribution": _tally(caps, F.col("c"), F.lit(1)), "illegal_tool_call_kinds": _tally(kinds, F.col("c"), F.col("n"))}
+    entry = lambda t, k, n, r: F.struct(F.lit(t).alias("t"), k.alias("k"), n.cast("long").alias("n"), r.alias("r"))
+    own = F.struct(F.coalesce("reward", F.lit(0.0)).alias("reward"), "tool_calls", "illegal_tool_calls", "case_id")
+    none = F.when(F.lit(False), own)
+    some = lambda c, t: F.coalesce(c, F.array().cast(t))
+    caps = F.transform(some(F.col("active_caps"), "array<string>"), lambda c: entry("hard_cap_distribution", c, F.lit(1), none))
+    kinds = F.transform(some(F.map_entries("illegal_by_kind"), "array<struct<key: string, value: long>>"), lambda e: entry("illegal_tool_call_kinds", e["key"], e["value"], none))
+    rows = records.select(F.explode(F.concat(F.array(entry("", F.lit(""), F.lit(1), own)), caps, kinds)).alias("e")).select("e.*")
+    names = ["hard_cap_distribution", "illegal_tool_call_kinds"]
     if routed is not None:
-        tallies["route_distribution"] = _tally(routed, F.col("route"), F.lit(1))
-    for name, tally in tallies.items():
-        out = out.crossJoin(F.broadcast(tally.withColumnRenamed("m", name)))  # one row each
-    return out
+        names.append("route_distribution")
+        rows = rows.unionByName(routed.select(F.lit(names[-1]).alias("t"), F.col("route").alias("k"), F.lit(1).cast("long").alias("n")), allowMissingColumns=True)
+    figures = {n: f("r.reward") for n, f in (("mean_reward", F.avg), ("reward_std", F.stddev_pop), ("min_reward", F.min), ("max_reward", F.max))}
+    sums = {c: F.sum(f"r.{c}") for c in ("tool_calls", "illegal_tool_calls")}
+    counts = {"rollout_count": F.count("r"), "case_count": F.count_distinct("r.case_id")}
+    found = rows.groupBy("t", "k").agg(F.sum("n").alias("n"), *[c.alias(n) for n, c in (counts | figures | sums).items()])
+    of = lambda name, zero: F.coalesce(F.max(F.when(F.col("t") == "", F.col(name))), F.lit(zero)).alias(name)
+    tally = lambda name: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("t") == name, F.struct("k", "n"))))).alias(name)
+    out = found.agg(*[of(c, 0) for c in counts], *[of(c, 0.0) for c in figures], *[of(c, 0) for c in sums], *[tally(c) for c in names])
+    rate = F.coalesce(F.try_divide("illegal_tool_calls", "tool_calls"), F.lit(0.0)).alias("illegal_tool_call_rate")
+    return out.select(*counts, *figures, *sums, rate, *names)
 
 
 #: The metrics that an evaluation report shows.

@@ -33,6 +33,15 @@ def compacted(*flags: tuple[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags]))
 
 
+def settled(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``rows`` with columns that are computed once, however often what follows uses them.
+
+    They come out of a generator, which the optimizer does not fold into the
+    expressions that read them, so plans stay as long as they are written.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parameters(spec: Column) -> Column:
     return F.array_union(spec["windows"].cast("array<bigint>"), numbers(spec["expr"]))
 
@@ -93,33 +102,41 @@ def scored(cases: DataFrame) -> DataFrame:
     report_numbers, if there is one, saves looking for those of the report.
     """
     pred, gold = F.col("pred"), F.col("gold")
-    check = listed(pred["expr"])
-    legal = check["ok"]
     evidence = F.coalesce(pred["evidence"], F.filter(pred["evidence"], lambda e: F.lit(False)))
-    faults = citation_faults(evidence, F.col("report"))
     present = F.col("report_numbers") if "report_numbers" in cases.columns else numbers_meant(F.col("report"))
-    same = normal_expression(pred["expr"]) == normal_expression(gold["expr"])
-    invented = ~same & legal & ((pred["universe"] != gold["universe"]) | (held(parameters(pred), present) < 0.3))
-    grounding = F.when(F.size(evidence) == 0, 0.0).otherwise(held(parameters(pred), numbers_meant(quotes(pred))))
-    found = pred.isNotNull()
+    parts = {
+        "_check": listed(pred["expr"]),
+        "_faults": citation_faults(evidence, F.col("report")),
+        "_same": normal_expression(pred["expr"]) == normal_expression(gold["expr"]),
+        "_wanted": parameters(pred),
+        "_present": present,
+        "_quoted": numbers_meant(quotes(pred)),
+        "_cites": F.size(evidence) > 0,
+        "_hits": field_score(pred, gold),
+    }
+    out = ("schema_ok", "executable", "fields", "grounding", "caps", "cap_reasons", "raw", "reward")
+    kept = [c for c in cases.columns if c not in out]
+    rows = settled(cases.select(*[F.col(f"`{c}`") for c in kept]), parts)
+    legal, faults, found = F.col("_check.ok"), F.col("_faults"), pred.isNotNull()
+    invented = ~F.col("_same") & legal & ((pred["universe"] != gold["universe"]) | (held(F.col("_wanted"), F.col("_present")) < 0.3))
+    grounding = F.when(~F.col("_cites"), 0.0).otherwise(held(F.col("_wanted"), F.col("_quoted")))
     raised = (
         ("invalid_json_cap", ~found, F.lit("could not parse FactorSpec JSON")),
-        ("illegal_expr_cap", found & ~legal, check["reason"]),
+        ("illegal_expr_cap", found & ~legal, F.col("_check.reason")),
         ("invalid_citation_cap", found & (F.size(faults) > 0), F.array_join(faults, "; ")),
         ("hallucinated_expr_cap", found & invented, F.lit("expr ungrounded vs report/gold")),
     )
     reasons = F.array(*[F.when(c, F.struct(F.lit(n).alias("key"), r.alias("value"))) for n, c, r in raised])
     given = lambda c: F.when(found, c).otherwise(0.0)
-    rows = cases.withColumns(
-        {
-            "schema_ok": found.cast("double"),
-            "executable": given(legal.cast("double")),
-            "fields": given(field_score(pred, gold)),
-            "grounding": given(grounding),
-            "caps": compacted(*[r[:2] for r in raised]),
-            "cap_reasons": F.map_from_entries(F.array_compact(reasons)),
-        }
-    )
+    scores = {
+        "schema_ok": found.cast("double"),
+        "executable": given(legal.cast("double")),
+        "fields": given(F.col("_hits")),
+        "grounding": given(grounding),
+        "caps": compacted(*[r[:2] for r in raised]),
+        "cap_reasons": F.map_from_entries(F.array_compact(reasons)),
+    }
+    rows = settled(rows, scores).drop(*parts)
     raw = sum((F.col(part) * weight for part, weight in WEIGHTS.items()), F.lit(0.0))
     return rows.withColumn("raw", F.when(found, raw).otherwise(0.0)).withColumn("reward", capped(F.col("raw"), F.col("caps"), CAPS))
 
@@ -172,6 +189,27 @@ MEDIANS = ("task_success_rate", "evidence_grounding_rate", "mean_reward")
 HEADLINE = ("task_success_rate", "evidence_grounding_rate", "illegal_tool_call_rate")
 
 
+def exact_medians(rows: DataFrame, *columns: str, accuracy: int = 1000) -> DataFrame:
+    """One row: the exact median of each column, nulls left out; null where there is none.
+
+    Two passes, neither of which brings all values together.  The first counts
+    them and brackets the middle by a sketch; the second counts what is below
+    the bracket and, value by value, what is within, some ``2 / accuracy`` of
+    the values at most, and equal values are one.
+    """
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("e")).select("e.*").where("v is not null")
+    near = F.percentile_approx("v", F.array(F.lit(max(0.0, 0.5 - 0.5 / accuracy)), F.lit(min(1.0, 0.5 + 0.5 / accuracy))), 4 * accuracy)
+    bounds = each.groupBy("i").agg(F.count("*").alias("n"), near.alias("b")).select("i", "n", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
+    held = each.join(F.broadcast(bounds), "i").where("v <= hi")  # a row a column
+    counts = held.groupBy("i", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(W.partitionBy("i").orderBy(F.col("v").asc_nulls_first()))
+    placed = counts.withColumns({"z": upto, "a": upto - F.col("m")})
+    at = lambda place: F.max(F.when((F.col("a") < place) & (F.col("z") >= place), F.col("v")))
+    both = placed.groupBy("i").agg(at(F.floor((F.col("n") + 1) / 2)).alias("x"), at(F.floor(F.col("n") / 2) + 1).alias("y"))
+    middle = F.col("x") * 0.5 + F.col("y") * 0.5
+    return both.agg(*[F.max(F.when(F.col("i") == i, middle)).alias(c) for i, c in enumerate(columns)])
+
+
 def summarized_by_group(results: DataFrame, group: Column) -> DataFrame:
     """(level, group, n, figures): a row for each group, one for all rows (pooled), one of the groups' medians.
 
@@ -183,7 +221,7 @@ def summarized_by_group(results: DataFrame, group: Column) -> DataFrame:
     sums = rows.rollup("group").agg(F.grouping("group").alias("_all"), *[c.alias(n) for n, c in summary_columns().items()])
     each = sums.select(F.when(F.col("_all") == 1, "pooled").otherwise("group").alias("level"), "group", *names)
     own = each.where("level = 'group'")
-    middle = own.agg(F.count("*").alias("n"), *[F.median(m).alias(m) for m in MEDIANS])
+    middle = own.agg(F.count("*").alias("n")).crossJoin(F.broadcast(exact_medians(own, *MEDIANS)))  # one row each
     shown = [F.col(n) if n in ("n", *MEDIANS) else F.lit(None).cast("double").alias(n) for n in names]
     return each.unionByName(middle.select(F.lit("median").alias("level"), F.lit(None).cast("string").alias("group"), *shown))
 
@@ -231,7 +269,7 @@ def injected(golds: DataFrame) -> DataFrame:
     """``gold`` and five damaged copies, as (kind, pred); the report's numbers are sought once, before it is copied."""
     gold, kind = F.col("gold"), F.col("kind")
     if "report" in golds.columns:
-        golds = golds.withColumn("report_numbers", numbers_meant(F.col("report")))
+        golds = settled(golds.drop("report_numbers"), {"report_numbers": numbers_meant(F.col("report"))})
     rows = golds.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in ("gold", *INJECTIONS)])))
     windows = F.when(F.size(gold["windows"]) > 0, gold["windows"]).otherwise(F.array(F.lit(20)))
     tripled = F.transform(windows, lambda w: F.when(w == 0, 60).otherwise(w * 3).cast("int"))
@@ -244,7 +282,7 @@ def injected(golds: DataFrame) -> DataFrame:
         .when(kind == "illegal_expr", gold.withField("expr", F.lit("import os; os.system('x')")))
         .otherwise(gold)
     )
-    return rows.withColumn("pred", pred)
+    return settled(rows.drop("pred"), {"pred": pred})
 
 
 #: What can be wrong with a tool call.
@@ -396,16 +434,11 @@ def spec_drift(seed: Column, now: Column, fields: tuple = ("universe", "frequenc
 def eval_window(pairs: DataFrame) -> DataFrame:
     """Medians of pairs (seed, evolved) that both have a metric, and the share of them that improved."""
     scored_ = F.col("seed").isNotNull() & F.col("evolved").isNotNull()
-    own = lambda c: F.when(scored_, c)
-    delta = own(F.col("evolved") - F.col("seed"))
-    return pairs.agg(
-        F.count("*").alias("n"),
-        F.count(delta).alias("n_scored"),
-        F.median(own(F.col("seed"))).alias("median_seed_metric"),
-        F.median(own(F.col("evolved"))).alias("median_evolved_metric"),
-        F.median(delta).alias("median_delta"),
-        F.coalesce(F.avg((delta > 0).cast("double")), F.lit(0.0)).alias("improved_share"),
-    )
+    own = pairs.select(*[F.when(scored_, c).alias(n) for n, c in (("median_seed_metric", F.col("seed")), ("median_evolved_metric", F.col("evolved")), ("median_delta", F.col("evolved") - F.col("seed")))])
+    delta = F.col("median_delta")
+    out = own.agg(F.count("*").alias("n"), F.count(delta).alias("n_scored"), F.coalesce(F.avg((delta > 0).cast("double")), F.lit(0.0)).alias("improved_share"))
+    out = out.crossJoin(F.broadcast(exact_medians(own, *own.columns)))  # one row each
+    return out.select("n", "n_scored", *own.columns, "improved_share")
 
 
 #: The periods of search, score and evaluation.

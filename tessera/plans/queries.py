@@ -198,18 +198,28 @@ def portfolio_metrics(spark, sf_dir):
     return row.select(*[F.round(c, 6).alias(c) if c != "n_days" else F.col(c) for c in row.columns])
 
 
-@query(f"WITH {_SCORE} SELECT datetime, round(score, 6) AS score, row_number() OVER (PARTITION BY datetime ORDER BY score) AS place FROM b3 WHERE score IS NOT NULL")
+_DEALT = """,
+    s4 AS (SELECT *, row_number() OVER (PARTITION BY datetime, score IS NULL ORDER BY instrument) AS sn,
+        row_number() OVER (PARTITION BY datetime, score IS NULL ORDER BY md5('{0}:' || CAST(datetime AS VARCHAR) || ':' || instrument), instrument) AS sm FROM s3),
+    b3 AS (SELECT x.* EXCLUDE (score), y.score FROM s4 x JOIN s4 y ON x.datetime = y.datetime AND (x.score IS NULL) = (y.score IS NULL) AND x.sn = y.sm)"""
+
+
+def _shuffled_sql(score: str, seed: int) -> str:
+    return score.replace("b3 AS (", "s3 AS (") + _DEALT.format(seed)
+
+
+@query(f"WITH {_shuffled_sql(_SCORE, 7)} SELECT datetime, instrument, round(score, 6) AS score FROM b3")
 def shuffle_contrast(spark, sf_dir):
-    """A seeded deal of each date's scores: the same scores a date, whoever has them."""
-    rows = B.scored(panel(spark, sf_dir), FLAGSHIP, B.Config(shuffle_seed=7)).where("score is not null")
-    return rows.select("datetime", F.round("score", 6).alias("score"), F.row_number().over(W.partitionBy("datetime").orderBy("score")).cast("long").alias("place"))
+    """A seeded deal of each date's scores."""
+    return B.scored(panel(spark, sf_dir), FLAGSHIP, B.Config(shuffle_seed=7)).select("datetime", "instrument", F.round("score", 6).alias("score"))
 
 
-def _nav_sql(sql: str, lag: int, start: str = "") -> str:
-    """SQL of the metrics with another signal and lag."""
+def _nav_sql(sql: str, lag: int, seed: int | None = None) -> str:
+    """SQL of the metrics with another signal and lag, or with the scores dealt anew."""
     score = _SCORE.replace("1 PRECEDING AND 1 PRECEDING", f"{lag} PRECEDING AND {lag} PRECEDING")
     if sql:
         score = score[: score.index("b2 AS")] + f"b2 AS (SELECT *, {sql} AS signal FROM b1),\n    b3 AS" + score[score.index("b3 AS") + 5 :]
+    score = score if seed is None else _shuffled_sql(score, seed)
     return f"""WITH {_DAILY.replace(_SCORE, score)} SELECT round(CASE WHEN stddev_pop(net - benchmark) > 0 THEN avg(net - benchmark) / stddev_pop(net - benchmark) * sqrt(252::DOUBLE) ELSE 0 END, 6) AS information_ratio,
         round(max_by(nav, d) - 1, 6) AS total_return, round(min(drawdown), 6) AS max_drawdown, round(avg(n_held), 6) AS mean_holdings, count(*) AS n_days FROM dd"""
 
@@ -230,10 +240,35 @@ def neutralized_backtest(spark, sf_dir):
     return _shown(B.metrics(_backtest(spark, sf_dir, "$volume", B.Config(neutralization="industry", shift_bars=1))))
 
 
-@query()
+#: Factors that are compared, with the SQL of their signals over ``b1``.
+_CANDIDATES = {"trend": (FLAGSHIP, ""), "small": ("-$volume", "-volume"), "wide": ("RANK($high - $low)", _RANK.format("(high - low)"))}
+_CONTRASTS = {"reference": (1, None), "lag_one": (2, None), "shuffle_cross_section": (1, B.SHUFFLE_SEED)}
+_CONTRAST_ROWS = " UNION ALL ".join(
+    f"SELECT '{f}' AS factor, '{k}' AS contrast, * FROM ({_nav_sql(sql, lag, seed)})" for f, (_, sql) in _CANDIDATES.items() for k, (lag, seed) in _CONTRASTS.items()
+)
+
+
+def _contrasts(spark, sf_dir):
+    return B.contrasts(panel(spark, sf_dir), {f: e for f, (e, _) in _CANDIDATES.items()}, START, END, CONFIG, calendar(spark, sf_dir))
+
+
+@query(_CONTRAST_ROWS)
 def contrast_metrics(spark, sf_dir):
-    """The factor, its lag and its shuffle; the deal is the engine's own, so only rows are compared."""
-    return B.contrasts(panel(spark, sf_dir), FLAGSHIP, START, END, CONFIG, calendar(spark, sf_dir))
+    """Three factors, each as it is, a bar later and dealt anew: nine backtests in one plan."""
+    rows = _contrasts(spark, sf_dir)
+    return rows.select("factor", "contrast", *[F.round(c, 6).alias(c) for c in ("information_ratio", "total_return", "max_drawdown", "mean_holdings")], "n_days")
+
+
+@query(
+    f"""WITH m AS (SELECT factor, max(information_ratio) FILTER (contrast = 'reference') AS r, max(information_ratio) FILTER (contrast = 'lag_one') AS l,
+        max(information_ratio) FILTER (contrast = 'shuffle_cross_section') AS s FROM ({_CONTRAST_ROWS}) GROUP BY factor)
+    SELECT factor, round((greatest(0, 1 - abs(r - l) / greatest(abs(r), 0.1)) + greatest(0, 1 - abs(s) / greatest(abs(r), 0.1))) / 2, 4) AS robustness FROM m"""
+)
+def contrast_robustness(spark, sf_dir):
+    """How robust each factor is, from its own contrasts."""
+    of = lambda k: F.max(F.when(F.col("contrast") == k, F.col("information_ratio")))
+    rows = _contrasts(spark, sf_dir).groupBy("factor").agg(*[of(k).alias(k) for k in _CONTRASTS])
+    return rows.select("factor", F.round(R.robustness(*[F.col(k) for k in _CONTRASTS]), 4).alias("robustness"))
 
 
 def _snapshots(spark, sf_dir):
@@ -423,7 +458,7 @@ def _cases(spark, sf_dir):
         F.when(n % 5 < 3, evidence).otherwise(F.filter(evidence, lambda e: F.lit(False))).alias("evidence"),
     )
     report = F.concat(F.lit("We rank closes "), quote, F.lit(". "), "text")
-    return d.select("doc_id", "lang", "source", report.alias("report"), gold.alias("gold"))
+    return R.settled(d.select("doc_id", "lang", "source", report.alias("report")), {"gold": gold})
 
 
 #: SQL of the window, its Chinese numeral and the quotation of a case, over a table with doc_id.

@@ -171,3 +171,56 @@ def test_masks_and_contrasts(spark):
     given = spark.createDataFrame([(1.0, 0.5, 0.0), (1.0, None, 0.0), (None, 1.0, 1.0), (0.0, 0.05, None)], "a double, b double, c double")
     got = [r[0] for r in given.select(R.robustness(F.col("a"), F.col("b"), F.col("c"))).collect()]
     assert got == pytest.approx([0.75, 0.5, 0.5, 0.25])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 1000, 20_001])
+def test_exact_medians(spark, n):
+    """As F.median, with ties, nulls, even and odd counts, one value alone."""
+    rows = spark.range(n).select(
+        F.rand(3).alias("a"), F.floor(F.rand(4) * 5).cast("double").alias("b"), F.when(F.col("id") % 3 > 0, F.randn(5)).alias("c"), F.lit(7.0).alias("d"), F.lit(None).cast("double").alias("e"), (F.col("id") % 2).cast("int").alias("f")
+    )
+    assert tuple(R.exact_medians(rows, *rows.columns).first()) == tuple(rows.agg(*[F.median(c) for c in rows.columns]).first())
+
+
+def test_medians_without_a_task_for_all(spark):
+    """What is put in order are the values around the middle, not all of them."""
+    rows = spark.range(200_000).select(F.rand(3).alias("a"))
+    plan = R.exact_medians(rows, "a")
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in text and "median(" not in text
+    held = rows.selectExpr("percentile_approx(a, array(0.4995D, 0.5005D), 4000) b").first().b
+    assert rows.where(F.col("a").between(*held)).count() < 2000
+
+
+def test_summary_reads_its_records_once(spark, tmp_path):
+    row = ("c", 0.5, ["a_cap"], 2, 1, {"unknown_tool": 1}, 0, 0, False, False, False, False, False)
+    spark.createDataFrame([row] * 3, files.ROLLOUTS).write.parquet(str(tmp_path / "r"))
+    out = P.run_summary(spark.read.parquet(str(tmp_path / "r")))
+    out.collect()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_as_of_against_loops(spark, seed):
+    """Gaps of years, ties, nulls on both sides, keys of one side only, a value column on the left."""
+    import datetime as dt
+    import random
+
+    from tessera.operators import market as M
+
+    r = random.Random(seed)
+    day = lambda: None if r.random() < 0.03 else dt.date(2020, 1, 1) + dt.timedelta(r.choice([r.randrange(40), r.randrange(1500)]))
+    left = [(r.choice(["a", "b", "c", None]), day(), i, "old") for i in range(300)]
+    right = [(r.choice(["a", "b", "d", None]), day(), r.choice(["x", "y", "z", None])) for i in range(60)]
+
+    def value(k, t):
+        known = [(d, v) for j, d, v in right if k is not None and t is not None and j == k and d is not None and d <= t and v is not None]
+        return max(known)[1] if known else "none"
+
+    a, b = spark.createDataFrame(left, "k string, t date, i int, v string"), spark.createDataFrame(right, "k string, t date, v string")
+    got = M.as_of(a, b, "k", "t", "v", "none")
+    assert got.columns == ["k", "t", "i", "v"]
+    assert {(x.i, x.v) for x in got.collect()} == {(i, value(k, t)) for k, t, i, _ in left}
+    assert M.as_of(a.drop("v"), b.limit(0), "k", "t", "v").where("v is not null").isEmpty() and M.as_of(a.limit(0), b, "k", "t", "v").isEmpty()
