@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import fresh, keys_are_unique
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,9 +42,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     return s.select("source", "source_size", target.alias("target"))
 
 
-def drawn(doc_id, seed: int):
-    """A number in [0, 1) that the id and the seed fix: 32 bits of an MD5."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def drawn(seed: int, *parts):
+    """A number in [0, 1) that the seed and the parts fix: 32 bits of an MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
@@ -55,22 +55,28 @@ def mixed(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float =
     """``docs`` with size, source_size, target and copies, one row a document.
 
     A source's rate is target / source_size; a document is emitted floor(rate)
-    times and once more if the draw of its id lies below the fraction.  Equal
-    rows draw alike.  A null text has size 0; null sources are one source, last;
-    a null doc_id draws as the word null.  Columns of the input that have one of
+    times and once more if the draw of its id lies below the fraction.  Where
+    rows share a doc_id, null included, each draws from its id, its text and its
+    place in the table, so a source made of them meets its target as well, and
+    reruns agree as long as the table's files are the same.  A null text has
+    size 0; null sources are one source, last.  Columns of the input that have one of
     these names are replaced; ``names`` gives the results others.  A source of
     size 0 has target 0 and no copies.  Partial sums by source leave the map
     side, so a hot source costs nothing.
     """
     size, source_size, target, copies = names
     rows = docs.drop(*names).withColumn(size, words(F.col("text")))
-    (key,) = fresh(rows, "source_key")
+    key, draw = fresh(rows, "source_key", "draw")
+    parts = [F.col("doc_id")]
+    if not keys_are_unique(docs, "doc_id"):
+        parts += [F.xxhash64("text"), F.monotonically_increasing_id()]
+    rows = rows.withColumn(draw, drawn(seed, *parts))
     sources = rows.groupBy("source").agg(F.sum(size).alias("source_size"))
     plan = targets(sources, weights, share, most).select(F.col("source").alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target))
     rate = F.coalesce(F.try_divide(F.col(target), F.col(source_size)), F.lit(0.0))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col(key)), "left").drop(key)
-    extra = (drawn(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return rows.withColumn(copies, F.floor(rate).cast("long") + extra)
+    extra = (F.col(draw) < rate - F.floor(rate)).cast("long")
+    return rows.withColumn(copies, F.floor(rate).cast("long") + extra).drop(draw)
 
 
 def emitted(docs: DataFrame, **options) -> DataFrame:

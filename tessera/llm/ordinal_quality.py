@@ -138,7 +138,7 @@ def fit(grade: np.ndarray, places: list[np.ndarray], shares: np.ndarray, dims: i
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, dims: int = 1 << 18) -> OrdinalModel:
-    """Fits on at most ``sample`` documents that have a label.
+    """Fits on at most ``sample`` documents that have a label, all of them if there are no more.
 
     ``labels`` has doc_id, quality and toxic (0/1).  Of rows with one doc_id the
     worst rating counts, so repeated labels agree; a rating without quality is
@@ -147,6 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, dims: int = 1
     """
     grade = F.when(F.coalesce("toxic", F.lit(0)) > 0, 0).when(F.col("quality") > 0, 2).when(F.col("quality") == 0, 1)
     rated = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(grade).alias("grade")).where("grade is not null")
+    rated = rated.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")  # labels of other documents take no places
     few = rated.withColumn("_at", F.xxhash64("doc_id")).orderBy("_at", "doc_id").limit(sample).select("doc_id", "grade")
     one = F.min_by("text", F.xxhash64("text"))  # rows of one doc_id count once, so ``sample`` rows stay
     rows = keyed(docs, "text").join(few, "doc_id").groupBy("doc_id").agg(F.first("grade").alias("grade"), one.alias("text"))

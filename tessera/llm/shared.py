@@ -8,6 +8,7 @@ a lost executor only repeats the tasks that had not been committed.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -45,8 +46,14 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Paths of the stages of this process that are still there.
-_staged: list[str] = []
+class _Held(threading.local):
+    """Paths of the stages that this thread made and that are still there, so callers side by side keep their own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_held = _Held()
 
 
 def stage(df: DataFrame, name: str, **options) -> DataFrame:
@@ -54,7 +61,7 @@ def stage(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    _staged.append(path)
+    _held.paths.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stage_path = path
     return back
@@ -68,8 +75,8 @@ def keys_are_unique(rows: DataFrame, key: str) -> bool:
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _staged:
-        _staged.remove(path)
+    if path in _held.paths:
+        _held.paths.remove(path)
 
 
 def unstage(*tables: DataFrame) -> None:
@@ -80,7 +87,7 @@ def unstage(*tables: DataFrame) -> None:
 
 def staged() -> list[str]:
     """The stages that are there; what an operator adds to them its result may read."""
-    return list(_staged)
+    return list(_held.paths)
 
 
 def release(spark: SparkSession, before: list[str], *kept: DataFrame) -> None:
@@ -88,7 +95,7 @@ def release(spark: SparkSession, before: list[str], *kept: DataFrame) -> None:
 
     For callers that have written the results that read them.
     """
-    for path in set(_staged) - set(before) - {df._stage_path for df in kept}:
+    for path in set(_held.paths) - set(before) - {df._stage_path for df in kept}:
         _delete(spark, path)
 
 

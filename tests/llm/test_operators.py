@@ -529,3 +529,13 @@ def test_ordinal(spark, none):
     assert ordinal_quality.select(none, model).count() == 0
     blank = ordinal_quality.train(none, labels.limit(0))
     assert ordinal_quality.grade(odd, blank).count() == 3
+
+
+def test_ordinal_labels_beyond_the_documents(spark):
+    """Labels of documents that are not there take no places of the sample."""
+    docs = spark.createDataFrame([(i, " ".join(f"g{j % 5}" if i % 2 else f"b{j % 7}" for j in range(30))) for i in range(60)], "doc_id long, text string")
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    few, all_ = ordinal_quality.train(docs, labels, sample=60), ordinal_quality.train(docs, labels)
+    assert (few.words == all_.words).all() and few.words.any()
+    graded = ordinal_quality.grade(docs, few).collect()
+    assert all(r.selected == (r.doc_id % 2 == 1) for r in graded)

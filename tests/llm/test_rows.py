@@ -150,3 +150,106 @@ def test_stages_need_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(Elsewhere)
+
+
+def test_pipeline_stages_with_columns_of_any_type(spark):
+    """Maps and variants are no keys, and yet equal rows are told from others."""
+    words = " ".join(own("w", 30))
+    docs = spark.createDataFrame([(1, words, {"a": 1}, [{"b": 2}]), (1, words, {"a": 1}, None), (2, words, None, None), (3, "other text", {}, None)], "doc_id long, text string, m map<string, int>, n array<map<string, int>>")
+    docs = docs.withColumn("v", F.parse_json(F.lit('{"x": 1}')))
+    kept = corpus_pipeline.ngram_jaccard(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == [1, 3]
+
+
+def test_mix_of_rows_without_ids(spark):
+    """Rows that share an id, or have none, draw each for itself."""
+    for key in (F.lit(None).cast("long"), F.lit(5).cast("long"), F.col("id") % 3):
+        docs = spark.range(3000).select(key.alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 2000, "x").otherwise("y").alias("source"))
+        rows = mixing.mixed(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+        assert len(rows) == 2 and all(abs(r.taken - r.target) <= 0.06 * r.target for r in rows)
+        assert mixing.mixed(docs).exceptAll(mixing.mixed(docs)).isEmpty()
+
+
+def test_stages_are_told_by_thread(spark):
+    """What another thread stages is not released."""
+    import threading
+
+    there, made = shared.staged(), []
+    t = threading.Thread(target=lambda: made.append(shared.stage(spark.range(3), "other")))
+    t.start(), t.join()
+    mine = shared.stage(spark.range(2), "mine")
+    shared.release(spark, there)
+    assert made[0].count() == 3 and mine._stage_path not in shared.staged()
+    shared.unstage(made[0])
+
+
+def covered(spark, docs, batch, order):
+    """The words of passages by document, and the rows, whatever batches the texts come in."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rows = passage_chains.fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in order], "doc_id long, text string").coalesce(2)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    words = {}
+    for r in rows:
+        words.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    return words, rows
+
+
+def replaced(words, percent, seed):
+    r, out = random.Random(seed), list(words)
+    for i in r.sample(range(1, len(out) - 1), len(out) * (100 - percent) // 100):
+        out[i] = f"r{seed}x{i}"
+    return out
+
+
+@pytest.mark.parametrize("copies", [80, 79])
+def test_passages_beside_many_copies(spark, copies):
+    """A fuzzy passage all of whose seeds stand in many copies of another text as well, in any batches."""
+    p = own("p", 70)
+    long = [w for i in range(0, 70, 7) for w in (*p[i : i + 12], *own(f"l{i}", 100))] + own("m", 55)
+    docs = [(i, long) for i in range(copies)] + [(1000, [*own("a", 60), *p, *own("b", 60)]), (5000, [*own("c", 60), *replaced(p, 90, 3), *own("d", 60)])]
+    first = None
+    for batch in (7, 30, 10_000):
+        words, _ = covered(spark, docs, batch, random.Random(batch).sample(docs, len(docs)))
+        assert set(range(63, 127)) <= words[5000] and max(words[5000]) < 130
+        assert all(words[i] == set(range(len(long))) for i in range(1, copies))
+        assert first in (None, words)
+        first = words
+
+
+def test_passages_of_common_pieces(spark):
+    """Passages of which 16 documents before hold each piece of 8 words, but none the whole."""
+    hits = 0
+    for percent in (75, 80, 90):
+        docs = []
+        for n in range(12):
+            p = own(f"p{n}x", 64)
+            for k in range(16):
+                docs.append((n * 100 + k, [w for i in range(0, 64, 8) for w in (*p[i : i + 8], *own(f"f{n}x{k}x{i}", 9))]))
+            docs += [(n * 100 + 50, [*own(f"a{n}x", 30), *p, *own(f"b{n}x", 30)]), (n * 100 + 60, [*own(f"c{n}x", 30), *replaced(p, percent, n), *own(f"d{n}x", 30)])]
+        words, rows = covered(spark, docs, 10_000, docs)
+        found = {r.doc_id for r in rows if r.doc_id % 100 == 60 and r.ref_id == r.doc_id - 10}
+        hits = len(found)
+        print(percent, hits)
+        assert hits >= (10 if percent > 75 else 8)
+        assert all(len(w) >= 50 for d, w in words.items() if d in found)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_passages_do_not_depend_on_batches(spark, seed):
+    """Common phrases, copies, near copies and mixed passages: the same words whatever the batches and the order of rows."""
+    r = random.Random(seed)
+    phrases, pool = [own(f"h{i}", 9) for i in range(4)], [own(f"q{i}", r.randint(40, 120)) for i in range(6)]
+    docs = []
+    for i in range(150):
+        words = own(f"d{i}", r.randint(0, 40))
+        for n in range(r.randint(1, 3)):
+            part = r.choice(pool)
+            words += r.choice([part, replaced(part, r.choice([80, 90, 97]), 1000 * i + n), r.choice(phrases), [w for p in r.sample(phrases, 3) for w in p]]) + own(f"d{i}n{n}", r.choice([0, 2, 30]))
+        docs.append((i, words))
+    want = None
+    for batch in (7, 100, 10_000):
+        words, rows = covered(spark, docs, batch, r.sample(docs, len(docs)))
+        assert words and (want is None or words == want), batch
+        want = words
