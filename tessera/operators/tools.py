@@ -40,7 +40,35 @@ def _texts(values: Column) -> Column:
     return dumps(values, T.ArrayType(T.StringType()))
 
 
-def executed(calls: DataFrame, chunks: DataFrame) -> DataFrame:
+#: Code points of an index entry.
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """The distinct runs of ``GRAM`` code points of a text."""
+    runs = lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - GRAM), lambda i: F.concat(*[F.get(a, i + j) for j in range(GRAM)]))
+    letters = F.transform(F.array(F.split(text, "", F.length(text))), lambda a: F.array_distinct(runs(a)))  # the letters are told once
+    return F.when(F.length(text) >= GRAM, letters[0]).otherwise(F.array().cast("array<string>"))
+
+
+def gram_index(chunks: DataFrame) -> DataFrame:
+    """(doc_id, gram, chunk_id): which chunks of a document hold which runs of ``GRAM`` code points, in lower case."""
+    return chunks.select("doc_id", "chunk_id", F.explode(_grams(F.lower("text"))).alias("gram")).distinct()
+
+
+def narrowed(searches: DataFrame, index: DataFrame) -> DataFrame:
+    """(call_id, doc_id, chunk_id) of the chunks that hold all grams of a search's ``_needle``, which has one at least.
+
+    A chunk that holds the needle is among them; whether each does is still to be
+    seen.  The batch's searches meet the index by document and gram, so chunks
+    that share no gram with a search are never read for it.
+    """
+    asked = searches.select("call_id", "doc_id", F.explode(_grams(F.col("_needle"))).alias("gram"), F.size(_grams(F.col("_needle"))).alias("_need"))
+    hits = asked.join(index, ["doc_id", "gram"]).groupBy("call_id", "doc_id", "chunk_id").agg(F.count("*").alias("n"), F.first("_need").alias("_need"))
+    return hits.where("n = _need").select("call_id", "doc_id", "chunk_id")
+
+
+def executed(calls: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """``calls`` with result (JSON), ok, source, error and unparsable.
 
     ``calls`` have call_id, doc_id, name and arguments (JSON); ``chunks`` have
@@ -54,7 +82,9 @@ def executed(calls: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Arguments that are no JSON object, missing page numbers and other tools are
     the model's errors.  Only chunks that answer a call are gathered by it, in
-    one row; a search keeps the first ones of each task before that.
+    one row; a search keeps the first ones of each task before that.  With an
+    ``index`` of the chunks (:func:`gram_index`) a search reads the chunks alone
+    that hold all its grams.
     """
     known = tool_names(REPORT_TOOLS)
     whole = lambda c: _argument(c).try_cast("int")
@@ -72,7 +102,11 @@ def executed(calls: DataFrame, chunks: DataFrame) -> DataFrame:
     wanted = asked.where(~F.col("unparsable")).select("call_id", "doc_id", "name", "_needle", "_limit", "_first", "_last", F.col("_spec.evidence").alias("_evidence"))
     body = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _CHUNK])
     held = chunks.select("doc_id", body.alias("_c"))
-    pairs = wanted.join(held, "doc_id")
+    by_index = (F.col("name") == known[0]) & (F.length("_needle") >= GRAM)
+    pairs = wanted.where(~by_index if index is not None else F.lit(True)).join(held, "doc_id")
+    if index is not None:
+        few = narrowed(wanted.where(by_index), index).join(held.withColumn("chunk_id", F.col("_c.chunk_id")), ["doc_id", "chunk_id"])
+        pairs = pairs.unionByName(wanted.join(few.drop("doc_id", "chunk_id"), "call_id"))
     hit = (F.col("name") == known[0]) & (F.col("_needle") != "") & F.contains(F.lower("_c.text"), F.col("_needle"))
     read = (F.col("name") == known[1]) & F.col("_c.page_start").between(F.col("_first"), F.col("_last"))
     cited = (F.col("name") == known[2]) & F.exists("_evidence", lambda e: (e["chunk_id"] == F.col("_c.chunk_id")) & F.contains(F.col("_c.text"), e["quote"]))

@@ -2,8 +2,11 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from tessera.operators import records as R
 from tessera.operators import tools
+from tessera.operators.training import REPORT_TOOLS, tool_names
 
 CHUNKS = "doc_id string, chunk_id string, text string, page_start int, page_end int, char_start int, char_end int"
 CALLS = "call_id long, trajectory string, step int, doc_id string, name string, arguments string"
@@ -40,3 +43,22 @@ def test_checks_and_faults(spark):
 def test_no_calls(spark):
     rows, got = answers(spark)
     assert got == [] and rows.columns[-1] == "illegal_kind"
+
+
+def test_searches_by_index(spark):
+    """The answers of the scan, and far fewer chunks read for them."""
+    import random
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdeéñ ") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    chunks = [(f"d{i % 3}", f"c{i}", " ".join(r.choices(words, k=40)).title(), i, i, i * 100, i * 100 + 99) for i in range(240)]
+    table = spark.createDataFrame(chunks, "doc_id string, chunk_id string, text string, page_start int, page_end int, char_start int, char_end int")
+    asked = [r.choice(chunks)[2][5:5 + n].strip() for n in (1, 2, 3, 4, 6, 9, 14) for _ in range(6)] + ["", " ", "zzz", "zz", "aaa aaa", 'quo"te']
+    calls = [(i, f"d{i % 3}", tool_names(REPORT_TOOLS)[0], json.dumps({"query": q, "limit": 20})) for i, q in enumerate(asked)]
+    calls += [(900, "d1", tool_names(REPORT_TOOLS)[1], '{"page_start": 1, "page_end": 9}'), (901, "d1", "other", "{}")]
+    given = spark.createDataFrame(calls, "call_id int, doc_id string, name string, arguments string")
+    index = tools.gram_index(table)
+    one, two = ({x.call_id: x for x in tools.executed(given, table, i).collect()} for i in (None, index))
+    assert one == two and sum('"chunk_id"' in x.result for x in one.values()) > 20
+    long = given.where("call_id < 900").withColumn("_needle", F.lower(F.trim(F.get_json_object("arguments", "$.query")))).where("length(_needle) >= 4")
+    assert 0 < tools.narrowed(long, index).count() < long.join(table, "doc_id").count() / 4
