@@ -7,13 +7,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import stable_hash, with_hash  # noqa: F401  both are this module's
@@ -21,6 +19,7 @@ from ..operators import market as M
 from ..operators import probes as P
 from ..operators import records as R
 from .files import exists
+from .folders import write_files
 
 MANIFEST = "source string, start string, end string, warmup_start string, universes array<string>, instruments long, n_rows long, fields array<string>, hashes map<string, string>"
 PANEL_FIELDS = ("open", "high", "low", "close", "volume", "amount", "return", "industry", "tradestatus", "isST")
@@ -148,34 +147,38 @@ def binary_features(market: DataFrame, calendar: DataFrame) -> DataFrame:
     return rows.groupBy("instrument").applyInPandas(work, "path string, content binary")
 
 
+def _listed(rows: DataFrame, path: Column, line: Column, *order: str) -> DataFrame:
+    """(path, part, content) of text files of sorted lines: each task's lines of a file are a part of it."""
+    rows = rows.select(path.alias("path"), line.alias("line"), *order)
+    dealt = rows.repartitionByRange("path", *order).sortWithinPartitions("path", *order).select("path", "line", F.spark_partition_id().cast("long").alias("part"))
+
+    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for n, frame in enumerate(frames):
+            each = frame.groupby(["path", "part"], sort=False)["line"].agg("\n".join).reset_index()
+            yield each.assign(part=each["part"] * 2**32 + n, content=(each["line"] + "\n").str.encode("utf-8"))[["path", "part", "content"]]
+
+    return dealt.mapInPandas(joined, "path string, part long, content binary")
+
+
 def export_binary(market: DataFrame, memberships: DataFrame, root: str) -> int:
     """The panel as vectors, a calendar and spans of instruments in text files; returns the number of files.
 
-    ``root`` is a folder that the driver and all executors mount.  A file is
-    written beside its name and then renamed, so a repeated task is harmless.
+    ``root`` is a folder that the driver and all executors mount.  Tasks write,
+    and files appear when all have ended (:func:`folders.write_files`); lists are
+    written in parts, so no list is one task's.
     """
     calendar = M.trading_calendar(market)
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    line = lambda *c: F.concat_ws("\t", *c)
     ranges = M.membership_ranges(memberships, calendar.select("datetime"))
     spans = market.groupBy("instrument").agg(F.min("datetime").alias("from"), F.max("datetime").alias("to")).withColumn("universe", F.lit("all"))
-    text = lambda rows, key, value: rows.groupBy(key.alias("path")).agg(F.encode(F.concat(F.array_join(F.sort_array(F.collect_list(value)), "\n"), F.lit("\n")), "UTF-8").alias("content"))
     lists = ranges.select("universe", "instrument", "from", "to").unionByName(spans.select("universe", "instrument", "from", "to"))
-    made = binary_features(market, calendar)
-    made = made.unionByName(text(calendar, F.lit("calendars/day.txt"), day("datetime")))  # one line a day
-    made = made.unionByName(text(lists, F.concat(F.lit("instruments/"), F.lower("universe"), F.lit(".txt")), line("instrument", day("from"), day("to"))))
-
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                to = Path(root) / name
-                to.parent.mkdir(parents=True, exist_ok=True)
-                beside = to.with_name(f".{to.name}.{uuid.uuid4().hex}")
-                beside.write_bytes(content)
-                beside.replace(to)
-            yield frame[["path"]]
-
-    return made.mapInPandas(write, "path string").count()
+    made = binary_features(market, calendar).select("path", F.lit(0).cast("long").alias("part"), "content")
+    made = made.unionByName(_listed(calendar, F.lit("calendars/day.txt"), day("datetime"), "datetime"))
+    place = F.concat(F.lit("instruments/"), F.lower("universe"), F.lit(".txt"))
+    made = made.unionByName(_listed(lists, place, F.concat_ws("\t", "instrument", day("from"), day("to")), "instrument", "from", "to"))
+    write_files(made, root)
+    fields = sum(c in market.columns for c in PANEL_FIELDS)
+    return spans.count() * fields + 1 + lists.select(F.lower("universe")).distinct().count()
 
 
 def write_batch(cases: DataFrame, reports: DataFrame, path: str, batch_id: str, need_evidence: bool = True) -> DataFrame:

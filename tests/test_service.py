@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans import backtest as B
 from tessera.plans.engine import BacktestEngine, exported
-from tessera.sources import files, service, sinks, vendor
+from tessera.sources import files, folders, service, sinks, vendor
 from tessera.sources.panel import with_calendar
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not import the tests
@@ -248,7 +248,26 @@ def test_binary_export(spark, tmp_path):
     assert (tmp_path / "calendars/day.txt").read_text() == "2024-01-02\n2024-01-03\n2024-01-04\n2024-01-05\n"
     assert (tmp_path / "instruments/csi300.txt").read_text() == "s0\t2024-01-03\t2024-01-05\n"
     assert len((tmp_path / "instruments/all.txt").read_text().splitlines()) == 4
-    assert not list(tmp_path.rglob(".*.day.bin.*"))
+    assert not list(tmp_path.rglob(".*"))
+
+
+def test_files_of_a_job_that_fails(spark, tmp_path):
+    """Nothing of it is left, and files that were there stay; parts are put together in order."""
+    rows = spark.range(40).select(F.concat(F.lit("a/f"), (F.col("id") % 4).cast("string")).alias("path"), F.col("id").alias("part"), F.encode(F.concat(F.col("id").cast("string"), F.lit(" ")), "UTF-8").alias("content")).repartition(5)
+    folders.write_files(rows, str(tmp_path))
+    before = {p.name: p.read_text() for p in (tmp_path / "a").iterdir()}
+    assert before == {f"f{i}": "".join(f"{j} " for j in range(i, 40, 4)) for i in range(4)}
+
+    def breaks(frames):
+        for frame in frames:
+            if (frame["part"] == 39).any():
+                raise OSError("disk full")
+            yield frame
+
+    bad = rows.withColumn("content", F.lit(b"x")).mapInPandas(breaks, rows.schema)
+    with pytest.raises(Exception, match="disk full"):
+        folders.write_files(bad, str(tmp_path))
+    assert {p.name: p.read_text() for p in (tmp_path / "a").iterdir()} == before and not list(tmp_path.glob(".*"))
 
 
 def test_rollouts_are_kept_whole(spark, tmp_path):
