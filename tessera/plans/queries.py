@@ -1006,21 +1006,36 @@ def grpo_evolve(spark, sf_dir):
     return _grpo(spark, sf_dir, "evolve")
 
 
-@query(f"SELECT {_KEY} AS case_id, CASE WHEN {_CITED} THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS reward FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
+@query(
+    f"""SELECT {_KEY} AS case_id, CASE WHEN doc_id % 7 = 0 THEN 0.0::DOUBLE WHEN doc_id % 7 = 3 AND doc_id % 2 = 0 THEN 0.82::DOUBLE ELSE 0.9::DOUBLE END
+    + CASE WHEN doc_id % 7 <> 0 AND {_CITED} THEN 0.1::DOUBLE ELSE 0 END AS reward FROM documents JOIN labels USING (doc_id) WHERE quality = 1"""
+)
 def hook_scores(spark, sf_dir):
-    """The reward hook over prompt rows: the ground truth's record given as the answer."""
+    """The reward hook over prompt rows: the ground truth's record as the answer, or nothing that can be read, or another universe."""
     rows = T.grpo_rows(_labelled(spark, sf_dir)).select("extra_info.case_id", "reward_model.ground_truth")
-    out = T.answer_scores(rows.withColumn("solution_str", F.get_json_object("ground_truth", "$.gold")))
+    n, truth = F.substring("case_id", 2, 20).cast("long"), F.get_json_object("ground_truth", "$.gold")
+    answer = F.when(n % 7 == 0, "I cannot say.").when(n % 7 == 3, F.replace(truth, F.lit("CSI300"), F.lit("CSI500"))).otherwise(truth)
+    out = T.answer_scores(rows.withColumn("solution_str", answer))
     return out.select("case_id", F.round("reward", 6).alias("reward"))
 
 
-@query(f"SELECT {_KEY} AS case_id, true AS passed, CASE WHEN {_CITED} THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS reward FROM documents JOIN labels USING (doc_id)")
+def _flawed(rows):
+    """Labels of which some have an illegal expression or a quotation that their report does not hold."""
+    n, gold = F.substring("case_id", 2, 20).cast("long"), F.col("gold")
+    misquoted = F.transform(gold["evidence"], lambda e: e.withField("quote", F.lit("no such quote")))
+    return rows.withColumn("gold", F.when(n % 7 == 0, gold.withField("expr", F.lit("import os"))).when(n % 7 == 3, gold.withField("evidence", misquoted)).otherwise(gold))
+
+
+_LABEL_REWARD = f"CASE WHEN doc_id % 7 = 0 THEN 0.15::DOUBLE WHEN doc_id % 7 = 3 AND {_CITED} THEN 0.2::DOUBLE WHEN {_CITED} THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END"
+
+
+@query(f"SELECT {_KEY} AS case_id, NOT (doc_id % 7 = 0 OR doc_id % 7 = 3 AND {_CITED}) AS passed, {_LABEL_REWARD} AS reward FROM documents JOIN labels USING (doc_id)")
 def dry_run(spark, sf_dir):
-    """Every case with its label as the answer."""
-    return T.dry_run(_labelled(spark, sf_dir)).select("case_id", "passed", F.round("reward", 6).alias("reward"))
+    """Every case with its label as the answer; labels that are not sound do not pass."""
+    return T.dry_run(_flawed(_labelled(spark, sf_dir))).select("case_id", "passed", F.round("reward", 6).alias("reward"))
 
 
-_HOLD = f"SELECT CAST(doc_id AS VARCHAR) AS g, CASE WHEN {_CITED} THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS reward, CASE WHEN {_CITED} THEN 1.0::DOUBLE ELSE 0 END AS cited FROM documents JOIN labels USING (doc_id) WHERE quality <> 1"
+_HOLD = f"SELECT CAST(doc_id AS VARCHAR) AS g, {_LABEL_REWARD} AS reward, CASE WHEN {_CITED} AND doc_id % 7 <> 3 THEN 1.0::DOUBLE ELSE 0 END AS cited FROM documents JOIN labels USING (doc_id) WHERE quality <> 1"
 
 
 @query(
@@ -1028,7 +1043,7 @@ _HOLD = f"SELECT CAST(doc_id AS VARCHAR) AS g, CASE WHEN {_CITED} THEN 1.0::DOUB
     UNION ALL SELECT 'pooled', NULL, count(*), round(avg(reward), 6), round(avg(cited), 6) FROM h UNION ALL SELECT 'median', NULL, count(*), median(reward), NULL FROM h"""
 )
 def holdout_report(spark, sf_dir):
-    out = T.holdout_report(_labelled(spark, sf_dir))
+    out = T.holdout_report(_flawed(_labelled(spark, sf_dir)))
     return out.select("level", "group", "n", *[F.round(c, 6).alias(c) for c in ("mean_reward", "grounding_mean")])
 
 
