@@ -23,8 +23,8 @@ _TERM = re.compile(f"([{_DIGITS}]?)([{_UNITS}])")
 
 def numbers(text: Column) -> Column:
     """The distinct whole numbers of a text, by their runs of digits (full-width ones too)."""
-    plain = F.translate(text, "０１２３４５６７８９", "0123456789")
-    found = F.regexp_extract_all(plain, F.lit(r"([0-9]+)"), F.lit(1))
+    plain = F.when(text.rlike("[０-９]"), F.translate(text, "０１２３４５６７８９", "0123456789")).otherwise(text)
+    found = F.regexp_extract_all(plain, F.lit("[0-9]+"), F.lit(0))
     return F.array_distinct(F.transform(found, lambda n: n.try_cast("bigint")))
 
 
@@ -46,8 +46,9 @@ def numerals(text: Column) -> Column:
 
 
 def numbers_meant(text: Column) -> Column:
-    """The distinct numbers of a text, those in digits before Chinese numerals, in one pass over it."""
-    found = F.regexp_extract_all(text, F.lit(f"([0-9０-９]+|[{_DIGITS}{_UNITS}]+)"), F.lit(1))
+    """The distinct numbers of a text, those in digits before Chinese numerals."""
+    spans = F.regexp_extract_all(text, F.lit("[0-9〇-９]+"), F.lit(0))  # two ranges that hold all of them, so few characters pay for the long class
+    found = F.flatten(F.transform(spans, lambda t: F.regexp_extract_all(t, F.lit(f"([0-9０-９]+|[{_DIGITS}{_UNITS}]+)"), F.lit(1))))
     plain = lambda t: F.translate(t, "０１２３４５６７８９", "0123456789").try_cast("bigint")
     value = lambda t: F.when(t.rlike("^[0-9０-９]"), plain(t)).otherwise(_numeral_value(t))
     each = F.transform(found, lambda t, i: F.struct(~t.rlike("^[0-9０-９]"), i, value(t).alias("v")))
