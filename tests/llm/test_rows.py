@@ -1,7 +1,11 @@
 """Rows that share a doc_id, equal rows, clashing columns, and words made to collide."""
 
 import random
+import time
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +257,41 @@ def test_passages_do_not_depend_on_batches(spark, seed):
         words, rows = covered(spark, docs, batch, r.sample(docs, len(docs)))
         assert words and (want is None or words == want), batch
         want = words
+
+
+def test_stages_leave_no_shuffle_files(spark):
+    """A stage's shuffle files go once it is written, and the session's setting stays as it was."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(setting, "false")
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    made = shared.stage(spark.range(5000).repartition(3, "id"), "shuffled")
+    until = time.time() + 20
+    while files() - before and time.time() < until:  # Spark deletes them behind
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(setting) == "false"
+    assert made.count() == 5000
+
+
+def test_asked_documents_come_in_bounded_parts(monkeypatch):
+    """A document that many chains ask for is split among rows, and its words among batches, with nothing lost."""
+    monkeypatch.setattr(passage_chains, "ASKED", 40)
+    monkeypatch.setattr(passage_chains, "SLICED", 300)
+    asks = np.array([(d, 3 * i, 3 * i + 60, 7 * i + d) for d, n in ((1, 250), (2, 3)) for i in range(n)], passage_chains._ASK)
+    blobs = pa.table({"asks": pa.array([shared.planes(asks[::2]), shared.planes(asks[1::2])])})
+    rows = passage_chains._by_doc((), blobs)
+    assert [len(x) // asks.itemsize for x in rows["asks"].to_pylist()] == [40] * 6 + [10, 3]
+    text = " ".join(f"w{i}" for i in range(500))
+    parts = list(passage_chains._slices([pa.record_batch({"text": [text] * len(rows), "asks": rows["asks"].combine_chunks()})], 1))
+    got = np.concatenate([np.frombuffer(b, passage_chains._ASK) for p in parts for b in p.column(1).to_pylist()])
+    sizes = [sum(map(len, p.column(2).to_pylist())) // 4 for p in parts]
+    assert max(sizes) <= 300 and sum(sizes) == int((np.minimum(asks["hi"], 500) - np.minimum(asks["lo"], 500)).sum())
+    assert sorted(got["chain"].tolist()) == sorted(asks["chain"].tolist())
+
+
+def test_planes():
+    rows = np.zeros(7, passage_chains._SEED)
+    rows["h"], rows["doc"] = np.arange(7) << 40, -np.arange(7)
+    column = pa.chunked_array([[shared.planes(rows[:3]), None], [shared.planes(rows[3:]), b""]], pa.binary())
+    assert (shared.unplaned(column, rows.dtype) == rows).all() and len(shared.unplaned(pa.chunked_array([], pa.binary()), rows.dtype)) == 0
