@@ -295,3 +295,16 @@ def test_planes():
     rows["h"], rows["doc"] = np.arange(7) << 40, -np.arange(7)
     column = pa.chunked_array([[shared.planes(rows[:3]), None], [shared.planes(rows[3:]), b""]], pa.binary())
     assert (shared.unplaned(column, rows.dtype) == rows).all() and len(shared.unplaned(pa.chunked_array([], pa.binary()), rows.dtype)) == 0
+
+
+def test_whole_windows_are_dealt_in_bounded_parts(monkeypatch):
+    """Windows of common seeds are dealt text by text once they are many, not a batch at once, and none is lost."""
+    sizes = []
+    monkeypatch.setattr(passage_chains, "HELD", 1000)
+    monkeypatch.setattr(passage_chains, "_settled", lambda made, *rest: sizes.append(sum(map(len, made))) or [])
+    words = 150_000
+    text = " ".join(f"w{i:06}" for i in range(words))
+    common = np.arange(words, dtype="<i4").tobytes()
+    batch = pa.record_batch({"doc_id": [1, 2, 3], "text": [text] * 3, "common": pa.array([common] * 3, pa.binary())})
+    assert not list(passage_chains._whole_windows([batch], 4, 5, 3, 50, 16))
+    assert sizes == [words - 49] * 3
