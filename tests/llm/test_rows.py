@@ -308,3 +308,15 @@ def test_whole_windows_are_dealt_in_bounded_parts(monkeypatch):
     batch = pa.record_batch({"doc_id": [1, 2, 3], "text": [text] * 3, "common": pa.array([common] * 3, pa.binary())})
     assert not list(passage_chains._whole_windows([batch], 4, 5, 3, 50, 16))
     assert sizes == [words - 49] * 3
+
+
+def test_chains_of_a_line_that_repeats():
+    """A line that two documents repeat has as many chains as cover it and reach beyond it, not one for each place."""
+    links = np.zeros(300, passage_chains._LINK)
+    links["doc"], links["ref"], links["x"], links["y"], links["lo"], links["hi"] = 5, 3, 145 + 2 * np.arange(300), 150, 45, 50
+    rows = pa.table({"rows": [shared.planes(links)]})
+    got = passage_chains._chains((), rows, 1, 5, 50, 6, True).to_pylist()
+    spans = sorted(tuple(np.frombuffer(r["segments"], "<i4")[:2].tolist()) for r in got if r["segments"])
+    assert len(spans) < 80 and {x for s, e in spans for x in range(s, e)} == set(range(100, 793))
+    assert {(x, x + 95) for x in range(100, 150, 2)} <= set(spans)  # their ends may reach words before the line
+    assert len(passage_chains._chains((), rows, 1, 5, 50, 6).drop_null()) == 0 and passage_chains._chains((), rows, 1, 5, 50, 6)["segments"].null_count == 1
