@@ -320,3 +320,12 @@ def test_chains_of_a_line_that_repeats():
     assert len(spans) < 80 and {x for s, e in spans for x in range(s, e)} == set(range(100, 793))
     assert {(x, x + 95) for x in range(100, 150, 2)} <= set(spans)  # their ends may reach words before the line
     assert len(passage_chains._chains((), rows, 1, 5, 50, 6).drop_null()) == 0 and passage_chains._chains((), rows, 1, 5, 50, 6)["segments"].null_count == 1
+
+
+def test_passages_of_a_line_that_repeats(spark):
+    """Words that a document repeats within itself, all of common seeds, are found at each of their places."""
+    line = ["is", "onhe"] * 150
+    made = [(i, " ".join(own(f"a{i}", 40) + line[: 300 - 20 * i] + own(f"b{i}", 40))) for i in range(4)]
+    found = passage_chains.fuzzy_passages(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    for i in range(1, 4):
+        assert {x for r in found if r.doc_id == i for x in range(r.start, r.end)} == set(range(40, 340 - 20 * i))
