@@ -329,3 +329,20 @@ def test_passages_of_a_line_that_repeats(spark):
     found = passage_chains.fuzzy_passages(spark.createDataFrame(made, "doc_id long, text string")).collect()
     for i in range(1, 4):
         assert {x for r in found if r.doc_id == i for x in range(r.start, r.end)} == set(range(40, 340 - 20 * i))
+
+
+def test_batches_that_python_gets_are_bounded(spark):
+    """A stage bounds the bytes of its batches on request, and the session's setting stays as it was."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, texts = spark.conf.get(setting), spark.range(400).repartition(1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    sizes = lambda it: (pa.record_batch({"n": [b.nbytes]}) for b in it)
+    most = shared.stage(texts.mapInArrow(sizes, "n long"), "sizes", 1 << 17).agg(F.max("n"), F.sum("n")).first()
+    assert most[0] <= 1 << 18 and most[1] >= 4_000_000 and spark.conf.get(setting) == before
+
+
+def test_seeds_are_settled_across_batches():
+    """What is dealt depends on the number of seeds held, not on how texts come in batches."""
+    texts = [" ".join(own("same", 60)) for _ in range(9)]
+    whole = pa.record_batch({"doc_id": list(range(9)), "text": texts})
+    sizes = [sum(b.num_rows for b in passage_chains._seeds(bs, 4, 5, 3, 50, 16)) for bs in ([whole], [whole.slice(i, 1) for i in range(9)])]
+    assert sizes[0] == sizes[1]
