@@ -331,6 +331,27 @@ def test_passages_of_a_line_that_repeats(spark):
         assert {x for r in found if r.doc_id == i for x in range(r.start, r.end)} == set(range(40, 340 - 20 * i))
 
 
+def test_buckets_follow_the_texts(spark, monkeypatch):
+    """Few partitions and many texts: a bucket stands for a bounded share of the texts, and the same words are found."""
+    r, pool = random.Random(3), [own(f"q{i}", 70) for i in range(5)]
+    docs = spark.createDataFrame([(i, " ".join(own(f"d{i}", 30) + r.choice(pool) + own(f"e{i}", 9))) for i in range(80)], "doc_id long, text string")
+    used = []
+
+    def kept(df, name, *rest, _stage=shared.stage, **options):
+        out = _stage(df, name, *rest, **options)
+        if name == "chains":
+            used.append(out.where("segments is not null").select("bucket").distinct().count())
+        return out
+
+    monkeypatch.setattr(passage_chains, "stage", kept)
+    found = [sorted(map(tuple, passage_chains.fuzzy_passages(docs).collect()))]
+    assert used[0] <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(passage_chains, "SHARE", 1 << 10)
+    found.append(sorted(map(tuple, passage_chains.fuzzy_passages(docs).collect())))
+    assert found[0] == found[1] and len(found[0]) == 75
+    assert used[2] > 20
+
+
 def test_batches_that_python_gets_are_bounded(spark):
     """A stage bounds the bytes of its batches on request, and the session's setting stays as it was."""
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
