@@ -249,7 +249,7 @@ _CONTRAST_ROWS = " UNION ALL ".join(
 
 
 def _contrasts(spark, sf_dir):
-    return B.contrasts(panel(spark, sf_dir), {f: e for f, (e, _) in _CANDIDATES.items()}, START, END, CONFIG, calendar(spark, sf_dir))
+    return B.contrasts(panel(spark, sf_dir, END), {f: e for f, (e, _) in _CANDIDATES.items()}, START, END, CONFIG, calendar(spark, sf_dir))
 
 
 @query(_CONTRAST_ROWS)

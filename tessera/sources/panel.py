@@ -31,8 +31,8 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(lines.groupBy("datetime").agg(F.max("traded").alias("traded")))
 
 
-def weekly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly price and volume of each supplier: the panel without returns."""
+def weekly_prices(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
+    """Weekly price and volume of each supplier, of the weeks that begin by ``until``: the panel without returns."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         week("l_shipdate").alias("datetime"),
         F.col("l_suppkey").alias("instrument"),
@@ -41,6 +41,7 @@ def weekly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice",
         "l_returnflag",
     )
+    lines = lines if until is None else lines.where(F.col("datetime") <= F.lit(until).cast("date"))
     return lines.groupBy("datetime", "instrument").agg(
         F.round(F.avg("px") + OFF_TIES, 6).alias("close"),
         F.round(F.median("px") + OFF_TIES, 6).alias("open"),
@@ -52,12 +53,12 @@ def weekly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """datetime, instrument, day_idx, prices, volume, amount, return, industry, tradestatus."""
+def panel(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
+    """datetime, instrument, day_idx, prices, volume, amount, return, industry, tradestatus, of all days or those to ``until``: none depends on a later one."""
     own = W.partitionBy("instrument").orderBy("datetime")
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
         F.col("s_suppkey").alias("instrument"), F.col("s_nationkey").cast("double").alias("industry")
     )
-    rows = weekly_prices(spark, sf_dir).join(suppliers, "instrument")
+    rows = weekly_prices(spark, sf_dir, until).join(suppliers, "instrument")
     change = F.col("close") / F.lag("close").over(own) - 1
     return with_calendar(rows.withColumn("return", F.round(change * F.lit(0.005), 9)), calendar(spark, sf_dir))
