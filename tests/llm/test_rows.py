@@ -361,6 +361,49 @@ def test_batches_that_python_gets_are_bounded(spark):
     assert most[0] <= 1 << 18 and most[1] >= 4_000_000 and spark.conf.get(setting) == before
 
 
+def test_rows_that_the_reader_holds_are_bounded(spark):
+    """Where batches are bounded, Spark's reader holds few rows at once, and the session's setting stays as it was."""
+    setting = "spark.sql.parquet.columnarReaderBatchSize"
+    before, rows = spark.conf.get(setting), shared.stage(spark.range(4000).coalesce(1), "rows")
+    read = lambda t: t._jdf.queryExecution().executedPlan().toString() and spark.conf.get(setting)
+    seen = []
+
+    class Kept:
+        """A table that tells the setting with which it is written."""
+
+        sparkSession = spark
+        schema = rows.schema
+
+        @property
+        def write(self):
+            seen.append(read(rows))
+            return rows.write
+
+    assert shared.stage(Kept(), "few", 1 << 17).count() == shared.stage(Kept(), "many").count() == 4000
+    assert int(seen[0]) <= 128 and seen[1] == before == spark.conf.get(setting)
+
+
+def test_buckets_are_dealt_evenly(spark, monkeypatch):
+    """Tasks of the large exchanges get as many buckets each, whatever the hashes and the session's partitions are."""
+    docs = spark.createDataFrame([(i, " ".join(own(f"d{i}", 30) + own("same", 70) + own(f"e{i}", 9))) for i in range(60)], "doc_id long, text string")
+    met = []
+
+    def kept(df, name, *rest, _stage=shared.stage, **options):
+        part = name == "passages" and not met
+        out = _stage(df.withColumn("part", F.spark_partition_id()) if part else df, name, *rest, **options)
+        if part:
+            met.extend(r.n for r in out.withColumn("bucket", named("doc_id", "ref_id")).groupBy("part").agg(F.countDistinct("bucket").alias("n")).collect())
+            path, out = out._stage_path, out.drop("part")
+            out._stage_path = path
+        return out
+
+    named = F.udf(lambda doc, ref: passage_chains._named(doc, ref) % 16, "long")
+    monkeypatch.setattr(passage_chains, "stage", kept)
+    monkeypatch.setattr(passage_chains, "buckets", lambda _, size, share: 16 if share == passage_chains.SHARE else 8)
+    assert passage_chains.fuzzy_passages(docs).count() == 59
+    assert len(met) == 8 and set(met) <= {1, 2} and sum(met) > 12
+
+
 def test_seeds_are_settled_across_batches():
     """What is dealt depends on the number of seeds held, not on how texts come in batches."""
     texts = [" ".join(own("same", 60)) for _ in range(9)]
